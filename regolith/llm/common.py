@@ -51,6 +51,20 @@ def to_bytes(text: object) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 
 
+def by_size(texts: list, most: int = 2_000_000):
+    """Runs of texts of about `most` characters together, so that memory doesn't grow with the batch."""
+    run: list = []
+    size = 0
+    for t in texts:
+        run.append(t)
+        size += len(t) if isinstance(t, str) else 0
+        if size >= most:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def dump(table: pa.Table) -> bytes:
     out = io.BytesIO()
     with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:

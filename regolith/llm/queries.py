@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, urls
+from . import decontaminate, langid, mixing, simhash, urls
 from .common import read
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = urls.train(urls.labelled(spark))
     return urls.judge(read(spark, sf_dir, "pages"), model)
@@ -18,13 +23,19 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    found = langid.identify(documents, langid.train(documents))
+    return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return report.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_url_filter, op6_mixing, op8_decontamination)}
+    return {f.__name__: f for f in (op3_simhash, op4_url_filter, op6_mixing, op7_language_id, op8_decontamination)}
 
 
 SQL = {
