@@ -99,14 +99,18 @@ def load_arrays(blob: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size of the input by the optimizer's statistics (bytes of files for a scan)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Integers less their least, in the smallest type that holds them; the least comes with `least_of`."""
+    return (values - least_of(values)).astype(np.min_scalar_type(int(values.max()) - int(values.min())) if len(values) else np.uint8)
 
 
-def shards_for(df: DataFrame, mb: float = 8, least: int = 12, most: int = 65536) -> int:
-    """Number of shards, in proportion to the input, so that one shard's part fits in memory at any size."""
-    return int(min(most, max(least, input_bytes(df) / (mb * 1e6))))
+def least_of(values: np.ndarray) -> np.ndarray:
+    return values.min(keepdims=True) if len(values) else np.zeros(1, values.dtype)
+
+
+def shards_for(packed: DataFrame, least: int = 12, most: int = 65536) -> int:
+    """As many shards as there are blocks, so that a shard's part of the requests fits in memory at any size."""
+    return int(min(most, max(least, packed.count())))
 
 
 def pack(df: DataFrame, columns: list[str], label: str, batch_bytes: int = 6_000_000) -> DataFrame:
@@ -157,11 +161,15 @@ def ask(packed: DataFrame, fn, shards: int) -> DataFrame:
 
 
 def answer(requests: DataFrame, fn, shards: int, label: str) -> DataFrame:
-    """fn([bytes]) gives an answer for each request of one shard; the answers keep (s, b)."""
+    """fn([bytes]) gives an answer for each request of one shard; the answers keep (s, b).
+
+    An answer more is the shard's own summary; it gets b = -1.
+    """
 
     def run(frame):
         order = frame.sort_values("b")
-        return pd.DataFrame({"s": order["s"], "b": order["b"], "data": fn(list(order["data"]))})
+        got = fn(list(order["data"]))
+        return pd.DataFrame({"s": int(order["s"].iloc[0]), "b": [*order["b"], -1][: len(got)], "data": got})
 
     spread = requests.repartition(shards, "s")
     return materialize(spread.groupBy("s").applyInPandas(run, "s int, b long, data binary"), label)

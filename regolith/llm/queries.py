@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, simhash, urls
+from . import decontaminate, html, langid, mixing, quality, simhash, substrings, urls
 from .common import read
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -34,8 +38,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(read(spark, sf_dir, "documents"), with_text=False)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents"), with_text=False)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_simhash, op4_url_filter, op6_mixing, op7_language_id, op8_decontamination)}
+    return {f.__name__: f for f in (op2_html, op3_simhash, op4_url_filter, op6_mixing, op7_language_id, op8_decontamination, op9_substrings, op10_quality)}
 
 
 SQL = {
