@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, langid, mixing, quality, simhash, substrings, tokens, urls
+from . import decontaminate, html, langid, mixing, ngrams, quality, simhash, substrings, tokens, urls
 from .common import read
 
 
+def op1_ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score(read(spark, sf_dir, "documents"))
+
+
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
 
@@ -51,7 +55,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_html, op3_simhash, op4_url_filter, op5_tokens, op6_mixing, op7_language_id, op8_decontamination, op9_substrings, op10_quality)}
+    return {f.__name__: f for f in (op1_ngram_score, op2_html, op3_simhash, op4_url_filter, op5_tokens, op6_mixing, op7_language_id, op8_decontamination, op9_substrings, op10_quality)}
 
 
 SQL = {
