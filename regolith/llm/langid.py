@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, to_bytes
 
 #: Labelled rows per language used at most: the bound of the training sample.
-PER_LANGUAGE = 600
+PER_LANGUAGE = 400
 #: Languages at most; those with the most rows.
 LANGUAGES = 512
 BITS = 16
@@ -86,12 +86,21 @@ def margins(model: Model, texts: list[bytes]) -> np.ndarray:
     return total / (2 * n[:, None]) + model.bias
 
 
-def _matrix(texts: list[bytes]) -> np.ndarray:
-    out = np.zeros((len(texts), 2**BITS), np.float32)
-    for i, t in enumerate(texts):
+def _matrix(texts: list[bytes], least: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """n-gram shares of each text, for the n-grams that `least` texts have, and which those are."""
+    found = []
+    for t in texts:
         h, _ = grams([t])
-        out[i] = np.bincount(h.ravel(), minlength=2**BITS) / max(1, h.size)
-    return out
+        found.append(np.unique(h.ravel(), return_counts=True))
+    share = np.bincount(np.concatenate([k for k, _ in found]), minlength=2**BITS)
+    used = np.flatnonzero(share >= min(least, len(texts)))
+    out = np.zeros((len(texts), len(used)), np.float32)
+    for i, (k, n) in enumerate(found):
+        at = np.searchsorted(used, k)
+        at[at == len(used)] = 0
+        hit = used[at] == k if len(used) else np.zeros(len(k), bool)
+        out[i, at[hit]] = n[hit] / n.sum()
+    return out, used
 
 
 def fit(rows: list[tuple[str, str]], rounds: int = 150, reg: float = 1e-6) -> Model | None:
@@ -102,9 +111,8 @@ def fit(rows: list[tuple[str, str]], rounds: int = 150, reg: float = 1e-6) -> Mo
         return None
     code = codewords(len(languages)).astype(np.float32)
     place = {g: i for i, g in enumerate(languages)}
-    x, y = _matrix([t for t, _ in rows]), np.array([place[g] for _, g in rows])
-    used = np.flatnonzero(x.any(axis=0))
-    x = x[:, used]
+    x, used = _matrix([t for t, _ in rows])
+    y = np.array([place[g] for _, g in rows])
     scale = 1 / np.sqrt((x**2).mean(axis=0) + 1e-10)
     x *= scale
     share = np.bincount(y, minlength=len(languages))
@@ -152,7 +160,7 @@ def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for g, n in counts.items():
         limit = F.when(F.col("lang") == g, F.lit(min(1.0, per_language / n))).otherwise(limit)
     pick = F.pmod(F.xxhash64(F.lit("train"), F.col("id")), F.lit(1 << 20)) < limit * (1 << 20)
-    got = rows.filter(pick).select("id", F.substring("text", 1, 20_000).alias("text"), "lang").limit(2 * per_language * len(counts)).collect()
+    got = rows.filter(pick).select("id", "text", "lang").limit(2 * per_language * len(counts)).collect()
     return fit([(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (str(r["id"]), r["text"]))])
 
 
