@@ -38,7 +38,6 @@ _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
 }
-_WHITE = re.compile(r"\s+")
 
 
 class Node:
@@ -143,7 +142,7 @@ def subtrees(root: Node) -> list[tuple[Node, int, bool]]:
                 k, has = known.pop(id(c))
                 h.update(b"\0" + k.to_bytes(8, "little"))
                 some |= has
-            elif text := _WHITE.sub(" ", c).strip():
+            elif text := " ".join(c.split()):
                 h.update(b"\1" + text.encode("utf-8", "surrogatepass"))
                 some = True
         known[id(node)] = k, some = h.intdigest(), some
@@ -174,7 +173,7 @@ def main_text(root: Node, template: set[int]) -> str:
     parts: list[str] = []
 
     def flush():
-        if line := _WHITE.sub(" ", "".join(parts)).strip():
+        if line := " ".join("".join(parts).split()):
             blocks.append(line)
         parts.clear()
 
