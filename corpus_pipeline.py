@@ -14,9 +14,9 @@ from regolith.llm.common import materialize, read
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go, and so do those that the code leaves undecided between two."""
+    """Documents without a language go, and so do ambiguous ones of which no language has half the share."""
     found = langid.identify(docs, langid.train(docs))
-    rejected = found.filter((F.col("lang_pred") == "und") | F.col("ambiguous")).select(F.col("doc_id").alias("_bad")).distinct()
+    rejected = found.filter((F.col("lang_pred") == "und") | (F.col("ambiguous") & (F.col("score") < 0.5))).select(F.col("doc_id").alias("_bad")).distinct()
     return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
 
 
