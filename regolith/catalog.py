@@ -2,10 +2,74 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from regolith import oracles
+from regolith.functions import identifiers, similarity, text
+from regolith.operators import linkage, reports, views
+from regolith.sources.registry import Registry
+
+
+def _registry(build):
+    def run(spark, sf_dir):
+        df = build(Registry(spark, sf_dir))
+        return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"})
+
+    return run
+
+
+def pseudonyms(r: Registry):
+    return r.table("customer").select("c_custkey", identifiers.pseudonym_name(F.col("c_name")).alias("biz"))
+
+
+def codes(r: Registry):
+    return r.table("customer").select("c_custkey", identifiers.ubid_code(F.col("c_custkey")).alias("code"))
+
+
+def token_similarity(r: Registry):
+    """Parts against the part of the same brand 25 keys on."""
+    p = r.table("part").select("p_partkey", "p_brand", similarity.tokens(F.col("p_name")).alias("t"))
+    a = p.select(F.col("p_partkey").alias("a"), F.col("p_brand"), F.col("t").alias("x"), (F.col("p_partkey") + 25).alias("b"))
+    b = p.select(F.col("p_partkey").alias("b"), F.col("p_brand"), F.col("t").alias("y"))
+    return a.join(b, ["b", "p_brand"]).select("a", "b", similarity.jaccard(F.col("x"), F.col("y")).alias("jaccard"), similarity.dice(F.col("x"), F.col("y")).alias("dice"))
+
+
+def part_records(r: Registry):
+    """Parts as records to link: names recur, brands stand for areas."""
+    name = text.normalize_name(F.concat_ws(" ", "p_name", "p_brand"))
+    k = F.col("p_partkey")
+    pan = F.concat(F.lit("ABCPK"), F.lpad((k % 700).cast("string"), 4, "0"), F.lit("F"))
+    p = r.table("part").select(
+        F.lpad(k.cast("string"), 12, "0").alias("id"), name.alias("name"), text.phonetic(name).alias("phonetic"), F.concat(F.lit("5600"), F.lpad((k % 40).cast("string"), 2, "0")).alias("pincode"),
+        F.when(k % 3 == 0, pan).alias("pan"), F.lit(None).cast("string").alias("gstin"), F.col("p_type").alias("address"),
+    )
+    return p.withColumns({"pan_valid": identifiers.pan_ok(F.col("pan")), "gstin_valid": F.lit(False)})
+
+
+def blocking(r: Registry):
+    return linkage.candidate_pairs(part_records(r))
+
+
+def scores(r: Registry):
+    p = part_records(r).drop("pan_valid", "gstin_valid")
+    side = lambda s: p.select([F.col(c).alias(f"{c}_{s}") for c in p.columns])
+    pairs = blocking(r).join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b"))
+    return linkage.score_pairs(pairs).select("a", "b", "strategy", "name_similarity", "phonetic_match", "score", "conflict", "decision")
+
 
 def queries() -> dict:
-    return {}
+    found = {
+        "v_registry": views.ubid_registry, "v_source_records": views.source_records, "v_activity_events": views.activity_events, "d14_activity": views.ubid_activity,
+        "q1_pan": lambda r: reports.q1_pan(r, "ABCPK0042F"), "q2_gstin": lambda r: reports.q2_gstin(r, "29ABCPK0042F1Z5"), "q3_stale_inspections": lambda r: reports.q3_stale_inspections(r, "2024-01-25", ("Active", "Dormant")),
+        "q4_pan_without_gstin": reports.q4_pan_without_gstin, "q6_status_by_pin": lambda r: reports.status_summary(r, ("pin_code",), ("Active",)), "q7_status_by_sector": lambda r: reports.status_summary(r, ("sector",), ("Closed", "Dormant")),
+        "q8_sector_status": lambda r: reports.status_summary(r, ("sector", "status")), "q9_departments": reports.q9_departments, "q10_list": lambda r: reports.q10_list(r, ("Active",)),
+        "r1_metrics": reports.metrics, "r1_bands": reports.confidence_bands, "r1_coverage": reports.coverage, "r1_hotspots": reports.hotspots,
+        "r3_page": lambda r: reports.raw_page(r, source="tax", linked=True, q="customer 1", limit=25, offset=25), "r3_facets": reports.facets, "r7_timeline": reports.identity_timeline,
+        "r8_directory": lambda r: reports.directory(r, search="er 1", has_pan=True, descending=True), "r9_unlinked": reports.unlinked,
+        "f_pseudonym": pseudonyms, "f_ubid_code": codes, "s_jaccard": token_similarity, "d1_blocking": blocking, "d2_scores": scores,
+    }
+    return {k: _registry(f) for k, f in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
