@@ -71,7 +71,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
         spread = F.explode(F.transform(_places(F.size("ctx"), window), lambda i: F.struct((F.col("at") + i).alias("at"), F.slice("ctx", i + 1, window).alias("win"))))
         found.append(hits.select("id", "text_key", spread.alias("m")).select("id", "text_key", "m.*"))
     for n in sorted(x for x in sizes if x < window):
-        all_of = F.explode(let(F.col("ws"), lambda w, n=n: F.transform(_places(F.size(w), n), lambda i: F.struct(i.alias("at"), F.slice(w, i + 1, n).alias("win")))))
+        all_of = F.explode(let(F.col("ws"), lambda w: F.transform(_places(F.size(w), n), lambda i: F.struct(i.alias("at"), F.slice(w, i + 1, n).alias("win")))))
         found.append(docs.select("id", "text_key", all_of.alias("m")).select("id", "text_key", "m.*"))
     base = documents.select(F.col(id_col).alias("id"), key, F.size(words(F.col(text_col))).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
