@@ -287,7 +287,11 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             path = os.path.join(folder, "trie")
             trie.save(path)
             trie = Trie.open(path)
-            return [dump_arrays(codes=trie.find(a, x["w"]), scale=np.array([trie.low, trie.step])) for a, x in zip(v, got)]
+            # all requests together, so that each range is read once, however many blocks ask
+            codes = np.empty(len(keys), np.uint8)
+            codes[order] = trie.find(keys[order] >> np.uint64(32), keys[order] & np.uint64(0xFFFFFFFF))
+        scale = np.array([trie.low, trie.step])
+        return [dump_arrays(codes=x, scale=scale) for x in np.split(codes, np.cumsum([len(x["w"]) for x in got])[:-1])]
 
     pairs = answer(tell(packed, words, ask_pairs, "s int, b long, data binary", blocks), query_pairs, shards, "ngram-pairs")
     both = words.unionByName(pairs.withColumn("s", -1 - F.col("s")))
