@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from regolith import oracles
 from regolith.functions import identifiers, similarity, text
-from regolith.operators import linkage, reports, views
-from regolith.sources.registry import Registry
+from regolith.operators import graph, linkage, reports, review, training, vectors, views
+from regolith.plans import gate, questions
+from regolith.sources.registry import INDUSTRIAL, Registry
+from regolith.streaming import activity as stream_activity
 
 
 def _registry(build):
@@ -57,6 +59,66 @@ def scores(r: Registry):
     return linkage.score_pairs(pairs).select("a", "b", "strategy", "name_similarity", "phonetic_match", "score", "conflict", "decision")
 
 
+def review_pairs(r: Registry):
+    n = r.review_records().drop("p_brand")
+    side = lambda s: n.select([F.col(c).alias(f"{c}_{s}") for c in n.columns])
+    q = r.review_queue()
+    return q.join(side("a").withColumnRenamed("record_a", "_a"), F.col("record_a") == F.col("_a")).join(side("b").withColumnRenamed("record_b", "_b"), F.col("record_b") == F.col("_b"))
+
+
+def evidence(r: Registry):
+    e = review.evidence(review_pairs(r).filter(F.col("status").isin(*review.OPEN)))
+    text = {c: F.array_join(c, " ") for c in ("signals", "cautions", "shared_tokens")}
+    return e.withColumns(text).select("id", "name_overlap", "address_overlap", "shared_tokens", "same_pan", "same_gstin", "same_pincode", "same_sector", "band", "signals", "cautions", "recommendation", "summary")
+
+
+def trained_weights(r: Registry):
+    """Weights of the evidence for what reviewers decided, here by a rule on the pair."""
+    names = ("name_overlap", "address_overlap", "same_pan", "same_gstin", "same_pincode")
+    e = review.evidence(review_pairs(r)).withColumn("label", (F.col("same_pan") & (F.col("id") % 10 > 0)).cast("int"))
+    found = training.train(e.select("id", "label", *names), names, least=50)
+    rows = [(n, w, found["precision"], found["recall"]) for n, w in found["weights"].items()] if found else []
+    return r.spark.createDataFrame(rows, "feature string, weight double, precision double, recall double")
+
+
+def asked_vectors(r: Registry):
+    return r.vectors().filter("id % 20 = 0")
+
+
+def cosine_top(r: Registry):
+    return vectors.nearest(asked_vectors(r), r.vectors()).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def routing(r: Registry):
+    best = vectors.nearest(asked_vectors(r), r.vectors(), 1)
+    return best.select("query_id", F.col("id").alias("best_id"), graph.route(F.col("similarity"), F.col("query_id") % 7 == 0, 0.40, 0.30).alias("decision"))
+
+
+def resolution(r: Registry):
+    """Every twentieth vector in turn; every other tenth has an entity before."""
+    best = routing(r).select(F.col("query_id").alias("seq"), F.col("query_id").alias("id"), "best_id", "decision")
+    linked = r.vectors().filter("id % 20 = 10").select("id", F.concat(F.lit("E"), F.col("id").cast("string")).alias("entity"))
+    return graph.resolve(best, linked)
+
+
+def streamed_activity(r: Registry):
+    """The events table as a stream, classified from decayed sums."""
+    stream = r.spark.readStream.schema(r.table("events").schema).parquet(f"{r.dir}/event[s].parquet")  # a pattern, as a stream's plain path must be a folder
+    sums = stream_activity.drain(stream_activity.decayed_sums(r.events(stream), r.taxonomy(), "2024-01-01"), "activity")
+    return stream_activity.classify_sums(sums, r.ubids(), r.taxonomy(), "2024-01-01", views.REFERENCE_DATE)
+
+
+def map_points(r: Registry):
+    n = F.col("n_nationkey")
+    centroids = r.table("nation").select((n + 560000).cast("string").alias("pin_code"), (F.lit(12.9) + n * F.lit(0.01)).alias("lat"), (F.lit(77.5) + n * F.lit(0.01)).alias("lng"))
+    return reports.map_points(r, centroids)
+
+
+def governed(r: Registry):
+    views.create_views(r)
+    return gate.run(r.spark, "SELECT u.pincode AS pin_code, COUNT(*) AS businesses FROM ubid_registry u WHERE u.sector LIKE '%factory%' GROUP BY u.pincode;", INDUSTRIAL)
+
+
 def queries() -> dict:
     found = {
         "v_registry": views.ubid_registry, "v_source_records": views.source_records, "v_activity_events": views.activity_events, "d14_activity": views.ubid_activity,
@@ -67,6 +129,11 @@ def queries() -> dict:
         "r3_page": lambda r: reports.raw_page(r, source="tax", linked=True, q="customer 1", limit=25, offset=25), "r3_facets": reports.facets, "r7_timeline": reports.identity_timeline,
         "r8_directory": lambda r: reports.directory(r, search="er 1", has_pan=True, descending=True), "r9_unlinked": reports.unlinked,
         "f_pseudonym": pseudonyms, "f_ubid_code": codes, "s_jaccard": token_similarity, "d1_blocking": blocking, "d2_scores": scores,
+        "q5_review": lambda r: review.open_items(r.review_queue()), "d15_evidence": evidence, "d17_queue": lambda r: review.decided_queue(r.review_queue(), r.review_actions()).select("id", "status"),
+        "d17_links": lambda r: review.apply(r.review_queue(), r.review_actions(), r.review_links()), "d17_audit": lambda r: review.audit(r.review_actions(), r.review_queue()).drop("after_state"), "d19_weights": trained_weights, "d20_labels": lambda r: review.labels(r.review_queue(), r.review_actions()),
+        "s_cosine_topk": cosine_top, "d5_routing": routing, "d7_resolution": resolution, "q14_hints": questions.hints, "q20_governed": governed, "r2_map": map_points, "r3_summary": reports.record_summary,
+        "r6_lookup": lambda r: reports.lookup(r, "42"), "t7_streamed_activity": streamed_activity,
+        "q21_answer": lambda r: questions.Engine(r, views.REFERENCE_DATE).rows("How many active businesses are there in each area?")[1],
     }
     return {k: _registry(f) for k, f in found.items()}
 

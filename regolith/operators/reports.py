@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regolith.operators import views
+from regolith.operators import vectors, views
 from regolith.sources.registry import INDUSTRIAL, Registry
 
 LIST_COLUMNS = ("ubid", "business_name", "sector", "pin_code", "status", "confidence_score")
@@ -141,3 +141,21 @@ def identity_timeline(r: Registry) -> DataFrame:
     e = r.events().select("ubid", F.col("event_date").alias("on_date"), F.col("event_type").alias("what"), F.col("event_id").alias("ref"))
     k = r.links().filter("unlinked_at is null").select("ubid", F.to_date("linked_at").alias("on_date"), F.lit("record_linked").alias("what"), F.col("raw_id").alias("ref"))
     return e.unionByName(k)
+
+
+def lookup(r: Registry, text: str, limit: int = 25) -> DataFrame:
+    """Records whose identifier is the text, then those whose name has it."""
+    s = views.source_records(r)
+    exact = F.col("raw_id").cast("string") == text
+    found = s.filter(exact | F.col("raw_name").ilike(f"%{text}%"))
+    return found.orderBy(F.when(exact, 0).otherwise(1), F.desc("extracted_at"), "raw_id").limit(limit).select("raw_id", "source_system", "raw_name", "ubid", "confidence")
+
+
+def record_summary(r: Registry) -> DataFrame:
+    s = views.source_records(r).join(r.ubids().select("ubid", "pan", "gstin"), "ubid", "left")
+    return s.agg(F.count(F.lit(1)).alias("total"), F.count("ubid").alias("linked"), F.count_if(F.col("ubid").isNull()).alias("unlinked"), F.count("pan").alias("with_pan"), F.count("gstin").alias("with_gstin"), F.round(F.avg("confidence") * 100, 2).alias("avg_confidence"))
+
+
+def semantic_search(query: DataFrame, base: DataFrame, k: int = 10, above: float = 0.75) -> DataFrame:
+    """The k nearest, and of them those above the threshold: in this order."""
+    return vectors.nearest(query, base, k).filter(F.col("similarity") > above)

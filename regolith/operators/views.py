@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regolith.operators import activity
+from regolith.operators import activity, review
 from regolith.sources.registry import INDUSTRIAL, Registry
 
 REFERENCE_DATE = "2024-01-31"
@@ -42,10 +42,14 @@ def activity_events(r: Registry) -> DataFrame:
     return r.events().join(u, "ubid", "left").select("event_id", "ubid", "event_type", "event_date", "outcome", F.coalesce("known", F.lit(False)).alias("is_known"))
 
 
+def audit_log(r: Registry) -> DataFrame:
+    return review.audit(r.review_actions(), r.review_queue())
+
+
 def create_views(r: Registry) -> dict[str, str]:
     """Register the views; returns the error of each that failed."""
     failed = {}
-    for name, build in (("ubid_registry", ubid_registry), ("source_records", source_records), ("activity_events", activity_events)):
+    for name, build in (("ubid_registry", ubid_registry), ("source_records", source_records), ("activity_events", activity_events), ("review_queue", Registry.review_queue), ("audit_log", audit_log)):
         try:
             build(r).createOrReplaceTempView(name)
         except Exception as e:  # one broken view leaves the others usable

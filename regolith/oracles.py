@@ -34,6 +34,17 @@ WITH ubids AS (
 ), source_records AS (
   SELECT r.raw_id, r.source_system, coalesce(r.payload_name, n.normalized_name) AS raw_name, n.pincode, n.sector, l.ubid, l.confidence, r.extracted_at
   FROM raw_records r LEFT JOIN normalized n USING (raw_id) LEFT JOIN links l ON l.raw_id = r.raw_id AND l.unlinked_at IS NULL
+), rp AS (
+  SELECT p_partkey AS record, p_brand, p_name AS name, p_brand || ' ' || p_type AS address, CASE WHEN p_partkey % 3 <> 0 THEN 'ABCPK00' || lpad(CAST(p_partkey % (CASE WHEN p_partkey % 4 = 0 THEN 70 ELSE 25 END) AS VARCHAR), 2, '0') || 'F' END AS pan,
+    CASE WHEN p_partkey % 6 < 3 THEN 'G' || lpad(CAST(p_partkey % 25 AS VARCHAR), 2, '0') END AS gstin, '5600' || lpad(CAST(p_partkey % (CASE WHEN p_partkey % 8 = 0 THEN 40 ELSE 5 END) AS VARCHAR), 2, '0') AS pincode, p_type AS sector FROM part
+), rq AS (
+  SELECT a.record AS id, a.record AS record_a, b.record AS record_b, CAST(0.5 AS DOUBLE) + CAST(a.record % 50 AS DOUBLE) / 100.0 AS confidence, CAST(a.record % 50 + 50 AS INTEGER) AS priority,
+    CASE WHEN a.record % 5 = 0 THEN 'resolved' WHEN a.record % 7 = 0 THEN 'locked' ELSE 'pending' END AS status, CAST(DATE '2024-01-01' + CAST(a.record % 30 AS INTEGER) AS DATE) AS queued_at
+  FROM rp a JOIN rp b ON b.record = a.record + 25 AND b.p_brand = a.p_brand
+), act AS (
+  SELECT id, CASE id % 3 WHEN 0 THEN 'confirm_match' WHEN 1 THEN 'confirm_non_match' ELSE 'defer' END AS decision FROM rq WHERE id % 5 = 0
+), rl AS (
+  SELECT record, 'U' || CAST(record % 100 AS VARCHAR) AS entity, DATE '2024-01-01' + CAST(record % 30 AS INTEGER) AS linked_at FROM rp WHERE record % 4 = 0
 )
 """
 LIST = "ubid, business_name, sector, pin_code, status, confidence_score, pan, gstin"
@@ -73,8 +84,62 @@ PLAIN = {
 }
 
 
+#: Evidence of a pair: words first, then what they and the identifiers say.
+EVIDENCE = """
+, w AS (
+  SELECT rq.id, rq.confidence, a.pan AS pan_a, b.pan AS pan_b, a.gstin AS gstin_a, b.gstin AS gstin_b, coalesce(a.pan = b.pan, false) AS same_pan, coalesce(a.gstin = b.gstin, false) AS same_gstin, a.pincode = b.pincode AS same_pincode, a.sector = b.sector AS same_sector,
+    {na} AS na, {nb} AS nb, {aa} AS aa, {ab} AS ab FROM rq JOIN rp a ON a.record = record_a JOIN rp b ON b.record = record_b WHERE status IN ('pending', 'locked')
+), o AS (
+  SELECT *, CAST(round_even(CAST(len(list_intersect(na, nb)) AS DOUBLE) / len(list_distinct(list_concat(na, nb))) * 100, 0) AS INTEGER) AS name_overlap, CAST(round_even(CAST(len(list_intersect(aa, ab)) AS DOUBLE) / len(list_distinct(list_concat(aa, ab))) * 100, 0) AS INTEGER) AS address_overlap,
+    pan_a IS NOT NULL AND pan_b IS NOT NULL AS pans, gstin_a IS NOT NULL AND gstin_b IS NOT NULL AS gstins FROM w
+), f AS (
+  SELECT *, same_pan AND same_pincode AND name_overlap >= 70 AS strong, concat_ws(', ', CASE WHEN same_pan THEN 'same PAN' END, CASE WHEN same_pincode THEN 'same PIN code' END, CASE WHEN same_sector THEN 'same business type' END, CASE WHEN name_overlap >= 80 THEN 'very similar business name' WHEN name_overlap >= 50 THEN 'partly similar business name' END) AS pro,
+    concat_ws(', ', CASE WHEN address_overlap < 40 THEN 'addresses do not fully match' END, CASE WHEN NOT gstins THEN 'GSTIN is missing' END) AS con FROM o
+)
+SELECT id, name_overlap, address_overlap, array_to_string(list_sort(list_intersect(na, nb)), ' ') AS shared_tokens, same_pan, same_gstin, same_pincode, same_sector,
+  CASE WHEN strong THEN 'Likely same, verify' WHEN confidence >= CAST(0.85 AS DOUBLE) THEN 'Good match' WHEN confidence >= CAST(0.70 AS DOUBLE) THEN 'Needs officer check' WHEN confidence >= CAST(0.55 AS DOUBLE) THEN 'Needs more proof' ELSE 'Likely separate' END AS band,
+  concat_ws(' ', CASE WHEN same_pan THEN 'Same PAN is present in both records.' END, CASE WHEN same_gstin THEN 'Same GSTIN is present in both records.' END, CASE WHEN name_overlap >= 70 THEN 'Business names look very similar.' END, CASE WHEN same_pincode THEN 'PIN code matches.' END, CASE WHEN same_sector THEN 'Business type matches.' END) AS signals,
+  concat_ws(' ', CASE WHEN same_pan THEN NULL WHEN pans THEN 'PAN values are different. Keep separate unless a senior officer approves.' ELSE 'PAN is missing on at least one record.' END, CASE WHEN same_gstin THEN NULL WHEN gstins THEN 'GSTIN values differ.' ELSE 'GSTIN is missing, so verify using other documents.' END,
+    CASE WHEN name_overlap < 70 THEN 'Business names are not very similar.' END, CASE WHEN address_overlap < 40 THEN 'Addresses are not a strong match.' END, CASE WHEN NOT same_pincode THEN 'PIN code does not match or is missing.' END, CASE WHEN NOT same_sector THEN 'Business type differs or is unavailable.' END) AS cautions,
+  CASE WHEN strong THEN 'approve' ELSE 'separate' END AS recommendation,
+  'These records show ' || CASE WHEN pro = '' THEN 'limited matching information' ELSE pro END || '. Please note: ' || CASE WHEN con = '' THEN 'no major warning sign is visible' ELSE con END || '. Recommended action: ' || CASE WHEN strong AND confidence >= CAST(0.6 AS DOUBLE) THEN 'approve if documents look genuine' ELSE 'keep separate unless more proof is available' END || '.' AS summary
+FROM f
+"""
+WORDS = "list_distinct(list_filter(string_split_regex(upper({}), '[^A-Z0-9]+'), lambda t: t <> ''))"
+LINKS = """
+, m AS (SELECT * FROM rq JOIN act USING (id) WHERE decision = 'confirm_match'), g AS (SELECT record_a AS record, record_a AS grp, confidence FROM m UNION ALL SELECT record_b, record_a, confidence FROM m
+), e AS (SELECT grp, coalesce(arg_min(entity, linked_at + to_days(0) + to_milliseconds(CAST(g.record AS BIGINT))), 'new:' || CAST(grp AS VARCHAR)) AS entity FROM g LEFT JOIN rl USING (record) GROUP BY grp
+), n AS (SELECT DISTINCT unnest([record_a, record_b]) AS record FROM rq JOIN act USING (id) WHERE decision = 'confirm_non_match')
+SELECT record, entity, 'reviewer_approved' AS decision_type, confidence FROM g JOIN e USING (grp)
+UNION ALL SELECT record, 'new:' || CAST(record AS VARCHAR), 'reviewer_separate', CAST(1 AS DOUBLE) FROM n WHERE record NOT IN (SELECT record FROM rl) AND record NOT IN (SELECT record FROM g)
+UNION ALL SELECT record, entity, 'kept', CAST(NULL AS DOUBLE) FROM rl WHERE record NOT IN (SELECT record FROM g)
+"""
+NEAREST = """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM (SELECT q.vec_id AS query_id, b.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s
+  FROM embeddings q JOIN embeddings b ON b.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)"""
+
+SQL |= {
+    "q5_review": "SELECT id, confidence, priority, status, queued_at FROM rq WHERE status IN ('pending', 'locked') ORDER BY priority DESC, queued_at, id LIMIT 50",
+    "d15_evidence": EVIDENCE.format(na=WORDS.format("a.name"), nb=WORDS.format("b.name"), aa=WORDS.format("a.address"), ab=WORDS.format("b.address")),
+    "d17_queue": "SELECT id, CASE decision WHEN 'defer' THEN 'deferred' WHEN 'confirm_match' THEN 'resolved' WHEN 'confirm_non_match' THEN 'resolved' ELSE status END AS status FROM rq LEFT JOIN act USING (id)",
+    "d17_links": LINKS,
+    "d17_audit": "SELECT CASE decision WHEN 'confirm_match' THEN 'review_merge_approved' ELSE 'review_pair_kept_separate' END AS action, CASE decision WHEN 'confirm_match' THEN 'ubid' ELSE 'candidate_pair' END AS entity_type, CAST(id AS VARCHAR) AS entity_id FROM act WHERE decision <> 'defer'",
+    "d20_labels": "SELECT id, record_a, record_b, CAST(decision = 'confirm_match' AS INTEGER) AS label, CASE decision WHEN 'confirm_match' THEN 'auto_link' ELSE 'separate' END AS decision_type FROM rq JOIN act USING (id) WHERE decision <> 'defer'",
+    "q14_hints": " UNION ALL ".join(f"SELECT * FROM (SELECT DISTINCT '{name}' AS column, {c} AS value FROM {t} WHERE {c} <> '' ORDER BY value LIMIT 20)" for t, c, name in (("registry", "status", "status"), ("registry", "sector", "sector"), ("source_records", "source_system", "source_system"), ("ev", "event_type", "event_type"), ("rq", "status", "review_status"))),
+    "q20_governed": "SELECT pin_code, count(*) AS businesses FROM registry WHERE sector IN ('MACHINERY', 'BUILDING', 'AUTOMOBILE') GROUP BY pin_code",
+    "q21_answer": "SELECT pin_code, count(*) AS business_count, round(avg(confidence_score), 3) AS average_match_confidence FROM registry WHERE status = 'Active' AND pin_code IS NOT NULL GROUP BY pin_code ORDER BY business_count DESC, pin_code LIMIT 50",
+    "r2_map": "SELECT ubid, business_name, status, round(CAST(12.9 AS DOUBLE) + k * CAST(0.01 AS DOUBLE) + (i % 9 - 4) * CAST(0.0015 AS DOUBLE), 6) AS lat, round(CAST(77.5 AS DOUBLE) + k * CAST(0.01 AS DOUBLE) + (i // 9 % 9 - 4) * CAST(0.0015 AS DOUBLE), 6) AS lng FROM (SELECT *, row_number() OVER (ORDER BY ubid) - 1 AS i, CAST(pin_code AS INTEGER) - 560000 AS k FROM registry ORDER BY ubid LIMIT 500) WHERE pin_code IS NOT NULL",
+    "r3_summary": "SELECT count(*) AS total, count(ubid) AS linked, count_if(ubid IS NULL) AS unlinked, count(pan) AS with_pan, count(gstin) AS with_gstin, round(avg(confidence) * 100, 2) AS avg_confidence FROM source_records LEFT JOIN (SELECT ubid, pan, gstin FROM ubids) USING (ubid)",
+    "r6_lookup": "SELECT raw_id, source_system, raw_name, ubid, confidence FROM source_records WHERE raw_id = 42 OR raw_name ILIKE '%42%' ORDER BY CASE WHEN raw_id = 42 THEN 0 ELSE 1 END, extracted_at DESC, raw_id LIMIT 25",
+    "t7_streamed_activity": SQL["d14_activity"],
+}
+PLAIN |= {
+    "s_cosine_topk": f"SELECT query_id, id, round(s, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM ({NEAREST}) WHERE rank <= 10",
+    "d5_routing": f"SELECT query_id, id AS best_id, CASE WHEN s < 0.30 THEN 'new_ubid' WHEN query_id % 7 = 0 OR s < 0.40 THEN 'review_queue' ELSE 'auto_match' END AS decision FROM ({NEAREST}) WHERE rank = 1",
+}
+
+
 #: Dates are compared as text.
-DATES = {"v_registry": "created_on", "v_activity_events": "event_date", "q3_stale_inspections": "last_inspection", "r7_timeline": "on_date"}
+DATES = {"v_registry": "created_on", "v_activity_events": "event_date", "q3_stale_inspections": "last_inspection", "r7_timeline": "on_date", "q5_review": "queued_at"}
 
 
 def _whole(name: str, sql: str) -> str:

@@ -40,12 +40,44 @@ class Registry:
         k = F.col("o_orderkey")
         return self.table("orders").select(k.alias("raw_id"), F.col("o_custkey").alias("ubid"), (F.lit(0.5) + (k % 50).cast("double") / 100.0).alias("confidence"), F.when(k % 20 == 0, F.col("o_orderdate")).alias("unlinked_at"), F.col("o_orderdate").alias("linked_at"))
 
-    def events(self) -> DataFrame:
+    def events(self, rows: DataFrame | None = None) -> DataFrame:
+        """From the events table, or from `rows` of its columns (a stream)."""
         kind = F.lit(None).cast("string")
         for name, registry, *_ in TAXONOMY:
             kind = F.when(F.col("event_type") == name, registry).otherwise(kind)
-        return self.table("events").select("event_id", F.col("user_id").alias("ubid"), kind.alias("event_type"), F.to_date("ts").alias("event_date"), F.get_json_object("props", "$.k").alias("outcome"))
+        return (self.table("events") if rows is None else rows).select("event_id", F.col("user_id").alias("ubid"), kind.alias("event_type"), F.to_date("ts").alias("event_date"), F.get_json_object("props", "$.k").alias("outcome"))
 
     def taxonomy(self) -> DataFrame:
         rows = ", ".join(f"('{n}', {w}D, {h}, {str(on).lower()})" for _, n, w, h, on in TAXONOMY)
         return self.spark.sql(f"SELECT * FROM VALUES {rows} AS t(event_type, weight, half_life, is_active)")
+
+    def review_records(self) -> DataFrame:
+        """Parts as records under review: some share a tax number or PIN with the part 25 keys on, some lack them."""
+        k = F.col("p_partkey")
+        two = lambda n: F.lpad((k % n).cast("string"), 2, "0")
+        pan = F.when(k % 3 == 0, None).otherwise(F.concat(F.lit("ABCPK00"), F.when(k % 4 == 0, two(70)).otherwise(two(25)), F.lit("F")))
+        return self.table("part").select(
+            k.alias("record"), "p_brand", F.col("p_name").alias("name"), F.concat_ws(" ", "p_brand", "p_type").alias("address"), pan.alias("pan"), F.when(k % 6 < 3, F.concat(F.lit("G"), two(25))).alias("gstin"),
+            F.concat(F.lit("5600"), F.when(k % 8 == 0, two(40)).otherwise(two(5))).alias("pincode"), F.col("p_type").alias("sector"),
+        )
+
+    def review_queue(self) -> DataFrame:
+        k = F.col("p_partkey")
+        p = self.table("part").select("p_partkey", "p_brand")
+        pairs = p.join(p.select((k - 25).alias("p_partkey"), "p_brand"), ["p_partkey", "p_brand"])
+        return pairs.select(
+            k.alias("id"), k.alias("record_a"), (k + 25).alias("record_b"), (F.lit(0.5) + (k % 50).cast("double") / 100.0).alias("confidence"), (k % 50 + 50).cast("int").alias("priority"),
+            F.when(k % 5 == 0, "resolved").when(k % 7 == 0, "locked").otherwise("pending").alias("status"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 30).cast("int")).alias("queued_at"),
+        )
+
+    def review_actions(self) -> DataFrame:
+        """What reviewers decided about every fifth item."""
+        i = F.col("id")
+        return self.review_queue().filter(i % 5 == 0).select("id", F.when(i % 3 == 0, "confirm_match").when(i % 3 == 1, "confirm_non_match").otherwise("defer").alias("decision"), F.lit(1).alias("seq"))
+
+    def review_links(self) -> DataFrame:
+        k = F.col("p_partkey")
+        return self.table("part").filter(k % 4 == 0).select(k.alias("record"), F.concat(F.lit("U"), (k % 100).cast("string")).alias("entity"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 30).cast("int")).alias("linked_at"))
+
+    def vectors(self) -> DataFrame:
+        return self.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
