@@ -52,12 +52,12 @@ def to_bytes(text: object) -> bytes:
 
 
 def by_size(texts: list, most: int = 2_000_000):
-    """Runs of texts of about `most` characters together, so that memory doesn't grow with the batch."""
+    """Runs of texts of about `most` characters (or bytes) together, so that memory doesn't grow with the batch."""
     run: list = []
     size = 0
     for t in texts:
         run.append(t)
-        size += len(t) if isinstance(t, str) else 0
+        size += len(t) if isinstance(t, (str, bytes)) else 0
         if size >= most:
             yield run
             run, size = [], 0

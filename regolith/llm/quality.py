@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import answer, ask, dump_arrays, load_arrays, lower_ascii, pack, shards_for, tell, to_bytes
+from .common import answer, ask, by_size, dump_arrays, load_arrays, lower_ascii, pack, shards_for, tell, to_bytes
 from .wordhash import Words, grams
 
 #: Documents of a host that may have a line before it can go, whatever the host's size.
@@ -114,7 +114,8 @@ def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for s, pick in dealt.items():
             total[pick] = load_arrays(got[s])["n"]
         common = {int(k): int(n) for k, n in zip(keys[total > 0], total[total > 0])}
-        out = text_counts(texts)
+        parts = [text_counts(run) for run in by_size(texts, 1_000_000)]
+        out = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
         dup, lost, rest = [], [], []
         for own, (_, host) in zip(lines, hosts):
             limit = max(least_documents, share * common.get(host, 0))
