@@ -1,7 +1,7 @@
 """Mixing sources to target weights by a low-discrepancy schedule, with DataFrame functions only.
 
 Each source's documents are shuffled by a hash of their id and laid end to end; the resulting line of words is cut into
-equal blocks of `block_words` words (the last one is shorter). Slot k of the schedule takes the golden-ratio point
+equal blocks of `block_words` words, whatever the input's size (the last one is shorter). Slot k of the schedule takes the golden-ratio point
 frac(k * 0.618...) (in 31-bit integer arithmetic, so that reruns agree), scaled to the sum of the targets; the source
 whose stretch of the cumulative targets holds the point gets the slot. A slot's rank within its source names the block
 that it takes; the second pass over the blocks starts when the first is over, and no block is taken more than twice.
@@ -23,8 +23,6 @@ from .common import SPACE_RE, materialize
 
 WEIGHTS = (3, 1, 2)
 BLOCK_WORDS = 64
-#: Slots at most: with more words the blocks grow.
-MOST_SLOTS = 16_000_000
 #: 2**31 / golden ratio, odd.
 GOLDEN, TURN = 1327217885, 2**31
 
@@ -61,7 +59,7 @@ def place(rows: DataFrame, group: str, bucket: str, order: list, value: str, out
     return rows.join(sums, [group, bucket]).withColumn(out, F.col(out) + F.col("_before")).drop("_before")
 
 
-def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = BLOCK_WORDS, most_slots: int = MOST_SLOTS, seed: str = "mix") -> DataFrame:
+def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = BLOCK_WORDS, seed: str = "mix") -> DataFrame:
     """One row per document: id, text_key (hash of its text), size, source_size, target, taken (words, with repeats)."""
     spark = documents.sparkSession
     size = F.size(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), SPACE_RE), "")).cast("long")
@@ -73,8 +71,7 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     sizes = materialize(rows.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "mix-sizes")
     n, total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
     goal = materialize(targets(sizes.drop("n"), weights, share, most), "mix-targets")
-    block = max(block_words, math.ceil(total * share / most_slots))
-    slots = math.ceil(total * share / block)
+    slots = math.ceil(total * share / block_words)
 
     # where each document starts on its source's line of words
     digits = max(1, min(5, math.ceil(math.log(max(n, 1) / 2000, 16)) if n > 2000 else 1))
@@ -89,14 +86,14 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     skey = F.element_at(F.transform(F.filter("ends", lambda e: e["hi"] > F.col("at")), lambda e: e["skey"]), 1)
     line = line.select("slot", skey.alias("skey"), F.lit(1).cast("long").alias("one"), F.floor(F.col("slot") / 8192).alias("chunk"))
     ranks = place(line, "skey", "chunk", ["slot"], "one", "slot_rank")
-    count = F.ceil(F.col("source_size") / block)
+    count = F.ceil(F.col("source_size") / block_words)
     taken = ranks.join(goal.select("skey", count.alias("blocks")), "skey").filter(F.col("slot_rank") < F.col("blocks") * int(most))
     taken = taken.groupBy("skey", (F.col("slot_rank") % F.col("blocks")).alias("block")).agg(F.count(F.lit(1)).alias("times"))
 
     # pieces of documents, by block
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
+    first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
     pieces = rows.filter("size > 0").select("skey", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
+    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
     got = pieces.join(taken, ["skey", "block"]).groupBy("skey", "start").agg(F.sum(words * F.col("times")).alias("taken"))
     out = rows.join(got.withColumn("some", F.lit(True)), ["skey", "start"], "left").join(F.broadcast(goal.select("skey", "source_size", "target")) if goal.count() <= 100_000 else goal.select("skey", "source_size", "target"), "skey")
     return out.select(F.col("id").alias(id_col), "text_key", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"))

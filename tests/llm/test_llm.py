@@ -1,6 +1,7 @@
 """Each operator against brute force on a table of the edge cases, and against SQL where there is SQL."""
 
 import hashlib
+import inspect
 import io
 import math
 import re
@@ -208,6 +209,15 @@ def test_mixing(docs, none):
     assert set(mixing.mix_documents(docs).columns) == set(docs.columns)
 
 
+def test_mixing_small_source_beside_large(spark):
+    rows = [(i, " ".join(["w"] * 200), "large") for i in range(500)] + [(1000 + i, "x " * 20, "small") for i in range(32)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    # a limit on the schedule's length, if there is one, scaled down to this table
+    short = {"most_slots": 20} if "most_slots" in inspect.signature(mixing.mix).parameters else {}
+    got = [r for r in mixing.mix(df, **short).collect() if r["source_size"] == 640]
+    assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 2 * mixing.BLOCK_WORDS
+
+
 def test_language(spark, docs, none):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = langid.identify(table, langid.train(table)).join(table.select("doc_id", "lang"), "doc_id").filter(langid.held_out("doc_id"))
