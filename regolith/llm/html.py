@@ -1,19 +1,23 @@
 """Main text of web pages, with site templates removed.
 
-A page is parsed to a tree. Element subtrees are hashed (tag, text and children), each block of pages counts the distinct
-subtrees of a host once per page, and shards add the counts up; a subtree that recurs on many pages of its host is
-template and goes. Inside the article only containers (not paragraphs and headings) may go that way, since articles may
+A page is parsed to a tree. Element subtrees are hashed (tag, text and children), each block of pages says for the distinct
+subtrees of a host which main texts they come with (before templates go, as hashes), and shards count the distinct ones, so
+that copies of a page count once; a subtree that recurs with many main texts of its host is template and goes. One that
+holds most of its page's main text stays, and what is inside it goes only if it recurs as often without it. Inside the article only containers (not paragraphs and headings) may go that way, since articles may
 share passages. By rule, navigation, headers, footers, asides, forms, scripts, styles, notices, adverts and reader
 comments go, by tag, role or class name. What is left of the article elements (else of main, else of the body) is the
 text: one line per block, in page order.
 
 Defined results: null or empty html gives empty text; unclosed and misnested tags are closed where a browser would close
-them; text outside any tag is text of the body; repeated rows each get their row; empty tables give no rows.
+them; text outside any tag is text of the body; repeated rows each get their row; pages whose url is null or has no :// are of one host; empty tables
+give no rows.
 """
 
 from __future__ import annotations
 
+import gc
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import answer, ask, dump_arrays, load_arrays, pack, shards_for, tell, to_bytes
 
-#: A subtree is template from so many pages of its host, and so large a share of them.
+#: A subtree is template from so many distinct main texts of its host, and so large a share of them.
 LEAST_PAGES = 5
 SHARE = 0.02
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,6 +56,9 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html")
 
+    def updatepos(self, i, j):  # line numbers aren't used
+        return j
+
     def _close(self, tags, until):
         node = found = self.at
         while node is not None and node.tag not in until:
@@ -106,29 +113,30 @@ def parse(html: object) -> Node:
     return b.root
 
 
-def is_furniture(node: Node, inside: bool) -> bool:
+@lru_cache(100_000)
+def is_furniture(tag: str, attrs: tuple, inside: bool) -> bool:
     """Whether a rule removes the element. A header inside an article is part of it."""
-    if node.tag in DROP or (node.tag == "header" and not inside):
+    if tag in DROP or (tag == "header" and not inside):
         return True
-    for name, value in node.attrs:
+    for name, value in attrs:
         if not value:
             if name == "hidden":
                 return True
             continue
-        if name in ("class", "id") and node.tag not in ("html", "body", "article", "main") and _NAMES.search(value.lower().replace("_", "-")):
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and _NAMES.search(value.lower().replace("_", "-")):
             return True
-        if name in ("class", "id") and node.tag == "article" and re.search(r"comment|advert|related|promo", value.lower()):
+        if name in ("class", "id") and tag == "article" and re.search(r"comment|advert|related|promo", value.lower()):
             return True
         if name == "role" and value.lower() in _ROLES or name == "aria-hidden" and value.lower() == "true":
             return True
     return False
 
 
-def subtrees(root: Node) -> list[tuple[Node, int, bool]]:
-    """(element, hash, whether it is inside an article) for all elements with text, children first."""
+def subtrees(root: Node) -> list[tuple[Node, int, bool, int]]:
+    """(element, hash, whether it is inside an article, characters of text) for all elements with text, children first."""
     out = []
     stack: list[tuple[Node, bool, bool]] = [(root, False, False)]
-    known: dict[int, tuple[int, bool]] = {}
+    known: dict[int, tuple[int, int]] = {}
     while stack:
         node, inside, done = stack.pop()
         if not done:
@@ -136,18 +144,18 @@ def subtrees(root: Node) -> list[tuple[Node, int, bool]]:
             deeper = inside or node.tag in ("article", "main")
             stack += [(c, deeper, False) for c in node.children if isinstance(c, Node)]
             continue
-        h, some = xxhash.xxh64(node.tag), False
+        h, size = xxhash.xxh64(node.tag), 0
         for c in node.children:
             if isinstance(c, Node):
-                k, has = known.pop(id(c))
+                k, more = known.pop(id(c))
                 h.update(b"\0" + k.to_bytes(8, "little"))
-                some |= has
+                size += more
             elif text := " ".join(c.split()):
                 h.update(b"\1" + text.encode("utf-8", "surrogatepass"))
-                some = True
-        known[id(node)] = k, some = h.intdigest(), some
-        if some:
-            out.append((node, k, inside))
+                size += len(text) + 1
+        known[id(node)] = k, size = h.intdigest(), size
+        if size:
+            out.append((node, k, inside, size))
     return out
 
 
@@ -159,11 +167,11 @@ def main_text(root: Node, template: set[int]) -> str:
     order: list[Node] = []
     while stack:
         node, inside = stack.pop()
-        if id(node) in removed or is_furniture(node, inside):
+        if id(node) in removed or is_furniture(node.tag, tuple(node.attrs), bool(inside)):
             removed.add(id(node))
             continue
         order.append(node)
-        here = node.tag in ("article", "main") or any(n == "role" and v in ("main", "article") for n, v in node.attrs)
+        here = node.tag in ("article", "main") or (node.attrs and any(n == "role" and v in ("main", "article") for n, v in node.attrs))
         if node.tag == "article" and not (inside and roots and inside == "article"):
             roots.append(node)
         elif here and node.tag != "article":
@@ -206,21 +214,51 @@ def host_of(url: object) -> str:
 
 
 def _hosted(table, shards: int):
-    """Trees and subtrees of the block's pages, the host and subtree keys with their pages, and the shards' parts."""
+    """Trees, subtrees and main texts of the block's pages, the host and subtree keys and their pages, and the shards' parts."""
     pages = []
     every = []
+    gc.disable()  # the trees are all kept until the block is done, so looking for garbage among them finds none
     for url, html in zip(table["url"].to_pylist(), table["html"].to_pylist()):
-        host = to_bytes(host_of(url)) + b"\0"
+        own = xxhash.xxh64_intdigest(to_bytes(host_of(url)) + b"\0")
         root = parse(html)
-        subs = [(n, xxhash.xxh64_intdigest(host + h.to_bytes(8, "little")), inside) for n, h, inside in subtrees(root)]
-        own = xxhash.xxh64_intdigest(host)
-        pages.append((root, subs, own))
-        every.append(np.fromiter({own, *(k for _, k, _ in subs)}, np.uint64))
-    keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *every]), return_counts=True)
+        subs = [(n, h ^ own, inside, size) for n, h, inside, size in subtrees(root)]
+        pages.append((root, subs, own, main_text(root, set())))
+        every.append(np.fromiter({own, *(k for _, k, _, _ in subs)}, np.uint64))
+    gc.enable()
+    keys, of = np.unique(np.concatenate([np.zeros(0, np.uint64), *every]), return_inverse=True)
+    page = np.repeat(np.arange(len(every)), [len(x) for x in every])
     s = (keys % np.uint64(shards)).astype(np.int64)
     order = np.argsort(s, kind="stable")
     cuts = np.searchsorted(s[order], np.arange(shards + 1))
-    return pages, keys, n, {int(i): order[cuts[i] : cuts[i + 1]] for i in np.flatnonzero(np.diff(cuts))}
+    return pages, keys, (of, page), {int(i): order[cuts[i] : cuts[i + 1]] for i in np.flatnonzero(np.diff(cuts))}
+
+
+def _pairs(key: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs, in order of key."""
+    order = np.lexsort((text, key))
+    key, text = key[order], text[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+    return key[new], text[new]
+
+
+def templates(root: Node, subs: list, text: str, common: dict[int, int], limit: float) -> set[int]:
+    """ids (of Node) of the subtrees that are template; text: the page's main text, common: main texts by subtree."""
+    gone: set[int] = set()
+    if not any(common.get(k, 0) >= limit for _, k, _, _ in subs):
+        return gone
+    # how often the nearest enclosing subtree that was spared recurs; parents come before children
+    spared: dict[int, int] = {}
+    for node, k, inside, size in reversed(subs):
+        n, known = common.get(k, 0), spared.get(id(node.parent), 0)
+        if n - known >= limit and node.parent is not None and node.tag not in ("body", "article", "main") and (not inside or node.tag in CONTAINER):
+            if 2 * size > len(text) > 0 and 2 * (len(text) - len(main_text(root, {id(node)}))) > len(text):
+                known = n
+            else:
+                gone.add(id(node))
+        if known:
+            spared[id(node)] = known
+    return gone
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
@@ -231,13 +269,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     shards = blocks = shards_for(packed)
 
     def request(b, table):
-        _, keys, n, dealt = _hosted(table, shards)
-        return {s: dump_arrays(h=keys[pick], n=n[pick].astype(np.uint32)) for s, pick in dealt.items()}
+        found, keys, (of, page), dealt = _hosted(table, shards)
+        texts = np.array([xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) for *_, text in found], np.uint64)
+        of, texts = _pairs(of, texts[page])
+        n = np.bincount(of, minlength=len(keys))
+        first = np.cumsum(n) - n
+        own = lambda pick: np.repeat(first[pick] - np.cumsum(n[pick]) + n[pick], n[pick]) + np.arange(n[pick].sum())
+        return {s: dump_arrays(h=keys[pick], n=n[pick].astype(np.uint32), t=texts[own(pick)]) for s, pick in dealt.items()}
 
     def reply(blobs):
         got = [load_arrays(x) for x in blobs]
         _, which = np.unique(np.concatenate([x["h"] for x in got]), return_inverse=True)
-        counts = np.bincount(which, np.concatenate([x["n"] for x in got])).astype(np.uint32)[which]
+        key, _ = _pairs(np.repeat(which, np.concatenate([x["n"] for x in got])), np.concatenate([x["t"] for x in got]))
+        counts = np.bincount(key).astype(np.uint32)[which]
         counts[counts < least_pages] = 0
         return [dump_arrays(n=x) for x in np.split(counts, np.cumsum([len(x["h"]) for x in got])[:-1])]
 
@@ -250,10 +294,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             total[pick] = load_arrays(got[s])["n"]
         common = {int(k): int(n) for k, n in zip(keys[total > 0], total[total > 0])}
         out = []
-        for own, url, (root, subs, host) in zip(table["id"].to_pylist(), table["url"].to_pylist(), found):
+        for own, url, (root, subs, host, text) in zip(table["id"].to_pylist(), table["url"].to_pylist(), found):
             limit = max(least_pages, share * common.get(host, 0))
-            gone = {id(n) for n, k, inside in subs if common.get(k, 0) >= limit and n.parent is not None and n.tag not in ("body", "article", "main") and (not inside or n.tag in CONTAINER)}
-            text = main_text(root, gone)
+            gone = templates(root, subs, text, common, limit)
+            if gone:
+                text = main_text(root, gone)
             out.append((own, url, text, len(text), len(gone)))
         return pd.DataFrame(out, columns=["id", "url", "text", "n_chars", "n_template"])
 

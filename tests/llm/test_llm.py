@@ -107,6 +107,21 @@ def test_html(spark):
     assert html.extract(df).count() == len(rows) and html.extract(df.limit(0)).count() == 0
 
 
+def test_html_copies_keep_their_text(spark):
+    say = lambda i: f"<p>First part of story {i}, told at length.</p><p>Second part of story {i}, told at length too.</p>"
+    line = lambda i: f"First part of story {i}, told at length.\nSecond part of story {i}, told at length too."
+    top = "<div>Same top</div>"
+    rows = [("a", f"<body>{top}<article><div>{say(0)}</div></article></body>", line(0))] * 5  # copies with an article
+    rows += [("b", f"<body><div>{say(1)}</div></body>", line(1))] * 5  # and without one
+    rows += [("c", f"<body><article><p>Day {i}</p><div>{say(2)}</div></article></body>", f"Day {i}\n{line(2)}") for i in range(6)]  # near copies
+    rows += [("d", f"<body><p>Day {i}</p><div>{say(3)}</div></body>", f"Day {i}\n{line(3)}") for i in range(6)]
+    rows += [("e", f"<body>{top}<div>{say(i)}</div></body>", line(i)) for i in range(10, 16)]  # a template still goes
+    rows += [("e", f"<body>{top}<div>{say(10)}</div></body>", line(10))] * 5
+    df = spark.createDataFrame([(i, f"http://{h}.test/{i}", x) for i, (h, x, _) in enumerate(rows)], "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert [got[i] for i in range(len(rows))] == [want for _, _, want in rows]
+
+
 def slow_print(t):
     w = lower(t).encode().split()
     h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(max(1, len(w) - 3))] if w else []
