@@ -31,6 +31,8 @@ from .common import answer, ask, dump_arrays, load_arrays, pack, shards_for, tel
 #: A subtree is template from so many distinct main texts of its host, and so large a share of them.
 LEAST_PAGES = 5
 SHARE = 0.02
+#: The share asks for no more than this, so that a host with most of the pages is cleaned like a smaller one.
+MOST_PAGES = 100
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 DROP = frozenset("applet aside audio button canvas datalist dialog embed footer form frame frameset head iframe input map menu nav noframes noscript object option script select style svg template textarea title video".split())
@@ -261,7 +263,7 @@ def templates(root: Node, subs: list, text: str, common: dict[int, int], limit:
     return gone
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, share: float = SHARE, most_pages: int = MOST_PAGES) -> DataFrame:
     """One row per page: id, url, text, n_chars, n_template (subtrees removed as template)."""
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
@@ -295,7 +297,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         common = {int(k): int(n) for k, n in zip(keys[total > 0], total[total > 0])}
         out = []
         for own, url, (root, subs, host, text) in zip(table["id"].to_pylist(), table["url"].to_pylist(), found):
-            limit = max(least_pages, share * common.get(host, 0))
+            limit = max(least_pages, min(share * common.get(host, 0), most_pages))
             gone = templates(root, subs, text, common, limit)
             if gone:
                 text = main_text(root, gone)

@@ -122,6 +122,13 @@ def test_html_copies_keep_their_text(spark):
     assert [got[i] for i in range(len(rows))] == [want for _, _, want in rows]
 
 
+def test_html_template_of_a_large_host(spark):
+    notice = lambda i: "<div>Seen in this section</div>" if i < 110 else ""
+    rows = [(i, f"http://large.test/{i}", f"<body>{notice(i)}<p>This page says number {i} and nothing else</p></body>") for i in range(6000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["text"] for r in html.extract(df).collect()} == {f"This page says number {i} and nothing else" for i in range(6000)}
+
+
 def slow_print(t):
     w = lower(t).encode().split()
     h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(max(1, len(w) - 3))] if w else []
