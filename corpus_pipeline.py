@@ -7,7 +7,6 @@ All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from regolith.llm import decontaminate, langid, mixing, simhash, tokens
 from regolith.llm.common import materialize, read
@@ -15,13 +14,11 @@ from regolith.llm.common import materialize, read
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go, and so do ambiguous ones of which no language has half the share."""
-    found = langid.identify(docs, langid.train(docs))
-    rejected = found.filter((F.col("lang_pred") == "und") | (F.col("ambiguous") & (F.col("score") < 0.5))).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return langid.keep_identified(docs, langid.train(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one of the smallest id."""
+    """One document of each group of near copies stays, the one of the smallest id (null last)."""
     return simhash.keep_one(docs)
 
 

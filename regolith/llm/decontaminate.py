@@ -53,14 +53,13 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window
     return items.filter(F.size("ws") > 0).select("item", F.explode(wins).alias("win")).groupBy("win").agg(F.collect_set(F.coalesce("item", F.lit(""))).alias("items"))
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """One row per document: id, n_words, n_hit (words covered by benchmark windows), items (sorted item ids)."""
+def _hits(documents: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int, k: int, broadcast_windows: int) -> DataFrame | None:
+    """(id, text_key, at, n, items) for each window of a document that is one of the benchmark; None without windows."""
     wins = benchmark_windows(benchmark, item_col, item_text, window).cache()
     sizes = {r["n"]: r["count"] for r in wins.groupBy(F.size("win").alias("n")).count().collect()}
     small = sum(sizes.values()) <= broadcast_windows
     near = F.broadcast if small else (lambda df: df)
-    key = F.xxhash64(text_col).alias("text_key")
-    docs = documents.select(F.col(id_col).alias("id"), key, words(F.col(text_col)).alias("ws"))
+    docs = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), words(F.col(text_col)).alias("ws"))
     found = []
     if window in sizes:
         kept = wins.filter(F.size("win") == window).select(F.explode(fingerprints(F.col("win"), window, k)).alias("f")).select(F.shiftright("f", PLACE_BITS).alias("fp")).distinct()
@@ -73,14 +72,21 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     for n in sorted(x for x in sizes if x < window):
         all_of = F.explode(let(F.col("ws"), lambda w: F.transform(_places(F.size(w), n), lambda i: F.struct(i.alias("at"), F.slice(w, i + 1, n).alias("win")))))
         found.append(docs.select("id", "text_key", all_of.alias("m")).select("id", "text_key", "m.*"))
-    base = documents.select(F.col(id_col).alias("id"), key, F.size(words(F.col(text_col))).cast("long").alias("n_words"))
-    none = F.array().cast("array<string>")
     if not found:
-        return base.select(F.col("id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), none.alias("items"))
+        return None
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)
-    rows = rows.join(near(wins), "win").select("id", "text_key", "at", F.size("win").alias("n"), "items")
+    return rows.join(near(wins), "win").select("id", "text_key", "at", F.size("win").alias("n"), "items")
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """One row per document: id, n_words, n_hit (words covered by benchmark windows), items (sorted item ids)."""
+    rows = _hits(documents, benchmark, id_col, text_col, item_col, item_text, window, k, broadcast_windows)
+    base = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
+    none = F.array().cast("array<string>")
+    if rows is None:
+        return base.select(F.col("id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), none.alias("items"))
     per_doc = rows.groupBy("id", "text_key").agg(
         F.size(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("at", "n")), lambda m: F.sequence(m["at"], m["at"] + m["n"] - 1))))).cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
@@ -90,9 +96,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return joined.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
-def remove_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without a hit, with all their columns."""
-    report = contamination(documents, benchmark, **options)
-    id_col = options.get("id_col", "doc_id")
-    bad = report.filter("n_hit > 0").select(F.col(id_col).alias("bad_id")).distinct()
-    return documents.join(bad, F.col(id_col).eqNullSafe(F.col("bad_id")), "left_anti")
+def remove_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """The documents without a hit, with all their columns. Ids may be null or repeat: the text's hash decides with them."""
+    rows = _hits(documents, benchmark, id_col, text_col, item_col, item_text, window, k, broadcast_windows)
+    if rows is None:
+        return documents
+    bad = rows.select(F.col("id").alias("_bad"), F.col("text_key").alias("_bad_key")).distinct()
+    keyed = documents.withColumn("_text_key", F.xxhash64(text_col))
+    return keyed.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")) & (F.col("_text_key") == F.col("_bad_key")), "left_anti").select(*documents.columns)

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -164,6 +165,18 @@ def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fit([(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (str(r["id"]), r["text"]))])
 
 
+def predict(model: Model | None, texts: list, ambiguous: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and whether it is ambiguous for each text."""
+    ok = [i for i, t in enumerate(texts) if isinstance(t, str) and _LETTER.search(t)] if model else []
+    lang, score, doubt = np.full(len(texts), "und", object), np.zeros(len(texts)), np.zeros(len(texts), bool)
+    for i in range(0, len(ok), 256):
+        part = ok[i : i + 256]
+        best, share, ahead = decode(model, margins(model, [lower_ascii(to_bytes(texts[j])) for j in part]))
+        lang[part] = [model.languages[b] for b in best]
+        score[part], doubt[part] = share, ahead < ambiguous
+    return lang, score, doubt
+
+
 def identify(documents: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", ambiguous: float = 0.1) -> DataFrame:
     """One row per document: id, lang_pred, score, ambiguous."""
     spark, kind = documents.sparkSession, documents.schema[id_col].dataType.simpleString()
@@ -172,15 +185,21 @@ def identify(documents: DataFrame, model: Model | None, id_col: str = "doc_id",
     def run(frames):
         m = pickle.loads(shared.value)
         for f in frames:
-            texts = f["text"].tolist()
-            ok = [i for i, t in enumerate(texts) if isinstance(t, str) and _LETTER.search(t)] if m else []
-            lang, score, doubt = np.full(len(texts), "und", object), np.zeros(len(texts)), np.zeros(len(texts), bool)
-            for i in range(0, len(ok), 256):
-                part = ok[i : i + 256]
-                best, share, ahead = decode(m, margins(m, [lower_ascii(to_bytes(texts[j])) for j in part]))
-                lang[part] = [m.languages[b] for b in best]
-                score[part], doubt[part] = share, ahead < ambiguous
+            lang, score, doubt = predict(m, f["text"].tolist(), ambiguous)
             yield pd.DataFrame({"id": f["id"], "lang_pred": lang, "score": score, "ambiguous": doubt})
 
     out = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, lang_pred string, score double, ambiguous boolean")
     return out.withColumnRenamed("id", id_col)
+
+
+def keep_identified(documents: DataFrame, model: Model | None, text_col: str = "text", ambiguous: float = 0.1, least: float = 0.5) -> DataFrame:
+    """The documents with a language, ambiguous ones only from a score of `least` on; each row is judged by its own text."""
+    shared = documents.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+
+    def run(batches):
+        m = pickle.loads(shared.value)
+        for batch in batches:
+            lang, score, doubt = predict(m, batch.column(text_col).to_pylist(), ambiguous)
+            yield batch.filter(pa.array((lang != "und") & ~(doubt & (score < least))))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -77,16 +77,17 @@ def fingerprint(text: object, shingle: int = 4) -> int:
 
 
 def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
+    """(id, text_key, fp): the hash of the text, which with the id names the row, and the fingerprint as a signed long."""
 
     def run(frames):
         for f in frames:
             texts = f["text"].tolist()
             fp = [fingerprint_many(part, shingle) for part in by_size(texts)]
-            yield pd.DataFrame({"id": f["id"], "fp": np.concatenate([np.zeros(0, np.uint64), *fp]).astype(np.int64)})
+            yield pd.DataFrame({"id": f["id"], "text_key": f["text_key"], "fp": np.concatenate([np.zeros(0, np.uint64), *fp]).astype(np.int64)})
 
     kind = documents.schema[id_col].dataType.simpleString()
-    return documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, fp long")
+    rows = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, f"id {kind}, text_key long, fp long")
 
 
 def plan(segments: int, distance: int) -> list[tuple[int, int, int]]:
@@ -192,25 +193,36 @@ def links(distinct: DataFrame, distance: int, segments: int, shards: int) -> Dat
     return asked.groupBy("s").applyInPandas(join, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, segments: int | None = None) -> DataFrame:
-    """One row per document: id, fp (signed long), component_id (smallest id linked to it, directly or not)."""
-    rows = materialize(fingerprints(documents, id_col, text_col, shingle), "simhash")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-fp")
+def classes(distinct: DataFrame, distance: int, segments: int | None) -> DataFrame:
+    """distinct (fp, least), one row per fingerprint, with its root: the smallest fingerprint linked to it, directly or not."""
     n = distinct.count()
     segments = segments or (2 if n > WIDE else 3)
     probes = sum(len(ball(w, t)) for _, w, t in plan(segments, distance))
     shards = int(max(12, min(65536, n * probes / 300_000)))
     roots = components(links(distinct, distance, segments, shards))
-    classes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    classes = materialize(classes, "simhash-classes")
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(least, "root").select("fp", "component_id")
+    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return materialize(named, "simhash-classes")
+
+
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, segments: int | None = None) -> DataFrame:
+    """One row per document: id, fp (signed long), component_id (smallest id linked to it, directly or not)."""
+    rows = materialize(fingerprints(documents, id_col, text_col, shingle).drop("text_key"), "simhash")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-fp")
+    found = classes(distinct, distance, segments)
+    least = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = found.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each component, that of the smallest id, with all its columns."""
-    found = near_duplicates(documents, id_col=id_col, **options)
-    keep = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("_n")).select(F.col("component_id").alias("_keep"))
-    kept = documents.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates([id_col])
+def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, segments: int | None = None) -> DataFrame:
+    """One document of each component, that of the smallest id (null last), with all its columns.
+
+    A document is named by its id and the hash of its text, since ids may be null or repeat.
+    """
+    rows = fingerprints(documents, id_col, text_col, shingle)
+    distinct = materialize(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_key")).alias("least")), "simhash-fp")
+    keep = classes(distinct, distance, segments).groupBy("root").agg(F.min("least").alias("least"))
+    keep = keep.select(F.col("least.id").alias("_keep"), F.col("least.text_key").alias("_keep_key"))
+    keyed = documents.withColumn("_text_key", F.xxhash64(text_col))
+    kept = keyed.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")) & (F.col("_text_key") == F.col("_keep_key")), "left_semi")
+    return kept.dropDuplicates([id_col, "_text_key"]).select(*documents.columns)

@@ -340,3 +340,21 @@ def test_pipeline(spark):
     assert seen[0] >= seen[1] >= seen[2] > 0
     out = p.run(spark, SF)
     assert out.count() == seen[3] and out.agg(F.min("start")).first()[0] == 0
+
+
+def test_pipeline_null_and_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(5)
+    say = lambda n=40: " ".join(f"word{i}" for i in rng.integers(0, 5000, n))
+    plain, twice, passage = [say() for _ in range(6)], [say(), say()], " ".join(f"secret{i}" for i in range(12))
+    rows = [(None, t) for t in plain] + [(7, t) for t in twice] + [(8, plain[0])]
+    table = lambda rows: spark.createDataFrame([(i, t, "en", "a") for i, t in rows], "doc_id long, text string, lang string, source string")
+    same = lambda df, want: tuples(df, "doc_id", "text") == sorted(want, key=repr)
+    # a wordless text is rejected, the others of its id are not
+    assert same(p.identify_language(spark, table([*rows, (None, "12 --"), (7, None)]), SF), rows)
+    # the copy with an id stays in place of the one without
+    kept = [r for r in rows if r != (None, plain[0])]
+    assert same(simhash.keep_one(table([*rows, (9, twice[1])])), kept) and same(simhash.keep_one(table(rows * 2)), kept)
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    assert same(decontaminate.remove_contaminated(table([*rows, (None, "x " + passage), (7, passage)]), bench), rows)
