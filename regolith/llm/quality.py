@@ -3,8 +3,8 @@
 Lines are normalised (trimmed, A-Z lowered, digits made 0, runs of blanks made one) and hashed with their host, which is
 the `source` column. Each block of documents counts every distinct line once per document and asks the line's shard for
 the number of documents of the host that have it; what is shuffled is pre-aggregated by block, so a line in a third of
-all documents is one number a block. A line goes if over max(LEAST_DOCUMENTS, SHARE of the host's documents) documents
-have it; a document that loses over DEPLETED of its words is rejected.
+all documents is one number a block. A line goes if over max(LEAST_DOCUMENTS, SHARE of the host's documents, which
+counts as MOST_DOCUMENTS at most) documents have it; a document that loses over DEPLETED of its words is rejected.
 
 Defined results: null text has no words and fails the base rules; lines without a word never go and are never repeats; a
 null host is a host of its own; repeated rows count as documents of their own; empty tables give no rows.
@@ -26,6 +26,8 @@ from .wordhash import Words, grams
 LEAST_DOCUMENTS = 20
 #: Share of the host's documents that may have a line.
 SHARE = 0.002
+#: The share allows no more documents than this, so that a host with most of the rows is cleaned like a smaller one.
+MOST_DOCUMENTS = 1000
 #: Share of a document's words whose loss rejects it.
 DEPLETED = 0.7
 SYMBOLS = b"#*$%&|<>"
@@ -84,7 +86,7 @@ def _dealt(lines, hosts, shards):
     return keys, n, {int(i): order[cuts[i] : cuts[i + 1]] for i in np.flatnonzero(np.diff(cuts))}
 
 
-def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_documents: int = LEAST_DOCUMENTS, share: float = SHARE, depleted: float = DEPLETED, with_text: bool = True) -> DataFrame:
+def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_documents: int = LEAST_DOCUMENTS, share: float = SHARE, depleted: float = DEPLETED, with_text: bool = True, most_documents: int = MOST_DOCUMENTS) -> DataFrame:
     """One row per document: the counts, base_failed, n_lost_words, kept and, if asked for, the text without lost lines."""
     kind = documents.schema[id_col].dataType.simpleString()
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("source"))
@@ -118,7 +120,7 @@ def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
         dup, lost, rest = [], [], []
         for own, (_, host) in zip(lines, hosts):
-            limit = max(least_documents, share * common.get(host, 0))
+            limit = max(least_documents, min(share * common.get(host, 0), most_documents))
             seen: set[bytes] = set()
             twice = gone = 0
             kept = []

@@ -328,6 +328,14 @@ def test_quality(spark, docs, none):
     assert quality.judge(none).count() == 0
 
 
+def test_quality_share_is_bounded(spark):
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))  # noqa: E731  (digits are all one in a line's hash)
+    rows = [(i, ("shared line of a large source\n" if i < 1200 else "") + " ".join(f"t{name(i)}w{name(j)}" for j in range(60)), "h") for i in range(3000)]
+    # half of the documents would be 1,500
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=0.5).collect()
+    assert {r["doc_id"]: r["n_lost_words"] for r in got} == {i: 6 if i < 1200 else 0 for i in range(3000)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
