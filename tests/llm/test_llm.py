@@ -366,3 +366,48 @@ def test_pipeline_null_and_repeated_ids(spark):
     assert same(simhash.keep_one(table([*rows, (9, twice[1])])), kept) and same(simhash.keep_one(table(rows * 2)), kept)
     bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
     assert same(decontaminate.remove_contaminated(table([*rows, (None, "x " + passage), (7, passage)]), bench), rows)
+
+
+def test_pipeline_stages_by_brute_force(spark):
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(9)
+    say = lambda n=60: [f"word{i}" for i in rng.integers(0, 5000, n)]
+    base = [say() for _ in range(12)]
+    near = [[*w[:59], f"word{i}"] for i, w in enumerate(base[:6])]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t)) if w]
+    passages = [split(t)[:12] for _, t in items if len(split(t)) >= 12][:4]
+    texts = [" ".join(w) for w in [*base, *near, *(say(20) + x + say(20) for x in passages), base[0], base[7]]] + ["12 --", None, ""]
+    rows = [(None if i % 3 == 0 else i % 7, t, "en", "ab"[i % 2], 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").schema)
+    same = lambda df, want: tuples(df, "doc_id", "text", "lang", "source") == sorted([r[:4] for r in want], key=repr)
+
+    # language: one is learnt, so what has no letter goes
+    docs, rows = p.identify_language(spark, docs, SF), [r for r in rows if re.search("[a-z]", r[1] or "")]
+    assert same(docs, rows)
+    # near copies: the smallest id of each component, null last
+    prints, low = [slow_print(r[1]) for r in rows], list(range(len(rows)))
+    for _ in rows:
+        low = [min(low[j] for j, b in enumerate(prints) if (a ^ b).bit_count() <= 4) for a in prints]
+    docs, kept = p.drop_near_copies(spark, docs, SF).cache(), []
+    got = {r["text"]: r["doc_id"] for r in docs.collect()}
+    for c in set(low):
+        own = [r for r, k in zip(rows, low) if k == c]
+        best = min((r[0] is None, r[0] or 0) for r in own)
+        # of equal ids any row may stay
+        kept += [r for r in own if (r[0] is None, r[0] or 0) == best and r[1] in got][:1]
+    assert same(docs, kept) and len(kept) == len(set(low)) < len(rows)
+    # passages: ten words in a row of an item, or a whole shorter one
+    wins = {tuple(w[j : j + 10]) for w in (split(t) for _, t in items) if w for j in range(max(1, len(w) - 9))}
+    bad = lambda t: any(tuple(split(t)[j : j + n]) in wins for n in {len(k) for k in wins} for j in range(len(split(t)) - n + 1))
+    docs, clean = p.drop_contaminated(spark, docs, SF), [r for r in kept if not bad(r[1])]
+    assert same(docs, clean) and 0 < len(clean) < len(kept)
+    # mixing: each as often as its share of the taken words says
+    took = {(r["doc_id"], r["text_key"]): math.floor(r["taken"] / r["size"] + 0.5) for r in mixing.mix(docs).collect()}
+    key = {(r["doc_id"], r["text"]): r["k"] for r in docs.select("doc_id", "text", F.xxhash64("text").alias("k")).collect()}
+    mixed = [r for r in clean for _ in range(took[r[0], key[r[:2]]])]
+    docs = p.mix_sources(spark, docs, SF)
+    assert same(docs, mixed)
+    # tokens: one row for each
+    assert sorted(map(repr, (r["doc_id"] for r in p.write_tokens(spark, docs, SF).collect()))) == sorted(repr(r[0]) for r in mixed)
