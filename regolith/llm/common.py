@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import tempfile
 import uuid
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 #: The characters of [\x20\x09-\x0D], which separate words.
 SPACE_RE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_local: dict[str, str] = {}
 _LOWER_TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -25,12 +27,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder name below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is absent (tests on one machine) a local temporary folder stands in.
+    Only where the setting is absent and all of Spark is one process (tests, bench) a local temporary folder stands in.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="regolith-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = _local.setdefault("root", "file://" + tempfile.mkdtemp(prefix="regolith-"))
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -42,6 +45,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give memory that a finished task has freed back to the machine; a Python worker lives on for further tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def lower_ascii(data: bytes) -> bytes:
     """Lower-case A-Z alone."""
     return data.translate(_LOWER_TABLE)

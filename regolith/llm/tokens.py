@@ -23,7 +23,6 @@ import struct
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 import regex
@@ -31,12 +30,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import by_size, materialize, release, shared_dir
 
 MAGIC = b"RGPLANE1"
 CHUNK = 1 << 16
-#: Words kept at most; beyond it the table starts anew.
-MOST_WORDS = 1_000_000
+#: Files whose places are summed up in one task.
+FILES_A_RUN = 4096
+#: Words kept at most (some 200 bytes each); beyond it the table starts anew.
+MOST_WORDS = 250_000
+#: Bytes that note which words have been seen (a power of two); only those seen before are kept.
+_SEEN = 1 << 22
+#: Parts of words (such as punctuation) kept at most.
+MOST_PIECES = 20_000
 # Fixed values of byte-level pre-tokenization: its pattern, and the character that stands for each byte.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -45,8 +50,9 @@ _encoders: dict[str, "Encoder"] = {}
 
 
 def encoder(path: str) -> "Encoder":
-    """One per Python worker, which later tasks use again."""
+    """One per Python worker, which later tasks use again; its tables are bounded."""
     if path not in _encoders:
+        _encoders.clear()
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
@@ -79,10 +85,12 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _reset(self):
-        self.pending: list[str] = []
         self.flat = np.array(self.newline, np.uint32)
         self.ends = np.array([0, len(self.newline)], np.int64)
         self.first, self.later = _Codes(self, ""), _Codes(self, " ")
+        self.seen = bytearray(_SEEN)
+        self.kept: list[str] = []
+        self.once: list[str] = []
         self.n = 1
         self.pieces: dict[str, list[int]] = {}
 
@@ -94,24 +102,25 @@ class Encoder:
             piece = "".join(map(_BYTE_CHARS.__getitem__, piece.encode("utf-8")))
         return [t.id for t in self.tokenizer.model.tokenize(piece)]
 
-    def _resolve(self):
+    def _resolve(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has."""
         ids: list[int] = []
-        counts = np.zeros(len(self.pending), np.int64)
-        known, before = self.pieces, 0
-        for i, word in enumerate(self.pending):
-            for piece in (word,) if word[1:].isalpha() and word[0] == " " else _PIECES.findall(word):
-                got = known.get(piece)
-                if got is None:
-                    got = known[piece] = self._piece(piece)
-                ids += got
+        counts = np.zeros(len(words), np.int64)
+        known, own, before = self.pieces, self._piece, 0
+        for i, word in enumerate(words):
+            if word[1:].isalpha() and word[0] == " ":
+                ids += own(word)
+            else:
+                for piece in _PIECES.findall(word):
+                    got = known.get(piece)
+                    if got is None:
+                        got = own(piece)
+                        if len(known) < MOST_PIECES:
+                            known[piece] = got
+                    ids += got
             counts[i] = len(ids) - before
             before = len(ids)
-        if len(known) > MOST_WORDS:
-            known.clear()
-        if len(counts):
-            self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
-        self.pending = []
+        return np.array(ids, np.uint32), counts
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.n > MOST_WORDS:
@@ -130,17 +139,27 @@ class Encoder:
                     own.extend(map(self.later.__getitem__, rest))
                     own.append(0)
                 codes.append(np.array(own[:-1], np.int64))
-        self._resolve()
+        for words in (self.kept, self.once):
+            ids, counts = self._resolve(words)
+            self.flat = np.concatenate([self.flat, ids])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
         out = []
         for t, c in zip(texts, codes):
             if c is None:
                 out.append(np.array(self._ids(t), np.uint32))
                 continue
+            c = np.where(c < 0, self.n - 1 - c, c)
             begin = self.ends[c]
             size = self.ends[c + 1] - begin
             total = np.cumsum(size)
             at = np.arange(total[-1] if len(c) else 0) + np.repeat(begin - total + size, size)
             out.append(self.flat[at])
+        # words seen for the first time are forgotten again
+        for word in self.once:
+            self.later.pop(word[1:], None) if word.startswith(" ") else self.first.pop(word, None)
+        self.ends = self.ends[: self.n + 1]
+        self.flat = self.flat[: self.ends[-1]]
+        self.kept, self.once = [], []
         return out
 
 
@@ -150,10 +169,16 @@ class _Codes(dict):
         self.owner, self.lead = owner, lead
 
     def __missing__(self, word: str) -> int:
-        owner = self.owner
-        code = self[word] = owner.n
-        owner.n += 1
-        owner.pending.append(self.lead + word)
+        owner, at = self.owner, hash(word) & (_SEEN - 1)
+        if owner.seen[at]:
+            code = owner.n
+            owner.n += 1
+            owner.kept.append(self.lead + word)
+        else:
+            owner.seen[at] = 1
+            owner.once.append(self.lead + word)
+            code = -len(owner.once)
+        self[word] = code
         return code
 
 
@@ -287,49 +312,52 @@ def write_tokens(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(8, -(-total // part_bytes))
 
-    def run(frames):
+    def run(batches):
         sink = writer = name = None
         own = encoder(path)
         part = TaskContext.get().partitionId()
-        for f in frames:
-            for i in range(0, len(f), 256):
-                ids = f["id"].iloc[i : i + 256].astype(object).tolist()
-                for doc, got in zip(ids, own.encode(f["text"].iloc[i : i + 256].tolist())):
+        for batch in batches:
+            ids, at = batch.column("id").to_pylist(), 0
+            for texts in by_size(batch.column("text").to_pylist(), 1_000_000):
+                for doc, got in zip(ids[at : at + len(texts)], own.encode(texts)):
                     if writer is None:
                         name = f"{folder}/{part:06d}-{os.urandom(8).hex()}.planes"
                         sink = _open(name, True)
                         writer = Writer(sink, bits)
-                    doc = None if doc is None or doc != doc else int(doc) if kind == pa.int64() else doc
                     writer.add(doc, np.append(got, np.uint32(end_id)).astype(np.uint32))
+                at += len(texts)
         if writer is not None:
             writer.close(kind)
             sink.close()
-            yield pd.DataFrame({"part": [part], "file": [name], "docs": [len(writer.docs)], "tokens": [sum(writer.counts)]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "docs": [len(writer.docs)], "tokens": [sum(writer.counts)]})
+        release()
 
     dealt = rows.repartitionByRange(int(parts), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    files = materialize(dealt.mapInPandas(run, "part int, file string, docs long, tokens long"), "token-files")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    return files.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    files = materialize(dealt.mapInArrow(run, "part int, file string, docs long, tokens long"), "token-files")
+    # ids in the files before: summed over runs of files, then within a run
+    runs = files.withColumn("run", F.floor(F.col("part") / FILES_A_RUN))
+    sums = runs.groupBy("run").agg(F.sum("tokens").alias("all")).withColumn("before", F.coalesce(F.sum("all").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = Window.partitionBy("run").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = runs.withColumn("start", F.coalesce(F.sum("tokens").over(within), F.lit(0))).join(sums.select("run", "before"), "run")
+    return placed.select("part", "file", "docs", "tokens", (F.col("start") + F.col("before")).alias("start"))
 
 
 def read_tokens(files: DataFrame, id_kind: str = "bigint") -> DataFrame:
     """One row per document of the files: id, start, n_tokens, ids_crc32."""
 
-    def run(frames):
-        for f in frames:
-            for name, start in zip(f["file"], f["start"]):
+    def run(batches):
+        for batch in batches:
+            for name, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist()):
                 with _open(name, False) as source:
                     rows = []
                     for doc, ids in Reader(source).documents():
                         rows.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                         start += len(ids)
-                out = pd.DataFrame(rows, columns=["id", "start", "n_tokens", "ids_crc32"])
-                if id_kind == "bigint":
-                    out["id"] = out["id"].astype("Int64")
-                yield out
+                cols = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64() if id_kind == "bigint" else pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, files.count())
-    return files.select("file", "start").repartition(n, "file").mapInPandas(run, f"id {id_kind}, start long, n_tokens long, ids_crc32 long")
+    return files.select("file", "start").repartition(n, "file").mapInArrow(run, f"id {id_kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def token_table(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
