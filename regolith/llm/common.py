@@ -126,14 +126,13 @@ def shards_for(packed: DataFrame, least: int = 12, most: int = 65536) -> int:
     return int(min(most, max(least, packed.count())))
 
 
-def pack(df: DataFrame, columns: list[str], label: str, batch_bytes: int = 6_000_000) -> DataFrame:
+def pack(df: DataFrame, columns: list[str], label: str, batch_bytes: int = 6_000_000, fn=None) -> DataFrame:
     """Rows packed into blocks of about batch_bytes of text, written to the shared folder.
 
-    Returns (b, data): b names the block, data is a compressed Arrow table of `columns` and of n, the row's place in
-    its block. A block is the unit in which the operators ask shards for counts and get answers, so that what is
-    shuffled is pre-aggregated and no row of the corpus is shuffled on a hot key.
+    Returns (b, data): b names the block, data is a compressed Arrow table of `columns` (or of what fn makes of it). A
+    block is the unit in which the operators ask for counts and get answers, so that what is shuffled is pre-aggregated
+    and no row of the corpus is shuffled on a hot key.
     """
-    kinds = df.select(*columns).schema
 
     def blocks(batches):
         rows: list[pa.RecordBatch] = []
@@ -152,12 +151,13 @@ def pack(df: DataFrame, columns: list[str], label: str, batch_bytes: int = 6_000
                     rows, size = [], 0
         if rows:
             yield _block(rows)
+        release()
 
     def _block(rows):
         table = pa.Table.from_batches(rows)
+        table = fn(table) if fn else table
         return pa.RecordBatch.from_pydict({"b": pa.array([uuid.uuid4().int & (2**63 - 1)], pa.int64()), "data": pa.array([dump(table)], pa.binary())})
 
-    assert kinds
     return materialize(df.select(*columns).mapInArrow(blocks, "b long, data binary"), label)
 
 
@@ -188,17 +188,76 @@ def answer(requests: DataFrame, fn, shards: int, label: str) -> DataFrame:
     return materialize(spread.groupBy("s").applyInPandas(run, "s int, b long, data binary"), label)
 
 
+_KINDS = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+
+
+def columns_of(schema: str, columns: dict) -> pa.Table:
+    """A table of the schema; columns that are Arrow data already (such as ids of any type) stay as they are."""
+    names = [x.strip().split(" ", 1) for x in schema.split(",")]
+    return pa.table({n: c if isinstance(c := columns[n], (pa.Array, pa.ChunkedArray)) else pa.array(c, _KINDS[k]) for n, k in names})
+
+
 def tell(packed: DataFrame, answers: DataFrame, fn, schema: str, blocks: int) -> DataFrame:
-    """fn(b, table, {shard: bytes}) for each block gives a data frame of `schema`."""
+    """fn(b, table, {shard: bytes}) for each block gives the columns of `schema`."""
 
     def run(left, right):
-        if not len(left):
-            return pd.DataFrame()
-        got = dict(zip(right["s"], right["data"]))
-        return fn(int(left["b"].iloc[0]), load(left["data"].iloc[0]), got)
+        got = dict(zip(right["s"].to_pylist(), right["data"].to_pylist()))
+        return columns_of(schema, fn(left["b"][0].as_py(), load(left["data"][0].as_py()), got))
+
+    return by_block(packed, answers, run, schema, blocks)
+
+
+def keyed(packed: DataFrame, fn, schema: str) -> DataFrame:
+    """Plain rows for Spark to aggregate by key: fn(table) gives the columns of `schema` that follow the block's b."""
+    names = [x.split()[0] for x in schema.split(",")]
+
+    def run(batches):
+        for batch in batches:
+            for b, data in zip(batch.column("b").to_pylist(), batch.column("data")):
+                got = fn(load(data.as_py()))
+                for i in range(0, len(got[0]), 100_000):
+                    part = [x[i : i + 100_000] for x in got]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), b, np.int64)), *map(pa.array, part)], ["b", *names])
+        release()
+
+    return packed.mapInArrow(run, f"b long, {schema}")
+
+
+def deliver(packed: DataFrame, rows: DataFrame, fn, schema: str, blocks: int) -> DataFrame:
+    """fn(table, rows) for each block, with the block's rows as a table, gives the columns of `schema`."""
+    return by_block(packed, rows, lambda left, right: columns_of(schema, fn(load(left["data"][0].as_py()), right)), schema, blocks)
 
-    a, b = (x.repartition(blocks, "b").groupBy("b") for x in (packed, answers))
-    return a.cogroup(b).applyInPandas(run, schema)
+
+def by_block(packed: DataFrame, rows: DataFrame, fn, schema: str, blocks: int) -> DataFrame:
+    def run(left, right):
+        if not left.num_rows:
+            raise ValueError("rows for a block that does not exist")
+        return fn(left, right)
+
+    a, b = (x.repartition(blocks, "b").groupBy("b") for x in (packed, rows))
+    return a.cogroup(b).applyInArrow(run, schema)
+
+
+def few(df: DataFrame, rows: int = 300_000) -> DataFrame:
+    """Marked for broadcast if a count shows that it has at most so many (narrow) rows; else Spark joins by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def with_share(rows: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """A column `share`: 1 / how often the same row occurs, so that repeated rows add up to one."""
+    key = F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
+    again = materialize(rows.groupBy(key.alias("row_key")).agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), label)
+    if again.isEmpty():
+        return rows.withColumn("share", F.lit(1.0))
+    return rows.withColumn("row_key", key).join(few(again), "row_key", "left").withColumn("share", 1 / F.coalesce("times", F.lit(1))).drop("row_key", "times")
+
+
+def rows_with_key(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_key, row): whole rows in one column, so that none of their names can clash, and what names a document.
+
+    Ids may be null or repeat, so the hash of the text goes with them.
+    """
+    return documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.struct(*documents.columns).alias("row"))
 
 
 def lower_col(col):

@@ -22,7 +22,6 @@ import tempfile
 import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -267,7 +266,7 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             head = np.flatnonzero(np.diff(v, prepend=-1))
             q = np.clip(np.rint(-log_w[pick] * 16), 0, 255).astype(np.uint8)
             rows.append((s, b, dump_arrays(v=v[head].astype(np.uint32), c=cv[pick][head].astype(np.uint32 if total < 2**32 else np.int64), size=narrow(np.diff(np.append(head, len(v)))), size0=least_of(np.diff(np.append(head, len(v)))), w=(keys[pick] & 0xFFFFFFFF).astype(np.uint32), n=narrow(n[pick]), n0=least_of(n[pick]), q=q)))
-        return pd.DataFrame(rows, columns=["s", "b", "data"])
+        return dict(zip(("s", "b", "data"), zip(*rows))) if rows else {"s": [], "b": [], "data": []}
 
     def query_pairs(blobs):
         got = [load_arrays(x) for x in blobs]
@@ -315,8 +314,7 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         log_p[at[some]] = found[some]
         base = np.log10((x.count + 1) / (total + types + 1))
         sums = lambda y: np.add.reduceat(y, x.start)
-        frame = pd.DataFrame({"id": table["id"].to_pandas(), "held_out": x.held, "n_tokens": x.n_tokens, "n_known": sums((x.count[x.token] > 0).astype(np.int64)), "train_tokens": total, "base_score": sums(base[x.token]), "score": sums(np.minimum(log_p, 0.0))})
-        return frame
+        return {"id": table["id"], "held_out": x.held, "n_tokens": x.n_tokens, "n_known": sums((x.count[x.token] > 0).astype(np.int64)), "train_tokens": np.full(len(x.held), total), "base_score": sums(base[x.token]), "score": sums(np.minimum(log_p, 0.0))}
 
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return tell(packed, both, finish, schema, blocks).withColumnRenamed("id", id_col)

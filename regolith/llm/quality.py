@@ -1,25 +1,26 @@
 """Quality rules: per-text counts, and lines that recur across the documents of a host.
 
 Lines are normalised (trimmed, A-Z lowered, digits made 0, runs of blanks made one) and hashed with their host, which is
-the `source` column. Each block of documents counts every distinct line once per document and asks the line's shard for
-the number of documents of the host that have it; what is shuffled is pre-aggregated by block, so a line in a third of
-all documents is one number a block. A line goes if over max(LEAST_DOCUMENTS, SHARE of the host's documents, which
-counts as MOST_DOCUMENTS at most) documents have it; a document that loses over DEPLETED of its words is rejected.
+the `source` column. Each block of documents gives one row for each distinct line: its hash and how many documents of the
+block have it. Spark sums them by hash, so a line in a third of all documents is one row a block, and lines that enough
+documents have go back to the blocks by a join. A line goes if over max(LEAST_DOCUMENTS, SHARE of the host's documents,
+which counts as MOST_DOCUMENTS at most) documents have it; a document that loses over DEPLETED of its words is rejected.
 
 Defined results: null text has no words and fails the base rules; lines without a word never go and are never repeats; a
-null host is a host of its own; repeated rows count as documents of their own; empty tables give no rows.
+null host is a host of its own; repeated rows (equal in id, text and host) count as one document and each get their row;
+null ids are ids like others; texts of any length are read whole, one block each if need be; further columns may have
+any name; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import answer, ask, by_size, dump_arrays, load_arrays, lower_ascii, pack, shards_for, tell, to_bytes
+from .common import by_size, deliver, few, keyed, lower_ascii, materialize, pack, shards_for, to_bytes, with_share
 from .wordhash import Words, grams
 
 #: Documents of a host that may have a line before it can go, whatever the host's size.
@@ -29,7 +30,7 @@ SHARE = 0.002
 #: The share allows no more documents than this, so that a host with most of the rows is cleaned like a smaller one.
 MOST_DOCUMENTS = 1000
 #: Share of a document's words whose loss rejects it.
-DEPLETED = 0.7
+DEPLETED = 0.5
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
@@ -77,45 +78,29 @@ def _lines(table) -> tuple[list[bytes], list[tuple[bytes, int]], list[list[tuple
     return texts, hosts, lines
 
 
-def _dealt(lines, hosts, shards):
-    h = np.concatenate([np.zeros(0, np.uint64), *(np.fromiter({k for _, k in own if k}, np.uint64) for own in lines), np.array([k for _, k in hosts], np.uint64)])
-    keys, n = np.unique(h, return_counts=True)
-    s = (keys % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(s, kind="stable")
-    cuts = np.searchsorted(s[order], np.arange(shards + 1))
-    return keys, n, {int(i): order[cuts[i] : cuts[i + 1]] for i in np.flatnonzero(np.diff(cuts))}
+def _documents_by_line(table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (of lines, and of hosts) and how many documents of the block have each."""
+    _, hosts, lines = _lines(table)
+    every = [np.fromiter({k for _, k in own if k} | {host}, np.uint64) for own, (_, host) in zip(lines, hosts)]
+    keys, of = np.unique(np.concatenate([np.zeros(0, np.uint64), *every]), return_inverse=True)
+    n = np.bincount(of, np.repeat(table["share"].to_numpy(), [len(x) for x in every]), len(keys))
+    return keys.view(np.int64), n
 
 
 def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_documents: int = LEAST_DOCUMENTS, share: float = SHARE, depleted: float = DEPLETED, with_text: bool = True, most_documents: int = MOST_DOCUMENTS) -> DataFrame:
     """One row per document: the counts, base_failed, n_lost_words, kept and, if asked for, the text without lost lines."""
     kind = documents.schema[id_col].dataType.simpleString()
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("source"))
-    packed = pack(rows, ["id", "text", "source"], "quality-blocks")
-    shards = blocks = shards_for(packed)
-
-    def request(b, table):
-        _, hosts, lines = _lines(table)
-        keys, n, dealt = _dealt(lines, hosts, shards)
-        return {s: dump_arrays(h=keys[pick], n=n[pick].astype(np.uint32)) for s, pick in dealt.items()}
-
-    def reply(blobs):
-        got = [load_arrays(x) for x in blobs]
-        keys, which = np.unique(np.concatenate([x["h"] for x in got]), return_inverse=True)
-        total = np.bincount(which, np.concatenate([x["n"] for x in got])).astype(np.uint32)
-        counts = total[which]
-        # a line that few documents have needs no number
-        counts[counts <= least_documents] = 0
-        return [dump_arrays(n=x) for x in np.split(counts, np.cumsum([len(x["h"]) for x in got])[:-1])]
-
-    answers = answer(ask(packed, request, shards), reply, shards, "quality-lines")
-
-    def finish(b, table, got):
+    rows = with_share(rows, ["id", "text", "source"], "quality-repeats")
+    packed = pack(rows, ["id", "text", "source", "share"], "quality-blocks")
+    asked = keyed(packed, _documents_by_line, "key long, n double")
+    total = asked.groupBy("key").agg(F.round(F.sum("n"), 3).alias("n")).filter(F.col("n") > least_documents)
+    total = materialize(total, "quality-lines")
+    back = asked.select("b", "key").join(few(total), "key")
+
+    def finish(table, got):
         texts, hosts, lines = _lines(table)
-        keys, _, dealt = _dealt(lines, hosts, shards)
-        total = np.zeros(len(keys), np.int64)
-        for s, pick in dealt.items():
-            total[pick] = load_arrays(got[s])["n"]
-        common = {int(k): int(n) for k, n in zip(keys[total > 0], total[total > 0])}
+        common = dict(zip(got["key"].to_numpy().view(np.uint64).tolist(), got["n"].to_pylist()))
         parts = [text_counts(run) for run in by_size(texts, 1_000_000)]
         out = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
         dup, lost, rest = [], [], []
@@ -136,12 +121,9 @@ def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             dup.append(twice)
             lost.append(gone)
             rest.append(b"\n".join(kept).decode("utf-8", "surrogatepass") if with_text else None)
-        frame = pd.DataFrame({"id": table["id"].to_pandas(), **out, "n_dup_lines": dup, "n_lost_words": lost})
-        frame["base_failed"] = (frame["n_words"] < LEAST_WORDS) | (100 * frame["n_repeat_words"] > 100 * MOST_REPEATED * frame["n_words"])
-        frame["kept"] = ~frame["base_failed"] & (frame["n_lost_words"] <= depleted * frame["n_words"])
-        if with_text:
-            frame["text"] = rest
-        return frame[["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_words", "base_failed", "kept", *["text"] * with_text]]
+        lost = np.array(lost, np.int64)
+        failed = (out["n_words"] < LEAST_WORDS) | (100 * out["n_repeat_words"] > 100 * MOST_REPEATED * out["n_words"])
+        return {"id": table["id"], **out, "n_dup_lines": dup, "n_lost_words": lost, "base_failed": failed, "kept": ~failed & (lost <= depleted * out["n_words"]), "text": rest}
 
     schema = f"id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lost_words long, base_failed boolean, kept boolean" + ", text string" * with_text
-    return tell(packed, answers, finish, schema, blocks).withColumnRenamed("id", id_col)
+    return deliver(packed, back, finish, schema, shards_for(packed)).withColumnRenamed("id", id_col)
