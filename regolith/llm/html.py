@@ -1,16 +1,20 @@
 """Main text of web pages, with site templates removed.
 
-A page is parsed to a tree. Element subtrees are hashed (tag, text and children), each block of pages says for the distinct
-subtrees of a host which main texts they come with (before templates go, as hashes), and shards count the distinct ones, so
-that copies of a page count once; a subtree that recurs with many main texts of its host is template and goes. One that
-holds most of its page's main text stays, and what is inside it goes only if it recurs as often without it. Inside the article only containers (not paragraphs and headings) may go that way, since articles may
-share passages. By rule, navigation, headers, footers, asides, forms, scripts, styles, notices, adverts and reader
-comments go, by tag, role or class name. What is left of the article elements (else of main, else of the body) is the
-text: one line per block, in page order.
-
-Defined results: null or empty html gives empty text; unclosed and misnested tags are closed where a browser would close
-them; text outside any tag is text of the body; repeated rows each get their row; pages whose url is null or has no :// are of one host; empty tables
-give no rows.
+A page is parsed to a tree. By rule, navigation, headers, footers, asides, forms, scripts, styles, notices, adverts and
+reader comments go, by tag, role or exact class name. What is left of the article elements (else of main, else of the
+body) is the main text. Its element subtrees are hashed (tag, text and children, with the host); each block of pages
+gives one row for each distinct subtree and main text, and Spark counts the distinct main texts that a subtree comes with,
+so that copies of a page count once. A subtree that recurs with many main texts of its host is template and goes. One
+that holds most of its page's main text stays, and what is inside it goes only if it recurs as often without it. Inside
+the article only containers (not paragraphs and headings) may go that way, since articles may share passages. Pages
+without a recurring subtree are done after the first pass; the others are parsed again.
+
+The text has one line per block, in page order; a removed block ends a line, a removed inline element does not.
+
+Defined results: null or empty html gives empty text; null ids are ids like others; unclosed and misnested tags are closed
+where a browser would close them; text outside any tag is text of the body; repeated rows each get their row and count as
+one page; pages whose url is null or has no :// are of one host; pages of any length are read whole; further columns may
+have any name; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -21,12 +25,12 @@ from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import answer, ask, dump_arrays, load_arrays, pack, shards_for, tell, to_bytes
+from .common import deliver, few, keyed, materialize, pack, shards_for, to_bytes
 
 #: A subtree is template from so many distinct main texts of its host, and so large a share of them.
 LEAST_PAGES = 5
@@ -37,7 +41,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 DROP = frozenset("applet aside audio button canvas datalist dialog embed footer form frame frameset head iframe input map menu nav noframes noscript object option script select style svg template textarea title video".split())
 CONTAINER = frozenset("div section ul ol dl table figure header footer nav aside form details menu".split())
-_NAMES = re.compile(r"(^|[^a-z])(ads?|adverts?|advertise(ment)?s?|adbox|banner|bread-?crumbs?|comments?|comment-?(list|section|area|form|thread)|cookies?|cookie-?(bar|banner|notice|consent)|consent|disclaimer|disqus|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|overlay|pager|pagination|popup|promo|promoted|recommend(ed|ations)?|related|replies|respond|search|share|sharing|sidebar|signup|skip|social|sponsor(ed|s)?|subscribe|toolbar|widget)($|[^a-z])")
+#: Class names and ids, whole, of menus, sidebars, notices, adverts and reader comments; and of headers and footers,
+#: which count outside the article only.
+_NAMES = re.compile(
+    r"(main-|site-|top-|side-|footer-|header-|primary-)?(nav|navbar|navigation|menu|breadcrumbs?|pager|pagination)(-(bar|list|menu|links|top|bottom))?|(left-|right-|site-|page-)?sidebar(-(left|right|box))?"
+    r"|(cookies?|consent|gdpr)(-(bar|banner|notice|consent|popup|message|box))?|(site-|page-|legal-|copyright-)?(notices?|disclaimer)|(page-|site-|top-)?banner|popup|modal"
+    r"|(google-|banner-|top-|bottom-|side-|inline-|display-)?(ads?|adverts?|advertisements?|advertising|sponsor|sponsored|promo|promoted)(-(box|slot|banner|unit|container|wrapper|block))?|adbox"
+    r"|(reader-|user-|article-|post-)?comments?(-(list|section|area|form|thread|body|box|item|container))?|comments-(list|section|area)|disqus(-thread)?"
+)
+_ENDS = re.compile(r"(site-|page-|global-|main-)?(header|footer|masthead)")
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: An opening tag closes open elements of these kinds, up to the nearest of the second kind.
 _CLOSES = {
@@ -120,93 +132,107 @@ def is_furniture(tag: str, attrs: tuple, inside: bool) -> bool:
     """Whether a rule removes the element. A header inside an article is part of it."""
     if tag in DROP or (tag == "header" and not inside):
         return True
+    if tag in ("html", "body", "main"):
+        return False
     for name, value in attrs:
         if not value:
             if name == "hidden":
                 return True
             continue
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and _NAMES.search(value.lower().replace("_", "-")):
-            return True
-        if name in ("class", "id") and tag == "article" and re.search(r"comment|advert|related|promo", value.lower()):
-            return True
-        if name == "role" and value.lower() in _ROLES or name == "aria-hidden" and value.lower() == "true":
+        if name in ("class", "id"):
+            for one in value.lower().replace("_", "-").split():
+                if _NAMES.fullmatch(one) or not inside and _ENDS.fullmatch(one):
+                    return True
+        elif name == "role" and value.lower() in _ROLES or name == "aria-hidden" and value.lower() == "true":
             return True
     return False
 
 
-def subtrees(root: Node) -> list[tuple[Node, int, bool, int]]:
-    """(element, hash, whether it is inside an article, characters of text) for all elements with text, children first."""
-    out = []
-    stack: list[tuple[Node, bool, bool]] = [(root, False, False)]
-    known: dict[int, tuple[int, int]] = {}
-    while stack:
-        node, inside, done = stack.pop()
-        if not done:
-            stack.append((node, inside, True))
-            deeper = inside or node.tag in ("article", "main")
-            stack += [(c, deeper, False) for c in node.children if isinstance(c, Node)]
-            continue
-        h, size = xxhash.xxh64(node.tag), 0
-        for c in node.children:
-            if isinstance(c, Node):
-                k, more = known.pop(id(c))
-                h.update(b"\0" + k.to_bytes(8, "little"))
-                size += more
-            elif text := " ".join(c.split()):
-                h.update(b"\1" + text.encode("utf-8", "surrogatepass"))
-                size += len(text) + 1
-        known[id(node)] = k, size = h.intdigest(), size
-        if size:
-            out.append((node, k, inside, size))
-    return out
-
-
-def main_text(root: Node, template: set[int]) -> str:
-    """template: ids (of Node) to leave out."""
-    removed: set[int] = set(template)
-    roots, mains = [], []
-    stack: list[tuple[Node, bool]] = [(root, False)]
-    order: list[Node] = []
-    while stack:
-        node, inside = stack.pop()
-        if id(node) in removed or is_furniture(node.tag, tuple(node.attrs), bool(inside)):
-            removed.add(id(node))
-            continue
-        order.append(node)
-        here = node.tag in ("article", "main") or (node.attrs and any(n == "role" and v in ("main", "article") for n, v in node.attrs))
-        if node.tag == "article" and not (inside and roots and inside == "article"):
-            roots.append(node)
-        elif here and node.tag != "article":
-            mains.append(node)
-        stack += [(c, "article" if node.tag == "article" or inside == "article" else inside or here) for c in reversed(node.children) if isinstance(c, Node)]
-    blocks: list[str] = []
-    parts: list[str] = []
-
-    def flush():
-        if line := " ".join("".join(parts).split()):
-            blocks.append(line)
-        parts.clear()
-
-    for top in roots or mains[:1] or [root]:
-        todo: list = [top]
+class Layout:
+    """The elements that hold a page's main text, and those within that rules remove."""
+
+    def __init__(self, root: Node):
+        self.removed: set[int] = set()
+        roots, mains = [], []
+        stack: list[tuple[Node, object]] = [(root, False)]
+        while stack:
+            node, inside = stack.pop()
+            if is_furniture(node.tag, tuple(node.attrs), bool(inside)):
+                self.removed.add(id(node))
+                continue
+            here = node.tag in ("article", "main") or (node.attrs and any(n == "role" and v in ("main", "article") for n, v in node.attrs))
+            if node.tag == "article" and inside != "article":
+                roots.append(node)
+            elif here and node.tag != "article":
+                mains.append(node)
+            stack += [(c, "article" if node.tag == "article" or inside == "article" else inside or here) for c in reversed(node.children) if isinstance(c, Node)]
+        self.inside = bool(roots or mains)
+        self.tops = roots or mains[:1] or [root]
+
+    def text(self, without: set[int] = frozenset()) -> str:
+        """One line per block; without: ids (of Node) of further elements to leave out."""
+        blocks: list[str] = []
+        parts: list[str] = []
+
+        def flush():
+            if line := " ".join("".join(parts).split()):
+                blocks.append(line)
+            parts.clear()
+
+        for top in self.tops:
+            todo: list = [top]
+            while todo:
+                x = todo.pop()
+                if x is None:
+                    flush()
+                elif isinstance(x, str):
+                    parts.append(x)
+                elif x.tag == "br":
+                    parts.append(" ")
+                elif x.tag in BLOCK or x.tag == "hr":
+                    flush()
+                    if id(x) not in self.removed and id(x) not in without:
+                        todo.append(None)
+                        todo += reversed(x.children)
+                elif id(x) not in self.removed and id(x) not in without:
+                    todo += reversed(x.children)
+            flush()
+        return "\n".join(blocks)
+
+    def may_go(self, node: Node) -> bool:
+        return node.parent is not None and node.tag not in ("body", "article", "main") and (not self.inside or node.tag in CONTAINER)
+
+    def subtrees(self) -> list[tuple[Node, int, int]]:
+        """(element, hash, characters of text) for the elements with text that may be template, children first."""
+        out: list[tuple[Node, int, int]] = []
+        known: dict[int, tuple[int, int]] = {}
+        order: list[Node] = []
+        todo = list(self.tops)
         while todo:
-            x = todo.pop()
-            if x is None:
-                flush()
-            elif isinstance(x, str):
-                parts.append(x)
-            elif id(x) in removed:
-                parts.append(" ")
-            elif x.tag == "br":
-                parts.append(" ")
-            elif x.tag in BLOCK or x.tag == "hr":
-                flush()
-                todo.append(None)
-                todo += reversed(x.children)
-            else:
-                todo += reversed(x.children)
-        flush()
-    return "\n".join(blocks)
+            node = todo.pop()
+            order.append(node)
+            todo += [c for c in node.children if isinstance(c, Node) and id(c) not in self.removed]
+        if not any(map(self.may_go, order)):
+            return out
+        for node in reversed(order):
+            h, size = xxhash.xxh64(node.tag), 0
+            for c in node.children:
+                if isinstance(c, Node):
+                    if id(c) in known:
+                        k, more = known.pop(id(c))
+                        h.update(b"\0" + k.to_bytes(8, "little"))
+                        size += more
+                elif text := " ".join(c.split()):
+                    h.update(b"\1" + text.encode("utf-8", "surrogatepass"))
+                    size += len(text) + 1
+            known[id(node)] = h.intdigest(), size
+            if size and self.may_go(node):
+                out.append((node, *known[id(node)]))
+        return out
+
+
+def main_text(root: Node, template: set[int] = frozenset()) -> str:
+    return Layout(root).text(template)
 
 
 def host_of(url: object) -> str:
@@ -215,51 +241,55 @@ def host_of(url: object) -> str:
     return re.split(r"[/?#]", url.split("://", 1)[1], maxsplit=1)[0].lower()
 
 
-def _hosted(table, shards: int):
-    """Trees, subtrees and main texts of the block's pages, the host and subtree keys and their pages, and the shards' parts."""
-    pages = []
-    every = []
-    gc.disable()  # the trees are all kept until the block is done, so looking for garbage among them finds none
+def host_key(url: object) -> int:
+    return xxhash.xxh64_intdigest(to_bytes(host_of(url)) + b"\0")
+
+
+def _parsed(table: pa.Table) -> pa.Table:
+    """First pass over a block: main texts before templates go, and the keys of their subtrees.
+
+    The html itself is kept only where there is a subtree that may be template.
+    """
+    texts, keys, kept = [], [], []
+    gc.disable()  # a block's trees are small and go together
     for url, html in zip(table["url"].to_pylist(), table["html"].to_pylist()):
-        own = xxhash.xxh64_intdigest(to_bytes(host_of(url)) + b"\0")
-        root = parse(html)
-        subs = [(n, h ^ own, inside, size) for n, h, inside, size in subtrees(root)]
-        pages.append((root, subs, own, main_text(root, set())))
-        every.append(np.fromiter({own, *(k for _, k, _, _ in subs)}, np.uint64))
+        layout = Layout(parse(html))
+        own = host_key(url)
+        found = {h ^ own for _, h, _ in layout.subtrees()}
+        texts.append(layout.text())
+        keys.append(np.fromiter(found, np.uint64, len(found)).tobytes())
+        kept.append(html if found else None)
     gc.enable()
-    keys, of = np.unique(np.concatenate([np.zeros(0, np.uint64), *every]), return_inverse=True)
-    page = np.repeat(np.arange(len(every)), [len(x) for x in every])
-    s = (keys % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(s, kind="stable")
-    cuts = np.searchsorted(s[order], np.arange(shards + 1))
-    return pages, keys, (of, page), {int(i): order[cuts[i] : cuts[i + 1]] for i in np.flatnonzero(np.diff(cuts))}
+    gc.collect()
+    return pa.table({"id": table["id"], "url": table["url"], "html": pa.array(kept, pa.string()), "text": pa.array(texts, pa.string()), "keys": pa.array(keys, pa.binary())})
 
 
-def _pairs(key: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs, in order of key."""
-    order = np.lexsort((text, key))
-    key, text = key[order], text[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-    return key[new], text[new]
+def _recurring(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of a key (of a subtree or of a host) and the hash of a main text that it comes with."""
+    pairs = set()
+    for url, text, keys in zip(table["url"].to_pylist(), table["text"].to_pylist(), table["keys"].to_pylist()):
+        t = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+        pairs.add((host_key(url), t))
+        pairs.update((k, t) for k in np.frombuffer(keys, np.uint64).tolist())
+    rows = np.array(list(pairs), np.uint64).reshape(-1, 2)
+    return np.ascontiguousarray(rows[:, 0]).view(np.int64), np.ascontiguousarray(rows[:, 1]).view(np.int64)
 
 
-def templates(root: Node, subs: list, text: str, common: dict[int, int], limit: float) -> set[int]:
+def templates(layout: Layout, subs: list, text: str, common: dict[int, int], limit: float) -> set[int]:
     """ids (of Node) of the subtrees that are template; text: the page's main text, common: main texts by subtree."""
     gone: set[int] = set()
-    if not any(common.get(k, 0) >= limit for _, k, _, _ in subs):
-        return gone
     # how often the nearest enclosing subtree that was spared recurs; parents come before children
     spared: dict[int, int] = {}
-    for node, k, inside, size in reversed(subs):
-        n, known = common.get(k, 0), spared.get(id(node.parent), 0)
-        if n - known >= limit and node.parent is not None and node.tag not in ("body", "article", "main") and (not inside or node.tag in CONTAINER):
-            if 2 * size > len(text) > 0 and 2 * (len(text) - len(main_text(root, {id(node)}))) > len(text):
-                known = n
+    for node, k, size in reversed(subs):
+        n, above = common.get(k, 0), node.parent
+        while above is not None and id(above) not in spared:
+            above = above.parent
+        known = spared[id(above)] if above is not None else 0
+        if n - known >= limit:
+            if 2 * size > len(text) > 0 and 2 * (len(text) - len(layout.text({id(node)}))) > len(text):
+                spared[id(node)] = n
             else:
                 gone.add(id(node))
-        if known:
-            spared[id(node)] = known
     return gone
 
 
@@ -267,41 +297,25 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per page: id, url, text, n_chars, n_template (subtrees removed as template)."""
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    packed = pack(rows, ["id", "url", "html"], "html-blocks")
-    shards = blocks = shards_for(packed)
-
-    def request(b, table):
-        found, keys, (of, page), dealt = _hosted(table, shards)
-        texts = np.array([xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) for *_, text in found], np.uint64)
-        of, texts = _pairs(of, texts[page])
-        n = np.bincount(of, minlength=len(keys))
-        first = np.cumsum(n) - n
-        own = lambda pick: np.repeat(first[pick] - np.cumsum(n[pick]) + n[pick], n[pick]) + np.arange(n[pick].sum())
-        return {s: dump_arrays(h=keys[pick], n=n[pick].astype(np.uint32), t=texts[own(pick)]) for s, pick in dealt.items()}
-
-    def reply(blobs):
-        got = [load_arrays(x) for x in blobs]
-        _, which = np.unique(np.concatenate([x["h"] for x in got]), return_inverse=True)
-        key, _ = _pairs(np.repeat(which, np.concatenate([x["n"] for x in got])), np.concatenate([x["t"] for x in got]))
-        counts = np.bincount(key).astype(np.uint32)[which]
-        counts[counts < least_pages] = 0
-        return [dump_arrays(n=x) for x in np.split(counts, np.cumsum([len(x["h"]) for x in got])[:-1])]
-
-    answers = answer(ask(packed, request, shards), reply, shards, "html-subtrees")
-
-    def finish(b, table, got):
-        found, keys, _, dealt = _hosted(table, shards)
-        total = np.zeros(len(keys), np.int64)
-        for s, pick in dealt.items():
-            total[pick] = load_arrays(got[s])["n"]
-        common = {int(k): int(n) for k, n in zip(keys[total > 0], total[total > 0])}
-        out = []
-        for own, url, (root, subs, host, text) in zip(table["id"].to_pylist(), table["url"].to_pylist(), found):
-            limit = max(least_pages, min(share * common.get(host, 0), most_pages))
-            gone = templates(root, subs, text, common, limit)
-            if gone:
-                text = main_text(root, gone)
-            out.append((own, url, text, len(text), len(gone)))
-        return pd.DataFrame(out, columns=["id", "url", "text", "n_chars", "n_template"])
-
-    return tell(packed, answers, finish, f"id {kind}, url string, text string, n_chars long, n_template long", blocks).withColumnRenamed("id", id_col)
+    packed = pack(rows, ["id", "url", "html"], "html-blocks", fn=_parsed)
+    asked = keyed(packed, _recurring, "key long, page long")
+    total = asked.select("key", "page").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_pages)
+    total = materialize(total, "html-subtrees")
+    back = asked.select("b", "key").distinct().join(few(total), "key")
+
+    def finish(table, got):
+        common = dict(zip(got["key"].to_numpy().view(np.uint64).tolist(), got["n"].to_pylist()))
+        texts, gone_of = [], []
+        for url, html, text, keys in zip(*(table[c].to_pylist() for c in ("url", "html", "text", "keys"))):
+            own = host_key(url)
+            limit = max(least_pages, min(share * common.get(own, 0), most_pages))
+            gone: set[int] = set()
+            if any(common.get(k, 0) >= limit for k in np.frombuffer(keys, np.uint64).tolist()):
+                layout = Layout(parse(html))
+                gone = templates(layout, [(n, h ^ own, size) for n, h, size in layout.subtrees()], text, common, limit)
+                text = layout.text(gone) if gone else text
+            texts.append(text)
+            gone_of.append(len(gone))
+        return {"id": table["id"], "url": table["url"], "text": texts, "n_chars": [len(t) for t in texts], "n_template": gone_of}
+
+    return deliver(packed, back, finish, f"id {kind}, url string, text string, n_chars long, n_template long", shards_for(packed)).withColumnRenamed("id", id_col)
