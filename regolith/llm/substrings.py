@@ -1,22 +1,25 @@
 """Substring dedup by suffix automata over reference shards.
 
-A word goes if a window of `window` words over it also starts in a document with a smaller id. The automata cover only
-passages that can matter, and each is small enough for one task:
-
-1. Each block of documents winnows its texts (7-word hashes, 7 a window of 13), so two texts that share a window share a
-   kept hash at the same words of it, and asks the hash's shard who else has it. The answer names a place in the hash's
-   owner, the document of the smallest id that has it: 64 words of that document are one reference shard.
-2. Passages around shared hashes go to their reference shard. Equal passages of a block go once. The shard builds a
-   generalised suffix automaton over its distinct passages, notes at each state the smallest id below it, and streams
-   the passages through it for matching statistics; a window whose state holds a smaller id than the passage's document
-   is covered. Two texts with a common window send the passages around its kept hash to the same shard, so none is lost.
-3. Blocks get the covered spans back, remove maximal runs, and return the rest.
-
-Broadcasting every automaton to every document would cost shards x documents; the routing above sends a document only to
-the shards that can match it. Words are compared by 40 bits of a hash of each of the 13 words.
+A word goes if a window of `window` words over it also starts in a document with a smaller id.
+
+1. Blocks of documents winnow their texts (7-word hashes, 7 a window of 13), so two texts that share a window share a kept
+   hash at the same words of it. Each distinct hash of a block is one row; Spark finds the hashes that several documents
+   have and, for each, the place in its owner, the document of the smallest id: 64 words of it are one reference shard.
+2. Blocks cut the passages around shared hashes and send each distinct one, with the places where the block has it, to its
+   reference shard. A shard's passages arrive in order of id. Each is streamed through the suffix automaton of the
+   passages of smaller ids, which gives its matching statistics; maximal spans of `window` words or more are covered.
+   Then it is added to the automaton itself. A passage that a smaller id has already is covered whole.
+3. Blocks get the covered spans back, remove them, and return the rest.
+
+Broadcasting every automaton to every document would cost shards x documents; routing sends a document only to the shards
+that can match it. A hash that over HOT documents have would make one large shard of many different contexts: around it
+each window is a passage and a shard of its own, so that its contexts spread and only equal windows, one row a block,
+meet. A task holds the automaton of one shard at a time and streams through the rest. Words are compared by 40 bits of a
+hash of each of the 13 words.
 
 Defined results: null text has no words; texts below 13 words keep all; rows of equal id do not remove each other; a null
-id counts as smaller than any other; repeated rows each get their row; empty tables give no rows.
+id counts as smaller than any other; ids are integers; repeated rows each get their row; texts of any length are read
+whole; further columns may have any name; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -24,18 +27,20 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import answer, ask, dump_arrays, least_of, load_arrays, narrow, pack, shards_for, tell, to_bytes
+from .common import by_block, columns_of, deliver, dump_arrays, keyed, load, load_arrays, materialize, pack, release, shards_for, to_bytes
 from .wordhash import Words, grams, mix
 
 #: Words of an owner document that form one reference shard.
 REFERENCE = 64
+#: Documents that may have a hash before its windows become shards of their own.
+HOT = 2000
 _LOW = np.int64(-(2**63))
-_WORD_BITS = np.uint64(24)  # dropped of 64
+_WORD_BYTES = 5
+_RATIO = np.uint64(0x9E3779B97F4A7C15)
 
 
 def winnow(words: Words, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,112 +66,112 @@ def _ids(table: pa.Table) -> np.ndarray:
     return np.array([_LOW if x is None else x for x in table["id"].to_pylist()], np.int64)
 
 
-def _pack40(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (x & np.uint64(0xFFFFFFFF)).astype(np.uint32), (x >> np.uint64(32)).astype(np.uint8)
-
-
-def _ask_hashes(table: pa.Table, shards: int, window: int, k: int) -> tuple[Words, np.ndarray, dict[int, np.ndarray], np.ndarray, np.ndarray]:
-    """The block's kept hashes dealt to shards: for each shard which of the distinct hashes it is asked for."""
+def _kept(table: pa.Table, window: int, k: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, kept places, their distinct hashes and which of these each place has."""
     words = Words([to_bytes(t) for t in table["text"].to_pylist()])
-    kept, g, text = winnow(words, window, k)
+    kept, g, _ = winnow(words, window, k)
     distinct, inverse = np.unique(g, return_inverse=True)
-    s = (distinct % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(s, kind="stable")
-    cuts = np.searchsorted(s[order], np.arange(shards + 1))
-    dealt = {int(i): order[cuts[i] : cuts[i + 1]] for i in np.flatnonzero(np.diff(cuts))}
-    return words, kept, dealt, distinct, inverse
+    return words, kept, distinct, inverse
 
 
-def find_shared(packed: DataFrame, shards: int, window: int, k: int) -> DataFrame:
-    def request(b, table):
-        words, kept, dealt, distinct, inverse = _ask_hashes(table, shards, window, k)
+def shared_hashes(packed: DataFrame, window: int, k: int, hot: int) -> DataFrame:
+    """(b, key, route, hot) for the hashes of each block that documents of different ids have."""
+
+    def rows(table):
+        words, kept, distinct, inverse = _kept(table, window, k)
         ids, text = _ids(table), words.text_of()
-        own = ids[text[kept]]
-        place = kept - words.first[text[kept]]
+        own, place = ids[text[kept]], kept - words.first[text[kept]]
         order = np.lexsort((place, own, inverse))
         head = np.flatnonzero(np.diff(inverse[order], prepend=-1))
         low = own[order][head]
         high = own[order][np.append(head[1:], len(order)) - 1] if len(head) else low
-        place = place[order][head]
-        out = {}
-        for s, pick in dealt.items():
-            a, c = _pack40(distinct[pick] // np.uint64(shards))
-            out[s] = dump_arrays(a=a, c=c, id=narrow(low[pick]), id0=least_of(low[pick]), many=np.packbits(high[pick] != low[pick]), at=narrow(place[pick]), at0=least_of(place[pick]))
-        return out
-
-    def reply(blobs):
-        got = [load_arrays(x) for x in blobs]
-        sizes = np.array([len(x["a"]) for x in got])
-        h = np.concatenate([x["a"].astype(np.uint64) | (x["c"].astype(np.uint64) << np.uint64(32)) for x in got])
-        own = np.concatenate([x["id"].astype(np.int64) + x["id0"] for x in got])
-        at = np.concatenate([x["at"].astype(np.int64) + x["at0"] for x in got])
-        many = np.concatenate([np.unpackbits(x["many"], count=len(x["a"])).astype(bool) for x in got])
-        order = np.lexsort((at, own, h))
-        h, own, at, many = h[order], own[order], at[order], many[order]
-        head = np.flatnonzero(np.diff(h, prepend=h[0] ^ np.uint64(1)))
-        last = np.append(head[1:], len(h)) - 1
-        shared = (own[head] != own[last]) | np.logical_or.reduceat(many, head)
-        route = mix(own[head].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (at[head] // REFERENCE).astype(np.uint64)) >> np.uint64(32)
-        group = np.repeat(np.arange(len(head)), last - head + 1)
-        of = np.empty(len(h), np.int64)
-        of[order] = group
-        out = []
-        for part in np.split(of, np.cumsum(sizes)[:-1]):
-            yes = shared[part]
-            out.append(dump_arrays(yes=np.packbits(yes), route=route[part[yes]].astype(np.uint32)))
-        return out
-
-    return answer(ask(packed, request, shards), reply, shards, "substring-shared")
-
-
-def passages(table: pa.Table, got: dict[int, bytes], shards: int, window: int, k: int):
-    """Spans (start, end) of words around shared hashes, merged where they go to the same reference shard."""
-    words, kept, dealt, distinct, inverse = _ask_hashes(table, shards, window, k)
-    route = np.full(len(distinct), -1, np.int64)
-    for s, pick in dealt.items():
-        a = load_arrays(got[s])
-        yes = np.unpackbits(a["yes"], count=len(pick)).astype(bool)
-        route[pick[yes]] = a["route"]
-    to = route[inverse]
-    kept, to = kept[to >= 0], to[to >= 0]
-    text = words.text_of()[kept]
-    start = np.maximum(kept - (window - k), words.first[text])
-    end = np.minimum(kept + window, words.first[text + 1])
-    fresh = np.ones(len(kept), bool)
+        return distinct.view(np.int64), low, place[order][head].astype(np.int32), high != low, np.diff(np.append(head, len(order))).astype(np.int32)
+
+    same = Window.partitionBy("key")
+    found = keyed(packed, rows, "key long, low long, at int, many boolean, n int")
+    found = found.select("b", "key", F.min(F.struct("low", "at")).over(same).alias("owner"), F.max("low").over(same).alias("high"), F.max("many").over(same).alias("many"), F.sum("n").over(same).alias("n"))
+    found = found.filter(F.col("many") | (F.col("high") > F.col("owner.low")))
+    return found.select("b", "key", F.xxhash64("owner.low", F.floor(F.col("owner.at") / REFERENCE)).alias("route"), (F.col("n") > hot).alias("hot"))
+
+
+def passages(words: Words, kept: np.ndarray, route: np.ndarray, hot: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end, route) of spans of words around shared hashes, merged where they go to one reference shard."""
+    some = np.flatnonzero(~hot)
+    at, to = kept[some], route[some]
+    text = words.text_of()[at]
+    start, end = np.maximum(at - (window - k), words.first[text]), np.minimum(at + window, words.first[text + 1])
+    fresh = np.ones(len(at), bool)
     fresh[1:] = (text[1:] != text[:-1]) | (to[1:] != to[:-1]) | (start[1:] > end[:-1])
     head = np.flatnonzero(fresh)
-    tail = np.append(head[1:], len(kept)) - 1
-    return words, text[head], start[head], end[tail] if len(head) else end[:0], to[head]
-
-
-def smallest_ids(sequences: list[list[int]], ids: list[int], window: int) -> list[list[int]]:
-    """For each window of each sequence the smallest id of a sequence that has it, by a generalised suffix automaton."""
-    step: list[dict[int, int]] = [{}]
-    link, size, low = [-1], [0], [2**63]
-    for seq, own in zip(sequences, ids):
+    tail = np.append(head[1:], len(at)) - 1
+    parts = [(text[head], start[head], end[tail] if len(head) else end[:0], to[head])]
+    if hot.any():
+        begin = np.unique((kept[hot][:, None] - np.arange(window - k + 1)[None, :]).ravel())
+        own = words.text_of()[np.maximum(begin, 0)]
+        ok = (begin >= words.first[own]) & (begin + window <= words.first[own + 1])
+        begin, own = begin[ok], own[ok]
+        parts.append((own, begin, begin + window, mix(grams(words.hashes(), window)[begin] + _RATIO).view(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def cut(table: pa.Table, got: pa.Table, b: int, window: int, k: int) -> dict:
+    """The block's distinct passages, one row each: shard, smallest id, words, and where the block has it."""
+    words, kept, distinct, inverse = _kept(table, window, k)
+    keys = got["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    at = np.searchsorted(keys[order], distinct)
+    at[at == len(keys)] = 0
+    shared = (keys[order][at] == distinct if len(keys) else np.zeros(len(distinct), bool))[inverse]
+    pick = order[at[inverse[shared]]] if len(keys) else np.zeros(0, np.int64)
+    text, start, end, to = passages(words, kept[shared], got["route"].to_numpy()[pick], got["hot"].to_numpy(zero_copy_only=False)[pick].astype(bool), window, k)
+    h = words.hashes()
+    # equal passages on the same route once: by a hash over their words
+    total = np.zeros(len(h) + 1, np.uint64)
+    powers, back = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(h), x, np.uint64)])) for x in (_RATIO, np.uint64(pow(int(_RATIO), -1, 2**64))))
+    np.cumsum(mix(h) * powers[:-1], out=total[1:])
+    same = mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64)) ^ mix(to.view(np.uint64))
+    _, first, which = np.unique(same, return_index=True, return_inverse=True)
+    order = np.argsort(which, kind="stable")
+    cuts = np.searchsorted(which[order], np.arange(len(first) + 1))
+    ids, data = _ids(table), np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :_WORD_BYTES]
+    place = (start - words.first[text]).astype(np.uint32)
+    low, occ, body = [], [], []
+    for i, f in enumerate(first.tolist()):
+        own = order[cuts[i] : cuts[i + 1]]
+        own_ids = ids[text[own]]
+        low.append(own_ids.min())
+        occ.append(text[own].astype("<u4").tobytes() + place[own].tobytes() + own_ids.astype("<i8").tobytes())
+        body.append(data[start[f] : end[f]].tobytes())
+    return {"b": np.full(len(first), b, np.int64), "route": to[first], "low": np.array(low, np.int64), "words": body, "places": occ}
+
+
+class Automaton:
+    """A generalised suffix automaton that grows by whole sequences."""
+
+    def __init__(self):
+        self.step: list[dict[int, int]] = [{}]
+        self.link, self.size = [-1], [0]
+
+    def add(self, seq: list[int]) -> None:
+        step, link, size = self.step, self.link, self.size
         last = 0
         for c in seq:
-            p = last
-            q = step[p].get(c)
+            p, q, at = last, step[last].get(c), -1
             if q is None:
-                last = len(step)
+                at = last = len(step)
                 step.append({})
                 size.append(size[p] + 1)
-                low.append(own)
                 link.append(0)
                 while p >= 0 and c not in step[p]:
-                    step[p][c] = last
+                    step[p][c] = at
                     p = link[p]
                 if p < 0:
                     continue
-                q, at = step[p][c], last
-            else:
-                at = -1
+                q = step[p][c]
             if size[q] != size[p] + 1:
                 clone = len(step)
                 step.append(dict(step[q]))
                 size.append(size[p] + 1)
-                low.append(2**63)
                 link.append(link[q])
                 while p >= 0 and step[p].get(c) == q:
                     step[p][c] = clone
@@ -177,142 +182,98 @@ def smallest_ids(sequences: list[list[int]], ids: list[int], window: int) -> lis
                 link[at] = q
             else:
                 last = q
-                low[q] = min(low[q], own)
-    for s in sorted(range(1, len(step)), key=size.__getitem__, reverse=True):
-        if low[s] < low[link[s]]:
-            low[link[s]] = low[s]
-    out = []
-    for seq in sequences:
-        state, n, found = 0, 0, []
-        for c in seq:
+
+    def covered(self, seq: list[int], window: int) -> list[tuple[int, int]]:
+        """Maximal spans (start, end) of the sequence's matches of at least `window` items."""
+        step, link, size = self.step, self.link, self.size
+        spans: list[tuple[int, int]] = []
+        state = n = 0
+        for i, c in enumerate(seq, 1):
             while state and c not in step[state]:
                 state = link[state]
                 n = size[state]
-            state = step[state][c]
-            n += 1
-            while size[link[state]] >= window:
-                state = link[state]
-                n = size[state]
+            state = step[state].get(c, 0)
+            n = n + 1 if state else 0
             if n >= window:
-                found.append(low[state])
-        out.append(found)
-    return out
-
-
-def cover(packed: DataFrame, shared: DataFrame, blocks: int, shards: int, window: int, k: int) -> DataFrame:
-    def request(b, table, got):
-        words, text, start, end, to = passages(table, got, shards, window, k)
-        if not len(start):
-            return pd.DataFrame({"s": [], "b": [], "data": []})
-        h = words.hashes() >> _WORD_BITS
-        r = np.uint64(0x9E3779B97F4A7C15)
-        ids = _ids(table)
-        # equal passages on the same route once: by a hash over their words
-        total = np.zeros(len(h) + 1, np.uint64)
-        powers = np.full(len(h) + 1, r, np.uint64)
-        powers[0] = 1
-        powers = np.multiply.accumulate(powers)
-        np.cumsum(mix(h) * powers[:-1], out=total[1:])
-        inverse_powers = np.full(len(h) + 1, np.uint64(pow(int(r), -1, 2**64)), np.uint64)
-        inverse_powers[0] = 1
-        inverse_powers = np.multiply.accumulate(inverse_powers)
-        same = mix((total[end] - total[start]) * inverse_powers[start] + (end - start).astype(np.uint64)) ^ mix(to.astype(np.uint64))
-        _, first, which = np.unique(same, return_index=True, return_inverse=True)
-        s = to[first] % shards
-        rows = []
-        for i in np.unique(s):
-            uniq = np.flatnonzero(s == i)
-            new = np.full(len(first), -1)
-            new[uniq] = np.arange(len(uniq))
-            occ = np.flatnonzero(new[which] >= 0)
-            f = first[uniq]
-            size = end[f] - start[f]
-            at = np.repeat(start[f] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            a, c = _pack40(h[at])
-            t = text[occ]
-            own = ids[t]
-            rows.append((int(i), b, dump_arrays(a=a, c=c, size=size.astype(np.uint32), to=to[f].astype(np.uint32), which=new[which[occ]].astype(np.uint32), text=narrow(t), text0=least_of(t), at=(start[occ] - words.first[t]).astype(np.uint32), id=narrow(own), id0=least_of(own))))
-        return pd.DataFrame(rows, columns=["s", "b", "data"])
-
-    def reply(blobs):
-        got = [load_arrays(x) for x in blobs]
-        # distinct passages of the shard, by route
-        known: dict[tuple, int] = {}
-        groups: dict[int, list[int]] = {}
-        seqs: list[np.ndarray] = []
-        low: list[int] = []
-        name = []
-        for x in got:
-            w = x["a"].astype(np.uint64) | (x["c"].astype(np.uint64) << np.uint64(32))
-            ends = np.cumsum(x["size"].astype(np.int64))
-            own = np.full(len(ends), 2**63 - 1, np.int64)
-            np.minimum.at(own, x["which"], x["id"].astype(np.int64) + x["id0"])
-            mine = np.zeros(len(ends), np.int64)
-            for i, (e, n, to, o) in enumerate(zip(ends.tolist(), x["size"].tolist(), x["to"].tolist(), own.tolist())):
-                seq = w[e - n : e]
-                at = known.setdefault((to, seq.tobytes()), len(seqs))
-                if at == len(seqs):
-                    seqs.append(seq)
-                    low.append(o)
-                    groups.setdefault(to, []).append(at)
-                elif o < low[at]:
-                    low[at] = o
-                mine[i] = at
-            name.append(mine)
-        del known
-        least: list[np.ndarray] = [np.zeros(0, np.int64)] * len(seqs)
-        for members in groups.values():
-            for m, x in zip(members, smallest_ids([seqs[m].tolist() for m in members], [low[m] for m in members], window)):
-                least[m] = np.array(x, np.int64)
-        out = []
-        for x, mine in zip(got, name):
-            text, begin, stop = [], [], []
-            for p, t, at, own in zip(mine[x["which"]].tolist(), (x["text"].astype(np.int64) + x["text0"]).tolist(), x["at"].tolist(), (x["id"].astype(np.int64) + x["id0"]).tolist()):
-                hit = np.flatnonzero(least[p] < own)
-                if len(hit):
-                    cut = np.flatnonzero(np.diff(hit, prepend=hit[0] - 2 * window) > window)
-                    begin.append(at + hit[cut])
-                    stop.append(at + hit[np.append(cut[1:], len(hit)) - 1] + window)
-                    text.append(np.full(len(cut), t))
-            join = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.uint32)
-            out.append(dump_arrays(text=join(text), begin=join(begin), stop=join(stop)))
-        return out
-
-    asked = tell(packed, shared, request, "s int, b long, data binary", blocks)
-    return answer(asked, reply, shards, "substring-cover")
-
-
-def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, k: int = 7, with_text: bool = True) -> DataFrame:
+                if spans and i - n <= spans[-1][1]:
+                    spans[-1] = (min(spans[-1][0], i - n), i)
+                else:
+                    spans.append((i - n, i))
+        return spans
+
+
+def _decode(data: bytes) -> list[int]:
+    cells = np.zeros((len(data) // _WORD_BYTES, 8), np.uint8)
+    cells[:, :_WORD_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, _WORD_BYTES)
+    return cells.view("<u8").ravel().tolist()
+
+
+def stream(batches, window: int):
+    """Rows in order of (route, low), one shard after the other: (b, spans) of what is covered."""
+    route = None
+    for batch in batches:
+        out_b, out = [], []
+        for b, to, low, data, places in zip(*(batch.column(c).to_pylist() for c in ("b", "route", "low", "words", "places"))):
+            if to != route:
+                route, automaton, known, fresh, level = to, Automaton(), {}, [], None
+            if low != level:
+                for seq in fresh:
+                    automaton.add(seq)
+                fresh, level = [], low
+            if data not in known:
+                seq = _decode(data)
+                known[data] = low, automaton.covered(seq, window)
+                fresh.append(seq)
+            least, spans = known[data]
+            size, n = len(data) // _WORD_BYTES, len(places) // 16
+            text, at, ids = np.frombuffer(places, "<u4", n), np.frombuffer(places, "<u4", n, 4 * n).astype(np.int64), np.frombuffer(places, "<i8", n, 8 * n)
+            whole = (ids > least) & (size >= window)
+            part = np.flatnonzero(~whole) if spans else np.zeros(0, np.int64)
+            if whole.any() or len(part):
+                cover = [(text[whole], at[whole], at[whole] + size), *((text[part], at[part] + x, at[part] + y) for x, y in spans)]
+                out_b.append(b)
+                out.append(dump_arrays(**{name: np.concatenate(x).astype(np.uint32) for name, x in zip(("text", "begin", "stop"), zip(*cover))}))
+        yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int64()), pa.array(out, pa.binary())], ["b", "spans"])
+    release()
+
+
+def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, k: int = 7, with_text: bool = True, hot: int = HOT) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept_sha256 and, if asked for, the kept text (words joined by blanks)."""
     kind = documents.schema[id_col].dataType.simpleString()
+    if kind not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError("ids must be integers, which say which document comes first")
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     packed = pack(rows, ["id", "text"], "substring-blocks")
-    shards = shards_for(packed)
-    blocks = shards
-    covered = cover(packed, find_shared(packed, shards, window, k), blocks, shards, window, k)
+    blocks = shards_for(packed)
+    schema = "b long, route long, low long, words binary, places binary"
+
+    def request(left, right):
+        return columns_of(schema, cut(load(left["data"][0].as_py()), right, left["b"][0].as_py(), window, k))
 
-    def finish(b, table, got):
-        spans = [load_arrays(x) for x in got.values()]
+    asked = by_block(packed, shared_hashes(packed, window, k, hot), request, schema, blocks)
+    dealt = asked.repartition(blocks, "route").sortWithinPartitions("route", "low")
+    covered = materialize(dealt.mapInArrow(lambda batches: stream(batches, window), "b long, spans binary"), "substring-cover")
+
+    def finish(table, got):
         gone: dict[int, list[tuple[int, int]]] = {}
-        for x in spans:
+        for x in map(load_arrays, got["spans"].to_pylist()):
             for t, a, z in zip(x["text"].tolist(), x["begin"].tolist(), x["stop"].tolist()):
                 gone.setdefault(t, []).append((a, z))
-        out = []
-        for i, (own, text) in enumerate(zip(table["id"].to_pylist(), table["text"].to_pylist())):
+        n_words, n_removed, sha, kept = [], [], [], []
+        for i, text in enumerate(table["text"].to_pylist()):
             words = to_bytes(text).split()
-            n, left = len(words), words
+            left = words
             if i in gone:
-                keep = np.ones(n, bool)
+                keep = np.ones(len(words), bool)
                 for a, z in gone[i]:
                     keep[a:z] = False
                 left = [w for w, y in zip(words, keep.tolist()) if y]
             rest = b" ".join(left)
-            row = (own, n, n - len(left), hashlib.sha256(rest).hexdigest())
-            out.append((*row, rest.decode("utf-8", "surrogatepass")) if with_text else row)
-        names = ["id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + with_text]
-        frame = pd.DataFrame(out, columns=names)
-        frame["id"] = frame["id"].astype("Int64")
-        return frame
-
-    done = tell(packed, covered, finish, "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text, blocks)
+            n_words.append(len(words))
+            n_removed.append(len(words) - len(left))
+            sha.append(hashlib.sha256(rest).hexdigest())
+            kept.append(rest.decode("utf-8", "surrogatepass") if with_text else None)
+        return {"id": table["id"], "n_words": n_words, "n_removed": n_removed, "kept_sha256": sha, "kept": kept}
+
+    done = deliver(packed, covered, finish, "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text, blocks)
     return done.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)

@@ -297,15 +297,26 @@ def test_substrings(docs, none):
     assert substrings.dedup(none).count() == 0
 
 
-def test_automaton_minimum():
+def test_automaton_spans():
     rng = np.random.default_rng(3)
-    seqs = [rng.integers(0, 3, n).tolist() for n in (0, 2, 9, 30, 60, 60)]
-    ids = [5, 4, 9, 7, 3, 8]
-    seen = {}
-    for s, d in zip(seqs, ids):
-        for i in range(len(s) - 3):
-            seen[tuple(s[i : i + 4])] = min(seen.get(tuple(s[i : i + 4]), 99), d)
-    assert substrings.smallest_ids(seqs, ids, 4) == [[seen[tuple(s[i : i + 4])] for i in range(len(s) - 3)] for s in seqs]
+    seqs = [rng.integers(0, 3, n).tolist() for n in (0, 2, 9, 30, 60, 60, 12)]
+    grown, seen = substrings.Automaton(), set()
+    for s in seqs:
+        want = {j for i in range(len(s) - 3) if tuple(s[i : i + 4]) in seen for j in range(i, i + 4)}
+        got = grown.covered(s, 4)
+        assert {j for a, b in got for j in range(a, b)} == want and all(x[1] < y[0] for x, y in zip(got, got[1:]))
+        grown.add(s)
+        seen |= {tuple(s[i : i + 4]) for i in range(len(s) - 3)}
+
+
+def test_substrings_of_a_hot_passage(spark):
+    rng = np.random.default_rng(4)
+    say = lambda n: [f"w{i}" for i in rng.integers(0, 3000, n)]
+    shared = say(30)
+    rows = [(int(rng.integers(0, 150)), " ".join(say(20) + shared[: int(rng.integers(13, 31))] + say(5))) for _ in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    few_, many = (tuples(substrings.dedup(df, hot=n), "doc_id", "n_removed", "kept") for n in (3, 10**9))
+    assert few_ == many and sum(n > 0 for _, n, _ in many) > 150
 
 
 def test_quality(spark, docs, none):
