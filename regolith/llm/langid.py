@@ -3,11 +3,13 @@
 Every language has a codeword of bits. For each bit a logistic classifier on hashed byte n-grams of the lower-cased text
 says which way it goes; the language whose codeword has the least weighted logistic loss against the classifiers' margins
 wins. A bit's weight is its accuracy on training rows set aside. A prediction is ambiguous where the two best languages
-are close. Training uses at most PER_LANGUAGE rows per language, picked by a hash of the id, over all labelled rows.
+are close. All values of the label column are learnt. Training uses at most PER_LANGUAGE rows of each (fewer where there
+are so many languages that all would be more than SAMPLE_ROWS), picked by a hash of id and text over all labelled rows;
+executors turn their whole texts into n-gram counts, at most 2**BITS of them a text, which is what the driver gets.
 
 Defined results: null text, or text without any letter, is `und` with score 0; without training rows all is `und`; with a
-single language every text with a letter is of it; repeated rows each get their row; empty tables give no rows; very long
-texts are read whole.
+single language every text with a letter is of it; null ids are ids like others and are never held out; repeated rows each
+get their row; further columns may have any name; empty tables give no rows; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -16,19 +18,20 @@ import pickle
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, to_bytes
+from .common import few, lower_ascii, materialize, release, to_bytes
 
-#: Labelled rows per language used at most: the bound of the training sample.
+#: Labelled rows per language used at most, and of all languages together: the bounds of the training sample.
 PER_LANGUAGE = 400
-#: Languages at most; those with the most rows.
-LANGUAGES = 512
+SAMPLE_ROWS = 8000
+#: Cells of the training matrix; with more, the n-grams of the most texts are used.
+CELLS = 40_000_000
 BITS = 16
+_TURN = 1 << 40
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -87,15 +90,27 @@ def margins(model: Model, texts: list[bytes]) -> np.ndarray:
     return total / (2 * n[:, None]) + model.bias
 
 
-def _matrix(texts: list[bytes], least: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def profile(text: object) -> tuple[np.ndarray, np.ndarray] | None:
+    """Distinct hashed n-grams of a text and their counts; None without a letter."""
+    if not isinstance(text, str) or not _LETTER.search(text):
+        return None
+    keys, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    h, _ = grams([lower_ascii(to_bytes(text))])
+    for i in range(0, h.shape[1], 1 << 20):
+        k, m = np.unique(h[:, i : i + (1 << 20)], return_counts=True)
+        keys, of = np.unique(np.concatenate([keys, k]), return_inverse=True)
+        n = np.bincount(of, np.concatenate([n, m])).astype(np.int64)
+    return keys, n
+
+
+def _matrix(found: list[tuple[np.ndarray, np.ndarray]], least: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """n-gram shares of each text, for the n-grams that `least` texts have, and which those are."""
-    found = []
-    for t in texts:
-        h, _ = grams([t])
-        found.append(np.unique(h.ravel(), return_counts=True))
     share = np.bincount(np.concatenate([k for k, _ in found]), minlength=2**BITS)
-    used = np.flatnonzero(share >= min(least, len(texts)))
-    out = np.zeros((len(texts), len(used)), np.float32)
+    used = np.flatnonzero(share >= min(least, len(found)))
+    most = max(1000, CELLS // len(found))
+    if len(used) > most:
+        used = np.sort(used[np.argsort(-share[used], kind="stable")[:most]])
+    out = np.zeros((len(found), len(used)), np.float32)
     for i, (k, n) in enumerate(found):
         at = np.searchsorted(used, k)
         at[at == len(used)] = 0
@@ -104,9 +119,9 @@ def _matrix(texts: list[bytes], least: int = 3) -> tuple[np.ndarray, np.ndarray]
     return out, used
 
 
-def fit(rows: list[tuple[str, str]], rounds: int = 150, reg: float = 1e-6) -> Model | None:
-    """rows: (text, language), few by contract. Every fifth row is set aside for the bits' weights."""
-    rows = [(lower_ascii(to_bytes(t)), g) for t, g in rows if isinstance(t, str) and g is not None and _LETTER.search(t)]
+def fit(rows: list[tuple[tuple[np.ndarray, np.ndarray], str]], rounds: int = 150, reg: float = 1e-6) -> Model | None:
+    """rows: (profile of a text, language), few by contract. Every fifth row is set aside for the bits' weights."""
+    rows = [(t, g) for t, g in rows if t is not None and g is not None]
     languages = sorted({g for _, g in rows})
     if not languages:
         return None
@@ -151,18 +166,31 @@ def held_out(id_col):
 
 
 def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
-    """Fit on at most per_language rows of each language among those not held out; every labelled row is a candidate."""
+    """Fit on at most per_language rows of each language among those not held out; every labelled row is a candidate.
+
+    Per language these are the rows of the smallest hashes of id and text. A threshold that leaves about twice as many
+    comes first, so that a language with most of the rows is no large group.
+    """
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
+    rows = rows.withColumn("pick", F.pmod(F.xxhash64(F.lit("train"), F.col("id").isNull(), "id", "text"), F.lit(_TURN)))
+    counts = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    found = counts.count()
+    if not found:
         return None
-    # a hash threshold for each language: its expected sample is per_language rows, so a bounded table is collected
-    limit = F.lit(0.0)
-    for g, n in counts.items():
-        limit = F.when(F.col("lang") == g, F.lit(min(1.0, per_language / n))).otherwise(limit)
-    pick = F.pmod(F.xxhash64(F.lit("train"), F.col("id")), F.lit(1 << 20)) < limit * (1 << 20)
-    got = rows.filter(pick).select("id", "text", "lang").limit(2 * per_language * len(counts)).collect()
-    return fit([(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (str(r["id"]), r["text"]))])
+    most = max(3, min(per_language, SAMPLE_ROWS // found))
+    near = rows.join(few(counts), "lang").filter(F.col("pick").cast("double") * F.col("n") <= 2.0 * (most + 20) * _TURN)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("pick", "id", "text"))
+    best = near.withColumn("place", place).filter(F.col("place") <= most).select("pick", "text", "lang")
+
+    def count(batches):
+        for batch in batches:
+            got = [profile(t) for t in batch.column("text").to_pylist()]
+            cells = [[None if p is None else p[j].astype(np.uint32).tobytes() for p in got] for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("pick"), batch.column("lang"), *(pa.array(c, pa.binary()) for c in cells)], ["pick", "lang", "keys", "n"])
+
+    got = best.mapInArrow(count, "pick long, lang string, keys binary, n binary").collect()
+    got = sorted((r for r in got if r["keys"] is not None), key=lambda r: (r["pick"], r["lang"], r["keys"]))
+    return fit([((np.frombuffer(r["keys"], np.uint32), np.frombuffer(r["n"], np.uint32)), r["lang"]) for r in got])
 
 
 def predict(model: Model | None, texts: list, ambiguous: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,13 +210,14 @@ def identify(documents: DataFrame, model: Model | None, id_col: str = "doc_id",
     spark, kind = documents.sparkSession, documents.schema[id_col].dataType.simpleString()
     shared = spark.sparkContext.broadcast(pickle.dumps(model))  # 2**BITS x bits floats, whatever the input's size
 
-    def run(frames):
+    def run(batches):
         m = pickle.loads(shared.value)
-        for f in frames:
-            lang, score, doubt = predict(m, f["text"].tolist(), ambiguous)
-            yield pd.DataFrame({"id": f["id"], "lang_pred": lang, "score": score, "ambiguous": doubt})
+        for batch in batches:
+            found = predict(m, batch.column("text").to_pylist(), ambiguous)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, kind) for x, kind in zip(found, (pa.string(), pa.float64(), pa.bool_())))], ["id", "lang_pred", "score", "ambiguous"])
+        release()
 
-    out = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, lang_pred string, score double, ambiguous boolean")
+    out = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, ambiguous boolean")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -201,5 +230,6 @@ def keep_identified(documents: DataFrame, model: Model | None, text_col: str = "
         for batch in batches:
             lang, score, doubt = predict(m, batch.column(text_col).to_pylist(), ambiguous)
             yield batch.filter(pa.array((lang != "und") & ~(doubt & (score < least))))
+        release()
 
     return documents.mapInArrow(run, documents.schema)
