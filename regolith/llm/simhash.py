@@ -21,10 +21,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, dump_arrays, load_arrays, lower_ascii, materialize, to_bytes
+from .common import by_size, dump_arrays, load_arrays, lower_ascii, materialize, release, rows_with_key, to_bytes
 from .graph import components
 from .xxh import xxh64
 
@@ -79,15 +80,16 @@ def fingerprint(text: object, shingle: int = 4) -> int:
 def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(id, text_key, fp): the hash of the text, which with the id names the row, and the fingerprint as a signed long."""
 
-    def run(frames):
-        for f in frames:
-            texts = f["text"].tolist()
-            fp = [fingerprint_many(part, shingle) for part in by_size(texts)]
-            yield pd.DataFrame({"id": f["id"], "text_key": f["text_key"], "fp": np.concatenate([np.zeros(0, np.uint64), *fp]).astype(np.int64)})
+    def run(batches):
+        for batch in batches:
+            fp = [fingerprint_many(part, shingle) for part in by_size(batch.column("text").to_pylist())]
+            fp = np.concatenate([np.zeros(0, np.uint64), *fp]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), pa.array(fp)], ["id", "text_key", "fp"])
+        release()
 
     kind = documents.schema[id_col].dataType.simpleString()
     rows = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, text_key long, fp long")
+    return rows.mapInArrow(run, f"id {kind}, text_key long, fp long")
 
 
 def plan(segments: int, distance: int) -> list[tuple[int, int, int]]:
@@ -222,7 +224,7 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = fingerprints(documents, id_col, text_col, shingle)
     distinct = materialize(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_key")).alias("least")), "simhash-fp")
     keep = classes(distinct, distance, segments).groupBy("root").agg(F.min("least").alias("least"))
-    keep = keep.select(F.col("least.id").alias("_keep"), F.col("least.text_key").alias("_keep_key"))
-    keyed = documents.withColumn("_text_key", F.xxhash64(text_col))
-    kept = keyed.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")) & (F.col("_text_key") == F.col("_keep_key")), "left_semi")
-    return kept.dropDuplicates([id_col, "_text_key"]).select(*documents.columns)
+    keep = keep.select(F.col("least.id").alias("id"), F.col("least.text_key").alias("text_key"))
+    whole = rows_with_key(documents, id_col, text_col)
+    kept = whole.join(keep, whole["id"].eqNullSafe(keep["id"]) & (whole["text_key"] == keep["text_key"]), "left_semi")
+    return kept.dropDuplicates(["id", "text_key"]).select("row.*")
