@@ -9,7 +9,8 @@ Ranks and places are sums over buckets and then within buckets, so that a source
 out over many tasks.
 
 Defined results: null text has size 0; documents of size 0 take 0; null sources form one source, which comes last; empty
-tables give no rows; equal rows each have their own place; null ids are shuffled like empty ones.
+tables give no rows; equal rows each have their own place; null ids are shuffled like empty ones; texts of any length are
+cut into blocks; further columns may have any name.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE, materialize
+from .common import SPACE_RE, few, materialize, rows_with_key
 
 WEIGHTS = (3, 1, 2)
 BLOCK_WORDS = 64
@@ -46,7 +47,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     left = F.col("total") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)).over(every)
     open_w = F.sum(F.when(~F.col("full"), F.col("w")).otherwise(0.0)).over(every)
     t = t.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(left * F.col("w") / F.when(open_w > 0, open_w)))
-    return t.withColumn("hi", F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, 0))).select("skey", "source", "source_size", "rank", "w", "target", "hi")
+    t = t.withColumn("hi", F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return t.withColumn("lo", F.coalesce(F.lag("hi").over(order), F.lit(0.0))).select("skey", "source", "source_size", "rank", "w", "target", "lo", "hi")
 
 
 def place(rows: DataFrame, group: str, bucket: str, order: list, value: str, out: str) -> DataFrame:
@@ -79,11 +81,16 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     rows = materialize(place(rows, "skey", "bucket", ["key", "text_key", "size"], "size", "start").select("id", "text_key", "size", "skey", "start"), "mix-places")
 
     # the schedule: slot -> source -> rank -> block
-    ends = goal.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "hi", "skey"))), lambda e: F.struct(e["hi"], e["skey"])).alias("ends"))
+    # (the line of targets is cut into equal cells, each with the few sources whose stretches touch it)
+    cells = max(1, 4 * goal.count())
+    top = goal.agg(F.coalesce(F.max("hi"), F.lit(0.0))).first()[0] or 1.0
     point = (F.col("slot") % TURN * GOLDEN % TURN).cast("double") / float(TURN)
     line = spark.range(0, slots, 1, max(1, min(2048, slots // 100_000))).select(F.col("id").alias("slot"))
-    line = line.withColumn("ends", ends.scalar()).withColumn("at", point * F.element_at("ends", -1)["hi"])
-    skey = F.element_at(F.transform(F.filter("ends", lambda e: e["hi"] > F.col("at")), lambda e: e["skey"]), 1)
+    line = line.withColumn("at", point * F.lit(top)).withColumn("cell", F.floor(F.col("at") / F.lit(top) * cells))
+    cell = lambda x: F.floor(x / F.lit(top) * cells)
+    stretches = goal.filter(F.col("hi") > F.col("lo")).select("skey", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("cell"))
+    line = line.join(few(stretches), "cell").filter((F.col("lo") <= F.col("at")) & (F.col("at") < F.col("hi")))
+    skey = F.col("skey")
     line = line.select("slot", skey.alias("skey"), F.lit(1).cast("long").alias("one"), F.floor(F.col("slot") / 8192).alias("chunk"))
     ranks = place(line, "skey", "chunk", ["slot"], "one", "slot_rank")
     count = F.ceil(F.col("source_size") / block_words)
@@ -95,7 +102,7 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     pieces = rows.filter("size > 0").select("skey", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
     got = pieces.join(taken, ["skey", "block"]).groupBy("skey", "start").agg(F.sum(words * F.col("times")).alias("taken"))
-    out = rows.join(got.withColumn("some", F.lit(True)), ["skey", "start"], "left").join(F.broadcast(goal.select("skey", "source_size", "target")) if goal.count() <= 100_000 else goal.select("skey", "source_size", "target"), "skey")
+    out = rows.join(got.withColumn("some", F.lit(True)), ["skey", "start"], "left").join(few(goal.select("skey", "source_size", "target")), "skey")
     return out.select(F.col("id").alias(id_col), "text_key", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"))
 
 
@@ -103,7 +110,7 @@ def mix_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """The documents themselves, each as often as its share of taken words says (0, 1 or 2 times, to the nearest)."""
     plan = mix(documents, id_col=id_col, text_col=text_col, **options)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
-    plan = plan.groupBy(F.col(id_col).alias("_id"), F.col("text_key").alias("_text_key")).agg(F.max(times).cast("int").alias("_times")).filter("_times > 0")
-    docs = documents.withColumn("_key", F.xxhash64(text_col))
-    joined = docs.join(plan, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text_key")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*documents.columns)
+    plan = plan.groupBy(F.col(id_col).alias("id"), "text_key").agg(F.max(times).cast("int").alias("times")).filter("times > 0")
+    whole = rows_with_key(documents, id_col, text_col)
+    joined = whole.join(plan, whole["id"].eqNullSafe(plan["id"]) & (whole["text_key"] == plan["text_key"]))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), "times")).alias("copy")).select("row.*")
