@@ -37,15 +37,17 @@ CHUNK = 1 << 16
 #: Files whose places are summed up in one task.
 FILES_A_RUN = 4096
 #: Words kept at most (some 200 bytes each); beyond it the table starts anew.
-MOST_WORDS = 250_000
+MOST_WORDS = 500_000
 #: Bytes that note which words have been seen (a power of two); only those seen before are kept.
 _SEEN = 1 << 22
+#: Marks a text's first word, which no blank precedes.
+_FIRST = "\x01"
 #: Parts of words (such as punctuation) kept at most.
 MOST_PIECES = 20_000
 # Fixed values of byte-level pre-tokenization: its pattern, and the character that stands for each byte.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_BYTE_CHARS = {b: chr(b) if b in _PLAIN else chr(256 + sum(c not in _PLAIN for c in range(b))) for b in range(256)}
+_BYTE_CHARS = {b: b if b in _PLAIN else 256 + sum(c not in _PLAIN for c in range(b)) for b in range(256)}
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -71,7 +73,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self._tokenize = self.tokenizer.model.tokenize
         self.newline = self._ids("\n")
+        self.marks = {x: self._ids(x) for x in ".,"}
         # the table needs words whose ids do not depend on what stands around them
         probe = "It's one, two.\nThree (4)! we'll na\u00efve 12ab x--y\nfive \u4e2d\u6587 ok"
         self.by_word = len(self.newline) == 1
@@ -85,22 +89,21 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _reset(self):
-        self.flat = np.array(self.newline, np.uint32)
-        self.ends = np.array([0, len(self.newline)], np.int64)
-        self.first, self.later = _Codes(self, ""), _Codes(self, " ")
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.codes = _Codes(self)
         self.seen = bytearray(_SEEN)
         self.kept: list[str] = []
         self.once: list[str] = []
-        self.n = 1
+        self.n = 0
         self.pieces: dict[str, list[int]] = {}
 
     def _piece(self, piece: str) -> list[int]:
         """Ids of one pre-token, by the library's own model."""
-        if piece.isascii():
-            piece = piece.replace(" ", "\u0120")
-        else:
-            piece = "".join(map(_BYTE_CHARS.__getitem__, piece.encode("utf-8")))
-        return [t.id for t in self.tokenizer.model.tokenize(piece)]
+        if not piece.isascii():
+            piece = piece.encode("utf-8").decode("latin-1").translate(_BYTE_CHARS)
+        elif piece[0] == " ":
+            piece = "\u0120" + piece[1:]
+        return [t.id for t in self._tokenize(piece)]
 
     def _resolve(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each has."""
@@ -108,8 +111,17 @@ class Encoder:
         counts = np.zeros(len(words), np.int64)
         known, own, before = self.pieces, self._piece, 0
         for i, word in enumerate(words):
+            # a line's first word has its newline; a text's first word a mark that is not part of it; others their blank
+            if word[0] == "\n":
+                ids += self.newline
+                word = word[1:]
+            else:
+                word = word[1:] if word[0] == _FIRST else " " + word
             if word[1:].isalpha() and word[0] == " ":
                 ids += own(word)
+            elif word[1:-1].isalpha() and word[0] == " " and word[-1] in ".,":
+                ids += own(word[:-1])
+                ids += self.marks[word[-1]]
             else:
                 for piece in _PIECES.findall(word):
                     got = known.get(piece)
@@ -126,19 +138,15 @@ class Encoder:
         if self.n > MOST_WORDS:
             self._reset()
         codes: list = []
+        look = self.codes.__getitem__
         for t in texts:
             if not t:
                 codes.append(np.zeros(0, np.int64))
-            elif not self.by_word or any(x in t for x in self.special) or " ".join(t.split()) != t.replace("\n", " "):
+            elif not self.by_word or any(x in t for x in self.special) or _FIRST in t or " ".join(t.split()) != t.replace("\n", " "):
                 codes.append(None)
             else:
-                own: list[int] = []
-                for line in t.split("\n"):
-                    head, *rest = line.split(" ")
-                    own.append(self.first[head])
-                    own.extend(map(self.later.__getitem__, rest))
-                    own.append(0)
-                codes.append(np.array(own[:-1], np.int64))
+                words = (_FIRST + t.replace("\n", " \n")).split(" ")
+                codes.append(np.fromiter(map(look, words), np.int64, len(words)))
         for words in (self.kept, self.once):
             ids, counts = self._resolve(words)
             self.flat = np.concatenate([self.flat, ids])
@@ -156,7 +164,7 @@ class Encoder:
             out.append(self.flat[at])
         # words seen for the first time are forgotten again
         for word in self.once:
-            self.later.pop(word[1:], None) if word.startswith(" ") else self.first.pop(word, None)
+            self.codes.pop(word, None)
         self.ends = self.ends[: self.n + 1]
         self.flat = self.flat[: self.ends[-1]]
         self.kept, self.once = [], []
@@ -164,19 +172,21 @@ class Encoder:
 
 
 class _Codes(dict):
-    def __init__(self, owner: Encoder, lead: str):
+    """The place of a word in the table; below 0 for words that the table does not keep."""
+
+    def __init__(self, owner: Encoder):
         super().__init__()
-        self.owner, self.lead = owner, lead
+        self.owner = owner
 
     def __missing__(self, word: str) -> int:
         owner, at = self.owner, hash(word) & (_SEEN - 1)
         if owner.seen[at]:
             code = owner.n
             owner.n += 1
-            owner.kept.append(self.lead + word)
+            owner.kept.append(word)
         else:
             owner.seen[at] = 1
-            owner.once.append(self.lead + word)
+            owner.once.append(word)
             code = -len(owner.once)
         self[word] = code
         return code
