@@ -2,7 +2,7 @@
 
 A word goes if a window of `window` words over it also starts in a document with a smaller id.
 
-1. Blocks of documents winnow their texts (7-word hashes, 7 a window of 13), so two texts that share a window share a kept
+1. Blocks of documents winnow their texts (5-word hashes, 9 a window of 13), so two texts that share a window share a kept
    hash at the same words of it. Each distinct hash of a block is one row; Spark finds the hashes that several documents
    have and, for each, the place in its owner, the document of the smallest id: 64 words of it are one reference shard.
 2. Blocks cut the passages around shared hashes and send each distinct one, with the places where the block has it, to its
@@ -85,13 +85,16 @@ def shared_hashes(packed: DataFrame, window: int, k: int, hot: int) -> DataFrame
         head = np.flatnonzero(np.diff(inverse[order], prepend=-1))
         low = own[order][head]
         high = own[order][np.append(head[1:], len(order)) - 1] if len(head) else low
-        return distinct.view(np.int64), low, place[order][head].astype(np.int32), high != low, np.diff(np.append(head, len(order))).astype(np.int32)
+        # one number for the place's reference shard, how often the block has the hash, and whether in several documents
+        n = np.diff(np.append(head, len(order)))
+        return distinct.view(np.int64), low, ((place[order][head] // REFERENCE) << 32) | (n << 1) | (high != low)
 
     same = Window.partitionBy("key")
-    found = keyed(packed, rows, "key long, low long, at int, many boolean, n int")
-    found = found.select("b", "key", F.min(F.struct("low", "at")).over(same).alias("owner"), F.max("low").over(same).alias("high"), F.max("many").over(same).alias("many"), F.sum("n").over(same).alias("n"))
-    found = found.filter(F.col("many") | (F.col("high") > F.col("owner.low")))
-    return found.select("b", "key", F.xxhash64("owner.low", F.floor(F.col("owner.at") / REFERENCE)).alias("route"), (F.col("n") > hot).alias("hot"))
+    found = keyed(packed, rows, "key long, low long, info long")
+    n = F.shiftright(F.col("info"), 1).bitwiseAND(0x7FFFFFFF)
+    found = found.select("b", "key", F.min(F.struct("low", "info")).over(same).alias("owner"), F.max("low").over(same).alias("high"), F.max(F.col("info").bitwiseAND(1)).over(same).alias("many"), F.sum(n).over(same).alias("n"))
+    found = found.filter((F.col("many") > 0) | (F.col("high") > F.col("owner.low")))
+    return found.select("b", "key", F.xxhash64("owner.low", F.shiftright(F.col("owner.info"), 32)).alias("route"), (F.col("n") > hot).alias("hot"))
 
 
 def passages(words: Words, kept: np.ndarray, route: np.ndarray, hot: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -237,7 +240,7 @@ def stream(batches, window: int):
     release()
 
 
-def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, k: int = 7, with_text: bool = True, hot: int = HOT) -> DataFrame:
+def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, k: int = 5, with_text: bool = True, hot: int = HOT) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept_sha256 and, if asked for, the kept text (words joined by blanks)."""
     kind = documents.schema[id_col].dataType.simpleString()
     if kind not in ("bigint", "int", "smallint", "tinyint"):

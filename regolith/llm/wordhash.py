@@ -9,6 +9,8 @@ _RINV = np.uint64(pow(int(_R), -1, 2**64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[str, np.ndarray] = {}
+#: Bytes whose sums are held at once.
+RUN = 1 << 19
 
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,11 +52,20 @@ class Words:
         return len(self.start)
 
     def hashes(self) -> np.ndarray:
-        r, inv = _pow(len(self.raw) + 1)
-        total = np.zeros(len(self.raw) + 1, np.uint64)
-        np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * r[: len(self.raw)], out=total[1:])
-        h = (total[self.end] - total[self.start]) * inv[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        """A hash of each word, made over runs of about RUN bytes, so that the sums take little memory."""
+        out = np.empty(len(self), np.uint64)
+        a = 0
+        while a < len(self):
+            base = int(self.start[a])
+            b = max(a + 1, int(np.searchsorted(self.end, base + RUN, "right")))
+            start, end = self.start[a:b] - base, self.end[a:b] - base
+            n = int(end[-1])
+            r, inv = _pow(n + 1)
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum((self.raw[base : base + n].astype(np.uint64) + np.uint64(1)) * r[:n], out=total[1:])
+            out[a:b] = mix((total[end] - total[start]) * inv[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            a = b
+        return out
 
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
