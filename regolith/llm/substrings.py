@@ -2,7 +2,7 @@
 
 A word goes if a window of `window` words over it also starts in a document with a smaller id.
 
-1. Blocks of documents winnow their texts (5-word hashes, 9 a window of 13), so two texts that share a window share a kept
+1. Blocks of documents winnow their texts (4-word hashes, 10 a window of 13), so two texts that share a window share a kept
    hash at the same words of it. Each distinct hash of a block is one row; Spark finds the hashes that several documents
    have and, for each, the place in its owner, the document of the smallest id: 64 words of it are one reference shard.
 2. Blocks cut the passages around shared hashes and send each distinct one, with the places where the block has it, to its
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_block, columns_of, deliver, dump_arrays, keyed, load, load_arrays, materialize, pack, release, shards_for, to_bytes
+from .common import by_block, columns_of, deliver, dump_arrays, keyed, load, load_arrays, pack, release, shards_for, to_bytes
 from .wordhash import Words, grams, mix
 
 #: Words of an owner document that form one reference shard.
@@ -240,7 +240,7 @@ def stream(batches, window: int):
     release()
 
 
-def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, k: int = 5, with_text: bool = True, hot: int = HOT) -> DataFrame:
+def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, k: int = 4, with_text: bool = True, hot: int = HOT) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept_sha256 and, if asked for, the kept text (words joined by blanks)."""
     kind = documents.schema[id_col].dataType.simpleString()
     if kind not in ("bigint", "int", "smallint", "tinyint"):
@@ -255,7 +255,7 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     asked = by_block(packed, shared_hashes(packed, window, k, hot), request, schema, blocks)
     dealt = asked.repartition(blocks, "route").sortWithinPartitions("route", "low")
-    covered = materialize(dealt.mapInArrow(lambda batches: stream(batches, window), "b long, spans binary"), "substring-cover")
+    covered = dealt.mapInArrow(lambda batches: stream(batches, window), "b long, spans binary")
 
     def finish(table, got):
         gone: dict[int, list[tuple[int, int]]] = {}
