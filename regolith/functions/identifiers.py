@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the identifiers' formats.
@@ -62,3 +62,34 @@ def pseudonym_address(address: Column) -> Column:
 
 def has_pan(text: Column) -> Column:
     return F.coalesce(text.rlike("[A-Z]{5}[0-9]{4}[A-Z]"), F.lit(False))
+
+
+def pan(value: Column) -> Column:
+    """struct(value, valid): cleaned, and whether it has the form; null and false for null or empty."""
+    return F.struct(F.when(F.coalesce(value, F.lit("")) != "", clean(value)).alias("value"), pan_ok(value).alias("valid"))
+
+
+def gstin(value: Column) -> Column:
+    return F.struct(F.when(F.coalesce(value, F.lit("")) != "", clean(value)).alias("value"), gstin_ok(value).alias("valid"))
+
+
+def _tail(value: Column, mark: str, n: int) -> Column:
+    """The last n characters behind a mark; empty values stay as they are."""
+    return F.when(F.coalesce(value, F.lit("")) == "", value).otherwise(F.concat(F.lit(f"{mark}-"), F.when(F.length(value) >= n, F.substring(value, -n, n)).otherwise("X" * n)))
+
+
+def pseudonym_record(name: Column, address: Column, pan: Column, gstin: Column, director: Column | None = None) -> Column:
+    """A record's fields as they may leave the house; PIN code, sector and district need no cover."""
+    fields = [pseudonym_name(name).alias("name"), pseudonym_address(address).alias("address"), _tail(pan, "PAN", 4).alias("pan"), _tail(gstin, "GST", 6).alias("gstin")]
+    return F.struct(*fields, *[] if director is None else [pseudonym_name(director).alias("director")])
+
+
+def pseudonyms(names: DataFrame, name_col: str) -> DataFrame:
+    """(pseudonym, name): the table that authorised readers join to undo pseudonyms; of equal ones the smallest name."""
+    return names.select(pseudonym_name(F.col(name_col)).alias("pseudonym"), F.trim(F.col(name_col)).alias("name")).filter("name <> ''").groupBy("pseudonym").agg(F.min("name").alias("name"))
+
+
+def restore(df: DataFrame, column: str, table: DataFrame) -> DataFrame:
+    """The column with known pseudonyms undone; others stay."""
+    known = table.select(F.col("pseudonym").alias(column), F.col("name").alias("_restored"))
+    return df.join(known, column, "left").withColumn(column, F.coalesce("_restored", column)).drop("_restored")

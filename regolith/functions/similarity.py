@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .text import words
 
@@ -46,3 +48,52 @@ def exact(a: Column, b: Column) -> Column:
 def conflict(a: Column, b: Column) -> Column:
     x, y = F.upper(F.trim(a)), F.upper(F.trim(b))
     return F.coalesce((x != "") & (y != "") & (x != y), F.lit(False))
+
+
+def shared_tokens(a: Column, b: Column) -> Column:
+    """Words that both texts have, sorted."""
+    return F.array_sort(F.array_intersect(tokens(a), tokens(b)))
+
+
+def _longest_common(a: str, b: str) -> int:
+    """Length of the longest common subsequence; one machine word of bits for each of a's characters."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    open_ = mask = (1 << len(a)) - 1
+    for c in b:
+        hit = open_ & places.get(c, 0)
+        open_ = (open_ + hit | open_ - hit) & mask
+    return len(a) - open_.bit_count()
+
+
+def ratio(a: str, b: str) -> float:
+    """Twice the longest common subsequence over both lengths."""
+    return 2 * _longest_common(a, b) / (len(a) + len(b)) if a or b else 1.0
+
+
+@F.pandas_udf(DoubleType())
+def _name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    def best(x, y):
+        if not x or not y:
+            return 0.0
+        if x == y:
+            return 1.0
+        return max(ratio(x, y), ratio(" ".join(sorted(x.split())), " ".join(sorted(y.split()))))
+
+    return pd.Series([best(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+#: How alike two names are: by characters (ratio, in Arrow batches), or by words.
+NAME_VARIANTS = {"ratio": lambda a, b: _name_ratio(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))), "dice": lambda a, b: dice(tokens(a), tokens(b)), "jaccard": lambda a, b: jaccard(tokens(a), tokens(b))}
+
+
+def name_similarity(a: Column, b: Column, variant: str = "dice") -> Column:
+    return NAME_VARIANTS[variant](a, b)
+
+
+def address_overlap(a: Column, b: Column, variant: str = "dice") -> Column:
+    """Of two parsed addresses: Dice over locality, street and building, or Jaccard over all text parts."""
+    parts = {"dice": ("locality", "street", "building"), "jaccard": ("raw", "building", "street", "locality", "city")}[variant]
+    text = lambda x: tokens(F.concat_ws(" ", *[x[p] for p in parts]))
+    return {"dice": dice, "jaccard": jaccard}[variant](text(a), text(b))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regolith.functions import values
+
 ACTIVE_FROM, DORMANT_FROM = 1.5, 0.0
 
 
@@ -16,23 +18,35 @@ def status(score: Column) -> Column:
     return F.when(score >= ACTIVE_FROM, "Active").when(score >= DORMANT_FROM, "Dormant").otherwise("Closed")
 
 
-def classify(identities: DataFrame, events: DataFrame, taxonomy: DataFrame, reference_date: str) -> DataFrame:
+def _counted(events: DataFrame, taxonomy: DataFrame, reference_date: str) -> DataFrame:
+    """Events of known and active types with a readable date, their age in days and decayed weight.
+
+    Types are compared in lower case; a date may be text. The taxonomy is a fixed dictionary of a few rows, hence broadcast.
+    """
+    kind = dict(events.dtypes)["event_date"]
+    date = values.to_date(F.col("event_date")) if kind == "string" else F.to_date("event_date")
+    e = events.withColumns({"event_date": date, "event_type": F.lower("event_type")}).filter("event_date is not null").join(F.broadcast(taxonomy.filter("is_active")), "event_type")
+    e = e.withColumn("days_old", F.greatest(F.lit(0), F.datediff(F.lit(reference_date).cast("date"), F.col("event_date"))))
+    return e.withColumn("decay", decayed(F.col("weight"), F.col("days_old"), F.col("half_life")))
+
+
+def classify(identities: DataFrame, events: DataFrame, taxonomy: DataFrame, reference_date: str, overrides: DataFrame | None = None) -> DataFrame:
     """ubid, score (4 places), status, n_events: known and active types only; identities without events are Dormant.
 
-    The taxonomy is a fixed dictionary of a few rows, hence broadcast; sums are partly done before the shuffle.
+    overrides: (ubid, override), a status that wins over the computed one, which then comes too; the score stays computed.
+    Sums are partly done before the shuffle.
     """
-    known = F.broadcast(taxonomy.filter("is_active"))
-    days = F.greatest(F.lit(0), F.datediff(F.lit(reference_date).cast("date"), F.col("event_date")))
-    e = events.filter(F.col("event_date").isNotNull()).withColumn("event_type", F.lower("event_type")).join(known, "event_type")
-    sums = e.groupBy("ubid").agg(F.sum(decayed(F.col("weight"), days, F.col("half_life"))).alias("sum"), F.count(F.lit(1)).alias("n_events"))
+    sums = _counted(events, taxonomy, reference_date).groupBy("ubid").agg(F.sum("decay").alias("sum"), F.count(F.lit(1)).alias("n_events"))
     out = identities.select("ubid").join(sums, "ubid", "left")
     score = F.coalesce("sum", F.lit(0.0))
-    return out.select("ubid", F.round(score, 4).alias("score"), status(score).alias("status"), F.coalesce("n_events", F.lit(0)).cast("long").alias("n_events"))
+    n = F.coalesce("n_events", F.lit(0)).cast("long").alias("n_events")
+    if overrides is None:
+        return out.select("ubid", F.round(score, 4).alias("score"), status(score).alias("status"), n)
+    out = out.join(overrides.select("ubid", "override"), "ubid", "left")
+    return out.select("ubid", F.round(score, 4).alias("score"), F.coalesce("override", status(score)).alias("status"), n, status(score).alias("computed_status"), "override")
 
 
 def timeline(events: DataFrame, taxonomy: DataFrame, reference_date: str) -> DataFrame:
     """Per identity the counted events, newest first."""
-    days = F.greatest(F.lit(0), F.datediff(F.lit(reference_date).cast("date"), F.col("event_date")))
-    e = events.join(F.broadcast(taxonomy.filter("is_active")), "event_type")
-    row = F.struct(F.col("event_date"), F.col("event_id"), F.col("event_type"), F.round("weight", 3).alias("weight"), F.round(decayed(F.col("weight"), days, F.col("half_life")), 4).alias("decayed"))
-    return e.groupBy("ubid").agg(F.sort_array(F.collect_list(row), asc=False).alias("timeline"))
+    row = F.struct(F.col("event_date"), F.col("event_id"), F.col("event_type"), F.round("weight", 3).alias("weight"), F.col("days_old"), F.round("decay", 4).alias("decayed"))
+    return _counted(events, taxonomy, reference_date).groupBy("ubid").agg(F.sort_array(F.collect_list(row), asc=False).alias("timeline"))

@@ -7,74 +7,94 @@ from pyspark.sql import functions as F
 
 from regolith.functions import similarity as S
 from regolith.functions import text as T
+from regolith.operators.graph import cut
+from regolith.operators.order import numbered
 
 #: Strategy, bucket cap; the first strategy to emit a pair names it.
 CAPS = (("pan_exact", 100), ("gstin_exact", 100), ("pincode_name", 30), ("phonetic", 25))
 NEIGHBOURS = 5
 #: Fixed weights and thresholds.
-WEIGHTS = {"pan_gstin_match": 0.5, "embedding_cosine": 0.2, "name_similarity": 0.1, "address_overlap": 0.1, "phonetic_match": 0.05, "pincode_match": 0.05}
+WEIGHTS = {"pan_gstin_match": 0.5, "embedding_similarity": 0.2, "name_similarity": 0.1, "address_overlap": 0.1, "phonetic_match": 0.05, "pincode_match": 0.05}
 AUTO_LINK, REVIEW, CONFLICT_CAP = 0.92, 0.75, 0.40
 
 
-def bucket_pairs(records: DataFrame, key: Column, strategy: str, cap: int) -> DataFrame:
+def bucket_pairs(records: DataFrame, keys: dict[str, tuple[Column, int]]) -> DataFrame:
     """Pairs within the first `cap` records (in order of id) of each bucket: the cap is part of the operator.
 
-    The bucket's kept ids are one array of at most `cap` entries, so pairs come from it without a self-join.
+    keys: for each strategy its key and cap. All strategies share one explode, one window and one grouping. A bucket's
+    kept ids are one array of at most `cap` entries, so pairs come from it without a self-join.
     """
-    r = records.select("id", key.alias("key")).filter("key is not null and key <> ''")
-    r = r.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter(F.col("rn") <= cap)
-    ids = r.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter(F.size("ids") > 1)
-    pairs = F.flatten(F.transform("ids", lambda a, i: F.transform(F.slice(F.col("ids"), i + 2, F.lit(cap)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return ids.select(F.explode(pairs).alias("p")).select("p.a", "p.b", F.lit(strategy).alias("strategy"))
+    most = max(cap for _, cap in keys.values())
+    entries = F.array(*[F.struct(F.lit(i).alias("rank"), key.alias("key"), F.lit(cap).alias("cap")) for i, (key, cap) in enumerate(keys.values())])
+    r = records.select("id", F.explode(entries).alias("e")).select("id", "e.*").filter("key is not null and key <> ''")
+    r = r.withColumn("rn", F.row_number().over(Window.partitionBy("rank", "key").orderBy("id"))).filter("rn <= cap")
+    ids = r.groupBy("rank", "key").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter(F.size("ids") > 1)
+    pairs = F.flatten(F.transform("ids", lambda a, i: F.transform(F.slice(F.col("ids"), i + 2, F.lit(most)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return ids.select("rank", F.explode(pairs).alias("p")).select("p.a", "p.b", "rank")
 
 
 def neighbour_pairs(records: DataFrame, name: Column, window: int = NEIGHBOURS) -> DataFrame:
-    """Pairs within `window` places in order of name that share a 4-letter prefix.
+    """Pairs within `window` places of each other in the order of all names that share a 4-letter prefix.
 
-    Partners share the prefix, and all of a prefix stand together in the order, so the places within it are enough: no
-    global sort, and a bucket is a prefix.
+    The prefix leaves blanks out and the order does not, so the places of all records count, whatever their prefix.
     """
-    r = records.select("id", name.alias("name"), T.name_prefix(name, 4).alias("prefix")).filter("prefix <> ''")
-    order = Window.partitionBy("prefix").orderBy("name", "id")
-    near = r.select("id", F.array(*[F.lead("id", k).over(order) for k in range(1, window + 1)]).alias("near"))
-    pairs = near.select(F.col("id").alias("x"), F.explode("near").alias("y")).filter("y is not null")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit("sorted_neighborhood").alias("strategy"))
+    r = records.select("id", T.plain_key(name).alias("key")).withColumn("prefix", T.name_prefix(F.col("key"), 4))
+    r = cut(numbered(r, ["key", "id"])).filter("prefix <> ''")
+    later = r.select(F.col("id").alias("y"), "prefix", "place")
+    near = r.select(F.col("id").alias("x"), "prefix", F.explode(F.sequence(F.col("place") + 1, F.col("place") + window)).alias("place"))
+    return near.join(later, ["prefix", "place"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def candidate_pairs(records: DataFrame) -> DataFrame:
-    """a < b once each, with the first strategy that emits the pair."""
+    """a < b once each, with the first strategy that emits the pair.
+
+    records: id, name, phonetic, pincode, pan, pan_valid, gstin, gstin_valid, all as columns that are computed once.
+    """
+    prefix = T.name_prefix(T.plain_key(F.col("name")), 6)
     keys = {
         "pan_exact": F.when(F.col("pan_valid"), F.col("pan")), "gstin_exact": F.when(F.col("gstin_valid"), F.col("gstin")),
-        "pincode_name": F.when(F.col("pincode").isNotNull() & (T.name_prefix(F.col("name"), 6) != ""), F.concat("pincode", F.lit("::"), T.name_prefix(F.col("name"), 6))), "phonetic": F.col("phonetic"),
+        "pincode_name": F.when((F.col("pincode") != "") & (prefix != ""), F.concat("pincode", F.lit("::"), prefix)), "phonetic": F.col("phonetic"),
     }
-    parts = [bucket_pairs(records, keys[s], s, cap).withColumn("rank", F.lit(i)) for i, (s, cap) in enumerate(CAPS)]
-    parts.append(neighbour_pairs(records, F.col("name")).withColumn("rank", F.lit(len(CAPS))))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.groupBy("a", "b").agg(F.min_by("strategy", "rank").alias("strategy"))
+    names = [*(s for s, _ in CAPS), "sorted_neighborhood"]
+    found = bucket_pairs(records, {s: (keys[s], cap) for s, cap in CAPS}).unionByName(neighbour_pairs(records, F.col("name")).withColumn("rank", F.lit(len(CAPS))))
+    first = found.groupBy("a", "b").agg(F.min("rank").alias("rank"))
+    return first.select("a", "b", F.element_at(F.array(*map(F.lit, names)), F.col("rank") + 1).alias("strategy"))
+
 
+def score_pairs(pairs: DataFrame, weights: dict[str, float] | None = None, name_variant: str = "dice", address_variant: str = "dice", conflict_cap: float = CONFLICT_CAP, version: str = "v1.0") -> DataFrame:
+    """From columns of both sides (suffix _a, _b) to features, score, conflict, decision, reason and evidence.
 
-def score_pairs(pairs: DataFrame) -> DataFrame:
-    """From columns of both sides (suffix _a, _b) to features, score, conflicts and decision."""
-    c = F.col
+    The sides have name, phonetic, pincode, pan, gstin, a parsed address and, if there are vectors, embedding. weights may
+    come from training. Where neither side has a tax number, that feature's weight is shared out among the others.
+    """
+    c, w = F.col, dict(weights or WEIGHTS)
     anchor = F.greatest(S.exact(c("pan_a"), c("pan_b")).cast("double"), S.exact(c("gstin_a"), c("gstin_b")).cast("double"))
+    alike = S.cosine(c("embedding_a"), c("embedding_b")) if {"embedding_a", "embedding_b"} <= set(pairs.columns) else F.lit(0.0)
     features = {
-        "pan_gstin_match": anchor, "embedding_cosine": F.lit(0.0), "name_similarity": F.round(S.dice(S.tokens(c("name_a")), S.tokens(c("name_b"))), 4),
-        "address_overlap": F.round(S.dice(S.tokens(c("address_a")), S.tokens(c("address_b"))), 4), "phonetic_match": S.jaccard(S.phonetic_tokens(c("phonetic_a")), S.phonetic_tokens(c("phonetic_b"))), "pincode_match": S.exact(c("pincode_a"), c("pincode_b")).cast("double"),
+        "pan_gstin_match": anchor, "embedding_similarity": F.round(alike, 4), "name_similarity": F.round(S.name_similarity(c("name_a"), c("name_b"), name_variant), 4),
+        "phonetic_match": S.jaccard(S.phonetic_tokens(c("phonetic_a")), S.phonetic_tokens(c("phonetic_b"))), "pincode_match": S.exact(c("pincode_a"), c("pincode_b")).cast("double"),
+        "address_overlap": F.round(S.address_overlap(c("address_a"), c("address_b"), address_variant), 4),
     }
-    out = pairs.withColumns(features)
-    empty = lambda n: F.coalesce(c(f"{n}_a"), F.lit("")).eqNullSafe("") & F.coalesce(c(f"{n}_b"), F.lit("")).eqNullSafe("")
-    spread = empty("pan") & empty("gstin")
-    rest = sum(w for n, w in WEIGHTS.items() if n != "pan_gstin_match")
-    plain = sum((c(n) * w for n, w in WEIGHTS.items()), F.lit(0.0))
-    again = sum((c(n) * (w + WEIGHTS["pan_gstin_match"] * w / rest) for n, w in WEIGHTS.items() if n != "pan_gstin_match"), F.lit(0.0))
-    clash = S.conflict(c("pan_a"), c("pan_b")) | S.conflict(c("gstin_a"), c("gstin_b"))
-    raw = F.when(spread, again).otherwise(plain)
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(clash, F.least(raw, F.lit(CONFLICT_CAP))).otherwise(raw))), 4)
-    out = out.withColumns({"score": score, "conflict": clash})
-    return out.withColumn("decision", decide(c("score"), c("conflict")))
+    empty = lambda n: (F.coalesce(c(f"{n}_a"), F.lit("")) == "") & (F.coalesce(c(f"{n}_b"), F.lit("")) == "")
+    out = pairs.withColumns({**features, "redistributed": empty("pan") & empty("gstin"), "conflicting_pan": S.conflict(c("pan_a"), c("pan_b")), "conflicting_gstin": S.conflict(c("gstin_a"), c("gstin_b"))})
+    spare = w.get("pan_gstin_match", 0.0)
+    rest = sum(x for n, x in w.items() if n != "pan_gstin_match") or 1.0
+    weight = lambda n: F.when(c("redistributed"), 0.0 if n == "pan_gstin_match" else w.get(n, 0.0) * (1 + spare / rest)).otherwise(w.get(n, 0.0))
+    parts = {n: c(n) * weight(n) for n in features}
+    raw = sum(parts.values(), F.lit(0.0))
+    clash = c("conflicting_pan") | c("conflicting_gstin")
+    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(clash, F.least(raw, F.lit(conflict_cap))).otherwise(raw))), 4)
+    told = F.struct(
+        F.struct(*features).alias("features"), F.struct(*[weight(n).alias(n) for n in features]).alias("weights"), F.struct(*[F.round(x, 4).alias(n) for n, x in parts.items()]).alias("contributions"), F.lit(version).alias("weight_version"),
+        "redistributed", "conflicting_pan", "conflicting_gstin",
+    )
+    out = out.withColumns({"score": score, "conflict": clash, "evidence": told}).drop("redistributed", "conflicting_pan", "conflicting_gstin")
+    return out.withColumns({"decision": decide(c("score"), c("conflict")), "reason": reason(c("score"), c("conflict"))})
 
 
 def decide(score: Column, conflict: Column, auto: float = AUTO_LINK, review: float = REVIEW) -> Column:
     return F.when(conflict, "separate").when(score >= auto, "auto_link").when(score >= review, "review_queue").otherwise("separate")
+
+
+def reason(score: Column, conflict: Column, auto: float = AUTO_LINK, review: float = REVIEW) -> Column:
+    return F.when(conflict, "conflicting_anchor_identifier").when(score >= auto, "above_auto_threshold").when(score >= review, "in_review_band").otherwise("below_review_threshold")

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regolith.functions import values
 from regolith.operators.graph import resolve_first
 
 OPEN = ("pending", "locked")
@@ -78,6 +79,71 @@ def evidence(pairs: DataFrame) -> DataFrame:
     })
 
 
+def feature_scores(e: DataFrame) -> DataFrame:
+    """Adds the scores that the reviewer sees, as (label, value, tone), without those that have no value.
+
+    e: evidence's rows; columns name_score and address_score, if there, are the model's and come before the words' overlap.
+    """
+    score = lambda c, words: values.percent(F.coalesce(F.when(F.col(c) != 0, F.col(c)), F.col(words)) if c in e.columns else F.col(words))
+    tone = lambda words, least: F.when(F.col(words) >= least, "success").otherwise("warning")
+    rows = [("Model confidence", values.percent(F.col("confidence")), F.lit("warning")), ("Name model score", score("name_score", "name_overlap"), tone("name_overlap", 70)), ("Address overlap", score("address_score", "address_overlap"), tone("address_overlap", 50))]
+    shown = F.array(*[F.struct(F.lit(label).alias("label"), value.alias("value"), t.alias("tone")) for label, value, t in rows])
+    return e.withColumn("feature_scores", F.filter(shown, lambda x: x["value"].isNotNull()))
+
+
+def screen(pairs: DataFrame, status: str = "pending", limit: int = 100) -> DataFrame:
+    """The reviewer's list: pending items with their evidence, the most urgent first, then the oldest."""
+    first = pairs.filter(F.col("status") == status).orderBy(F.desc("priority"), F.asc_nulls_first("queued_at"), "id").limit(limit)
+    recommended = F.when(F.col("same_pan") & F.col("same_pincode") & (F.col("name_overlap") >= 70), "approve").otherwise("keep_separate")
+    return feature_scores(evidence(first)).withColumns({"confidence_percent": values.percent(F.col("confidence")), "recommendation": recommended, "queued_at": values.date_text(F.col("queued_at"))})
+
+
+def item(pairs: DataFrame, queue_id, written: str | None = None) -> DataFrame:
+    """One item's summary and recommendation (no row for an unknown id): the rules', or a text written elsewhere, which may
+    itself recommend to approve."""
+    e = evidence(pairs.filter(F.col("id") == queue_id).limit(1))
+    strong = F.col("same_pan") & F.col("same_pincode") & (F.col("name_overlap") >= 70)
+    summary = F.lit(written) if written else F.col("summary")
+    approve = (F.lower(summary).contains("approve") | strong) if written else strong
+    return e.select("id", summary.alias("summary"), F.when(approve, "approve").otherwise("keep_separate").alias("recommendation"), F.lit("written" if written else "rule_summary").alias("source"))
+
+
+def context(pairs: DataFrame) -> DataFrame:
+    """What a reviewer gets of a pair: both records, the scores, the matches. pairs has an embedding evidence's columns."""
+    side = lambda s: F.struct(*[F.col(f"{n}_{s}").alias(n) for n in ("name", "pan", "gstin", "pincode", "address") if f"{n}_{s}" in pairs.columns])
+    return pairs.select(
+        side("a").alias("record_a"), side("b").alias("record_b"),
+        F.struct(F.col("semantic_similarity").alias("semantic_embedding"), "token_overlap", F.col("fuzzy_name_similarity").alias("fuzzy_name"), "address_overlap").alias("similarity_scores"), F.struct("pan_match", "gstin_match", "pincode_match").alias("identifier_matches"), "matched_tokens",
+    )
+
+
+def training_examples(pairs: DataFrame, decided: DataFrame) -> DataFrame:
+    """Evidence of decided pairs with the label for training: (id, the features, reviewer_decision, label)."""
+    d = pairs.join(latest(decided).filter("decision <> 'defer'"), "id")
+    return d.select("id", "semantic_similarity", "token_overlap", "fuzzy_name_similarity", "address_overlap", "pan_match", "gstin_match", "pincode_match", F.col("decision").alias("reviewer_decision"), (F.col("decision") == "confirm_match").cast("int").alias("label"))
+
+
+def lock(queue: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Items that reviewers take: (id, reviewer, at); a pending item is locked by the first of them, others stay."""
+    first = wanted.groupBy("id").agg(F.min(F.struct("at", "reviewer")).alias("by"))
+    out = queue.join(first, "id", "left")
+    taken = (F.col("status") == "pending") & F.col("by").isNotNull()
+    return out.withColumns({"status": F.when(taken, "locked").otherwise(F.col("status")), "locked_by": F.when(taken, F.col("by.reviewer"))}).drop("by")
+
+
+def unlinked_by(links: DataFrame, after: DataFrame, on_date: str) -> DataFrame:
+    """Links that a review ends: those of its records to another entity than they have now, with the date."""
+    now = after.filter("decision_type = 'reviewer_approved'").select("record", F.col("entity").alias("_now"))
+    return links.join(now, "record").filter(F.col("entity") != F.col("_now")).select("record", "entity", F.lit(on_date).alias("unlinked_at"))
+
+
+def decision_rows(queue: DataFrame, actions: DataFrame) -> DataFrame:
+    """The decisions table after a batch: one row per item, whatever was decided before."""
+    d = queue.join(latest(actions), "id")
+    kind = F.when(F.col("decision") == "confirm_match", "auto_link").when(F.col("decision") == "confirm_non_match", "separate").otherwise("review_queue")
+    return d.select("id", "record_a", "record_b", kind.alias("decision_type"), "decision", "confidence")
+
+
 def open_items(queue: DataFrame, limit: int = 50) -> DataFrame:
     return queue.filter(F.col("status").isin(*OPEN)).select("id", "confidence", "priority", "status", "queued_at").orderBy(F.desc("priority"), F.asc_nulls_first("queued_at"), "id").limit(limit)
 

@@ -8,17 +8,18 @@ BASE = """
 WITH ubids AS (
   SELECT c_custkey AS ubid, CASE WHEN c_custkey % 5 <> 0 THEN 'ABCPK' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || 'F' END AS pan,
     CASE WHEN c_custkey % 3 = 0 THEN '29ABCPK' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || 'F1Z5' END AS gstin,
-    c_custkey % 50 <> 49 AS is_canonical, CAST(DATE '2023-01-01' + CAST(c_custkey % 365 AS INTEGER) AS DATE) AS created_on FROM customer
+    c_custkey % 50 <> 49 AS is_canonical, CAST(DATE '2023-01-01' + CAST(c_custkey % 365 AS INTEGER) AS DATE) AS created_on, CAST(DATE '2023-01-01' + CAST(c_custkey % 365 + c_custkey % 90 AS INTEGER) AS DATE) AS updated_on FROM customer
 ), raw_records AS (
   SELECT o_orderkey AS raw_id, o_custkey AS owner, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'tax' WHEN '2' THEN 'municipal' WHEN '3' THEN 'labor' WHEN '4' THEN 'pollution' WHEN '5' THEN 'water' ELSE 'other' END AS source_system,
-    o_orderdate AS extracted_at, 'Customer ' || CAST(o_custkey AS VARCHAR) AS payload_name FROM orders
+    o_orderdate AS extracted_at, CASE WHEN o_orderkey % 40 <> 7 THEN 'Customer ' || CAST(o_custkey AS VARCHAR) END AS payload_name, CASE WHEN o_orderkey % 6 <> 1 THEN 'Plot ' || CAST(o_orderkey % 90 AS VARCHAR) || ', MG Road, ' || CAST(o_orderkey % 25 + 560000 AS VARCHAR) END AS payload_address,
+    upper(substr(CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'tax' WHEN '2' THEN 'municipal' WHEN '3' THEN 'labor' WHEN '4' THEN 'pollution' WHEN '5' THEN 'water' ELSE 'other' END, 1, 3)) || '-' || CAST(o_orderkey AS VARCHAR) AS source_record_id FROM orders
 ), normalized AS (
   SELECT raw_id, lower(c_name) AS normalized_name, CAST(c_nationkey + 560000 AS VARCHAR) AS pincode, c_mktsegment AS sector FROM raw_records JOIN customer ON owner = c_custkey
 ), links AS (
-  SELECT o_orderkey AS raw_id, o_custkey AS ubid, CAST(0.5 AS DOUBLE) + CAST(o_orderkey % 50 AS DOUBLE) / 100.0 AS confidence, CASE WHEN o_orderkey % 20 = 0 THEN o_orderdate END AS unlinked_at, o_orderdate AS linked_at FROM orders
+  SELECT o_orderkey AS raw_id, o_custkey AS ubid, CAST(0.5 AS DOUBLE) + CAST(o_orderkey % 50 AS DOUBLE) / 100.0 AS confidence, CASE WHEN o_orderkey % 20 = 0 THEN o_orderdate END AS unlinked_at, o_orderdate AS linked_at, CASE WHEN o_orderkey % 3 = 0 THEN 'auto_link' ELSE 'reviewer_approved' END AS decision_type FROM orders
 ), ev AS (
   SELECT event_id, user_id AS ubid, CASE event_type WHEN 'view' THEN 'inspection' WHEN 'purchase' THEN 'renewal' WHEN 'click' THEN 'utility_reading' WHEN 'signup' THEN 'compliance_filing' WHEN 'error' THEN 'closure_declaration' END AS event_type,
-    CAST(ts AS DATE) AS event_date, json_extract_string(props, '$.k') AS outcome FROM events
+    CAST(ts AS DATE) AS event_date, json_extract_string(props, '$.k') AS outcome, ts AS ingested_at FROM events
 ), taxonomy(event_type, weight, half_life) AS (
   VALUES ('inspection', CAST(0.4 AS DOUBLE), 30), ('renewal', CAST(0.5 AS DOUBLE), 60), ('utility_reading', CAST(0.1 AS DOUBLE), 15), ('closure_declaration', CAST(-0.9 AS DOUBLE), 90)
 ), sums AS (
@@ -28,7 +29,7 @@ WITH ubids AS (
 ), registry AS (
   SELECT u.ubid, coalesce(min(r.payload_name), min(n.normalized_name), 'Unknown Business') AS business_name,
     coalesce(min(CASE WHEN n.sector IN ('MACHINERY', 'BUILDING', 'AUTOMOBILE') THEN n.sector END), min(n.sector), 'Unknown') AS sector, min(n.pincode) AS pin_code, min(u.pan) AS pan, min(u.gstin) AS gstin,
-    coalesce(min(a.status), 'Unknown') AS status, min(a.score) AS activity_score, max(l.confidence) AS confidence_score, count(DISTINCT r.raw_id) AS record_count, count(DISTINCT r.source_system) AS source_count, min(u.created_on) AS created_on
+    coalesce(min(a.status), 'Unknown') AS status, min(a.score) AS activity_score, max(l.confidence) AS confidence_score, count(DISTINCT r.raw_id) AS record_count, count(DISTINCT r.source_system) AS source_count, min(u.created_on) AS created_on, min(u.updated_on) AS updated_on
   FROM ubids u LEFT JOIN activity a ON a.ubid = u.ubid LEFT JOIN links l ON l.ubid = u.ubid AND l.unlinked_at IS NULL LEFT JOIN raw_records r ON r.raw_id = l.raw_id LEFT JOIN normalized n ON n.raw_id = r.raw_id
   WHERE u.is_canonical GROUP BY u.ubid
 ), source_records AS (
@@ -45,6 +46,23 @@ WITH ubids AS (
   SELECT id, CASE id % 3 WHEN 0 THEN 'confirm_match' WHEN 1 THEN 'confirm_non_match' ELSE 'defer' END AS decision FROM rq WHERE id % 5 = 0
 ), rl AS (
   SELECT record, 'U' || CAST(record % 100 AS VARCHAR) AS entity, DATE '2024-01-01' + CAST(record % 30 AS INTEGER) AS linked_at FROM rp WHERE record % 4 = 0
+), ids AS (
+  SELECT o_orderkey AS raw_id, CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN 'ABCPK' || lpad(CAST((o_custkey + 1) % 10000 AS VARCHAR), 4, '0') || 'F' ELSE 'ABCPK' || lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') || 'F' END AS pan,
+    CASE WHEN o_custkey % 3 = 0 AND o_orderkey % 4 <> 0 THEN '29ABCPK' || lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') || 'F1Z5' END AS gstin,
+    CASE WHEN o_orderkey % 3 = 0 THEN CAST(12.9 AS DOUBLE) + CAST(o_orderkey % 10 AS DOUBLE) / 100 END AS latitude, CASE WHEN o_orderkey % 3 = 0 THEN CAST(77.5 AS DOUBLE) + CAST(o_orderkey % 7 AS DOUBLE) / 100 END AS longitude FROM orders
+), wide AS (
+  SELECT r.raw_id, r.source_system, r.source_record_id, r.payload_name AS raw_name, r.payload_address AS raw_address, r.extracted_at, n.normalized_name, n.pincode, n.sector, i.pan, i.gstin, i.latitude, i.longitude, l.ubid, l.confidence, l.decision_type, l.linked_at
+  FROM raw_records r LEFT JOIN normalized n USING (raw_id) LEFT JOIN ids i USING (raw_id) LEFT JOIN links l ON l.raw_id = r.raw_id AND l.unlinked_at IS NULL
+), pairs AS (
+  SELECT *, CASE WHEN reviewer_decision IS NOT NULL THEN 'resolved' WHEN a % 70 = 0 THEN 'locked' ELSE 'pending' END AS review_status, CASE WHEN a % 40 = 0 THEN 'separate' ELSE 'review_queue' END AS decision_type
+  FROM (SELECT x.o_orderkey AS pair_id, x.o_orderkey AS a, x.o_orderkey + 5 AS b, CASE WHEN x.o_orderkey % 20 = 0 THEN 'pan_exact' ELSE 'phonetic' END AS strategy, CAST(0.5 AS DOUBLE) + CAST(x.o_orderkey % 50 AS DOUBLE) / 100.0 AS score,
+    CASE x.o_orderkey % 30 WHEN 0 THEN 'confirm_match' WHEN 10 THEN 'confirm_non_match' END AS reviewer_decision FROM orders x JOIN orders y ON y.o_orderkey = x.o_orderkey + 5 WHERE x.o_orderkey % 10 = 0)
+), overrides AS (
+  SELECT c_custkey AS ubid, CASE WHEN c_custkey % 2 = 0 THEN 'Active' ELSE 'Closed' END AS override FROM customer WHERE c_custkey % 29 = 5
+), base AS (
+  SELECT u.ubid, u.pan AS anchor_pan, u.gstin AS anchor_gstin, coalesce(o.override, a.status) AS status, a.score, o.override FROM ubids u JOIN activity a ON a.ubid = u.ubid LEFT JOIN overrides o ON o.ubid = u.ubid
+), audits AS (
+  SELECT o_orderkey AS id, o_custkey AS ubid, CASE WHEN o_orderkey % 2 = 0 THEN 'record_linked' ELSE 'decision_made' END AS action, 'system' AS actor, 'ubid' AS entity_type, CAST(o_orderdate AS DATE) AS created_at FROM orders WHERE o_orderkey % 3 = 0
 )
 """
 LIST = "ubid, business_name, sector, pin_code, status, confidence_score, pan, gstin"
@@ -52,7 +70,7 @@ LIST = "ubid, business_name, sector, pin_code, status, confidence_score, pan, gs
 SQL = {
     "v_registry": "SELECT * FROM registry",
     "v_source_records": "SELECT * FROM source_records",
-    "v_activity_events": "SELECT ev.event_id, ev.ubid, ev.event_type, ev.event_date, ev.outcome, ubids.ubid IS NOT NULL AS is_known FROM ev LEFT JOIN ubids ON ubids.ubid = ev.ubid",
+    "v_activity_events": "SELECT ev.event_id, ev.ubid, ev.event_type, ev.event_date, ev.outcome, ubids.ubid IS NOT NULL AS is_known, ev.ingested_at FROM ev LEFT JOIN ubids ON ubids.ubid = ev.ubid",
     "d14_activity": "SELECT ubid, score, status, n_events FROM activity",
     "q1_pan": f"SELECT {LIST} FROM registry WHERE pan = 'ABCPK0042F' ORDER BY business_name, ubid LIMIT 50",
     "q2_gstin": f"SELECT {LIST} FROM registry WHERE gstin = '29ABCPK0042F1Z5' ORDER BY business_name, ubid LIMIT 50",
@@ -61,17 +79,15 @@ SQL = {
     "q6_status_by_pin": "SELECT pin_code, count(*) AS businesses, round(avg(confidence_score), 3) AS avg_confidence FROM registry WHERE status IN ('Active') GROUP BY pin_code",
     "q7_status_by_sector": "SELECT sector, count(*) AS businesses, round(avg(confidence_score), 3) AS avg_confidence FROM registry WHERE status IN ('Closed', 'Dormant') GROUP BY sector",
     "q8_sector_status": "SELECT sector, status, count(*) AS businesses, round(avg(confidence_score), 3) AS avg_confidence FROM registry GROUP BY sector, status",
-    "q9_departments": "SELECT source_system, count(*) AS records, count(DISTINCT ubid) AS businesses, count(ubid) AS linked FROM source_records GROUP BY source_system",
+    "q9_departments": 'SELECT source_system, count(*) AS records, count(DISTINCT ubid) AS businesses, count(ubid) AS linked, round(avg(confidence), 3) AS avg_confidence FROM source_records GROUP BY source_system',
     "q10_list": f"SELECT {LIST} FROM registry WHERE status IN ('Active') ORDER BY confidence_score DESC NULLS LAST, ubid LIMIT 25",
-    "r1_metrics": "SELECT *, round((1 - ubids / greatest(records, 1)) * 100, 1) AS dedupe_rate FROM (SELECT count(*) AS ubids, count_if(status = 'Active') AS active, count_if(status = 'Dormant') AS dormant, count_if(status = 'Closed') AS closed, count(pan) AS with_pan, count(gstin) AS with_gstin, count_if(sector IN ('MACHINERY', 'BUILDING', 'AUTOMOBILE')) AS industrial FROM registry), (SELECT count(*) AS records, count_if(unlinked_at IS NULL) AS linked FROM links)",
+    "r1_metrics": "SELECT *, round((1 - ubids / greatest(records, 1)) * 100, 1) AS dedupe_rate, round(least(100, active / greatest(ubids, 1) * 100), 1) AS active_percent, round(least(100, dormant / greatest(ubids, 1) * 100), 1) AS dormant_percent, round(least(100, closed / greatest(ubids, 1) * 100), 1) AS closed_percent FROM (SELECT count(*) AS ubids, count_if(status = 'Active') AS active, count_if(status = 'Dormant') AS dormant, count_if(status = 'Closed') AS closed, count(pan) AS with_pan, count(gstin) AS with_gstin, count_if(sector IN ('MACHINERY', 'BUILDING', 'AUTOMOBILE')) AS industrial FROM registry), (SELECT count(*) AS records, count_if(unlinked_at IS NULL) AS linked FROM links), (SELECT count_if(status IN ('pending', 'locked')) AS pending_review FROM rq), (SELECT count(*) AS pending_events FROM ev WHERE ubid NOT IN (SELECT ubid FROM ubids))",
     "r1_bands": "SELECT CASE WHEN confidence >= CAST(0.95 AS DOUBLE) THEN 'Auto-link ready' WHEN confidence >= CAST(0.75 AS DOUBLE) THEN 'Human review band' ELSE 'Keep separate' END AS band, count(*) AS links FROM links WHERE unlinked_at IS NULL GROUP BY 1",
     "r1_coverage": "SELECT source_system, count(*) AS records, count(ubid) AS linked, round(avg(confidence), 3) AS avg_confidence FROM source_records GROUP BY 1",
     "r1_hotspots": "SELECT pin_code, count(*) AS businesses, count_if(status = 'Active') AS active, count_if(status = 'Dormant') AS dormant, count_if(status = 'Closed') AS closed FROM registry GROUP BY pin_code ORDER BY businesses DESC, pin_code NULLS FIRST LIMIT 8",
     "r3_page": "SELECT * FROM source_records WHERE source_system = 'tax' AND ubid IS NOT NULL AND raw_name ILIKE '%customer 1%' ORDER BY extracted_at DESC, raw_id LIMIT 25 OFFSET 25",
-    "r3_facets": "SELECT facet, value, count(*) AS records FROM (SELECT unnest([{'facet': 'source', 'value': source_system}, {'facet': 'sector', 'value': coalesce(sector, 'Unknown')}, {'facet': 'pincode', 'value': pincode}, {'facet': 'status', 'value': coalesce(status, 'Unlinked')}], recursive := true) FROM source_records s LEFT JOIN activity USING (ubid)) GROUP BY facet, value",
-    "r7_timeline": "SELECT ubid, event_date AS on_date, event_type AS what, event_id AS ref FROM ev UNION ALL SELECT ubid, CAST(linked_at AS DATE), 'record_linked', raw_id FROM links WHERE unlinked_at IS NULL",
-    "r8_directory": "SELECT ubid, business_name, sector, pin_code, status, confidence_score, record_count FROM registry WHERE (business_name ILIKE '%er 1%' OR pan ILIKE '%er 1%') AND pan IS NOT NULL ORDER BY business_name DESC NULLS LAST, ubid LIMIT 25",
-    "r9_unlinked": "SELECT count(*) AS total, count_if(n = 1) AS single_pan, count_if(pan IS NULL) AS no_pan, count_if(n > 1) AS other FROM (SELECT o.*, p.n FROM (SELECT r.raw_id, u.pan FROM raw_records r JOIN ubids u ON u.ubid = r.owner WHERE r.raw_id NOT IN (SELECT raw_id FROM links WHERE unlinked_at IS NULL)) o LEFT JOIN (SELECT pan, count(*) AS n FROM raw_records r JOIN ubids u ON u.ubid = r.owner WHERE pan IS NOT NULL GROUP BY pan) p USING (pan))",
+    "r3_facets": "SELECT facet, value, records FROM (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY records DESC, value) AS place FROM (SELECT facet, value, count(*) AS records FROM (SELECT unnest([{'facet': 'source', 'value': source_system}, {'facet': 'sector', 'value': coalesce(sector, 'Unknown')}, {'facet': 'pincode', 'value': coalesce(pincode, 'Unknown')}, {'facet': 'status', 'value': coalesce(status, 'Unlinked')}], recursive := true) FROM source_records s LEFT JOIN activity a ON a.ubid = s.ubid) GROUP BY facet, value)) WHERE facet <> 'pincode' OR place <= 25",
+    "r9_unlinked": "SELECT * FROM (WITH lost AS (SELECT i.raw_id, i.pan FROM ids i LEFT JOIN (SELECT raw_id FROM links WHERE unlinked_at IS NULL) l ON l.raw_id = i.raw_id WHERE l.raw_id IS NULL) SELECT total, single_pan, no_pan, separated, greatest(0, total - single_pan - no_pan - separated) AS other FROM (SELECT (SELECT count(*) FROM lost) AS total, (SELECT count(*) FROM (SELECT pan FROM lost WHERE pan IS NOT NULL AND pan <> '' GROUP BY pan HAVING count(*) = 1)) AS single_pan, (SELECT count(*) FROM lost WHERE pan IS NULL OR pan = '') AS no_pan, (SELECT count(DISTINCT lost.raw_id) FROM lost JOIN pairs ON pairs.a = lost.raw_id OR pairs.b = lost.raw_id WHERE pairs.decision_type = 'separate') AS separated))",
 }
 
 #: Queries that stand alone.
@@ -127,7 +143,7 @@ SQL |= {
     "q14_hints": " UNION ALL ".join(f"SELECT * FROM (SELECT DISTINCT '{name}' AS column, {c} AS value FROM {t} WHERE {c} <> '' ORDER BY value LIMIT 20)" for t, c, name in (("registry", "status", "status"), ("registry", "sector", "sector"), ("source_records", "source_system", "source_system"), ("ev", "event_type", "event_type"), ("rq", "status", "review_status"))),
     "q20_governed": "SELECT pin_code, count(*) AS businesses FROM registry WHERE sector IN ('MACHINERY', 'BUILDING', 'AUTOMOBILE') GROUP BY pin_code",
     "q21_answer": "SELECT pin_code, count(*) AS business_count, round(avg(confidence_score), 3) AS average_match_confidence FROM registry WHERE status = 'Active' AND pin_code IS NOT NULL GROUP BY pin_code ORDER BY business_count DESC, pin_code LIMIT 50",
-    "r2_map": "SELECT ubid, business_name, status, round(CAST(12.9 AS DOUBLE) + k * CAST(0.01 AS DOUBLE) + (i % 9 - 4) * CAST(0.0015 AS DOUBLE), 6) AS lat, round(CAST(77.5 AS DOUBLE) + k * CAST(0.01 AS DOUBLE) + (i // 9 % 9 - 4) * CAST(0.0015 AS DOUBLE), 6) AS lng FROM (SELECT *, row_number() OVER (ORDER BY ubid) - 1 AS i, CAST(pin_code AS INTEGER) - 560000 AS k FROM registry ORDER BY ubid LIMIT 500) WHERE pin_code IS NOT NULL",
+    "r2_map": "SELECT ubid, coalesce(name, 'Unknown Business') AS business_name, coalesce(status, 'Unknown') AS status, round(coalesce(CASE WHEN own_lng IS NOT NULL THEN own_lat END, CAST(12.9 AS DOUBLE) + n_nationkey * CAST(0.01 AS DOUBLE)) + (i % 9 - 4) * CAST(0.0015 AS DOUBLE), 6) AS lat, round(coalesce(CASE WHEN own_lat IS NOT NULL THEN own_lng END, CAST(77.5 AS DOUBLE) + n_nationkey * CAST(0.01 AS DOUBLE)) + (i // 9 % 9 - 4) * CAST(0.0015 AS DOUBLE), 6) AS lng FROM (SELECT *, row_number() OVER (ORDER BY ubid) - 1 AS i FROM (SELECT w.ubid, a.status, min(normalized_name) AS name, min(pincode) AS pin, avg(latitude) AS own_lat, avg(longitude) AS own_lng FROM wide w JOIN activity a ON a.ubid = w.ubid GROUP BY w.ubid, a.status ORDER BY w.ubid LIMIT 500)) LEFT JOIN nation ON n_nationkey + 560000 = CAST(pin AS INTEGER) WHERE own_lat IS NOT NULL OR n_nationkey IS NOT NULL",
     "r3_summary": "SELECT count(*) AS total, count(ubid) AS linked, count_if(ubid IS NULL) AS unlinked, count(pan) AS with_pan, count(gstin) AS with_gstin, round(avg(confidence) * 100, 2) AS avg_confidence FROM source_records LEFT JOIN (SELECT ubid, pan, gstin FROM ubids) USING (ubid)",
     "r6_lookup": "SELECT raw_id, source_system, raw_name, ubid, confidence FROM source_records WHERE raw_id = 42 OR raw_name ILIKE '%42%' ORDER BY CASE WHEN raw_id = 42 THEN 0 ELSE 1 END, extracted_at DESC, raw_id LIMIT 25",
     "t7_streamed_activity": SQL["d14_activity"],
@@ -139,15 +155,15 @@ PLAIN |= {
 
 
 #: Dates are compared as text.
-DATES = {"v_registry": "created_on", "v_activity_events": "event_date", "q3_stale_inspections": "last_inspection", "r7_timeline": "on_date", "q5_review": "queued_at"}
+DATES = {"v_registry": ("created_on", "updated_on"), "v_activity_events": ("event_date",), "q3_stale_inspections": ("last_inspection",), "q5_review": ("queued_at",)}
 
 
-def _whole(name: str, sql: str) -> str:
+def whole(name: str, sql: str, dates: tuple[str, ...] = ()) -> str:
     sql = re.sub(r"count_if\(([^()]*(?:\([^()]*\)[^()]*)*)\)", r"CAST(count_if(\1) AS BIGINT)", sql)
-    if name in DATES:
-        sql = f"SELECT * REPLACE (CAST({DATES[name]} AS VARCHAR) AS {DATES[name]}) FROM ({sql})"
+    if dates:
+        sql = f"SELECT * REPLACE ({', '.join(f'CAST({d} AS VARCHAR) AS {d}' for d in dates)}) FROM ({sql})"
     return BASE + sql
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: _whole(k, v) for k, v in SQL.items()} | PLAIN
+    return {k: whole(k, v, DATES.get(k, ())) for k, v in SQL.items()} | PLAIN

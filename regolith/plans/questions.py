@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from regolith.functions import values
 from regolith.operators import reports, review, views
 from regolith.plans import gate
 from regolith.sources.registry import INDUSTRIAL, Registry
@@ -159,6 +161,19 @@ def relax(r: Registry, text: str) -> dict:
     return {"mode": "no_exact_match", "title": None, "related": [], "facts": facts}
 
 
+def modes(rows: DataFrame, columns: tuple[str, ...] = ("pin_code", "sector", "status"), top: int = 3) -> DataFrame:
+    """(column, value, n): the most frequent non-empty values of each column."""
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    n = rows.select(F.explode(entries).alias("e")).select("e.*").filter("value <> ''").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))
+    return n.withColumn("place", place).filter(F.col("place") <= top).drop("place")
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    """A result as its table shows it: friendly headings, cells as text."""
+    return rows.select(*[values.display(F.col(c), kind).alias(c.replace("_", " ").title()) for c, kind in rows.dtypes])
+
+
 def report(rows: list[dict]) -> str:
     """A sentence about at most 50 rows, by their columns."""
     if not rows:
@@ -176,7 +191,9 @@ def report(rows: list[dict]) -> str:
             return f"{n} {name}; {top[key]} leads with {top['business_count']} businesses."
     if "last_inspection" in top:
         return f"{n} industrial businesses have no recent inspection; {sum(x['last_inspection'] is None for x in rows)} of them have none at all."
-    return f"{n} businesses match; the first is {top.get('business_name')}."
+    usual = [", ".join(f"{v} ({k})" for v, k in Counter(x[c] for x in rows if x.get(c)).most_common(3)) for c in ("pin_code", "sector", "status")]
+    most = "".join(f" Most by {name}: {text}." for name, text in zip(("PIN code", "sector", "status"), usual) if text)
+    return f"{n} businesses match; the first is {top.get('business_name')}.{most}"
 
 
 class Engine:

@@ -24,13 +24,46 @@ class Registry:
         k = F.col("c_custkey")
         pan = F.when(k % 5 != 0, F.concat(F.lit("ABCPK"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("F")))
         gstin = F.when(k % 3 == 0, F.concat(F.lit("29ABCPK"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("F1Z5")))
-        return self.table("customer").select(k.alias("ubid"), pan.alias("pan"), gstin.alias("gstin"), (k % 50 != 49).alias("is_canonical"), F.date_add(F.lit("2023-01-01").cast("date"), (k % 365).cast("int")).alias("created_on"))
+        made = F.date_add(F.lit("2023-01-01").cast("date"), (k % 365).cast("int"))
+        return self.table("customer").select(k.alias("ubid"), pan.alias("pan"), gstin.alias("gstin"), (k % 50 != 49).alias("is_canonical"), made.alias("created_on"), F.date_add(made, (k % 90).cast("int")).alias("updated_on"))
 
     def raw_records(self) -> DataFrame:
         source = F.lit("other")
         for digit, name in SOURCES:
             source = F.when(F.substring("o_orderpriority", 1, 1) == digit, name).otherwise(source)
-        return self.table("orders").select(F.col("o_orderkey").alias("raw_id"), F.col("o_custkey").alias("owner"), source.alias("source_system"), F.col("o_orderdate").alias("extracted_at"), F.concat(F.lit('{"name":"Customer '), F.col("o_custkey").cast("string"), F.lit('"}')).alias("raw_payload"))
+        k, owner = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+        name = F.when(k % 40 != 7, F.concat(F.lit("Customer "), owner))
+        address = F.when(k % 6 != 1, F.concat(F.lit("Plot "), (k % 90).cast("string"), F.lit(", MG Road, "), (k % 25 + 560000).cast("string")))
+        return self.table("orders").select(
+            k.alias("raw_id"), F.col("o_custkey").alias("owner"), source.alias("source_system"), F.concat(F.upper(F.substring(source, 1, 3)), F.lit("-"), k.cast("string")).alias("source_record_id"), F.col("o_orderdate").alias("extracted_at"),
+            F.to_json(F.struct(name.alias("name"), address.alias("address"))).alias("raw_payload"),
+        )
+
+    def identifiers(self) -> DataFrame:
+        """The tax numbers that each raw record states: some none, some those of another identity."""
+        k, owner = F.col("o_orderkey"), F.col("o_custkey")
+        pan = lambda n: F.concat(F.lit("ABCPK"), F.lpad((n % 10000).cast("string"), 4, "0"), F.lit("F"))
+        return self.table("orders").select(k.alias("raw_id"), F.when(k % 9 == 0, None).when(k % 11 == 0, pan(owner + 1)).otherwise(pan(owner)).alias("pan"), F.when((owner % 3 == 0) & (k % 4 != 0), F.concat(F.lit("29"), pan(owner), F.lit("1Z5"))).alias("gstin"), F.when(k % 3 == 0, 12.9 + (k % 10) / 100.0).alias("latitude"), F.when(k % 3 == 0, 77.5 + (k % 7) / 100.0).alias("longitude"))
+
+    def pairs(self) -> DataFrame:
+        """Candidate pairs of raw records with score, review and decision."""
+        k = F.col("o_orderkey")
+        o = self.table("orders").select("o_orderkey")
+        both = o.filter(k % 10 == 0).join(o.select((k - 5).alias("o_orderkey")), "o_orderkey")
+        decision = F.when(k % 30 == 0, "confirm_match").when(k % 30 == 10, "confirm_non_match")
+        return both.select(
+            k.alias("pair_id"), k.alias("a"), (k + 5).alias("b"), F.when(k % 20 == 0, "pan_exact").otherwise("phonetic").alias("strategy"), (F.lit(0.5) + (k % 50).cast("double") / 100.0).alias("score"),
+            F.when(decision.isNotNull(), "resolved").when(k % 70 == 0, "locked").otherwise("pending").alias("review_status"), decision.alias("reviewer_decision"), F.when(k % 40 == 0, "separate").otherwise("review_queue").alias("decision_type"),
+        )
+
+    def overrides(self) -> DataFrame:
+        """Statuses that reviewers set by hand."""
+        k = F.col("c_custkey")
+        return self.table("customer").filter(k % 29 == 5).select(k.alias("ubid"), F.when(k % 2 == 0, "Active").otherwise("Closed").alias("override"))
+
+    def audits(self) -> DataFrame:
+        k = F.col("o_orderkey")
+        return self.table("orders").filter(k % 3 == 0).select(k.alias("id"), F.col("o_custkey").alias("ubid"), F.when(k % 2 == 0, "record_linked").otherwise("decision_made").alias("action"), F.lit("system").alias("actor"), F.lit("ubid").alias("entity_type"), F.to_date("o_orderdate").alias("created_at"))
 
     def normalized(self) -> DataFrame:
         c = self.table("customer").select(F.col("c_custkey").alias("owner"), F.lower("c_name").alias("normalized_name"), (F.col("c_nationkey") + 560000).cast("string").alias("pincode"), F.col("c_mktsegment").alias("sector"))
@@ -38,14 +71,14 @@ class Registry:
 
     def links(self) -> DataFrame:
         k = F.col("o_orderkey")
-        return self.table("orders").select(k.alias("raw_id"), F.col("o_custkey").alias("ubid"), (F.lit(0.5) + (k % 50).cast("double") / 100.0).alias("confidence"), F.when(k % 20 == 0, F.col("o_orderdate")).alias("unlinked_at"), F.col("o_orderdate").alias("linked_at"))
+        return self.table("orders").select(k.alias("raw_id"), F.col("o_custkey").alias("ubid"), (F.lit(0.5) + (k % 50).cast("double") / 100.0).alias("confidence"), F.when(k % 20 == 0, F.col("o_orderdate")).alias("unlinked_at"), F.col("o_orderdate").alias("linked_at"), F.when(k % 3 == 0, "auto_link").otherwise("reviewer_approved").alias("decision_type"))
 
     def events(self, rows: DataFrame | None = None) -> DataFrame:
         """From the events table, or from `rows` of its columns (a stream)."""
         kind = F.lit(None).cast("string")
         for name, registry, *_ in TAXONOMY:
             kind = F.when(F.col("event_type") == name, registry).otherwise(kind)
-        return (self.table("events") if rows is None else rows).select("event_id", F.col("user_id").alias("ubid"), kind.alias("event_type"), F.to_date("ts").alias("event_date"), F.get_json_object("props", "$.k").alias("outcome"))
+        return (self.table("events") if rows is None else rows).select("event_id", F.col("user_id").alias("ubid"), kind.alias("event_type"), F.to_date("ts").alias("event_date"), F.get_json_object("props", "$.k").alias("outcome"), F.col("ts").alias("ingested_at"))
 
     def taxonomy(self) -> DataFrame:
         rows = ", ".join(f"('{n}', {w}D, {h}, {str(on).lower()})" for _, n, w, h, on in TAXONOMY)

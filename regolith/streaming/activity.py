@@ -11,14 +11,19 @@ from regolith.operators.activity import status
 from regolith.operators.graph import shared_root
 
 
+def _timed(stream: DataFrame, time: str, delay: str) -> DataFrame:
+    """With a watermark, which takes times of the session's zone only."""
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+
+
 def deduplicated(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
     """One row per key within the watermark; state older than `delay` is dropped by the engine."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    return _timed(stream, time, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def windowed_counts(stream: DataFrame, time: str, keys: list[str], width: str, delay: str, slide: str | None = None) -> DataFrame:
     """Counts per window (tumbling, or sliding with `slide`) and keys."""
-    return stream.withWatermark(time, delay).groupBy(F.window(time, width, slide).alias("window"), *keys).agg(F.count(F.lit(1)).alias("n"))
+    return _timed(stream, time, delay).groupBy(F.window(time, width, slide).alias("window"), *keys).agg(F.count(F.lit(1)).alias("n"))
 
 
 def bind(batch: DataFrame, pending: DataFrame, identities: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -45,7 +45,7 @@ def test_addresses(spark):
     assert df.select(text.pincode(F.col("a"))).first()[0] == "560001"
 
 
-@pytest.mark.parametrize(("word", "code"), [("ashcraft", "A226"), ("sachs", "S220"), ("robert", "R163"), ("a", "A000"), ("4x", None)])
+@pytest.mark.parametrize(("word", "code"), [("ashcraft", "A226"), ("sachs", "S220"), ("robert", "R163"), ("a", "A000"), ("4x", "X000"), ("42", None)])
 def test_soundex(spark, word, code):
     df = spark.createDataFrame([(word,)], "w string")
     assert df.select(text.soundex_word(F.col("w"))).first()[0] == code
@@ -109,10 +109,16 @@ def test_gate(spark):
         "", None, "DELETE FROM ubid_registry", "SELECT 1", "SELECT * FROM ubid_registry -- x", "SELECT 1 FROM ubid_registry; SELECT 2 FROM ubid_registry", "SELECT * FROM secret", "SELECT * FROM ubid_registry, secret",
         "SELECT * FROM ubid_registry WHERE EXISTS (SELECT 1 FROM secret)", "WITH x AS (SELECT * FROM secret) SELECT * FROM x", "SELECT a FROM ubid_registry WHERE a IN (SELECT b FROM secret)", "SELECT * FROM ubid_registry WHERE a = '" + "x" * 2000 + "'", "SELECT * FROM ubid_registry WHERE (", "WITH x AS (SELECT 1 AS drop FROM ubid_registry) SELECT * FROM x", "SELECT (SELECT max(a) FROM secret) FROM ubid_registry",
         "WITH secret AS (SELECT * FROM secret) SELECT * FROM secret", "SELECT 'CTE [secret]' FROM secret", "SELECT * FROM parquet.`/tmp/x`",
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.dir') FROM ubid_registry", "SELECT java_method('java.lang.System', 'getenv', 'HOME') FROM ubid_registry", "SELECT * FROM range(3)", "SELECT * FROM ubid_registry LATERAL VIEW explode(array(1)) t AS x",
+        "SELECT * FROM ubid_registry WHERE ubid IN (SELECT max(reflect('a', 'b')) FROM source_records)", "SELECT * FROM (WITH y AS (SELECT * FROM ubid_registry) SELECT * FROM y)", "WITH x AS (SELECT try_reflect('a', 'b') FROM ubid_registry) SELECT * FROM x", "SELECT /* x */ * FROM ubid_registry", "SELECT count(*) FROM read_files('/etc')",
     ]
     assert [gate.check(spark, s).reason for s in ok] == ["OK"] * len(ok)
     assert [gate.check(spark, s).ok for s in bad] == [False] * len(bad)
     assert gate.with_limit("SELECT  *\nFROM t ;") == "SELECT * FROM t LIMIT 100" and gate.with_limit("select count(*) from t") == "select count(*) from t"
+    assert gate.adapt("ae.date < CURRENT_DATE - INTERVAL '18 months' AND NOW() - INTERVAL '1 month' > date('now', '-2 months')", ()) == "ae.event_date < add_months(current_date(), -18) AND add_months(current_date(), -1) > add_months(current_date(), -2)"
+    late = "SELECT * FROM ubid_registry u WHERE NOT EXISTS (SELECT 1 FROM activity_events ae WHERE ae.ubid = u.ubid AND MAX(ae.event_date) < date('now', '-18 months'))"
+    assert gate.adapt(late, ()).endswith("WHERE ae.ubid = u.ubid AND ae.event_date >= add_months(current_date(), -18))") and gate.check(spark, gate.adapt(late, ())).ok
+    assert "MAX(" in gate.adapt("SELECT ubid FROM activity_events ae GROUP BY ubid HAVING (MAX(ae.event_date) < date('now', '-1 months'))", ())
     assert gate.adapt("u.pincode = 1 AND u.sector ILIKE '%factories%'", ("A", "B")) == "u.pin_code = 1 AND u.sector IN ('A', 'B')"
 
 
