@@ -59,7 +59,37 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_ngram_score, op2_html, op3_simhash, op4_url_filter, op5_tokens, op6_mixing, op7_language_id, op8_decontamination, op9_substrings, op10_quality)}
 
 
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 SQL = {
+    "op9_substrings": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents
+), win AS (SELECT r, doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') AS w FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d)
+), low AS (SELECT w, min(coalesce(doc_id, -9223372036854775808)) AS least FROM win GROUP BY w
+), hit AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM win JOIN low USING (w) WHERE least < coalesce(doc_id, -9223372036854775808)
+), gone AS (SELECT r, count(*) AS n FROM hit GROUP BY r
+), rest AS (SELECT r, string_agg(w, ' ' ORDER BY p) AS kept FROM (SELECT r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM d WHERE r IN (SELECT r FROM gone)) ANTI JOIN hit USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(CASE WHEN n IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN rest USING (r)
+""",
+    "op10_quality": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents
+), win AS (SELECT r, i, list_slice(ws, i, i + 2) AS w FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)
+), twice AS (SELECT r, w FROM win GROUP BY r, w HAVING count(*) > 1
+), rep AS (SELECT r, count(DISTINCT p) AS n_repeat FROM (SELECT r, unnest(range(i, i + 3)) AS p FROM win JOIN twice USING (r, w)) GROUP BY r
+), line AS (SELECT r, doc_id, source, t, unnest(string_split(t, chr(10))) AS x, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS p FROM d
+), words AS (SELECT *, list_filter(string_split_regex(x, '[\\x20\\x09-\\x0D]+'), lambda y: y <> '') AS lw FROM line
+), norm AS (SELECT *, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS k FROM words
+), freq AS (SELECT source, k, count(DISTINCT (doc_id, t)) AS n FROM norm WHERE len(lw) > 0 GROUP BY source, k
+), host AS (SELECT source, count(DISTINCT (doc_id, t)) AS n_host FROM d GROUP BY source
+), seen AS (SELECT norm.*, len(lw) > 0 AND coalesce(freq.n, 0) > greatest(20, least(0.002 * n_host, 1000)) AS common FROM norm JOIN host ON host.source IS NOT DISTINCT FROM norm.source LEFT JOIN freq ON freq.source IS NOT DISTINCT FROM norm.source AND freq.k = norm.k
+), told AS (
+  SELECT r, count(*) FILTER (WHERE len(lw) > 0) - count(DISTINCT CASE WHEN len(lw) > 0 THEN x END) AS dup, coalesce(sum(len(lw)) FILTER (WHERE common), 0) AS lost, coalesce(string_agg(x, chr(10) ORDER BY p) FILTER (WHERE NOT common), '') AS clean FROM seen GROUP BY r
+), c AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(dup AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words, CAST(lost AS BIGINT) AS n_lost_words, clean FROM d JOIN told USING (r) LEFT JOIN rep USING (r)
+), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT * EXCLUDE clean, NOT base_failed AND n_lost_words <= 0.5 * n_words AS kept, sha256(clean) AS clean_sha256 FROM b
+""",
     "op8_decontamination": r"""
 WITH item AS (
   SELECT CAST(item_id AS VARCHAR) AS item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark
