@@ -347,6 +347,156 @@ def test_quality_share_is_bounded(spark):
     assert {r["doc_id"]: r["n_lost_words"] for r in got} == {i: 6 if i < 1200 else 0 for i in range(3000)}
 
 
+NAMES = "_key _copy _id _text_key _times _bad _bad_key _keep _keep_key bad_id share row row_key times key b data s page low hit_id hit_key bucket start taken _grams _features host path size least fp n h label features".split()
+EDGES = [
+    (9007199254740993, "one two three four five six seven eight nine ten eleven", "en", "a"), (None, "alpha beta gamma delta epsilon zeta eta theta iota kappa", "en", "a"), (None, "alpha beta gamma delta epsilon zeta eta theta iota kappa", "en", "a"),
+    (None, None, None, None), (7, "", "de", "b"), (7, " ".join(f"x{i}" for i in range(20000)), "de", None), (-3, "12 34", "de", "a"), (-3, "12 34", "de", "a"), (5, "\u00e9t\u00e9 \U0001F600 " * 30, "fr", "c"),
+]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    """Null and large ids, repeats, empty and long texts, and columns that could clash."""
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} int" for n in NAMES)
+    return spark.createDataFrame([(*r, *([1] * len(NAMES))) for r in EDGES], schema)
+
+
+@pytest.mark.parametrize("name", ["op1", "op3", "op5", "op6", "op7", "op8", "op9", "op10"])
+def test_edges(spark, edges, name):
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa", 1)], "item_id long, text string, id int")
+    run = {
+        "op1": ngrams.score, "op3": simhash.near_duplicates, "op5": tokens.token_table, "op6": mixing.mix, "op7": lambda d: langid.identify(d, langid.train(d)), "op8": lambda d: decontaminate.contamination(d, bench), "op9": substrings.dedup, "op10": quality.judge,
+    }[name]
+    ids = lambda df: sorted((r["doc_id"] for r in df.select("doc_id").collect()), key=repr)
+    want = sorted((r[0] for r in EDGES), key=repr)
+    assert ids(run(edges)) == want and run(edges.limit(0)).count() == 0
+    got = run(edges).collect()
+    if name == "op8":
+        assert sorted(r["n_hit"] for r in got) == [0] * 7 + [10, 10]
+    if name == "op9":
+        assert sum(r["n_removed"] for r in got) == 0
+    if name == "op10":
+        assert all(r["n_lost_words"] == 0 for r in got)
+
+
+def test_repeated_rows_are_one_document(spark):
+    mark = lambda i: "abcdefghij"[i % 10] + "klmnopqrst"[i // 10]
+    body = "\n".join(f"line{mark(i)} has{mark(i)} its{mark(i)} own{mark(i)}" for i in range(40))
+    rows = [(1, body, "en", "h")] * 30 + [(100 + i, body.replace("own", f"own{chr(97 + i)}"), "en", "h") for i in range(5)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert all(r["kept"] and r["n_lost_words"] == 0 for r in got)
+    many = [(i, body, "en", "h") for i in range(30)]
+    assert not any(r["kept"] or r["base_failed"] for r in quality.judge(spark.createDataFrame(many, "doc_id long, text string, lang string, source string")).collect())
+
+
+def test_depleted_documents_are_rejected(spark):
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))  # noqa: E731  (digits are all one in a line's hash)
+    own = lambda i, n: " ".join(f"own{name(i)}x{name(j)}" for j in range(n))
+    shared = "\n".join(" ".join(f"menu{name(i)}y{name(j)}" for j in range(10)) for i in range(8))
+    rows = [(i, f"{shared}\n{own(i, 60 if i % 2 else 120)}", "en", "h") for i in range(40)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    # 80 words of 140 go, or 80 of 200
+    assert {i: r["kept"] for i, r in got.items()} == {i: i % 2 == 0 for i in range(40)} and not any(r["base_failed"] for r in got.values())
+    assert all(r["text"] == own(i, 60 if i % 2 else 120) and r["n_lost_words"] == 80 for i, r in got.items())
+
+
+def test_html_edges(spark):
+    page = "<body><div class='promo'>Buy</div><p>Left<nav>menu</nav>right</p><div id='related-work'>Kept <b>bo</b>ld</div><div class='search-results share-price'>Also</div><div class=\"user_comments comment-list\">Nice</div></body>"
+    rows = [(9007199254740993, "http://a.test/", page), (None, "http://a.test/", page), (None, None, None), (3, "http://b.test/", "<p>" + "word " * 300_000), (4, "http://c.test/", "<div>one<nav>x</nav>two</div>")] + [(5, "http://d.test/5", "<body><p>Same page told five times</p></body>")] * 5
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id long, url string, html string, text int, keys int")
+    got = [(r["page_id"], r["text"]) for r in html.extract(df).collect()]
+    kept = "Left\nright\nKept bold\nAlso"
+    want = [(9007199254740993, kept), (None, kept), (None, ""), (3, ("word " * 300_000).strip()), (4, "one\ntwo")] + [(5, "Same page told five times")] * 5
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_html_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    parts = [f"<div><ul><li>part {i}</li></ul></div>" for i in range(12)]
+    hosts = ["http://a.test/", "http://b.test/", None]
+    rows = []
+    for i in range(120):
+        body = "".join(parts[j] for j in sorted(set(rng.integers(0, 12, 3).tolist()))) + f"<p>story {i % 90} of this page, told at some length</p>"
+        rows.append((i, None if (h := hosts[i % 3]) is None else h + str(i), f"<body><article>{body}</article></body>" if i % 2 else f"<body>{body}</body>"))
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    seen, n = {}, {}
+    pages = []
+    for i, url, x in rows:
+        layout = html.Layout(html.parse(x))
+        subs, text, host = [(node, (html.host_of(url), k), size) for node, k, size in layout.subtrees()], layout.text(), html.host_of(url)
+        n.setdefault(host, set()).add(text)
+        for _, k, _ in subs:
+            seen.setdefault(k, set()).add(text)
+        pages.append((i, layout, subs, text, host))
+    for i, layout, subs, text, host in pages:
+        limit = max(html.LEAST_PAGES, min(html.SHARE * len(n[host]), html.MOST_PAGES))
+        common = {k: len(v) for k, v in seen.items() if len(v) >= html.LEAST_PAGES}
+        assert got[i] == layout.text(html.templates(layout, subs, text, common, limit))
+    assert sum("part" not in t for t in got.values()) > 60
+
+
+def test_url_scores_by_brute_force(spark):
+    from pyspark.ml.feature import HashingTF
+
+    model = urls.train(urls.labelled(spark))
+    tf, weights = HashingTF(numFeatures=urls.FEATURES, binary=True), model.coefficients.toArray()
+    rows = ["http://Lucky-Casino.test/win/Jackpot?x", "https://www.library.test/books/history", None, "no scheme", "http://x", "http://a.test/" + "long/" * 3000, "http://a.test/#f", "ftp://\u00e9t\u00e9.test/\u00fc"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(rows)] + [(0, rows[0])], "page_id long, url string")
+    got = urls.judge(df, model).collect()
+    assert len(got) == len(rows) + 1 and urls.judge(df.limit(0), model).count() == 0
+    for r in got:
+        u = rows[r["page_id"]] or ""
+        rest = u.split("://", 1)[1] if "://" in u else ""
+        host = lower(re.split("[/?#]", rest, maxsplit=1)[0])
+        path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+        grams = {f"{m}{t[i : i + n]}" for m, t in (("h:", f"^{host}$"), ("p:", f"^{lower(path)}$")) for n in (3, 4, 5) for i in range(len(t) - n + 1)}
+        margin = sum(weights[j] for j in {tf.indexOf(g) for g in grams}) + model.intercept
+        assert (r["host"], r["path"]) == (host, path) and abs(r["block_score"] - 1 / (1 + math.exp(-margin))) < 1e-6
+
+
+def test_language_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    word = {"xx": ["kalo", "mire", "tonu"], "yy": ["strug", "plent", "grosk"], "zz": ["aeio", "uoie", "oaeu"]}
+    say = lambda g, n=30: " ".join(rng.choice(word[g], n))
+    rows = [(i, say(g), g) for i in range(90) for g in word]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    asked = [say("xx"), say("yy", 3), "KALO aeio", "\u00fc strug", "x"]
+    lang, score, _ = langid.predict(model, [*asked, "12", None], 0.1)
+    for t, g, p in zip(asked, lang, score):
+        raw = b" " + lower(t).encode() + b"  "
+        total = np.zeros(len(model.bias))
+        fold = lambda h: (((h ^ (h >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF) >> (32 - langid.BITS)
+        for i in range(len(raw) - 2):
+            two = (raw[i] * 2654435761 + raw[i + 1] * 2246822519) & 0xFFFFFFFF
+            three = ((two + raw[i + 2] * 3266489917) & 0xFFFFFFFF) ^ 0x5BD1E995
+            total += model.weights[fold(three)].astype(float) + model.weights[fold(two)]
+        margin = total / (2 * (len(raw) - 2)) + model.bias
+        loss = (np.log1p(np.exp(-margin[None] * model.code)) * model.trust).sum(axis=1)
+        share = np.exp(-loss) / np.exp(-loss).sum()
+        assert g == model.languages[int(share.argmax())] and abs(share.max() - p) < 1e-4
+    assert list(lang[-2:]) == ["und", "und"]
+    # null ids are as good as others for training, and every label is learnt
+    nulls = spark.createDataFrame([(None, t, g) for _, t, g in rows], df.schema)
+    assert langid.train(nulls).languages == ["xx", "yy", "zz"]
+    many = spark.createDataFrame([(i, f"word{i % 700} of language {i % 700}", f"l{i % 700:03d}") for i in range(2800)], df.schema)
+    assert len(langid.train(many).languages) == 700
+
+
+def test_keyed_rows_grow_in_proportion(spark):
+    """What is shuffled is in proportion to the blocks, some 20, 200 and 1,000 of equal size."""
+    from regolith.llm.common import keyed, pack
+
+    sizes = []
+    for blocks in (40, 400, 2000):
+        df = spark.range(blocks * 20).selectExpr("id", "concat_ws(' ', transform(sequence(1, 30), i -> concat('w', (id * 7 + i) % 997))) AS text").repartition(4)
+        packed = pack(df, ["id", "text"], "grow", batch_bytes=3600)
+        rows = keyed(packed, lambda t: (np.unique(substrings.Words([x.encode() for x in t["text"].to_pylist()]).hashes()).view(np.int64),), "key long")
+        sizes.append((packed.count(), rows.count()))
+    per = [rows / n for n, rows in sizes]
+    assert sizes[2][0] > 30 * sizes[0][0] and max(per) < 1.3 * min(per)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
