@@ -169,6 +169,7 @@ def ask(packed: DataFrame, fn, shards: int) -> DataFrame:
             for b, data in zip(frame["b"], frame["data"]):
                 found = [(s, b, x) for s, x in fn(b, load(data)).items()]
                 yield pd.DataFrame(found, columns=["s", "b", "data"])
+        release()
 
     return packed.mapInPandas(run, "s int, b long, data binary")
 
@@ -182,6 +183,7 @@ def answer(requests: DataFrame, fn, shards: int, label: str) -> DataFrame:
     def run(frame):
         order = frame.sort_values("b")
         got = fn(list(order["data"]))
+        release()
         return pd.DataFrame({"s": int(order["s"].iloc[0]), "b": [*order["b"], -1][: len(got)], "data": got})
 
     spread = requests.repartition(shards, "s")
@@ -232,7 +234,10 @@ def by_block(packed: DataFrame, rows: DataFrame, fn, schema: str, blocks: int) -
     def run(left, right):
         if not left.num_rows:
             raise ValueError("rows for a block that does not exist")
-        return fn(left, right)
+        try:
+            return fn(left, right)
+        finally:
+            release()
 
     a, b = (x.repartition(blocks, "b").groupBy("b") for x in (packed, rows))
     return a.cogroup(b).applyInArrow(run, schema)

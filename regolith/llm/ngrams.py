@@ -1,18 +1,25 @@
-"""Language-model scores from a bigram trie in Elias-Fano levels.
+"""Language-model scores from a trigram trie in Elias-Fano levels.
 
-Texts are lower-cased (A-Z); a token is a word or the end of a text. The unigram level gives the share of a token among
-the training tokens, less the mass of tokens seen once, which is left to unknown words. The bigram level is smoothed with
-PRIOR pseudo-counts shared out by the unigram level: p(w | v) = (c(v w) + PRIOR p(w)) / (c(v) + PRIOR). For pairs not in
-the trie that is the context's back-off weight times p(w).
+Texts are lower-cased (A-Z); a token is a word or the end of a text, and each text begins after an end. The first order
+gives the share of a token among the training tokens, less the mass of tokens seen once, which is left to unknown words.
+The second and third orders hold the pairs and triples that occur at least LEAST times in training, smoothed with
+pseudo-counts shared out by the order below:
 
-The trie is dealt to shards by context, a context with many tokens to several of them by successor. A shard's levels are
+    p(w | v) = (c(v w) + PRIORS[0] p(w)) / (c(v) + PRIORS[0]),  p(w | u v) = (c(u v w) + PRIORS[1] p(w | v)) / (c(u v) + PRIORS[1])
+
+For what is not in the trie the count is taken as 0, and a context that is not in it leaves the order below as it is.
+
+Each order is dealt to shards by context, a context with many tokens to several of them by successor. A shard's levels are
 the contexts, monotone pointers to their successors, the successors made monotone by adding the last value before their
-range (all three in Elias-Fano form), and probabilities in one byte each. They are written to a file and memory-mapped,
-and queried by successor search relative to the range of the context. Blocks of documents ask shards first for counts and
-ids of their distinct words, then for their distinct pairs, so that nothing is sent once per token.
+range (all three in Elias-Fano form), and probabilities in one byte each. They are written to a file and memory-mapped, and
+queried by successor search relative to the range of the context, value by value in the compact form. Blocks of documents
+ask shards first for counts and ids of their distinct words, then for their distinct pairs of repeated words, then for
+their distinct triples of repeated pairs (a triple occurs no more often than its pairs), so that nothing is sent once per
+token and the higher orders stay small.
 
 Defined results: null text is empty and has its end alone; a null id is in training; repeated rows each count and each get
-their row; empty tables give no rows; with nothing to learn from every probability is 1.
+their row; texts of any length are read whole, one block each if need be; further columns may have any name; empty tables
+give no rows; with nothing to learn from every probability is 1. More than 2**32 repeated words raise an error.
 """
 
 from __future__ import annotations
@@ -28,42 +35,110 @@ from pyspark.sql import functions as F
 from .common import answer, ask, dump_arrays, least_of, load_arrays, lower_ascii, narrow, pack, shards_for, tell, to_bytes
 from .wordhash import Words, mix
 
-#: Pseudo-counts of the unigram level in each context.
-PRIOR = 200.0
+#: Pseudo-counts of the order below in each context, for pairs and for triples.
+PRIORS = (200.0, 20.0)
+#: Occurrences from which words, pairs and triples are in the higher orders.
+LEAST = 2
 END = np.uint64(1)
-_SAMPLE = 512
 
 
 class EliasFano:
-    """A monotone sequence: low bits packed, high bits in unary."""
+    """A monotone sequence: low bits packed, high bits in unary, and how many zeros come before each run of RUN bits.
+
+    Single values are got and sought where they lie; nothing is decoded as a whole.
+    """
+
+    RUN = 512
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, marks: np.ndarray):
-        self.n, self.low_bits, self.low, self.high, self.marks = n, low_bits, low, high, marks
+    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
+        self.n, self.bits, self.low, self.high, self.zeros = n, bits, low, high, zeros
+        self.lanes = np.ndarray((max(0, len(low) - 7),), "<u8", low, 0, (1,)) if len(low) > 7 else np.zeros(0, np.uint64)
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
         values = np.asarray(values, np.uint64)
         n = len(values)
         bits = max(0, int(int(values[-1] + np.uint64(1)) // max(n, 1)).bit_length() - 1) if n else 0
-        low = np.packbits(_to_bits(values, bits), bitorder="little")
+        low = np.append(np.packbits(_to_bits(values, bits), bitorder="little"), np.zeros(8, np.uint8))
         ones = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        line = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
+        runs = (int(ones[-1]) + 2 if n else 1) // cls.RUN + 1
+        line = np.zeros(runs * cls.RUN, np.uint8)
         line[ones] = 1
-        return cls(n, bits, low, np.packbits(line, bitorder="little"), ones[::_SAMPLE].astype(np.uint64))
+        high = np.packbits(line, bitorder="little").view("<u8")
+        zeros = cls.RUN * np.arange(runs) - np.concatenate([[0], np.cumsum(np.bitwise_count(high).reshape(runs, -1).sum(axis=1, dtype=np.int64))[:-1]])
+        return cls(n, bits, low, high, zeros.astype(np.int64))
+
+    def _select(self, rank: np.ndarray, ones: bool) -> np.ndarray:
+        """Places in the unary line of the ones (or zeros) of these ranks."""
+        before = self.RUN * np.arange(len(self.zeros)) - self.zeros if ones else self.zeros
+        run = np.searchsorted(before, rank, "right") - 1
+        rest = (rank - before[run]).astype(np.int64)
+        at = run * (self.RUN // 64)
+        word = np.zeros(len(rank), np.uint64)
+        open_ = np.arange(len(rank))
+        for _ in range(self.RUN // 64):
+            x = np.asarray(self.high[at[open_]])
+            x = x if ones else ~x
+            count = np.bitwise_count(x).astype(np.int64)
+            here = rest[open_] < count
+            word[open_[here]] = x[here]
+            open_, count = open_[~here], count[~here]
+            if not len(open_):
+                break
+            rest[open_] -= count
+            at[open_] += 1
+        place = at * 64
+        for width in (32, 16, 8, 4, 2, 1):
+            count = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.int64)
+            up = rest >= count
+            rest -= np.where(up, count, 0)
+            word = np.where(up, word >> np.uint64(width), word)
+            place += np.where(up, width, 0)
+        return place
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        if not self.bits:
+            return np.zeros(len(i), np.uint64)
+        bit = i * self.bits
+        if self.bits > 56:  # a value may lie in nine bytes
+            return (self.lanes[bit >> 3] >> (bit & 7).astype(np.uint64) | np.where(bit & 7, self.low[(bit >> 3) + 8].astype(np.uint64) << (np.uint64(64) - (bit & 7).astype(np.uint64)), np.uint64(0))) & np.uint64((1 << self.bits) - 1)
+        return (self.lanes[bit >> 3] >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.bits) - 1)
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The values of these places."""
+        i = np.asarray(i, np.int64)
+        if not len(i):
+            return np.zeros(0, np.uint64)
+        return ((self._select(i, True) - i).astype(np.uint64) << np.uint64(self.bits)) | self._low(i)
 
     def range(self, a: int, b: int) -> np.ndarray:
-        """Values a .. b - 1."""
-        b = min(b, self.n)
-        if a >= b:
-            return np.zeros(0, np.uint64)
-        m = a // _SAMPLE
-        start = int(self.marks[m])
-        stop = int(self.marks[(b - 1) // _SAMPLE + 1]) + 1 if (b - 1) // _SAMPLE + 1 < len(self.marks) else len(self.high) * 8
-        first = start // 8
-        ones = np.flatnonzero(np.unpackbits(np.asarray(self.high[first : (stop + 7) // 8]), bitorder="little")) + first * 8
-        ones = ones[ones >= start][a - m * _SAMPLE : b - m * _SAMPLE]
-        high = (ones - np.arange(a, b)).astype(np.uint64)
-        return (high << np.uint64(self.low_bits)) | _from_bits(self.low, a, b, self.low_bits)
+        return self.get(np.arange(a, max(a, min(b, self.n))))
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """Places of these values, -1 for those that are not in the sequence.
+
+        The values of one high part lie together: the zero before them is selected, and they are gone through.
+        """
+        values = np.asarray(values, np.uint64)
+        out = np.full(len(values), -1, np.int64)
+        if not self.n:
+            return out
+        top = (values >> np.uint64(self.bits)).astype(np.int64)
+        last = int(self.get(np.array([self.n - 1]))[0] >> np.uint64(self.bits))
+        open_ = np.flatnonzero(top <= last)
+        top, low = top[open_], values[open_] & np.uint64((1 << self.bits) - 1)
+        place = np.zeros(len(open_), np.int64)
+        later = top > 0
+        place[later] = self._select(top[later] - 1, False) + 1
+        i = place - top
+        while len(open_):
+            one = (self.high[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) > 0
+            open_, place, i, low = open_[one], place[one], i[one], low[one]
+            own = self._low(i)
+            hit, on = own == low, own < low
+            out[open_[hit]] = i[hit]
+            open_, place, i, low = open_[on], place[on] + 1, i[on] + 1, low[on]
+        return out
 
 
 def _to_bits(values: np.ndarray, bits: int) -> np.ndarray:
@@ -71,18 +146,8 @@ def _to_bits(values: np.ndarray, bits: int) -> np.ndarray:
     return raw[:, :bits].ravel()
 
 
-def _from_bits(packed: np.ndarray, a: int, b: int, bits: int) -> np.ndarray:
-    if not bits:
-        return np.zeros(b - a, np.uint64)
-    first = a * bits // 8
-    line = np.unpackbits(np.asarray(packed[first : (b * bits + 7) // 8]), bitorder="little")[a * bits - first * 8 :][: (b - a) * bits]
-    cells = np.zeros((b - a, 64), np.uint8)
-    cells[:, :bits] = line.reshape(b - a, bits)
-    return np.packbits(cells, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
-
-
 class Trie:
-    """One shard: contexts, pointers, successors and quantised log10 probabilities."""
+    """One shard of an order: contexts, pointers, successors and quantised log10 probabilities."""
 
     LEVELS = ("contexts", "pointers", "successors")
 
@@ -107,8 +172,8 @@ class Trie:
         parts, head = [], [f"{self.low!r} {self.step!r}"]
         for name in self.LEVELS:
             x = self.levels[name]
-            head.append(f"{x.n} {x.low_bits} {x.low.nbytes} {x.high.nbytes} {x.marks.nbytes}")
-            parts += [x.marks.tobytes(), x.low.tobytes(), x.high.tobytes()]
+            head.append(f"{x.n} {x.bits} {len(x.zeros)} {len(x.high)} {len(x.low)}")
+            parts += [x.zeros.tobytes(), x.high.tobytes(), x.low.tobytes().ljust(-(-len(x.low) // 8) * 8, b"\0")]
         with open(path, "wb") as f:
             f.write("\n".join(head).encode().ljust(1024))
             for p in (*parts, self.codes.tobytes()):
@@ -122,33 +187,29 @@ class Trie:
         low, step = map(float, head[0].split())
         at, levels = 1024, {}
         for name, line in zip(cls.LEVELS, head[1:]):
-            n, bits, lows, highs, marks = map(int, line.split())
-            levels[name] = EliasFano(n, bits, data[at + marks : at + marks + lows], data[at + marks + lows : at + marks + lows + highs], np.frombuffer(data[at : at + marks], np.uint64))
-            at += marks + lows + highs
+            n, bits, zeros, high, lows = map(int, line.split())
+            cuts = np.cumsum([at, 8 * zeros, 8 * high, lows]).tolist()
+            levels[name] = EliasFano(n, bits, data[cuts[2] : cuts[3]], data[cuts[1] : cuts[2]].view("<u8"), data[cuts[0] : cuts[1]].view("<i8"))
+            at = cuts[2] + -(-lows // 8) * 8
         return cls(levels, data[at:], low, step)
 
-    def find(self, contexts: np.ndarray, words: np.ndarray, stride: int = 8192) -> np.ndarray:
-        """Codes of pairs sorted by context (0: not in the trie). Read in strides of contexts, each range once."""
+    def find(self, contexts: np.ndarray, words: np.ndarray, stride: int = 1 << 18) -> np.ndarray:
+        """Codes of pairs (0: not in the trie), sought `stride` at a time: the context, its range, and in it the successor
+        that the word is, relative to the last value before the range."""
         out = np.zeros(len(words), np.uint8)
         c, p, s = (self.levels[n] for n in self.LEVELS)
-        for i in range(0, c.n, stride):
-            known = c.range(i, i + stride)
-            a, b = np.searchsorted(contexts, known[0], "left"), np.searchsorted(contexts, known[-1], "right")
-            if a == b:
-                continue
-            where = np.searchsorted(known, contexts[a:b])
-            hit = known[where] == contexts[a:b]
-            ends = p.range(i, i + len(known) + 1).astype(np.int64)
-            line = s.range(int(ends[0]) - (i > 0), int(ends[-1]))
-            skip = int(ends[0]) - (i > 0)
-            # the value before a range, plus one, is what was added to it
-            before = ends[:-1] - 1 - skip
-            base = np.where(before >= 0, line[np.maximum(before, 0)] + np.uint64(1), np.uint64(0))
-            want = words[a:b].astype(np.uint64) + base[where]
-            at = np.searchsorted(line, want)
-            at[at == len(line)] = 0
-            hit &= (line[at] == want) & (at + skip >= ends[:-1][where]) & (at + skip < ends[1:][where])
-            out[a:b][hit] = self.codes[at[hit] + skip]
+        for i in range(0, len(words), stride):
+            own, of = np.unique(contexts[i : i + stride], return_inverse=True)
+            place = c.find(own)
+            known = place >= 0
+            start, end, base = (np.zeros(len(own), np.int64) for _ in range(3))
+            start[known], end[known] = p.get(place[known]).astype(np.int64), p.get(place[known] + 1).astype(np.int64)
+            later = start > 0
+            base[later] = s.get(start[later] - 1).astype(np.int64) + 1
+            some = np.flatnonzero(known[of])
+            at = s.find((words[i : i + stride][some].astype(np.int64) + base[of[some]]).astype(np.uint64))
+            hit = (at >= start[of[some]]) & (at < end[of[some]])
+            out[i + some[hit]] = self.codes[at[hit]]
         return out
 
     def value(self, codes: np.ndarray) -> np.ndarray:
@@ -159,6 +220,10 @@ def is_held_out(doc_id: object) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
+#: Answers of the pairs' and triples' shards come under numbers of their own.
+LEVEL = 1 << 24
+
+
 class Block:
     """A block's texts as numbered words."""
 
@@ -182,20 +247,106 @@ class Block:
         return deal((self.keys % np.uint64(shards)).astype(np.int64), shards)
 
     def learn(self, got: dict[int, bytes], offsets: np.ndarray, shards: int) -> None:
-        """Global counts and ids (-1: unknown) of the block's words."""
+        """Counts of the block's words, and ids of those that are repeated (-1: others)."""
         self.count, self.id = np.zeros(len(self.keys), np.int64), np.full(len(self.keys), -1, np.int64)
         for s, pick in self.dealt(shards).items():
             a = load_arrays(got[s])
             self.count[pick] = a["n"]
-            known = a["n"] > 0
-            self.id[pick[known]] = offsets[s] + a["rank"]
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs of known words (context id << 32 | word id), the place of each known pair's tokens, inverse."""
-        a, b = self.id[self.context], self.id[self.token]
-        at = np.flatnonzero((a >= 0) & (b >= 0))
-        keys, inverse = np.unique((a[at] << 32) | b[at], return_inverse=True)
-        return keys, at, inverse
+            self.id[pick[a["n"] >= LEAST]] = offsets[s] + a["rank"]
+
+    def pairs(self) -> Asked:
+        """The distinct pairs of repeated words."""
+        at = np.flatnonzero((self.id[self.context] >= 0) & (self.id[self.token] >= 0))
+        return Asked(self, at, self.context, self.id, self.count)
+
+    def triples(self, pairs: Asked, known: np.ndarray, count: np.ndarray) -> Asked:
+        """The distinct triples of known pairs (known: an id of each pair or -1, count: its occurrences)."""
+        pair = np.full(len(self.token), -1, np.int64)
+        pair[pairs.at] = np.where(known >= 0, np.arange(len(known)), -1)[pairs.of]
+        before = np.concatenate([[-1], pair[:-1]])
+        before[self.start] = -1
+        self.pair_before = before
+        return Asked(self, np.flatnonzero((pair >= 0) & (before >= 0)), before, known, count)
+
+
+class Asked:
+    """Distinct (context, word) of a block: at, the tokens concerned; of, which each has; v, w, their ids; cv, the context's
+    occurrences; n, how often the pair occurs in the block's training texts."""
+
+    def __init__(self, block: Block, at: np.ndarray, context: np.ndarray, ids: np.ndarray, counts: np.ndarray):
+        self.at = at
+        local, self.of = np.unique((context[at] << 32) | block.token[at], return_inverse=True)
+        self.context, self.word = local >> 32, local & 0xFFFFFFFF
+        self.v, self.w, self.cv = ids[self.context], block.id[self.word], counts[self.context]
+        self.n = np.bincount(self.of[block.train[at]], minlength=len(local))
+
+    def dealt(self, total: int, shards: int) -> dict[int, np.ndarray]:
+        """By context, one with more than a shard's part of the tokens on by word; in order of ids."""
+        parts = 1 + self.cv * shards // max(total, 1)
+        s = ((mix(self.v.astype(np.uint64)) % np.uint64(shards)).astype(np.int64) + (mix(self.w.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)) % shards
+        return {i: pick[np.lexsort((self.w[pick], self.v[pick]))] for i, pick in deal(s, shards).items()}
+
+    def requests(self, b: int, log_below: np.ndarray, total: int, shards: int) -> dict[str, list]:
+        """log_below: log10 of what the order below gives for each."""
+        rows = {"s": [], "b": [], "data": []}
+        for s, pick in self.dealt(total, shards).items():
+            v = self.v[pick]
+            head = np.flatnonzero(np.diff(v, prepend=-1))
+            size = np.diff(np.append(head, len(v)))
+            q = np.clip(np.rint(-log_below[pick] * 16), 0, 255).astype(np.uint8)
+            steps = np.diff(v[head], prepend=0)
+            rows["s"].append(s)
+            rows["b"].append(b)
+            rows["data"].append(dump_arrays(v=narrow(steps), v0=least_of(steps), c=narrow(self.cv[pick][head]), c0=least_of(self.cv[pick][head]), size=narrow(size), size0=least_of(size), w=self.w[pick].astype(np.uint32), n=narrow(self.n[pick]), n0=least_of(self.n[pick]), q=q))
+        return rows
+
+    def answers(self, got: dict[int, bytes], order: int, offsets: np.ndarray, total: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 of the probability (nan: not in the trie), id (-1: not) and occurrences of each."""
+        value, known, count = np.full(len(self.v), np.nan), np.full(len(self.v), -1, np.int64), np.zeros(len(self.v), np.int64)
+        for s, pick in self.dealt(total, shards).items():
+            a = load_arrays(got[s + order * LEVEL])
+            low, step = a["scale"]
+            yes = a["codes"] > 0
+            value[pick[yes]] = low + (a["codes"][yes].astype(np.float64) - 1) * step
+            if "rank" in a:
+                known[pick[yes]] = offsets[s] + a["rank"].astype(np.int64)
+                count[pick[yes]] = a["n"].astype(np.int64) + a["n0"]
+        return value, known, count
+
+
+def query(blobs: list[bytes], prior: float, with_ids: bool) -> list[bytes]:
+    """A shard of an order: its trie, built from all requests and asked by each of them; then how many it holds."""
+    got = [load_arrays(x) for x in blobs]
+    sizes = [x["size"].astype(np.int64) + x["size0"] for x in got]
+    v = np.concatenate([np.repeat(np.cumsum(x["v"].astype(np.int64) + x["v0"]), n) for x, n in zip(got, sizes)])
+    w = np.concatenate([x["w"] for x in got]).astype(np.int64)
+    order = np.lexsort((w, v))
+    first = np.ones(len(v), bool)
+    first[1:] = (v[order][1:] != v[order][:-1]) | (w[order][1:] != w[order][:-1])
+    head = np.flatnonzero(first)
+    n = np.add.reduceat(np.concatenate([x["n"].astype(np.int64) + x["n0"] for x in got])[order], head)
+    held = n >= LEAST
+    at, n = order[head][held], n[held]
+    c = np.concatenate([np.repeat(x["c"].astype(np.int64) + x["c0"], k) for x, k in zip(got, sizes)])[at].astype(np.float64)
+    p = 10.0 ** -(np.concatenate([x["q"] for x in got])[at] / 16.0)
+    trie = Trie.build(v[at], w[at], np.log10((n + prior * p) / (c + prior)))
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "trie")
+        trie.save(path)
+        trie = Trie.open(path)
+        # all requests together and in order, so that pages are touched once, however many blocks ask
+        distinct = trie.find(v[order][head], w[order][head])
+    which = np.empty(len(v), np.int64)
+    which[order] = np.cumsum(first) - 1
+    rank = np.cumsum(held) - 1
+    count = np.zeros(len(held), np.int64)
+    count[held] = n
+    scale, out = np.array([trie.low, trie.step]), []
+    for part in np.split(which, np.cumsum([len(x["w"]) for x in got])[:-1]):
+        own = part[held[part]]
+        ids = {"rank": rank[own].astype(np.uint32), "n": narrow(count[own]), "n0": least_of(count[own])} if with_ids else {}
+        out.append(dump_arrays(codes=distinct[part], scale=scale, **ids))
+    return [*out, dump_arrays(held=np.array([held.sum()], np.int64))]
 
 
 def deal(s: np.ndarray, shards: int) -> dict[int, np.ndarray]:
@@ -204,13 +355,6 @@ def deal(s: np.ndarray, shards: int) -> dict[int, np.ndarray]:
     return {int(i): order[cuts[i] : cuts[i + 1]] for i in np.flatnonzero(np.diff(cuts))}
 
 
-def pair_shards(keys: np.ndarray, context_count: np.ndarray, total: int, shards: int) -> np.ndarray:
-    """By context; one with more than a shard's part of the tokens is dealt on by word."""
-    v, w = keys >> 32, keys & 0xFFFFFFFF
-    parts = 1 + context_count * shards // max(total, 1)
-    return ((mix(v.astype(np.uint64)) % np.uint64(shards)).astype(np.int64) + (mix(w.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)) % shards
-
-
 def unigram(count: np.ndarray, total: int, once: int) -> np.ndarray:
     """Probability of words of these counts; 0 is any unknown word."""
     if not total:
@@ -219,7 +363,15 @@ def unigram(count: np.ndarray, total: int, once: int) -> np.ndarray:
     return np.where(count > 0, (1 - rest) * count / total, rest)
 
 
-def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR) -> DataFrame:
+def _offsets(answers: DataFrame, name: str, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over the shards of the numbers that each gives of itself, and the ids before each shard's. A few numbers a
+    shard come to the driver."""
+    own = {r["s"]: load_arrays(r["data"])[name] for r in answers.filter("b = -1").collect()}
+    every = np.array([own[s] if s in own else np.zeros_like(next(iter(own.values()))) for s in range(shards)]) if own else np.zeros((shards, 4), np.int64)
+    return every.sum(axis=0), np.concatenate([[0], np.cumsum(every[:, -1])]).astype(np.int64)
+
+
+def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", priors: tuple[float, float] = PRIORS) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     kind = documents.schema[id_col].dataType.simpleString()
     packed = pack(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ["id", "text"], "ngram-blocks")
@@ -234,87 +386,67 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         got = [load_arrays(x) for x in blobs]
         keys, which = np.unique(np.concatenate([x["h"] for x in got]), return_inverse=True)
         n = np.bincount(which, np.concatenate([x["n"].astype(np.int64) + x["n0"] for x in got])).astype(np.int64)
-        rank = np.cumsum(n > 0) - 1
+        rank = np.cumsum(n >= LEAST) - 1
         out = []
         for part in np.split(which, np.cumsum([len(x["h"]) for x in got])[:-1]):
-            known = part[n[part] > 0]
+            known = part[n[part] >= LEAST]
             out.append(dump_arrays(n=n[part].astype(np.uint32 if n.max() < 2**32 else np.int64), rank=rank[known].astype(np.uint32)))
-        return [*out, dump_arrays(stats=np.array([(n > 0).sum(), n.sum(), (n == 1).sum()], np.int64))]
+        return [*out, dump_arrays(stats=np.array([(n > 0).sum(), n.sum(), (n == 1).sum(), (n >= LEAST).sum()], np.int64))]
 
     words = answer(ask(packed, ask_words, shards), count_words, shards, "ngram-words")
-    # three numbers a shard come to the driver
-    stats = {r["s"]: load_arrays(r["data"])["stats"] for r in words.filter("b = -1").collect()}
-    types, total, once = (int(sum(x[i] for x in stats.values())) for i in range(3))
-    offsets = np.concatenate([[0], np.cumsum([int(stats[s][0]) if s in stats else 0 for s in range(shards)])]).astype(np.int64)
-    if types >= 2**31:
-        raise ValueError("more word types than 31-bit ids")
+    (types, total, once, repeated), word_ids = _offsets(words, "stats", shards)
+    types, total, once = int(types), int(total), int(once)
+    if repeated >= 2**32:
+        raise ValueError("more repeated words than 32-bit ids")
     words = words.filter("b <> -1")
 
-    def ask_pairs(b, table, got):
+    def first(table, got):
+        """The block with what the words' shards say, its pairs, and log10 of the first order for each of its words."""
         x = Block(table)
-        x.learn(got, offsets, shards)
-        keys, at, inverse = x.pairs()
-        n = np.bincount(inverse[x.train[at]], minlength=len(keys))
-        order = np.argsort(x.id)
-        ids = x.id[order]
-        count = lambda i: x.count[order[np.searchsorted(ids, i)]]
-        cv = count(keys >> 32)
-        log_w = np.log10(unigram(count(keys & 0xFFFFFFFF), total, once))
-        rows = []
-        for s, pick in deal(pair_shards(keys, cv, total, shards), shards).items():
-            v = keys[pick] >> 32
-            head = np.flatnonzero(np.diff(v, prepend=-1))
-            q = np.clip(np.rint(-log_w[pick] * 16), 0, 255).astype(np.uint8)
-            rows.append((s, b, dump_arrays(v=v[head].astype(np.uint32), c=cv[pick][head].astype(np.uint32 if total < 2**32 else np.int64), size=narrow(np.diff(np.append(head, len(v)))), size0=least_of(np.diff(np.append(head, len(v)))), w=(keys[pick] & 0xFFFFFFFF).astype(np.uint32), n=narrow(n[pick]), n0=least_of(n[pick]), q=q)))
-        return dict(zip(("s", "b", "data"), zip(*rows))) if rows else {"s": [], "b": [], "data": []}
+        x.learn(got, word_ids, shards)
+        return x, x.pairs(), np.log10(unigram(x.count, total, once))
 
-    def query_pairs(blobs):
-        got = [load_arrays(x) for x in blobs]
-        sizes = [x["size"].astype(np.int64) + x["size0"] for x in got]
-        v = [np.repeat(x["v"], n).astype(np.uint64) for x, n in zip(got, sizes)]
-        keys = np.concatenate([(a << np.uint64(32)) | x["w"] for a, x in zip(v, got)])
-        order = np.argsort(keys, kind="stable")
-        n = np.concatenate([x["n"].astype(np.int64) + x["n0"] for x in got])[order]
-        head = np.flatnonzero(np.diff(keys[order], prepend=keys[order][0] ^ np.uint64(1)))
-        total_n = np.add.reduceat(n, head)
-        at = order[head][total_n > 0]
-        n = total_n[total_n > 0]
-        c = np.concatenate([np.repeat(x["c"], k) for x, k in zip(got, sizes)])[at].astype(np.float64)
-        p = 10.0 ** -(np.concatenate([x["q"] for x in got])[at] / 16.0)
-        trie = Trie.build(keys[at] >> np.uint64(32), keys[at] & np.uint64(0xFFFFFFFF), np.log10((n + prior * p) / (c + prior)))
-        with tempfile.TemporaryDirectory() as folder:
-            path = os.path.join(folder, "trie")
-            trie.save(path)
-            trie = Trie.open(path)
-            # all requests together, so that each range is read once, however many blocks ask
-            codes = np.empty(len(keys), np.uint8)
-            codes[order] = trie.find(keys[order] >> np.uint64(32), keys[order] & np.uint64(0xFFFFFFFF))
-        scale = np.array([trie.low, trie.step])
-        return [dump_arrays(codes=x, scale=scale) for x in np.split(codes, np.cumsum([len(x["w"]) for x in got])[:-1])]
-
-    pairs = answer(tell(packed, words, ask_pairs, "s int, b long, data binary", blocks), query_pairs, shards, "ngram-pairs")
-    both = words.unionByName(pairs.withColumn("s", -1 - F.col("s")))
+    def second(x, pairs, one, got, pair_ids):
+        """Pairs' ids and counts, and log10 of the second order for each token."""
+        value, known, count = pairs.answers(got, 1, pair_ids, total, shards)
+        log_p = one[x.token] + np.log10(priors[0] / (x.count + priors[0]))[x.context]
+        found = value[pairs.of]
+        log_p[pairs.at] = np.where(np.isnan(found), log_p[pairs.at], found)
+        return known, count, log_p
+
+    def ask_pairs(b, table, got):
+        _, pairs, one = first(table, got)
+        return pairs.requests(b, one[pairs.word], total, shards)
+
+    asked = tell(packed, words, ask_pairs, "s int, b long, data binary", blocks)
+    pairs = answer(asked, lambda blobs: query(blobs, priors[0], True), shards, "ngram-pairs")
+    _, pair_ids = _offsets(pairs, "held", shards)
+    below = words.unionByName(pairs.filter("b <> -1").withColumn("s", F.col("s") + LEVEL))
+
+    def ask_triples(b, table, got):
+        x, pairs, one = first(table, got)
+        known, count, log_p = second(x, pairs, one, got, pair_ids)
+        triples = x.triples(pairs, known, count)
+        low = np.zeros(len(triples.v))
+        low[triples.of] = log_p[triples.at]
+        return triples.requests(b, low, total, shards)
+
+    asked = tell(packed, below, ask_triples, "s int, b long, data binary", blocks)
+    triples = answer(asked, lambda blobs: query(blobs, priors[1], False), shards, "ngram-triples")
+    every = below.unionByName(triples.filter("b <> -1").withColumn("s", F.col("s") + 2 * LEVEL))
 
     def finish(b, table, got):
-        x = Block(table)
-        x.learn({s: d for s, d in got.items() if s >= 0}, offsets, shards)
-        keys, at, inverse = x.pairs()
-        one = np.log10(unigram(x.count, total, once))
-        back = np.log10(prior / (x.count + prior))
-        log_p = one[x.token] + back[x.context]
-        order = np.argsort(x.id)
-        cv = x.count[order[np.searchsorted(x.id[order], keys >> 32)]]
-        value = np.zeros(len(keys))
-        for s, pick in deal(pair_shards(keys, cv, total, shards), shards).items():
-            a = load_arrays(got[-1 - s])
-            low, step = a["scale"]
-            value[pick] = np.where(a["codes"] > 0, low + (a["codes"].astype(np.float64) - 1) * step, np.nan)
-        found = value[inverse]
-        some = ~np.isnan(found)
-        log_p[at[some]] = found[some]
+        x, pairs, one = first(table, got)
+        known, count, log_p = second(x, pairs, one, got, pair_ids)
+        triples = x.triples(pairs, known, count)
+        value, _, _ = triples.answers(got, 2, pair_ids, total, shards)
+        some = np.flatnonzero(x.pair_before >= 0)
+        log_p[some] += np.log10(priors[1] / (count + priors[1]))[x.pair_before[some]]
+        found = value[triples.of]
+        log_p[triples.at] = np.where(np.isnan(found), log_p[triples.at], found)
         base = np.log10((x.count + 1) / (total + types + 1))
         sums = lambda y: np.add.reduceat(y, x.start)
         return {"id": table["id"], "held_out": x.held, "n_tokens": x.n_tokens, "n_known": sums((x.count[x.token] > 0).astype(np.int64)), "train_tokens": np.full(len(x.held), total), "base_score": sums(base[x.token]), "score": sums(np.minimum(log_p, 0.0))}
 
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return tell(packed, both, finish, schema, blocks).withColumnRenamed("id", id_col)
+    return tell(packed, every, finish, schema, blocks).withColumnRenamed("id", id_col)

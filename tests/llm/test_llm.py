@@ -61,24 +61,48 @@ def test_query_matches_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns) and show(got) == show(want)
 
 
-def test_ngrams(docs, none):
-    got = {(r["doc_id"], r["n_tokens"]): r for r in ngrams.score(docs).collect()}
-    count, pairs = Counter(), Counter()
-    seqs = [(d, [*words(lower(t)), None]) for d, t, *_ in ROWS]
+def plain_scores(rows):
+    """The model by plain counts: (id, tokens) -> (held out, known, base, score)."""
+    grams = [Counter(), Counter(), Counter()]
+    seqs = [(d, [*words(lower(t)), None]) for d, t, *_ in rows]
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     for d, w in seqs:
         if not held(d):
-            count.update(w)
-            pairs.update(zip([None, *w], w))
+            line = [None, *w]
+            grams[0].update(w)
+            grams[1].update(zip(line, w))
+            grams[2].update(zip(line, w, w[1:]))
+    count = grams[0]
     total, types, once = sum(count.values()), len(count), sum(n == 1 for n in count.values())
     rest = min(0.5, max(once, 1) / (total + 1))
-    p = lambda w: (1 - rest) * count[w] / total if count[w] else rest
+    p1 = lambda w: (1 - rest) * count[w] / total if count[w] else rest
+    two, three = ({g: n for g, n in c.items() if n >= ngrams.LEAST} for c in grams[1:])
+    p2 = lambda v, w: (two.get((v, w), 0) + ngrams.PRIORS[0] * p1(w)) / (count[v] + ngrams.PRIORS[0])
+
+    def p3(u, v, w):
+        c = two.get((u, v), 0)
+        return (three.get((u, v, w), 0) + ngrams.PRIORS[1] * p2(v, w)) / (c + ngrams.PRIORS[1]) if c else p2(v, w)
+
+    out = {}
     for d, w in seqs:
-        r = got[d, len(w)]
         base = sum(math.log10((count[x] + 1) / (total + types + 1)) for x in w)
-        full = sum(math.log10((pairs[a, b] + ngrams.PRIOR * p(b)) / (count[a] + ngrams.PRIOR)) for a, b in zip([None, *w], w))
-        assert (r["held_out"], r["n_known"], r["train_tokens"]) == (held(d), sum(count[x] > 0 for x in w), total)
-        assert abs(r["base_score"] - base) < 1e-6 * abs(base) and abs(r["score"] - full) < 0.05 * len(w)
+        full = math.log10(p2(None, w[0])) + sum(math.log10(p3(u, v, x)) for u, v, x in zip([None, *w], w, w[1:]))
+        out[d, len(w)] = held(d), sum(count[x] > 0 for x in w), total, base, full
+    return out
+
+
+def test_ngrams(spark, docs, none):
+    rng = np.random.default_rng(11)
+    say = lambda n: " ".join(f"t{i}" for i in rng.zipf(1.4, n) % 60)
+    some = [(i, say(int(rng.integers(0, 400))), "en", "a") for i in range(300)]
+    for rows, df in ((ROWS, docs), (some, spark.createDataFrame(some, "doc_id long, text string, lang string, source string"))):
+        want = plain_scores(rows)
+        got = ngrams.score(df).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            held, known, total, base, full = want[r["doc_id"], r["n_tokens"]]
+            assert (r["held_out"], r["n_known"], r["train_tokens"]) == (held, known, total)
+            assert abs(r["base_score"] - base) < 1e-6 * abs(base) and abs(r["score"] - full) < 0.05 * r["n_tokens"] + 1e-6
     assert ngrams.score(none).count() == 0
 
 
