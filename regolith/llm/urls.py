@@ -4,7 +4,8 @@ The regression is trained on a small labelled table (LABELLED_URLS, or any table
 API of spark.ml; no Python runs on the executors.
 
 Defined results: a null url or one without :// has an empty host and path, no rule and the method's verdict for empty
-text; an empty table gives no rows; repeated rows each get their row.
+text; an empty table gives no rows; repeated rows and null ids each get their row; urls of any length are read whole;
+further columns may have any name.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ LABELLED_URLS = (
     ("code.test/project/readme", 0), ("garden.test/plants/rose", 0), ("www.sport.test/es/liga/resultados", 0), ("radio.test/programme/today", 0),
 )
 FEATURES = 1 << 14
+#: Probability from which the model's verdict is to block; unclear URLs are allowed.
+THRESHOLD = 0.7
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -85,7 +88,7 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def judge(pages: DataFrame, model: LogisticRegressionModel, id_col: str = "page_id", url_col: str = "url", rules=RULES, threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, model: LogisticRegressionModel, id_col: str = "page_id", url_col: str = "url", rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, block_score (the model's probability of block)."""
     df = features(pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")), "_url")
     df = model.transform(df).withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
