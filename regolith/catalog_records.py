@@ -9,6 +9,7 @@ from regolith.functions import embedding, identifiers, similarity, text, values
 from regolith.operators import activity, audit, entity, graph, matching, records, reports, review, vectors, views
 from regolith.operators.order import numbered
 from regolith.plans import questions
+from regolith.sources import generator
 from regolith.sources.registry import Registry
 from regolith.streaming import activity as stream_activity
 
@@ -252,6 +253,25 @@ def bound_events(r: Registry) -> DataFrame:
     return now.select("event_id", F.lit(True).alias("is_bound"), "retry_count").unionByName(later.select("event_id", F.lit(False).alias("is_bound"), "retry_count"))
 
 
+def anchored_routing(r: Registry) -> DataFrame:
+    """The variant in which a shared tax number lowers the bar and a conflict always makes a new identity."""
+    m = _matched(r)
+    return m.select("new_id", graph.route_anchored(c("similarity"), c("guardrail").isNotNull(), c("pan_match") | c("gstin_match"), 0.40, 0.30).alias("decision"))
+
+
+def generated(r: Registry) -> DataFrame:
+    """Made-up businesses as the departments know them, normalised."""
+    n = records.normalize(generator.businesses(r.spark, 500))
+    return n.select("business", "source_system", "source_record_id", "normalized_name", "pan_valid", "pincode")
+
+
+def ambiguous(r: Registry) -> DataFrame:
+    """Made-up pairs and how alike their names are."""
+    n = records.normalize(generator.ambiguous_pairs(r.spark)).select("pair", "side", "normalized_name", "pincode")
+    b = n.filter("side = 'b'").select("pair", c("normalized_name").alias("other"), c("pincode").alias("other_pin"))
+    return n.filter("side = 'a'").join(b, "pair").select("pair", (c("pincode") == c("other_pin")).alias("same_pin"), F.round(similarity.name_similarity(c("normalized_name"), c("other"), "dice"), 4).alias("dice"))
+
+
 def traced(r: Registry, part: str, query: str = " customer 42 ") -> DataFrame:
     found = entity.trace(r, query)[part]
     columns = {"raw_records": ["raw_id", "source_record_id", "raw_name", "raw_address", "pan", "ubid"], "candidate_pairs": None, "linked_records": ["ubid", "raw_id", "name", "address", "pan", "confidence", "decision_type", "linked_at"], "summary": None}[part]
@@ -272,5 +292,5 @@ def queries() -> dict:
         "r6_raw": lambda r: traced(r, "raw_records"), "r6_pairs": lambda r: traced(r, "candidate_pairs"), "r6_linked": lambda r: traced(r, "linked_records", "TAX-42"), "r6_summary": lambda r: traced(r, "summary"),
         "r7_profile": entity.profile, "r7_timeline": lambda r: entity.newest(entity.timeline(r)), "r11_explanation": lambda r: entity.explanation(r, 13), "r10_semantic": semantic, "a13_modes": lambda r: questions.modes(views.ubid_registry(r)),
         "o8_latest": lambda r: matching.latest(r.links().select(c("raw_id").alias("id"), "linked_at"), "linked_at", 100), "d13_batch": lambda r: matching.oldest_unlinked(r.raw_records().select(c("raw_id").alias("id"), "extracted_at"), r.links().filter("unlinked_at is null").select(c("raw_id").alias("id")), ["extracted_at", "id"], 50),
-        "t1_windows": event_windows, "t2_duplicates": event_duplicates, "t3_bound": bound_events, "t4_ingest": ingested, "t6_events": published_events,
+        "d6_routing": anchored_routing, "s5_businesses": generated, "s6_ambiguous": ambiguous, "t1_windows": event_windows, "t2_duplicates": event_duplicates, "t3_bound": bound_events, "t4_ingest": ingested, "t6_events": published_events,
     }

@@ -218,6 +218,7 @@ MORE = {
     "d11_queue": (NEAR, """SELECT q.pair_id, CASE WHEN q.status = 'deferred' AND f.pair_id IS NOT NULL THEN f.s ELSE CAST(0.1 AS DOUBLE) END AS confidence, CASE WHEN q.status = 'deferred' AND f.pair_id IS NOT NULL THEN greatest(90, CAST(floor(f.s * 100) AS INTEGER)) ELSE 90 END AS priority, q.status
       FROM (SELECT DISTINCT pair_id, CASE WHEN new_id % 80 = 0 THEN 'deferred' ELSE 'resolved' END AS status FROM mg WHERE new_id % 40 = 0) q LEFT JOIN (SELECT pair_id, max(semantic_similarity) AS s FROM mg WHERE decision = 'review_queue' GROUP BY pair_id) f ON f.pair_id = q.pair_id
       UNION ALL SELECT pair_id, s, CAST(floor(s * 100) AS INTEGER), 'pending' FROM (SELECT pair_id, max(semantic_similarity) AS s FROM mg WHERE decision = 'review_queue' GROUP BY pair_id) WHERE pair_id NOT IN (SELECT pair_id FROM mg WHERE new_id % 80 = 0)"""),
+    "d6_routing": (NEAR, "SELECT new_id, CASE WHEN pan_conflict OR gstin_conflict OR similarity < CAST(0.3 AS DOUBLE) THEN 'new_ubid' WHEN similarity >= CASE WHEN pan_match OR gstin_match THEN CAST(0.3 AS DOUBLE) ELSE CAST(0.4 AS DOUBLE) END THEN 'auto_match' ELSE 'review_queue' END AS decision FROM e"),
     "t6_events": (NEAR, "SELECT 'entity_resolution' AS topic, pair_id AS key, decision FROM mg"),
 }
 PLAIN = {

@@ -209,3 +209,16 @@ def test_links_that_a_review_ends(spark):
     links = spark.createDataFrame([(1, "U1"), (2, "U2"), (3, "U3")], "record int, entity string")
     after = spark.createDataFrame([(1, "U1", "reviewer_approved"), (2, "U1", "reviewer_approved"), (3, "U9", "kept")], "record int, entity string, decision_type string")
     assert [(r["record"], r["entity"], r["unlinked_at"]) for r in review.unlinked_by(links, after, "2024-01-31").collect()] == [(2, "U2", "2024-01-31")]
+
+
+def test_made_up_businesses(spark):
+    from regolith.sources import generator
+
+    rows = generator.businesses(spark, 40).collect()
+    per = {}
+    for r in rows:
+        per.setdefault(r["business"], []).append(r["source_system"])
+    assert len(per) == 40 and all(1 <= len(x) <= 5 and len(set(x)) == len(x) for x in per.values()) and max(map(len, per.values())) > 1
+    assert sorted(map(repr, rows)) == sorted(map(repr, generator.businesses(spark, 40).collect()))
+    pairs = generator.ambiguous_pairs(spark, 7).collect()
+    assert len(pairs) == 14 and len({r["raw_payload"] for r in pairs}) == 14
