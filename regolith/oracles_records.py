@@ -225,6 +225,29 @@ PLAIN = {
     "f54_restored": f"SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN trim(c_name) ELSE {BIZ.format(x='c_name')} END AS who FROM customer",
     "s10_embeddings": f"SELECT p_partkey, array_to_string({vector_sql(chr(112) + '_name || ' + chr(39) + ' ' + chr(39) + ' || p_brand', 64)}, ' ') AS v FROM part",
 }
+#: Records resolved turn by turn: the state is a map of what is linked to what.
+TURNS = """
+tn AS (SELECT row_number() OVER (ORDER BY id) AS k, id, best_id, decision FROM ({turns})), hd AS (SELECT vec_id AS id, 'E' || CAST(vec_id AS VARCHAR) AS entity FROM embeddings WHERE vec_id % 20 = 10
+), st(k, m, id, outcome, maker) AS (
+  SELECT CAST(0 AS BIGINT), (SELECT map(list(id), list(entity)) FROM hd), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), false
+  UNION ALL SELECT tn.k, CASE WHEN map_contains(m, tn.id) OR decision = 'review_queue' THEN m WHEN decision = 'new_ubid' THEN map_concat(m, map([tn.id], ['new:' || CAST(tn.id AS VARCHAR)])) ELSE map_concat(m, map([tn.id, best_id], [coalesce(m[best_id], 'new:' || CAST(tn.id AS VARCHAR)), coalesce(m[best_id], 'new:' || CAST(tn.id AS VARCHAR))])) END,
+    tn.id, CASE WHEN map_contains(m, tn.id) THEN 'skipped' ELSE decision END, NOT map_contains(m, tn.id) AND (decision = 'new_ubid' OR (decision = 'auto_match' AND NOT map_contains(m, best_id))) FROM st JOIN tn ON tn.k = st.k + 1
+), fin AS (SELECT m FROM st ORDER BY k DESC LIMIT 1
+), res AS (
+  SELECT id, outcome, m[id] AS entity, maker FROM (SELECT id, outcome, maker FROM st WHERE k > 0), fin
+  UNION ALL SELECT id, 'linked_by_other', m[id], false FROM (SELECT unnest(map_keys(m)) AS id FROM fin), fin WHERE id NOT IN (SELECT id FROM tn) AND id NOT IN (SELECT id FROM hd)
+)"""
+RUN = NEAR + ", " + TURNS.format(turns="SELECT new_id AS id, best_id, decision FROM e").strip()
+MADE = f"""{RUN}, ni AS (
+  SELECT entity, {CODE.format(k='(100 + n)')} AS ubid, pan FROM (SELECT entity, row_number() OVER (ORDER BY entity) AS n, arg_min(p.pan, res.id) FILTER (WHERE coalesce(p.pan, '') <> '') AS pan FROM res JOIN rp p ON p.record = res.id % 200 WHERE entity LIKE 'new:%' GROUP BY entity)
+)"""
+MORE |= {
+    "d12_counts": (RUN, "SELECT count_if(outcome NOT IN ('skipped', 'linked_by_other')) AS processed, count_if(maker) AS new_entities, count_if(outcome = 'auto_match' AND NOT maker) AS linked_to_existing, count_if(outcome = 'review_queue') AS added_to_review FROM res"),
+    "d8_new_identities": (MADE, "SELECT entity, ubid, upper(pan) AS pan, CAST(NULL AS VARCHAR) AS gstin FROM ni"),
+    "d8_activity": (MADE, "SELECT ubid, 'Dormant' AS status, CAST(0 AS DOUBLE) AS score, 1 AS entries FROM ni"),
+    "d9_links": (MADE, "SELECT res.id, coalesce(ni.ubid, res.entity) AS ubid, CASE WHEN outcome = 'new_ubid' THEN CAST(1 AS DOUBLE) ELSE round(e.similarity, 4) END AS confidence, CASE WHEN outcome = 'new_ubid' THEN 'new_ubid' ELSE 'embedding_auto_match' END AS decision_type FROM res LEFT JOIN ni ON ni.entity = res.entity LEFT JOIN e ON e.new_id = res.id WHERE res.entity IS NOT NULL AND res.id NOT IN (SELECT id FROM hd)"),
+}
+PLAIN["d7_resolution"] = "WITH RECURSIVE " + TURNS.format(turns=f"SELECT query_id AS id, id AS best_id, CASE WHEN s < 0.30 THEN 'new_ubid' WHEN query_id % 7 = 0 OR s < 0.40 THEN 'review_queue' ELSE 'auto_match' END AS decision FROM ({NEAREST}) WHERE rank = 1").strip() + " SELECT id, outcome, entity, maker FROM res"
 MORE_DATES = {"v1_ubid_registry": ("assigned_on", "last_updated"), "v3_activity_events": ("event_date",), "v4_audit_log": ("created_at",), "r11_explanation": ("event_date",)}
 
 
@@ -237,5 +260,5 @@ def oracle_sql() -> dict[str, str]:
     for name, sql in SQL.items():
         out[name] = whole(name, sql, MORE_DATES.get(name, ()))
     for name, (own, sql) in more.items():
-        out[name] = whole(name, "," + own + "\n" + sql)
+        out[name] = whole(name, "," + own + "\n" + sql).replace("WITH", "WITH RECURSIVE" if "FROM st JOIN tn" in own else "WITH", 1)
     return out | PLAIN
