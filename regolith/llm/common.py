@@ -42,6 +42,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    # what was shuffled on the way is garbage now, and Spark deletes its files when the driver's JVM collects
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -77,8 +79,8 @@ def by_size(texts: list, most: int = 2_000_000):
         yield run
 
 
-def dump(table: pa.Table, level: int = 12) -> bytes:
-    """Compressed well, since blocks are written once and shuffled again."""
+def dump(table: pa.Table, level: int = 6) -> bytes:
+    """Compressed well, since blocks are written once and shuffled again; higher levels cost more than they save."""
     out = io.BytesIO()
     with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))) as w:
         w.write_table(table.combine_chunks())
@@ -199,12 +201,12 @@ def columns_of(schema: str, columns: dict) -> pa.Table:
     return pa.table({n: c if isinstance(c := columns[n], (pa.Array, pa.ChunkedArray)) else pa.array(c, _KINDS[k]) for n, k in names})
 
 
-def tell(packed: DataFrame, answers: DataFrame, fn, schema: str, blocks: int) -> DataFrame:
-    """fn(b, table, {shard: bytes}) for each block gives the columns of `schema`."""
+def tell(packed: DataFrame, answers: DataFrame, fn, schema: str, blocks: int, read=load) -> DataFrame:
+    """fn(b, what `read` makes of the block, {shard: bytes}) for each block gives the columns of `schema`."""
 
     def run(left, right):
         got = dict(zip(right["s"].to_pylist(), right["data"].to_pylist()))
-        return columns_of(schema, fn(left["b"][0].as_py(), load(left["data"][0].as_py()), got))
+        return columns_of(schema, fn(left["b"][0].as_py(), read(left["data"][0].as_py()), got))
 
     return by_block(packed, answers, run, schema, blocks)
 

@@ -29,10 +29,11 @@ import tempfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import answer, ask, dump_arrays, least_of, load_arrays, lower_ascii, narrow, pack, shards_for, tell, to_bytes
+from .common import answer, ask, dump, dump_arrays, least_of, load, load_arrays, lower_ascii, materialize, narrow, pack, release, shards_for, tell, to_bytes
 from .wordhash import Words, mix
 
 #: Pseudo-counts of the order below in each context, for pairs and for triples.
@@ -222,22 +223,21 @@ def is_held_out(doc_id: object) -> bool:
 
 #: Answers of the pairs' and triples' shards come under numbers of their own.
 LEVEL = 1 << 24
+REQUESTS = pa.schema([("s", pa.int32()), ("b", pa.int64()), ("data", pa.binary())])
 
 
 class Block:
     """A block's texts as numbered words."""
 
     def __init__(self, table):
-        self.ids = table["id"].to_pylist()
+        self.ids = table["id"]
         self.words = Words([lower_ascii(to_bytes(t)) for t in table["text"].to_pylist()])
-        self.held = np.array([is_held_out(x) for x in self.ids], bool)
+        self.held = np.array([is_held_out(x) for x in self.ids.to_pylist()], bool)
         self.keys, self.of = np.unique(np.append(self.words.hashes(), END), return_inverse=True)
         self.end, self.of = self.of[-1], self.of[:-1]
         first = self.words.first
         self.token = np.insert(self.of, first[1:], self.end)
-        self.context = np.insert(self.of, first[:-1], self.end)
         self.n_tokens = np.diff(first) + 1
-        self.start = first[:-1] + np.arange(len(first) - 1)
         self.train = np.repeat(~self.held, self.n_tokens)
 
     def counts(self) -> np.ndarray:
@@ -246,13 +246,32 @@ class Block:
     def dealt(self, shards: int) -> dict[int, np.ndarray]:
         return deal((self.keys % np.uint64(shards)).astype(np.int64), shards)
 
-    def learn(self, got: dict[int, bytes], offsets: np.ndarray, shards: int) -> None:
-        """Counts of the block's words, and ids of those that are repeated (-1: others)."""
-        self.count, self.id = np.zeros(len(self.keys), np.int64), np.full(len(self.keys), -1, np.int64)
+    def coded(self, got: dict[int, bytes], offsets: np.ndarray, shards: int) -> bytes:
+        """The block as numbered words with their counts and ids, which the higher orders need and the text does not."""
+        count, ids = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), np.int64)
         for s, pick in self.dealt(shards).items():
             a = load_arrays(got[s])
-            self.count[pick] = a["n"]
-            self.id[pick[a["n"] >= LEAST]] = offsets[s] + a["rank"]
+            count[pick] = a["n"]
+            ids[pick[a["n"] >= LEAST]] = offsets[s] + a["rank"] + 1
+        table = dump(pa.table({"id": self.ids, "held": pa.array(self.held), "n": pa.array(self.n_tokens)}))
+        arrays = dump_arrays(token=narrow(self.token), token0=least_of(self.token), count=narrow(count), count0=least_of(count), id=ids.astype(np.uint32 if ids.max() < 2**32 else np.int64), end=np.array([self.end]))
+        return len(table).to_bytes(8, "little") + table + arrays
+
+
+class Coded:
+    """A block as Block.coded gives it. count, id: of each of its words (-1: not repeated); token: the word of each token,
+    context: the one before it; start: where each text begins."""
+
+    def __init__(self, data: bytes):
+        cut = 8 + int.from_bytes(data[:8], "little")
+        table, a = load(data[8:cut]), load_arrays(data[cut:])
+        self.ids, self.held, self.n_tokens = table["id"], table["held"].to_numpy(zero_copy_only=False).astype(bool), table["n"].to_numpy()
+        self.count, self.id = a["count"].astype(np.int64) + a["count0"], a["id"].astype(np.int64) - 1
+        self.token = a["token"].astype(np.int64) + a["token0"]
+        self.start = np.cumsum(self.n_tokens) - self.n_tokens
+        self.context = np.concatenate([a["end"], self.token[:-1]])
+        self.context[self.start] = a["end"][0]
+        self.train = np.repeat(~self.held, self.n_tokens)
 
     def pairs(self) -> Asked:
         """The distinct pairs of repeated words."""
@@ -273,7 +292,7 @@ class Asked:
     """Distinct (context, word) of a block: at, the tokens concerned; of, which each has; v, w, their ids; cv, the context's
     occurrences; n, how often the pair occurs in the block's training texts."""
 
-    def __init__(self, block: Block, at: np.ndarray, context: np.ndarray, ids: np.ndarray, counts: np.ndarray):
+    def __init__(self, block: Coded, at: np.ndarray, context: np.ndarray, ids: np.ndarray, counts: np.ndarray):
         self.at = at
         local, self.of = np.unique((context[at] << 32) | block.token[at], return_inverse=True)
         self.context, self.word = local >> 32, local & 0xFFFFFFFF
@@ -398,13 +417,15 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     types, total, once = int(types), int(total), int(once)
     if repeated >= 2**32:
         raise ValueError("more repeated words than 32-bit ids")
-    words = words.filter("b <> -1")
 
-    def first(table, got):
-        """The block with what the words' shards say, its pairs, and log10 of the first order for each of its words."""
-        x = Block(table)
-        x.learn(got, word_ids, shards)
-        return x, x.pairs(), np.log10(unigram(x.count, total, once))
+    def encode(b, table, got):
+        return {"b": [b], "data": [Block(table).coded(got, word_ids, shards)]}
+
+    coded = materialize(tell(packed, words.filter("b <> -1"), encode, "b long, data binary", blocks), "ngram-coded")
+
+    def first(x):
+        """The block's pairs, and log10 of the first order for each of its words."""
+        return x.pairs(), np.log10(unigram(x.count, total, once))
 
     def second(x, pairs, one, got, pair_ids):
         """Pairs' ids and counts, and log10 of the second order for each token."""
@@ -414,29 +435,32 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         log_p[pairs.at] = np.where(np.isnan(found), log_p[pairs.at], found)
         return known, count, log_p
 
-    def ask_pairs(b, table, got):
-        _, pairs, one = first(table, got)
-        return pairs.requests(b, one[pairs.word], total, shards)
+    def ask_pairs(batches):
+        for batch in batches:
+            for b, data in zip(batch.column("b").to_pylist(), batch.column("data")):
+                pairs, one = first(Coded(data.as_py()))
+                yield pa.RecordBatch.from_pydict(pairs.requests(b, one[pairs.word], total, shards), REQUESTS)
+        release()
 
-    asked = tell(packed, words, ask_pairs, "s int, b long, data binary", blocks)
+    asked = coded.mapInArrow(ask_pairs, "s int, b long, data binary")
     pairs = answer(asked, lambda blobs: query(blobs, priors[0], True), shards, "ngram-pairs")
     _, pair_ids = _offsets(pairs, "held", shards)
-    below = words.unionByName(pairs.filter("b <> -1").withColumn("s", F.col("s") + LEVEL))
+    below = pairs.filter("b <> -1").withColumn("s", F.col("s") + LEVEL)
 
-    def ask_triples(b, table, got):
-        x, pairs, one = first(table, got)
+    def ask_triples(b, x, got):
+        pairs, one = first(x)
         known, count, log_p = second(x, pairs, one, got, pair_ids)
         triples = x.triples(pairs, known, count)
         low = np.zeros(len(triples.v))
         low[triples.of] = log_p[triples.at]
         return triples.requests(b, low, total, shards)
 
-    asked = tell(packed, below, ask_triples, "s int, b long, data binary", blocks)
+    asked = tell(coded, below, ask_triples, "s int, b long, data binary", blocks, Coded)
     triples = answer(asked, lambda blobs: query(blobs, priors[1], False), shards, "ngram-triples")
     every = below.unionByName(triples.filter("b <> -1").withColumn("s", F.col("s") + 2 * LEVEL))
 
-    def finish(b, table, got):
-        x, pairs, one = first(table, got)
+    def finish(b, x, got):
+        pairs, one = first(x)
         known, count, log_p = second(x, pairs, one, got, pair_ids)
         triples = x.triples(pairs, known, count)
         value, _, _ = triples.answers(got, 2, pair_ids, total, shards)
@@ -446,7 +470,7 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         log_p[triples.at] = np.where(np.isnan(found), log_p[triples.at], found)
         base = np.log10((x.count + 1) / (total + types + 1))
         sums = lambda y: np.add.reduceat(y, x.start)
-        return {"id": table["id"], "held_out": x.held, "n_tokens": x.n_tokens, "n_known": sums((x.count[x.token] > 0).astype(np.int64)), "train_tokens": np.full(len(x.held), total), "base_score": sums(base[x.token]), "score": sums(np.minimum(log_p, 0.0))}
+        return {"id": x.ids, "held_out": x.held, "n_tokens": x.n_tokens, "n_known": sums((x.count[x.token] > 0).astype(np.int64)), "train_tokens": np.full(len(x.held), total), "base_score": sums(base[x.token]), "score": sums(np.minimum(log_p, 0.0))}
 
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return tell(packed, every, finish, schema, blocks).withColumnRenamed("id", id_col)
+    return tell(coded, every, finish, schema, blocks, Coded).withColumnRenamed("id", id_col)
