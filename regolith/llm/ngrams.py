@@ -37,7 +37,7 @@ from .common import answer, ask, dump, dump_arrays, least_of, load, load_arrays,
 from .wordhash import Words, mix
 
 #: Pseudo-counts of the order below in each context, for pairs and for triples.
-PRIORS = (200.0, 20.0)
+PRIORS = (3000.0, 50.0)
 #: Occurrences from which words, pairs and triples are in the higher orders.
 LEAST = 2
 END = np.uint64(1)
