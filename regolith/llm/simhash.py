@@ -7,12 +7,13 @@ in more than t_i bits, all would differ in more than `distance`. So the probes o
 in the tables of the others' segments, and complete distances are then verified. m is 3 up to WIDE distinct fingerprints
 and 2 beyond, where wider segments keep the tables' buckets small; the links found are the same.
 
-Equal fingerprints are one entry. Within a shard, links are reduced to a spanning forest before they leave it, so that a
+Equal fingerprints are one entry. Where very many share a segment's value they are told apart by parts of the whole
+fingerprint, so that a popular value is not compared all with all. Within a shard, links are reduced to a spanning forest before they leave it, so that a
 group of near copies yields as many edges as it has members and not all its pairs.
 
 Defined results: null and wordless texts have fingerprint zero, which is linked like any other; fewer words than a
 shingle make one shingle of them all; null ids are never the smallest id unless a component has no other; repeated rows
-each get their row; empty tables give no rows.
+each get their row; texts of any length are read whole; further columns may have any name; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .xxh import xxh64
 
 #: Distinct fingerprints from which two segments of 32 bits are used.
 WIDE = 20_000_000
+#: Entries of one key from which probes must also agree in a part of the whole fingerprint.
+HOT = 2000
 _LANES = np.array([sum(((v >> i) & 1) << (8 * i) for i in range(8)) for v in range(256)], np.uint64)
 
 
@@ -125,19 +128,21 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray) -> np.ndarr
             parent = up
 
 
-def shard_edges(table: dict[int, tuple[np.ndarray, np.ndarray]], probes: dict[int, tuple[np.ndarray, np.ndarray]], distance: int, step: int = 4_000_000):
-    """Spanning forest of the links between probes and table entries: per segment (keys, fingerprints)."""
+def shard_edges(table: dict[int, tuple[np.ndarray, np.ndarray]], probes: dict[int, tuple[np.ndarray, np.ndarray]], distance: int, step: int = 4_000_000, hot: int = HOT):
+    """Spanning forest of the links between probes and table entries: per segment (keys, fingerprints).
+
+    A probe meets all entries of its key. Where these are over `hot`, it meets those that also agree in one of distance + 1
+    parts of the whole fingerprint: linked ones differ in `distance` bits at most, so they agree in some part.
+    """
     every = np.unique(np.concatenate([x[1] for x in (*table.values(), *probes.values())]))
     parent = np.arange(len(every))
-    for seg, (pk, pf) in probes.items():
-        if seg not in table:
-            continue
-        tk, tf = table[seg]
-        order = np.argsort(tk, kind="stable")
-        tk, tf = tk[order], np.searchsorted(every, tf[order])
+
+    def compare(tk, tf, pk, pf):
+        """tk sorted; tf, pf: places in `every`."""
+        nonlocal parent
         lo, hi = np.searchsorted(tk, pk, "left"), np.searchsorted(tk, pk, "right")
         some = hi > lo
-        lo, size, pf = lo[some], (hi - lo)[some], np.searchsorted(every, pf[some])
+        lo, size, pf = lo[some], (hi - lo)[some], pf[some]
         ends = np.cumsum(size)
         at, done = 0, 0
         while at < len(size):
@@ -156,6 +161,28 @@ def shard_edges(table: dict[int, tuple[np.ndarray, np.ndarray]], probes: dict[in
                 parent = _roots(len(every), a[near], b[near], parent)
             done += total
             at = to
+
+    for seg, (pk, pf) in probes.items():
+        if seg not in table:
+            continue
+        tk, tf = table[seg]
+        tf, pf = np.searchsorted(every, tf), np.searchsorted(every, pf)
+        keys, of, size = np.unique(tk, return_inverse=True, return_counts=True)
+        much = size > hot
+        place = np.minimum(np.searchsorted(keys, pk), len(keys) - 1)
+        asked = keys[place] == pk
+        cold = np.flatnonzero(~much[of])
+        order = cold[np.argsort(tk[cold], kind="stable")]
+        few_ = asked & ~much[place]
+        compare(tk[order], tf[order], pk[few_], pf[few_])
+        if much.any():
+            held, many = np.flatnonzero(much[of]), np.flatnonzero(asked & much[place])
+            cuts = [64 * j // (distance + 1) for j in range(distance + 2)]
+            for low, high in zip(cuts, cuts[1:]):
+                part = lambda x: (every[x] >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)  # noqa: B023, E731
+                tkey = (of[held].astype(np.uint64) << np.uint64(high - low)) | part(tf[held])
+                order = np.argsort(tkey, kind="stable")
+                compare(tkey[order], tf[held][order], (place[many].astype(np.uint64) << np.uint64(high - low)) | part(pf[many]), pf[many])
     away = parent != np.arange(len(every))
     return every[away], every[parent[away]]
 

@@ -191,9 +191,14 @@ def test_shard_edges_find_every_link():
         for s, (shift, width, radius) in enumerate(simhash.plan(m, 4)):
             own, masks = (fps >> np.uint64(shift)) & np.uint64(2**width - 1), simhash.ball(width, radius)
             table[s], probes[s] = (own, fps), ((own[:, None] ^ masks[None]).ravel(), np.repeat(fps, len(masks)))
-        a, b = simhash.shard_edges(table, probes, 4, step=97)
-        got = simhash._roots(len(fps), np.searchsorted(fps, a), np.searchsorted(fps, b), np.arange(len(fps)))
-        assert (got == want).all()
+        for hot in (simhash.HOT, 3):
+            a, b = simhash.shard_edges(table, probes, 4, step=97, hot=hot)
+            got = simhash._roots(len(fps), np.searchsorted(fps, a), np.searchsorted(fps, b), np.arange(len(fps)))
+            assert (got == want).all()
+    # all of one key: only a popular value's parts tell them apart
+    table, probes = {0: (np.zeros(len(fps), np.uint64), fps)}, {0: (np.zeros(len(fps), np.uint64), fps)}
+    a, b = simhash.shard_edges(table, probes, 4, hot=5)
+    assert (simhash._roots(len(fps), np.searchsorted(fps, a), np.searchsorted(fps, b), np.arange(len(fps))) == want).all()
 
 
 def test_components(spark):
