@@ -21,11 +21,12 @@ def status(score: Column) -> Column:
 def _counted(events: DataFrame, taxonomy: DataFrame, reference_date: str) -> DataFrame:
     """Events of known and active types with a readable date, their age in days and decayed weight.
 
-    Types are compared in lower case; a date may be text. The taxonomy is a fixed dictionary of a few rows, hence broadcast.
+    Types are compared in lower case; a date may be text. The taxonomy is a dictionary of a few rows, which
+    Spark broadcasts by its known size.
     """
     kind = dict(events.dtypes)["event_date"]
     date = values.to_date(F.col("event_date")) if kind == "string" else F.to_date("event_date")
-    e = events.withColumns({"event_date": date, "event_type": F.lower("event_type")}).filter("event_date is not null").join(F.broadcast(taxonomy.filter("is_active")), "event_type")
+    e = events.withColumns({"event_date": date, "event_type": F.lower("event_type")}).filter("event_date is not null").join(taxonomy.filter("is_active"), "event_type")
     e = e.withColumn("days_old", F.greatest(F.lit(0), F.datediff(F.lit(reference_date).cast("date"), F.col("event_date"))))
     return e.withColumn("decay", decayed(F.col("weight"), F.col("days_old"), F.col("half_life")))
 

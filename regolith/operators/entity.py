@@ -116,7 +116,7 @@ def timeline(r: Registry, ubids: DataFrame | None = None, computed_on: str = vie
     ev = only(r.events())
     events = ev.select("ubid", F.lit("signal").alias("type"), F.col("event_date").cast("string").alias("on_date"), T.title(F.coalesce("event_type", F.lit("Activity event"))).alias("title"), F.coalesce("outcome", F.concat(F.lit("Event "), F.col("event_id").cast("string"), F.lit(" was reported."))).alias("description"), F.lit("events").alias("source"))
     known = r.taxonomy().filter("is_active").select("event_type")  # a dictionary of a few rows
-    signals = ev.join(F.broadcast(known), "event_type").join(u.select("ubid", "status"), "ubid").select("ubid", F.when(F.lower("event_type").contains("review"), "review").otherwise("signal").alias("type"), F.col("event_date").cast("string").alias("on_date"), F.col("event_type").alias("title"), F.concat(F.lit("Evidence used in the "), status, F.lit(" activity decision.")).alias("description"), F.lit("registry").alias("source"))
+    signals = ev.join(known, "event_type").join(u.select("ubid", "status"), "ubid").select("ubid", F.when(F.lower("event_type").contains("review"), "review").otherwise("signal").alias("type"), F.col("event_date").cast("string").alias("on_date"), F.col("event_type").alias("title"), F.concat(F.lit("Evidence used in the "), status, F.lit(" activity decision.")).alias("description"), F.lit("registry").alias("source"))
     l = only(views.wide_records(r).filter("ubid is not null"))
     said = F.concat(F.col("source_system"), F.lit(" record "), F.col("source_record_id"), F.lit(" is linked by "), F.coalesce("decision_type", F.lit("matching")), F.lit(" at "), F.bround(F.col("confidence") * 100).cast("int").cast("string"), F.lit("% confidence."))
     links = l.select("ubid", F.lit("link").alias("type"), V.date_text(F.col("linked_at")).alias("on_date"), F.lit("Department record linked").alias("title"), said.alias("description"), F.col("source_system").alias("source"))

@@ -250,7 +250,7 @@ def map_points(r: Registry, centroids: DataFrame, limit: int = 500) -> DataFrame
     moved on a small grid so that points don't lie on each other. `centroids` is a fixed dictionary of a few dozen rows."""
     w = views.wide_records(r).filter("ubid is not null").groupBy("ubid").agg(F.min("normalized_name").alias("name"), F.min("pincode").alias("pin_code"), F.avg("latitude").alias("own_lat"), F.avg("longitude").alias("own_lng"))
     u = views.ubid_activity(r).select("ubid", "status").join(w, "ubid").orderBy("ubid").limit(limit)
-    u = u.withColumn("i", F.row_number().over(Window.orderBy("ubid")) - 1).join(F.broadcast(centroids), "pin_code", "left")  # limited rows
+    u = u.withColumn("i", F.row_number().over(Window.orderBy("ubid")) - 1).join(centroids, "pin_code", "left")  # limited rows
     own = F.col("own_lat").isNotNull() & F.col("own_lng").isNotNull()
     lat, lng = (F.when(own, F.col(f"own_{c}")).otherwise(F.col(c)) for c in ("lat", "lng"))
     u = u.withColumns({"lat": lat + (F.col("i") % 9 - 4) * F.lit(0.0015), "lng": lng + (F.floor(F.col("i") / 9) % 9 - 4) * F.lit(0.0015)}).filter("lat is not null and lng is not null")

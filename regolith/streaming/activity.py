@@ -46,14 +46,14 @@ def decayed_sums(events: DataFrame, taxonomy: DataFrame, epoch: str) -> DataFram
     within about 1000 half-lives of the events.
     """
     days = F.datediff(F.col("event_date"), F.lit(epoch).cast("date"))
-    e = events.filter("event_date is not null").withColumn("event_type", F.lower("event_type")).join(F.broadcast(taxonomy.filter("is_active")), "event_type")
+    e = events.filter("event_date is not null").withColumn("event_type", F.lower("event_type")).join(taxonomy.filter("is_active"), "event_type")
     return e.groupBy("ubid", "event_type").agg(F.sum(F.col("weight") * _growth(days, F.col("half_life"))).alias("sum"), F.count(F.lit(1)).alias("n"))
 
 
 def classify_sums(sums: DataFrame, identities: DataFrame, taxonomy: DataFrame, epoch: str, reference_date: str) -> DataFrame:
     """ubid, score, status, n_events at a date, as the batch classification has them."""
     days = F.datediff(F.lit(epoch).cast("date"), F.lit(reference_date).cast("date"))
-    s = sums.join(F.broadcast(taxonomy.select("event_type", "half_life")), "event_type")
+    s = sums.join(taxonomy.select("event_type", "half_life"), "event_type")
     per = s.groupBy("ubid").agg(F.sum(F.col("sum") * _growth(days, F.col("half_life"))).alias("s"), F.sum("n").alias("n_events"))
     score = F.coalesce("s", F.lit(0.0))
     return identities.select("ubid").join(per, "ubid", "left").select("ubid", F.round(score, 4).alias("score"), status(score).alias("status"), F.coalesce("n_events", F.lit(0)).cast("long").alias("n_events"))
