@@ -117,7 +117,7 @@ WITH d AS (
 ), t4 AS (SELECT *, ratio <= (total - before) / rest AS full_ FROM t3
 ), t5 AS (SELECT *, CASE WHEN full_ THEN cap ELSE (total - sum(CASE WHEN full_ THEN cap ELSE 0 END) OVER ()) * w / sum(CASE WHEN full_ THEN 0 ELSE w END) OVER () END AS target FROM t4
 ), t AS (SELECT skey, source_size, total, target, sum(target) OVER (ORDER BY rank) AS hi FROM t5
-), b AS (SELECT greatest(64, CAST(ceil(max(total) / 16000000) AS BIGINT)) AS block, max(hi) AS top, max(total) AS total FROM t
+), b AS (SELECT 64 AS block, max(hi) AS top, max(total) AS total FROM t
 ), slot AS (SELECT k, (k % 2147483648 * 1327217885 % 2147483648) / CAST(2147483648 AS DOUBLE) * top AS at FROM (SELECT unnest(range(CAST(ceil(total / block) AS BIGINT))) AS k, top FROM b)
 ), got AS (SELECT k, skey, row_number() OVER (PARTITION BY skey ORDER BY k) - 1 AS r FROM slot ASOF JOIN (SELECT skey, hi - target AS lo, target FROM t WHERE target > 0) z ON slot.at >= z.lo
 ), times AS (SELECT skey, r % nb AS block_no, count(*) AS times FROM (SELECT got.skey, r, CAST(ceil(source_size / block) AS BIGINT) AS nb FROM got JOIN t USING (skey), b) WHERE r < 2 * nb GROUP BY 1, 2

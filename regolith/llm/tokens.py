@@ -12,7 +12,8 @@ Encoding keeps the ids that the tokenizers library's model gives for each word.
 where blanks are single spaces or newlines; any other text, and any other kind of tokenizer, is encoded whole.
 
 Defined results: null text is like empty text and has the end id alone; null ids come first; rows of equal id are in order
-of their text; repeated rows each get their ids; empty tables give no rows and no files.
+of their text; repeated rows each get their ids; texts of any length are encoded whole; only the named columns are read, so
+further ones may have any name; empty tables give no rows and no files.
 """
 
 from __future__ import annotations

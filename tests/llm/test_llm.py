@@ -408,6 +408,36 @@ def test_edges(spark, edges, name):
         assert all(r["n_lost_words"] == 0 for r in got)
 
 
+def test_pipeline_stages_on_edges(spark, edges):
+    import corpus_pipeline as p
+
+    keep = {
+        "language identification": lambda r: re.search(r"[^\W\d_]", r[1] or ""), "simhash near-dedup": None, "benchmark decontamination": lambda r: True, "mixing to target weights": None,
+    }
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, edges, SF)
+        assert out.columns == edges.columns and stage(spark, edges.limit(0), SF).count() == 0
+        rows = [(r["doc_id"], r["text"]) for r in out.collect()]
+        assert set(rows) <= {r[:2] for r in EDGES}
+        if keep[name]:
+            assert sorted(rows, key=repr) == sorted((r[:2] for r in EDGES if keep[name](r)), key=repr)
+        if name == "simhash near-dedup":  # null and empty texts are alike, and so are repeated rows
+            assert len(rows) == 6
+    assert p.STAGES[-1][1](spark, edges, SF).count() == len(EDGES) and p.STAGES[-1][1](spark, edges.limit(0), SF).count() == 0
+
+
+def test_broadcast_or_shuffle_gives_the_same(spark):
+    from regolith.llm import common
+
+    rows, side = spark.range(100).selectExpr("id % 10 AS k", "id"), spark.range(20).selectExpr("id AS k", "id * 2 AS v")
+    both = [sorted(map(tuple, rows.join(common.few(side, n), "k").collect())) for n in (5, 100)]
+    assert both[0] == both[1] and len(both[0]) == 100
+    plans = [rows.join(common.few(side, n), "k")._jdf.queryExecution().optimizedPlan().toString() for n in (5, 100)]
+    assert ["strategy=broadcast" in p for p in plans] == [False, True]
+    shares = common.with_share(spark.createDataFrame([(None, "a"), (None, "a"), (1, None), (None, None)], "id int, t string"), ["id", "t"], "share")
+    assert sorted(r["share"] for r in shares.collect()) == [0.5, 0.5, 1.0, 1.0]
+
+
 def test_repeated_rows_are_one_document(spark):
     mark = lambda i: "abcdefghij"[i % 10] + "klmnopqrst"[i // 10]
     body = "\n".join(f"line{mark(i)} has{mark(i)} its{mark(i)} own{mark(i)}" for i in range(40))
