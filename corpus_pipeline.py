@@ -1,7 +1,12 @@
 """A training corpus from documents: language, near copies, benchmark passages, source weights, token files.
 
 Each stage takes (spark, docs, sf_dir) and returns a data frame, which is written and read again as the next one's docs.
-All but the last return the columns of documents.
+All but the last return the columns of documents, whatever their names.
+
+Defined results: a row is judged by its own text, or named by its id and the hash of its text, since ids may be null or
+repeat. Null and wordless texts have no language and go in the first stage. Repeated rows are near copies of each other,
+so one stays; documents of no words take no part in the mix. Texts of any length are read whole. Empty tables pass
+through all stages and give no rows.
 """
 
 from __future__ import annotations
