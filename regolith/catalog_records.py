@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from regolith.functions import embedding, identifiers, similarity, text, values
 from regolith.operators import activity, audit, entity, graph, matching, records, reports, review, vectors, views
 from regolith.operators.order import numbered
 from regolith.plans import questions
-from regolith.sources import generator
+from regolith.sources import generator, sinks
 from regolith.sources.registry import Registry
 from regolith.streaming import activity as stream_activity
 
@@ -272,6 +274,70 @@ def ambiguous(r: Registry) -> DataFrame:
     return n.filter("side = 'a'").join(b, "pair").select("pair", (c("pincode") == c("other_pin")).alias("same_pin"), F.round(similarity.name_similarity(c("normalized_name"), c("other"), "dice"), 4).alias("dice"))
 
 
+def _folder(r: Registry, label: str) -> str:
+    return f"{graph.shared_root(r.spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def committed(r: Registry) -> DataFrame:
+    """Two tables written as one, the second time over the first."""
+    at = _folder(r, "commit")
+    sinks.commit({"identities": r.ubids().limit(0), "links": r.links()}, at)
+    sinks.commit({"identities": r.ubids()}, at)
+    i, k = (r.spark.read.parquet(f"{at}/{name}") for name in ("identities", "links"))
+    return i.join(k.groupBy("ubid").agg(F.count(F.lit(1)).alias("n_links")), "ubid", "left").select("ubid", "pan", "n_links")
+
+
+def sent(r: Registry) -> DataFrame:
+    """Decisions as events in a folder of JSON, read back."""
+    at = _folder(r, "events")
+    if not sinks.publish(matching.decision_events(_merged(r)), at):
+        raise OSError("the events' folder could not be written")
+    return r.spark.read.schema("key string, value string, topic string").json(at).select("topic", "key", F.get_json_object("value", "$.best_id").cast("long").alias("best_id"))
+
+
+def exported(r: Registry) -> DataFrame:
+    at = _folder(r, "csv")
+    reports.export_csv(reports.directory_page(reports.directory(r, status="Dormant", sort="confidence_score", descending=True), 100), at)
+    return r.spark.read.option("header", True).option("escape", '"').csv(at)
+
+
+def worked(r: Registry) -> DataFrame:
+    """The events as a queue: each batch is written under its number, so a batch that comes again replaces itself."""
+    at = _folder(r, "queue")
+    sinks.each_batch(_stream(r), lambda batch, number: batch.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{at}/out/batch={number}"), f"{at}/progress").awaitTermination()
+    return r.spark.read.parquet(f"{at}/out").groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
+def gated_texts(r: Registry) -> DataFrame:
+    """What may be handed on: texts without tax numbers, of ten words at most; written verdicts, read."""
+    k = c("id")
+    said = F.concat(F.lit("Reviewer note on "), F.coalesce(records.field(c("raw_payload"), "name"), F.lit("nobody")), F.when(k % 4 == 0, " ABCPK0042F").otherwise(""), F.lit(" Confidence: "), (k % 100).cast("string"), F.when(k % 3 == 0, "% Non-match").when(k % 3 == 1, "% a match, we think, of all these words").otherwise("%"))
+    v = review.verdict(said)
+    return payloads(r).select("id", identifiers.has_pan(said).alias("has_pan"), text.clip_words(said, 10).alias("clipped"), v["confidence"].alias("confidence"), v["verdict"].alias("verdict"))
+
+
+def _engine(r: Registry, to_sql=None) -> questions.Engine:
+    return questions.Engine(r, views.REFERENCE_DATE, to_sql)
+
+
+def reported(r: Registry) -> DataFrame:
+    """A question's answer in a sentence."""
+    asked = "count of closed businesses by sector"
+    return r.spark.createDataFrame([(asked, _engine(r).ask(asked)["report"])], "question string, report string")
+
+
+def relaxed(r: Registry) -> DataFrame:
+    """What is nearby where a question finds nothing."""
+    got = _engine(r).ask("list active businesses in pin 999999")
+    return r.spark.createDataFrame([(got["mode"], got["title"], x["pin_code"], x["business_count"], x["active_count"]) for x in got["related"]], "mode string, title string, pin_code string, business_count long, active_count long")
+
+
+def written(r: Registry) -> DataFrame:
+    """A question that no template knows, answered by written SQL, which is right at the second attempt."""
+    tries = ["SELECT reflect('java.lang.System', 'exit') FROM ubid_registry", "SELECT u.pincode AS pin_code, MAX(u.confidence_score) AS best FROM ubid_registry u WHERE u.sector LIKE '%factories%' GROUP BY u.pincode"]
+    return _engine(r, lambda question, error: tries[error is not None]).rows("which place is the surest")[1]
+
+
 def traced(r: Registry, part: str, query: str = " customer 42 ") -> DataFrame:
     found = entity.trace(r, query)[part]
     columns = {"raw_records": ["raw_id", "source_record_id", "raw_name", "raw_address", "pan", "ubid"], "candidate_pairs": None, "linked_records": ["ubid", "raw_id", "name", "address", "pan", "confidence", "decision_type", "linked_at"], "summary": None}[part]
@@ -292,5 +358,5 @@ def queries() -> dict:
         "r6_raw": lambda r: traced(r, "raw_records"), "r6_pairs": lambda r: traced(r, "candidate_pairs"), "r6_linked": lambda r: traced(r, "linked_records", "TAX-42"), "r6_summary": lambda r: traced(r, "summary"),
         "r7_profile": entity.profile, "r7_timeline": lambda r: entity.newest(entity.timeline(r)), "r11_explanation": lambda r: entity.explanation(r, 13), "r10_semantic": semantic, "a13_modes": lambda r: questions.modes(views.ubid_registry(r)),
         "o8_latest": lambda r: matching.latest(r.links().select(c("raw_id").alias("id"), "linked_at"), "linked_at", 100), "d13_batch": lambda r: matching.oldest_unlinked(r.raw_records().select(c("raw_id").alias("id"), "extracted_at"), r.links().filter("unlinked_at is null").select(c("raw_id").alias("id")), ["extracted_at", "id"], 50),
-        "d6_routing": anchored_routing, "s5_businesses": generated, "s6_ambiguous": ambiguous, "t1_windows": event_windows, "t2_duplicates": event_duplicates, "t3_bound": bound_events, "t4_ingest": ingested, "t6_events": published_events,
+        "s2_commit": committed, "s7_sent": sent, "s9_csv": exported, "t5_queue": worked, "f55_gated_texts": gated_texts, "q16_report": reported, "q15_relaxed": relaxed, "q20_written": written, "d6_routing": anchored_routing, "s5_businesses": generated, "s6_ambiguous": ambiguous, "t1_windows": event_windows, "t2_duplicates": event_duplicates, "t3_bound": bound_events, "t4_ingest": ingested, "t6_events": published_events,
     }

@@ -221,3 +221,8 @@ def parse_verdict(text: str) -> dict:
     return {"confidence": float(number[1]) if number else None, "verdict": None if not kind else "NON-MATCH" if kind[0].lower().startswith("non") else "MATCH"}
 
 
+def verdict(text: Column) -> Column:
+    """struct(confidence, verdict) of written reviews, as parse_verdict has them of one."""
+    number = F.regexp_extract(text, r"(?i)confidence\D{0,20}(\d+(?:\.\d+)?)", 1)
+    kind = F.upper(F.regexp_extract(text, r"(?i)\b(non)[- ]match\b|\bmatch\b", 0))
+    return F.struct(F.when(number != "", number).cast("double").alias("confidence"), F.when(kind == "", None).when(kind.startswith("NON"), "NON-MATCH").otherwise(F.when(kind.isNotNull(), "MATCH")).alias("verdict"))

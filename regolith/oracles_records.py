@@ -186,6 +186,13 @@ SQL = {
     "o8_latest": "SELECT raw_id AS id, linked_at FROM links ORDER BY linked_at DESC, raw_id LIMIT 100",
     "d13_batch": "SELECT raw_id AS id, extracted_at FROM raw_records WHERE raw_id NOT IN (SELECT raw_id FROM links WHERE unlinked_at IS NULL) ORDER BY extracted_at, raw_id LIMIT 50",
     "w7_sequence": "SELECT c_custkey, row_number() OVER (ORDER BY c_name, c_custkey) AS number FROM customer",
+    "s2_commit": "SELECT ubid, pan, n_links FROM ubids LEFT JOIN (SELECT ubid, count(*) AS n_links FROM links GROUP BY ubid) USING (ubid)",
+    "s9_csv": """SELECT CAST(ubid AS VARCHAR) AS "UBID", business_name AS "Business Name", status AS "Status", sector AS "Sector", coalesce(pan, 'N/A') AS "PAN", coalesce(gstin, 'N/A') AS "GSTIN", coalesce(pin_code, 'N/A') AS "Pin Code", CAST(record_count AS VARCHAR) AS "Linked Records", CAST(confidence_score AS VARCHAR) AS "Confidence"
+      FROM registry WHERE status = 'Dormant' ORDER BY registry.confidence_score DESC NULLS LAST, registry.ubid LIMIT 100""",
+    "t5_queue": "SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1",
+    "q16_report": "SELECT 'count of closed businesses by sector' AS question, count(*) || ' sectors; ' || arg_min(sector, o) || ' leads with ' || arg_min(n, o) || ' businesses.' AS report FROM (SELECT sector, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, sector) AS o FROM registry WHERE status = 'Closed' GROUP BY sector)",
+    "q15_relaxed": "SELECT 'no_exact_match_with_related' AS mode, 'PIN codes with matching businesses' AS title, pin_code, count(*) AS business_count, count_if(status = 'Active') AS active_count FROM registry WHERE status = 'Active' AND pin_code IS NOT NULL GROUP BY pin_code ORDER BY business_count DESC, pin_code LIMIT 25",
+    "q20_written": "SELECT pin_code, max(confidence_score) AS best FROM registry WHERE sector IN ('MACHINERY', 'BUILDING', 'AUTOMOBILE') GROUP BY pin_code",
     "t1_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "t2_duplicates": "SELECT event_id % 300 AS dedup_key, CAST(1 AS BIGINT) AS n FROM events GROUP BY 1",
     "t3_bound": "SELECT event_id, is_bound, CASE WHEN event_id % 10 = 0 THEN 2 ELSE 0 END + CASE WHEN is_bound THEN 0 ELSE 1 END AS retry_count FROM (SELECT event_id, ubid IN (SELECT ubid FROM ubids WHERE ubid % 3 <> 1) AS is_bound FROM ev)",
@@ -218,6 +225,9 @@ MORE = {
     "d11_queue": (NEAR, """SELECT q.pair_id, CASE WHEN q.status = 'deferred' AND f.pair_id IS NOT NULL THEN f.s ELSE CAST(0.1 AS DOUBLE) END AS confidence, CASE WHEN q.status = 'deferred' AND f.pair_id IS NOT NULL THEN greatest(90, CAST(floor(f.s * 100) AS INTEGER)) ELSE 90 END AS priority, q.status
       FROM (SELECT DISTINCT pair_id, CASE WHEN new_id % 80 = 0 THEN 'deferred' ELSE 'resolved' END AS status FROM mg WHERE new_id % 40 = 0) q LEFT JOIN (SELECT pair_id, max(semantic_similarity) AS s FROM mg WHERE decision = 'review_queue' GROUP BY pair_id) f ON f.pair_id = q.pair_id
       UNION ALL SELECT pair_id, s, CAST(floor(s * 100) AS INTEGER), 'pending' FROM (SELECT pair_id, max(semantic_similarity) AS s FROM mg WHERE decision = 'review_queue' GROUP BY pair_id) WHERE pair_id NOT IN (SELECT pair_id FROM mg WHERE new_id % 80 = 0)"""),
+    "s7_sent": (NEAR, "SELECT 'entity_resolution' AS topic, pair_id AS key, best_id FROM mg"),
+    "f55_gated_texts": (RAW, r"""SELECT id, regexp_matches(said, '[A-Z]{5}[0-9]{4}[A-Z]') AS has_pan, array_to_string(list_filter(string_split_regex(said, '\s+'), lambda w: w <> '')[1:10], ' ') AS clipped, CAST(id % 100 AS DOUBLE) AS confidence, CASE id % 3 WHEN 0 THEN 'NON-MATCH' WHEN 1 THEN 'MATCH' END AS verdict
+      FROM (SELECT id, 'Reviewer note on ' || coalesce(name, 'nobody') || CASE WHEN id % 4 = 0 THEN ' ABCPK0042F' ELSE '' END || ' Confidence: ' || CAST(id % 100 AS VARCHAR) || CASE id % 3 WHEN 0 THEN '% Non-match' WHEN 1 THEN '% a match, we think, of all these words' ELSE '%' END AS said FROM pay)"""),
     "d6_routing": (NEAR, "SELECT new_id, CASE WHEN pan_conflict OR gstin_conflict OR similarity < CAST(0.3 AS DOUBLE) THEN 'new_ubid' WHEN similarity >= CASE WHEN pan_match OR gstin_match THEN CAST(0.3 AS DOUBLE) ELSE CAST(0.4 AS DOUBLE) END THEN 'auto_match' ELSE 'review_queue' END AS decision FROM e"),
     "t6_events": (NEAR, "SELECT 'entity_resolution' AS topic, pair_id AS key, decision FROM mg"),
 }
