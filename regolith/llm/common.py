@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import io
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -42,11 +43,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    # what was shuffled on the way is garbage now, and Spark deletes its files when the driver's JVM collects
-    spark.sparkContext._jvm.System.gc()
+    # what was shuffled on the way is garbage, and Spark deletes its files when the driver's JVM has collected it (some
+    # references go in a first collection, the rest in a second)
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(table: DataFrame) -> None:
+    """Delete a materialised table that nothing reads any more."""
+    files = table.inputFiles()
+    if files:
+        spark = table.sparkSession
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def release() -> None:
     """Give memory that a finished task has freed back to the machine; a Python worker lives on for further tasks."""
     pa.default_memory_pool().release_unused()

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import answer, ask, dump, dump_arrays, least_of, load, load_arrays, lower_ascii, materialize, narrow, pack, release, shards_for, tell, to_bytes
+from .common import answer, ask, dump, dump_arrays, forget, least_of, load, load_arrays, lower_ascii, materialize, narrow, pack, release, shards_for, tell, to_bytes
 from .wordhash import Words, mix
 
 #: Pseudo-counts of the order below in each context, for pairs and for triples.
@@ -422,6 +422,8 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return {"b": [b], "data": [Block(table).coded(got, word_ids, shards)]}
 
     coded = materialize(tell(packed, words.filter("b <> -1"), encode, "b long, data binary", blocks), "ngram-coded")
+    forget(packed)
+    forget(words)
 
     def first(x):
         """The block's pairs, and log10 of the first order for each of its words."""
