@@ -303,7 +303,8 @@ class Asked:
         """By context, one with more than a shard's part of the tokens on by word; in order of ids."""
         parts = 1 + self.cv * shards // max(total, 1)
         s = ((mix(self.v.astype(np.uint64)) % np.uint64(shards)).astype(np.int64) + (mix(self.w.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)) % shards
-        return {i: pick[np.lexsort((self.w[pick], self.v[pick]))] for i, pick in deal(s, shards).items()}
+        order = by_ids(self.v, self.w)
+        return {i: order[pick] for i, pick in deal(s[order], shards).items()}
 
     def requests(self, b: int, log_below: np.ndarray, total: int, shards: int) -> dict[str, list]:
         """log_below: log10 of what the order below gives for each."""
@@ -339,7 +340,7 @@ def query(blobs: list[bytes], prior: float, with_ids: bool) -> list[bytes]:
     sizes = [x["size"].astype(np.int64) + x["size0"] for x in got]
     v = np.concatenate([np.repeat(np.cumsum(x["v"].astype(np.int64) + x["v0"]), n) for x, n in zip(got, sizes)])
     w = np.concatenate([x["w"] for x in got]).astype(np.int64)
-    order = np.lexsort((w, v))
+    order = by_ids(v, w)
     first = np.ones(len(v), bool)
     first[1:] = (v[order][1:] != v[order][:-1]) | (w[order][1:] != w[order][:-1])
     head = np.flatnonzero(first)
@@ -353,8 +354,10 @@ def query(blobs: list[bytes], prior: float, with_ids: bool) -> list[bytes]:
         path = os.path.join(folder, "trie")
         trie.save(path)
         trie = Trie.open(path)
-        # all requests together and in order, so that pages are touched once, however many blocks ask
-        distinct = trie.find(v[order][head], w[order][head])
+        # all requests together and in order, so that pages are touched once, however many blocks ask; what occurs too
+        # seldom to be held needs no search
+        distinct = np.zeros(len(head), np.uint8)
+        distinct[held] = trie.find(v[at], w[at])
     which = np.empty(len(v), np.int64)
     which[order] = np.cumsum(first) - 1
     rank = np.cumsum(held) - 1
@@ -368,6 +371,13 @@ def query(blobs: list[bytes], prior: float, with_ids: bool) -> list[bytes]:
     return [*out, dump_arrays(held=np.array([held.sum()], np.int64))]
 
 
+def by_ids(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Order by v, then w. Sorted runs, as requests come, are merged."""
+    if len(v) and int(v.max()) < 2**31 and int(w.max()) < 2**32:
+        return np.argsort((v << 32) | w, kind="stable")
+    return np.lexsort((w, v))
+
+
 def deal(s: np.ndarray, shards: int) -> dict[int, np.ndarray]:
     order = np.argsort(s, kind="stable")
     cuts = np.searchsorted(s[order], np.arange(shards + 1))
