@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, langid, mixing, ngrams, quality, simhash, substrings, tokens, urls
+from . import chats, decontaminate, html, langid, media, mixing, negatives, ngrams, quality, simhash, substrings, tokens, urls
 from .common import read
 
 
@@ -55,12 +55,42 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("clean_sha256", F.sha2("text", 256)).drop("text")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    rows = negatives.prepared(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return negatives.mine(rows, rows.filter("id % 100 = 0"))
+
+
+def op12_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_back(media.store(read(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.report(read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_score, op2_html, op3_simhash, op4_url_filter, op5_tokens, op6_mixing, op7_language_id, op8_decontamination, op9_substrings, op10_quality)}
+    found = (
+        op1_ngram_score, op2_html, op3_simhash, op4_url_filter, op5_tokens, op6_mixing, op7_language_id, op8_decontamination, op9_substrings, op10_quality, op11_hard_negatives, op12_mpeg, op13_conversations,
+    )
+    return {f.__name__: f for f in found}
 
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 SQL = {
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.r AS anchor, a.id AS anchor_id, a.label AS own, n.r, n.id, n.label, CAST(list_sum(list_transform(range(1, least(len(a.e), len(n.e)) + 1), lambda i: a.e[i] * n.e[i])) AS BIGINT) AS score
+  FROM v a JOIN v n ON a.id % 100 = 0 AND n.id IS DISTINCT FROM a.id
+), p AS (SELECT * FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id NULLS LAST) <= 5
+), n AS (
+  SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor, p.r ORDER BY s.score DESC, s.id NULLS LAST) AS rank
+  FROM p JOIN s USING (anchor) WHERE s.label <> p.label AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+""",
     "op9_substrings": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents
 ), win AS (SELECT r, doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') AS w FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d)
