@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regolith.functions import embedding, identifiers, similarity, text, values
-from regolith.operators import activity, audit, entity, graph, matching, records, reports, review, vectors, views
+from regolith.operators import activity, audit, entity, graph, matching, readmodel, records, reports, review, vectors, views
 from regolith.operators.order import numbered
 from regolith.plans import questions
 from regolith.sources import generator, sinks
+from regolith.sources.buckets import Store, merge
 from regolith.sources.registry import Registry
 from regolith.streaming import activity as stream_activity
 
@@ -338,6 +339,43 @@ def written(r: Registry) -> DataFrame:
     return _engine(r, lambda question, error: tries[error is not None]).rows("which place is the surest")[1]
 
 
+def refreshed(r: Registry) -> DataFrame:
+    """The read model after three batches of changes: records that come late, were linked wrongly, or lose their link.
+
+    The first batch comes again at the end, as after a failure, and an older change of every record arrives after all.
+    """
+    store = Store(r.spark, _folder(r, "model"))
+    k, right = c("raw_id"), readmodel.records(r)
+    ended = r.links().filter("unlinked_at is not null").select("raw_id", "ubid", "confidence").join(r.raw_records().select("raw_id", "source_system"), "raw_id")
+    blank = {n: F.lit(None).cast("string") for n in ("payload_name", "plain_name", "sector", "pin_code")}
+    linked = ended.withColumns(blank).withColumn("payload_name", F.lit("A former record")).select(*right.columns)
+    at = lambda df, n: df.withColumn("version", F.lit(n).cast("long"))
+    wrong = right.filter(k % 4 == 1).withColumns({"ubid": c("ubid") + 1, "confidence": F.lit(0.999), "payload_name": F.lit("A wrong name")})
+    events, i = r.events().select("ubid", "event_type", "event_date", "event_id"), r.ubids()
+    first = at(right.filter(k % 4 > 1).unionByName(wrong).unionByName(linked), 1)
+    steps = (
+        (first, events.filter("event_id % 3 <> 0"), at(i.withColumn("pan", F.lit("none yet")), 1)), (at(right.filter(k % 4 == 0), 2), None, None),
+        (at(right.filter(k % 4 == 1), 3), events.filter("event_id % 3 = 0"), None), (at(linked.withColumn("ubid", F.lit(None).cast("long")), 4), None, at(i, 2)),
+        (first.withColumn("version", F.lit(0).cast("long")), None, None),
+    )
+    for n, step in enumerate(steps):
+        readmodel.refresh(store, *step, token=("changes", n), buckets=8)
+    readmodel.refresh(store, *steps[0], token=("changes", 0), buckets=8)
+    return readmodel.registry(store, r.taxonomy(), views.REFERENCE_DATE)
+
+
+def merged_queue(r: Registry) -> DataFrame:
+    """The review queue upserted from batches that come in the wrong order, one of them twice."""
+    store = Store(r.spark, _folder(r, "queue-table"))
+    q = r.review_queue().select("id", "record_a", "record_b", "confidence", "priority", "status")
+    at = lambda df, n: df.withColumns({"version": F.lit(n).cast("long"), "deleted": F.lit(False)})
+    low = q.filter("id % 2 = 0").withColumns({"confidence": F.lit(0.1), "status": F.lit("pending")})
+    batches = (at(low, 1), at(q.filter("id % 3 <> 0"), 2), at(q.filter("id % 5 = 0"), 3).withColumn("deleted", F.lit(True)))
+    for n in (2, 0, 1, 2, 1):
+        merge(store, "queue", batches[n], "id", token=("queue", n), buckets=8)
+    return store.read("queue").filter("not deleted").drop("version", "deleted")
+
+
 def traced(r: Registry, part: str, query: str = " customer 42 ") -> DataFrame:
     found = entity.trace(r, query)[part]
     columns = {"raw_records": ["raw_id", "source_record_id", "raw_name", "raw_address", "pan", "ubid"], "candidate_pairs": None, "linked_records": ["ubid", "raw_id", "name", "address", "pan", "confidence", "decision_type", "linked_at"], "summary": None}[part]
@@ -358,5 +396,5 @@ def queries() -> dict:
         "r6_raw": lambda r: traced(r, "raw_records"), "r6_pairs": lambda r: traced(r, "candidate_pairs"), "r6_linked": lambda r: traced(r, "linked_records", "TAX-42"), "r6_summary": lambda r: traced(r, "summary"),
         "r7_profile": entity.profile, "r7_timeline": lambda r: entity.newest(entity.timeline(r)), "r11_explanation": lambda r: entity.explanation(r, 13), "r10_semantic": semantic, "a13_modes": lambda r: questions.modes(views.ubid_registry(r)),
         "o8_latest": lambda r: matching.latest(r.links().select(c("raw_id").alias("id"), "linked_at"), "linked_at", 100), "d13_batch": lambda r: matching.oldest_unlinked(r.raw_records().select(c("raw_id").alias("id"), "extracted_at"), r.links().filter("unlinked_at is null").select(c("raw_id").alias("id")), ["extracted_at", "id"], 50),
-        "s2_commit": committed, "s7_sent": sent, "s9_csv": exported, "t5_queue": worked, "f55_gated_texts": gated_texts, "q16_report": reported, "q15_relaxed": relaxed, "q20_written": written, "d6_routing": anchored_routing, "s5_businesses": generated, "s6_ambiguous": ambiguous, "t1_windows": event_windows, "t2_duplicates": event_duplicates, "t3_bound": bound_events, "t4_ingest": ingested, "t6_events": published_events,
+        "s3_refreshed": refreshed, "d11_merged": merged_queue, "s2_commit": committed, "s7_sent": sent, "s9_csv": exported, "t5_queue": worked, "f55_gated_texts": gated_texts, "q16_report": reported, "q15_relaxed": relaxed, "q20_written": written, "d6_routing": anchored_routing, "s5_businesses": generated, "s6_ambiguous": ambiguous, "t1_windows": event_windows, "t2_duplicates": event_duplicates, "t3_bound": bound_events, "t4_ingest": ingested, "t6_events": published_events,
     }

@@ -41,8 +41,17 @@ def ubid_registry(r: Registry) -> DataFrame:
     # first per source, then over sources: a record has one current link to an identity, so records are counted as rows
     least = {"payload_name": F.get_json_object("raw_payload", "$.name"), "plain_name": F.col("normalized_name"), "industrial": F.when(industrial, F.col("sector")), "any_sector": F.col("sector"), "pin_code": F.col("pincode")}
     by_source = rows.groupBy("ubid", "source_system").agg(*[F.min(c).alias(n) for n, c in least.items()], F.max("confidence").alias("confidence_score"), F.count(F.lit(1)).alias("record_count"))
-    per = by_source.groupBy("ubid").agg(*[F.min(n).alias(n) for n in least], F.max("confidence_score").alias("confidence_score"), F.sum("record_count").alias("record_count"), F.count(F.lit(1)).alias("source_count"))
-    out = r.ubids().filter("is_canonical").join(ubid_activity(r).select("ubid", "status", "score"), "ubid", "left").join(per, "ubid", "left")
+    return registry_rows(r.ubids(), ubid_activity(r).select("ubid", "status", "score"), per_identity(by_source))
+
+
+def per_identity(by_source: DataFrame) -> DataFrame:
+    """One row per identity from one per identity and source."""
+    least = ("payload_name", "plain_name", "industrial", "any_sector", "pin_code")
+    return by_source.groupBy("ubid").agg(*[F.min(n).alias(n) for n in least], F.max("confidence_score").alias("confidence_score"), F.sum("record_count").alias("record_count"), F.count(F.lit(1)).alias("source_count"))
+
+
+def registry_rows(identities: DataFrame, activity_rows: DataFrame, per: DataFrame) -> DataFrame:
+    out = identities.filter("is_canonical").join(activity_rows, "ubid", "left").join(per, "ubid", "left")
     return out.select(
         "ubid", F.coalesce("payload_name", "plain_name", F.lit("Unknown Business")).alias("business_name"), F.coalesce("industrial", "any_sector", F.lit("Unknown")).alias("sector"), "pin_code", "pan", "gstin",
         F.coalesce("status", F.lit("Unknown")).alias("status"), F.col("score").alias("activity_score"), "confidence_score", F.coalesce("record_count", F.lit(0)).alias("record_count"), F.coalesce("source_count", F.lit(0)).alias("source_count"), "created_on", "updated_on",

@@ -169,6 +169,8 @@ SQL = {
     "d14_override": "SELECT u.ubid, round(coalesce(s, 0), 4) AS score, coalesce(o.override, st) AS status, CAST(coalesce(n, 0) AS BIGINT) AS n_events, st AS computed_status, o.override FROM (SELECT u.ubid, s, n, CASE WHEN coalesce(s, 0) >= 1.5 THEN 'Active' WHEN coalesce(s, 0) >= 0 THEN 'Dormant' ELSE 'Closed' END AS st FROM ubids u LEFT JOIN (SELECT ubid, sum(weight * exp(-ln(CAST(2 AS DOUBLE)) * greatest(0, date_diff('day', event_date, DATE '2024-01-31')) / half_life)) AS s, count(*) AS n FROM ev JOIN taxonomy USING (event_type) WHERE event_id % 50 <> 7 GROUP BY ubid) USING (ubid)) u LEFT JOIN overrides o ON o.ubid = u.ubid",
     "w5_timeline": "SELECT ubid, CAST(count(*) AS INTEGER) AS n, string_agg(CAST(event_date AS VARCHAR) || '/' || CAST(event_id AS VARCHAR), ' ' ORDER BY event_date DESC, event_id DESC) AS events FROM ev JOIN taxonomy USING (event_type) GROUP BY ubid",
     "r1_sectors": "SELECT coalesce(sector, 'Unknown') AS sector, count(*) AS businesses, count_if(status = 'Active') AS active, count_if(status = 'Dormant') AS dormant, count_if(status = 'Closed') AS closed, count(DISTINCT pin_code) AS pin_codes, round(avg(confidence_score), 3) AS avg_confidence, CAST(sum(record_count) AS BIGINT) AS linked_records FROM registry GROUP BY 1 ORDER BY businesses DESC, sector LIMIT 8",
+    "s3_refreshed": "SELECT * FROM registry",
+    "d11_merged": "SELECT id, record_a, record_b, CASE WHEN id % 3 <> 0 THEN confidence ELSE CAST(0.1 AS DOUBLE) END AS confidence, priority, CASE WHEN id % 3 <> 0 THEN status ELSE 'pending' END AS status FROM rq WHERE id % 5 <> 0 AND (id % 2 = 0 OR id % 3 <> 0)",
     "r1_cards": "SELECT 'stale_inspections' AS card, top AS subject, count_if(u.ubid IS NOT NULL AND (last IS NULL OR last < DATE '2024-01-25')) AS value FROM (SELECT coalesce((SELECT pin_code FROM registry WHERE pin_code IS NOT NULL GROUP BY pin_code ORDER BY count(*) DESC, pin_code LIMIT 1), '560058') AS top) LEFT JOIN registry u ON u.pin_code = top AND u.status = 'Active' AND u.sector IN ('MACHINERY', 'BUILDING', 'AUTOMOBILE') LEFT JOIN (SELECT ubid, max(event_date) AS last FROM ev WHERE event_type = 'inspection' GROUP BY ubid) e ON e.ubid = u.ubid GROUP BY top UNION ALL SELECT 'identifier_gap', 'pan without gstin', count(pan) - count(gstin) FROM registry UNION ALL SELECT 'review_queue', 'pending', count_if(status IN ('pending', 'locked')) FROM rq",
     "r3_screen": PAGE.format(rows=f"SELECT * FROM {SHOWN} WHERE source_system = 'tax' AND coalesce(status, 'Unlinked') = 'Dormant' AND pan IS NOT NULL AND pan <> '' AND ({LIKE}) ORDER BY known_confidence DESC, extracted_at DESC, raw_id LIMIT 25 OFFSET 5").replace("ORDER BY known_confidence DESC, extracted_at DESC, raw_id", "ORDER BY known_confidence DESC, extracted_at DESC, raw_id"),
     "r3_by_name": PAGE.format(rows=f"SELECT * FROM {SHOWN} WHERE ubid IS NULL ORDER BY shown_name, raw_id LIMIT 50"),
@@ -258,7 +260,7 @@ MORE |= {
     "d9_links": (MADE, "SELECT res.id, coalesce(ni.ubid, res.entity) AS ubid, CASE WHEN outcome = 'new_ubid' THEN CAST(1 AS DOUBLE) ELSE round(e.similarity, 4) END AS confidence, CASE WHEN outcome = 'new_ubid' THEN 'new_ubid' ELSE 'embedding_auto_match' END AS decision_type FROM res LEFT JOIN ni ON ni.entity = res.entity LEFT JOIN e ON e.new_id = res.id WHERE res.entity IS NOT NULL AND res.id NOT IN (SELECT id FROM hd)"),
 }
 PLAIN["d7_resolution"] = "WITH RECURSIVE " + TURNS.format(turns=f"SELECT query_id AS id, id AS best_id, CASE WHEN s < 0.30 THEN 'new_ubid' WHEN query_id % 7 = 0 OR s < 0.40 THEN 'review_queue' ELSE 'auto_match' END AS decision FROM ({NEAREST}) WHERE rank = 1").strip() + " SELECT id, outcome, entity, maker FROM res"
-MORE_DATES = {"v1_ubid_registry": ("assigned_on", "last_updated"), "v3_activity_events": ("event_date",), "v4_audit_log": ("created_at",), "r11_explanation": ("event_date",)}
+MORE_DATES = {"s3_refreshed": ("created_on", "updated_on"), "v1_ubid_registry": ("assigned_on", "last_updated"), "v3_activity_events": ("event_date",), "v4_audit_log": ("created_at",), "r11_explanation": ("event_date",)}
 
 
 def oracle_sql() -> dict[str, str]:
