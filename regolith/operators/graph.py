@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,11 +24,11 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Lineage ends here: a reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint()
+    """Lineage ends here: a table written to the shared folder. Unlike a checkpoint it is computed once, and its size is
+    known from its files, where estimates multiplied round after round would grow beyond all bounds."""
+    at = f"{shared_root(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def resolve_first(pairs: DataFrame, rounds: int = 60) -> DataFrame:
@@ -60,6 +62,40 @@ def route_anchored(similarity: Column, conflict: Column, same_identifier: Column
     return F.when(conflict | F.coalesce(similarity < review, F.lit(True)), "new_ubid").when(similarity >= bar, "auto_match").otherwise("review_queue")
 
 
+def unmatched(nodes: DataFrame, rounds: int = 200) -> DataFrame:
+    """(id, acts) for a forest of (id, parent): a node acts iff none of its children does.
+
+    By contraction: a node whose children are all known, or one of which acts, is known (rake). A node with one unknown child
+    and no acting one is the child's negation, and so, along a chain of such nodes, a function of the chain's end, which is
+    the negation or the identity: such a node points to the end and composes what it skips, twice as far each round
+    (compress). Leaves and chains go together, so rounds grow with the logarithm of the number of nodes, however long the
+    chains are. Nodes whose parent is not a node are roots.
+    """
+    nothing = F.lit(None).cast(nodes.schema["id"].dataType)
+    nodes = cut(nodes.select("id", "parent", F.lit(None).cast("boolean").alias("acts"), nothing.alias("end"), F.lit(False).alias("negated")))
+    known: list[DataFrame] = []
+    for _ in range(rounds):
+        if nodes.isEmpty():
+            break
+        # what became known in the last round is heard by parents and chains in this one, and then leaves the table
+        known.append(nodes.filter("acts is not null").select("id", "acts"))
+        unknown = F.col("acts").isNull()
+        children = nodes.filter("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.coalesce(F.bool_or("acts"), F.lit(False)).alias("taken"), F.count_if(unknown).alias("unknown"), F.max(F.when(unknown, F.col("id"))).alias("child"))
+        ends = nodes.filter("acts is not null").select(F.col("id").alias("end"), F.col("acts").alias("end_acts"))
+        now = nodes.filter("acts is null").drop("acts").join(children, "id", "left").join(ends, "end", "left")
+        chained, left = F.col("end").isNotNull(), F.coalesce("unknown", F.lit(0))
+        acts = F.when(chained, F.col("end_acts") != F.col("negated")).when(F.coalesce("taken", F.lit(False)), F.lit(False)).when(left == 0, F.lit(True))
+        # a node that was found to have one unknown child is that child's negation for good
+        end, negated = F.when(chained, F.col("end")).when(left == 1, F.col("child")), F.when(chained, F.col("negated")).otherwise(left == 1)
+        now = cut(now.select("id", "parent", acts.alias("acts"), F.when(acts.isNull(), end).alias("end"), negated.alias("negated")))
+        far = now.filter("acts is null and end is not null").select(F.col("id").alias("end"), F.col("end").alias("further"), F.col("negated").alias("more"))
+        now = now.join(far, "end", "left").select("id", "parent", "acts", F.coalesce("further", "end").alias("end"), (F.col("negated") != F.coalesce("more", F.lit(False))).alias("negated"))
+        nodes = cut(now)
+    else:
+        raise RuntimeError(f"the forest did not settle in {rounds} rounds")
+    return reduce(DataFrame.unionByName, known) if known else nodes.select("id", "acts")
+
+
 def resolve(best: DataFrame, linked: DataFrame, rounds: int = 200) -> DataFrame:
     """Records resolved one after another, computed without going through them one by one.
 
@@ -69,24 +105,17 @@ def resolve(best: DataFrame, linked: DataFrame, rounds: int = 200) -> DataFrame:
     nothing. Returns (id, outcome, entity, maker): outcome skipped or the decision (linked_by_other for candidates that had
     no turn), entity null if none, maker whether this record's turn made the entity ("new:" and the maker's id).
 
-    A record is skipped iff it was linked before or an earlier record that was not skipped itself auto-matched to it.
-    That depends on earlier records only, so each round settles every record whose earlier suitors are settled; the
-    rounds are the longest chain of suitors in rising order. Entities then follow pointers to earlier records, doubled
-    each round.
+    A record is skipped iff it was linked before or an earlier record that was not skipped itself auto-matched to it. Each
+    record has one candidate, so the suitors form a forest, which `unmatched` contracts. Entities then follow pointers to
+    earlier records, doubled each round. Rounds grow with the logarithm of the number of records in both.
     """
     held = linked.groupBy("id").agg(F.min("entity").alias("held"))
     turns = best.select("seq", "id", "best_id", "decision").join(held, "id", "left")
     auto = turns.filter("decision = 'auto_match' and held is null and best_id is not null").select(F.col("id").alias("suitor"), F.col("seq").alias("suitor_seq"), F.col("best_id").alias("id"))
     suits = cut(auto.join(turns.filter("held is null").select("id", "seq"), "id").filter("suitor_seq < seq").select("id", "suitor"))
-    state = cut(turns.select("id", "seq", "best_id", "decision", "held", F.when(F.col("held").isNotNull(), True).alias("skipped")))
-    for _ in range(rounds):
-        told = suits.join(state.select(F.col("id").alias("suitor"), F.col("skipped").alias("s")), "suitor").groupBy("id").agg(F.bool_or(F.col("s") == F.lit(False)).alias("taken"), F.bool_or(F.col("s").isNull()).alias("waits"))
-        settled = F.when(F.col("skipped").isNotNull(), F.col("skipped")).when(F.coalesce("taken", F.lit(False)), True).when(F.coalesce("waits", F.lit(False)), F.lit(None).cast("boolean")).otherwise(False)
-        state = cut(state.join(told, "id", "left").select("id", "seq", "best_id", "decision", "held", settled.alias("skipped")))
-        if state.filter("skipped is null").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"turns did not settle in {rounds} rounds")
+    free = turns.filter("held is null").select("id").join(suits.select(F.col("suitor").alias("id"), F.col("id").alias("parent")), "id", "left")
+    acting = unmatched(free, rounds)
+    state = cut(turns.join(acting, "id", "left").select("id", "seq", "best_id", "decision", "held", (F.col("held").isNotNull() | ~F.col("acts")).alias("skipped")))
     acts = state.filter("not skipped")
     links = acts.filter("decision = 'auto_match'").select("seq", "id", F.col("best_id").alias("target"))
     makes = acts.filter("decision = 'new_ubid'").select("seq", "id", F.col("id").alias("target"))
