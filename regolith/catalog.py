@@ -52,6 +52,11 @@ def blocking(r: Registry):
     return linkage.candidate_pairs(part_records(r))
 
 
+def left_out(r: Registry):
+    """Records beyond their buckets' caps, which are part of the blocking."""
+    return linkage.left_out(part_records(r), linkage.strategies())
+
+
 def scores(r: Registry):
     p = part_records(r)
     side = lambda s: p.drop("pan_valid", "gstin_valid").select([F.col(c).alias(f"{c}_{s}") for c in p.columns if not c.endswith("_valid")])
@@ -122,7 +127,7 @@ def queries() -> dict:
         "r1_metrics": reports.metrics, "r1_bands": reports.confidence_bands, "r1_coverage": reports.coverage, "r1_hotspots": reports.hotspots,
         "r3_page": lambda r: reports.raw_page(r, source="tax", linked=True, q="customer 1", limit=25, offset=25), "r3_facets": reports.facets,
         "r9_unlinked": reports.unlinked,
-        "f_pseudonym": pseudonyms, "f_ubid_code": codes, "s_jaccard": token_similarity, "d1_blocking": blocking, "d2_scores": scores,
+        "f_pseudonym": pseudonyms, "f_ubid_code": codes, "s_jaccard": token_similarity, "d1_blocking": blocking, "d1_left_out": left_out, "d2_scores": scores,
         "q5_review": lambda r: review.open_items(r.review_queue()), "d15_evidence": evidence, "d17_queue": lambda r: review.decided_queue(r.review_queue(), r.review_actions()).select("id", "status"),
         "d17_links": lambda r: review.apply(r.review_queue(), r.review_actions(), r.review_links()), "d17_audit": lambda r: review.audit(r.review_actions(), r.review_queue()).drop("after_state"), "d19_weights": trained_weights, "d20_labels": lambda r: review.labels(r.review_queue(), r.review_actions()),
         "s_cosine_topk": cosine_top, "d5_routing": routing, "d7_resolution": resolution, "q14_hints": questions.hints, "q20_governed": governed, "r2_map": map_points, "r3_summary": reports.record_summary,

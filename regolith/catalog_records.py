@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regolith.functions import embedding, identifiers, similarity, text, values
-from regolith.operators import activity, audit, entity, graph, matching, readmodel, records, reports, review, vectors, views
+from regolith.operators import activity, audit, entity, graph, linkage, matching, paging, readmodel, records, reports, review, search, sketches, vector_index, vectors, views
 from regolith.operators.order import numbered
 from regolith.plans import questions
 from regolith.sources import generator, sinks
 from regolith.sources.buckets import Store, merge
 from regolith.sources.registry import Registry
 from regolith.streaming import activity as stream_activity
+from regolith.streaming import late, statuses
 
 c = F.col
 
@@ -231,8 +232,8 @@ def activity_timeline(r: Registry) -> DataFrame:
 
 
 def semantic(r: Registry) -> DataFrame:
-    """Businesses near every hundredth vector."""
-    near = reports.semantic_search(r.vectors().filter("id % 100 = 0"), r.vectors(), 10, 0.30)
+    """Businesses near every twentieth vector."""
+    near = reports.semantic_search(r.vectors().filter("id % 20 = 0"), r.vectors(), 10, 0.30)
     return near.join(views.ubid_registry(r).select(c("ubid").alias("id"), "business_name"), "id").select("query_id", "id", "business_name", F.round("similarity", 6).alias("similarity"))
 
 
@@ -376,6 +377,78 @@ def merged_queue(r: Registry) -> DataFrame:
     return store.read("queue").filter("not deleted").drop("version", "deleted")
 
 
+def _indexed(r: Registry) -> tuple[DataFrame, DataFrame]:
+    asked, base = r.vectors().filter("id % 20 = 0"), r.vectors()
+    index = vector_index.measured(vector_index.build(base), base, asked)
+    return vector_index.search(index, asked), vectors.nearest(asked, base)
+
+
+def indexed(r: Registry) -> DataFrame:
+    """Every twentieth vector's neighbours by the index, each with whether the exact search has it, and the recall over all."""
+    found, true = (graph.cut(x) for x in _indexed(r))
+    right = true.select("query_id", "id", F.lit(True).alias("exact"))
+    rows = found.join(right, ["query_id", "id"], "left").join(vector_index.recall_of(found, true).select("recall"), F.lit(True))
+    return rows.select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank", F.coalesce("exact", F.lit(False)).alias("exact"), "recall")
+
+
+def index_recall(r: Registry) -> DataFrame:
+    """One row: whether the index finds at least nine tenths of the exact neighbours."""
+    found, true = _indexed(r)
+    return vector_index.recall_of(graph.cut(found), true).select("queries", "neighbours", (F.col("recall") >= 0.9).alias("reached"))
+
+
+def searched(r: Registry) -> DataFrame:
+    """The screen's search by stored trigrams instead of a scan of six columns."""
+    store, columns = Store(r.spark, _folder(r, "postings")), ("source_record_id", "shown_name", "raw_address", "pan", "gstin", "ubid_code")
+    search.index(store, reports.screen(r), "raw_id", columns, buckets=16)
+    found = search.find(store, "tomer 1", columns).filter((c("source_system") == "tax") & (c("status") == "Dormant") & (c("pan") != ""))
+    return reports.screen_page(found, "confidence", 25, 5)
+
+
+def cursor_page(r: Registry) -> DataFrame:
+    """The third page of the directory, from the second one's last row on."""
+    rows = graph.cut(views.ubid_registry(r))
+    keys = [("confidence_score", True, False), ("ubid", False, True)]
+    at = None
+    for _ in range(2):
+        last = paging.page(rows, keys, at).collect()
+        at = paging.cursor(last[-1], keys) if last else at
+    return paging.page(rows, keys, at).select("ubid", "business_name", "confidence_score")
+
+
+def sketched(r: Registry) -> DataFrame:
+    """Distinct businesses by source from sketches of months that are merged, with the exact count beside them."""
+    links = r.links().join(r.raw_records().select("raw_id", "source_system"), "raw_id")
+    stored = graph.cut(sketches.by_period(links, ["source_system"], F.trunc("linked_at", "month"), "ubid"))
+    exact = links.groupBy("source_system").agg(F.countDistinct("ubid").alias("businesses"))
+    return sketches.merged(stored, ["source_system"]).join(exact, "source_system").select("source_system", c("n").alias("links"), "businesses", (F.abs(c("estimate") / c("businesses") - 1) < 0.03).alias("close"))
+
+
+def newest_events(r: Registry) -> DataFrame:
+    t = activity.newest(r.events(), r.taxonomy(), views.REFERENCE_DATE, 3)
+    return t.select("ubid", "n_total", F.array_join(F.transform("timeline", lambda x: F.concat(x["event_date"].cast("string"), F.lit("/"), x["event_id"].cast("string"))), " ").alias("events"))
+
+
+def streamed_statuses(r: Registry) -> DataFrame:
+    """Statuses on three days from the stream of changes."""
+    changes = late.collected(statuses.status_changes(r.events(_stream(r)), r.taxonomy(), "2 days"), "statuses")
+    days = [statuses.on(changes, r.ubids(), d).select("ubid", F.lit(d).alias("day"), "status") for d in ("2024-01-08", "2024-01-15", "2024-01-24")]
+    return days[0].unionByName(days[1]).unionByName(days[2])
+
+
+def late_events(r: Registry) -> DataFrame:
+    """Events against identities that arrive day by day, some never; a last row of each stream lets the watermark pass."""
+    end = r.spark.sql("SELECT -1L AS event_id, -1L AS ubid, timestamp'2034-01-01' AS ts")
+    k = c("ubid")
+    arrivals = r.ubids().filter(k % 3 != 1).select(k, (F.lit("2023-12-20").cast("timestamp") + F.make_dt_interval((k % 60).cast("int"), (k % 24).cast("int"))).alias("arrived_at"))
+    at = _folder(r, "arrivals")
+    r.events().select("event_id", "ubid", c("ingested_at").cast("timestamp").alias("ts")).unionByName(end).write.parquet(f"{at}/events")
+    arrivals.unionByName(end.select("ubid", c("ts").alias("arrived_at"))).write.parquet(f"{at}/identities")
+    stream = lambda name, schema: r.spark.readStream.schema(schema).parquet(f"{at}/{name}")
+    found = late.bound(stream("events", "event_id long, ubid long, ts timestamp"), stream("identities", "ubid long, arrived_at timestamp"), 10, 2, "400 days")
+    return late.collected(found, "late").filter("event_id >= 0").select("event_id", "is_bound", "retry_count")
+
+
 def traced(r: Registry, part: str, query: str = " customer 42 ") -> DataFrame:
     found = entity.trace(r, query)[part]
     columns = {"raw_records": ["raw_id", "source_record_id", "raw_name", "raw_address", "pan", "ubid"], "candidate_pairs": None, "linked_records": ["ubid", "raw_id", "name", "address", "pan", "confidence", "decision_type", "linked_at"], "summary": None}[part]
@@ -396,5 +469,5 @@ def queries() -> dict:
         "r6_raw": lambda r: traced(r, "raw_records"), "r6_pairs": lambda r: traced(r, "candidate_pairs"), "r6_linked": lambda r: traced(r, "linked_records", "TAX-42"), "r6_summary": lambda r: traced(r, "summary"),
         "r7_profile": entity.profile, "r7_timeline": lambda r: entity.newest(entity.timeline(r)), "r11_explanation": lambda r: entity.explanation(r, 13), "r10_semantic": semantic, "a13_modes": lambda r: questions.modes(views.ubid_registry(r)),
         "o8_latest": lambda r: matching.latest(r.links().select(c("raw_id").alias("id"), "linked_at"), "linked_at", 100), "d13_batch": lambda r: matching.oldest_unlinked(r.raw_records().select(c("raw_id").alias("id"), "extracted_at"), r.links().filter("unlinked_at is null").select(c("raw_id").alias("id")), ["extracted_at", "id"], 50),
-        "s3_refreshed": refreshed, "d11_merged": merged_queue, "s2_commit": committed, "s7_sent": sent, "s9_csv": exported, "t5_queue": worked, "f55_gated_texts": gated_texts, "q16_report": reported, "q15_relaxed": relaxed, "q20_written": written, "d6_routing": anchored_routing, "s5_businesses": generated, "s6_ambiguous": ambiguous, "t1_windows": event_windows, "t2_duplicates": event_duplicates, "t3_bound": bound_events, "t4_ingest": ingested, "t6_events": published_events,
+        "s3_refreshed": refreshed, "j10_index": indexed, "j10_recall": index_recall, "p4_searched": searched, "r8_cursor": cursor_page, "a3_sketches": sketched, "w5_newest": newest_events, "t7_changes": streamed_statuses, "t3_late": late_events, "d11_merged": merged_queue, "s2_commit": committed, "s7_sent": sent, "s9_csv": exported, "t5_queue": worked, "f55_gated_texts": gated_texts, "q16_report": reported, "q15_relaxed": relaxed, "q20_written": written, "d6_routing": anchored_routing, "s5_businesses": generated, "s6_ambiguous": ambiguous, "t1_windows": event_windows, "t2_duplicates": event_duplicates, "t3_bound": bound_events, "t4_ingest": ingested, "t6_events": published_events,
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regolith.functions import values
@@ -51,3 +51,17 @@ def timeline(events: DataFrame, taxonomy: DataFrame, reference_date: str) -> Dat
     """Per identity the counted events, newest first."""
     row = F.struct(F.col("event_date"), F.col("event_id"), F.col("event_type"), F.round("weight", 3).alias("weight"), F.col("days_old"), F.round("decay", 4).alias("decayed"))
     return _counted(events, taxonomy, reference_date).groupBy("ubid").agg(F.sort_array(F.collect_list(row), asc=False).alias("timeline"))
+
+
+def newest(events: DataFrame, taxonomy: DataFrame, reference_date: str, most: int = 20) -> DataFrame:
+    """Per identity its newest counted events, newest first, and how many there are in all (n_total).
+
+    Each part of an identity's events hands on its newest ones only, so that one of millions of events is held nowhere.
+    """
+    counted = _counted(events, taxonomy, reference_date).select("ubid", "event_date", "event_id", "event_type", F.round("weight", 3).alias("weight"), "days_old", F.round("decay", 4).alias("decayed"))
+    total = counted.groupBy("ubid").agg(F.count(F.lit(1)).alias("n_total"))
+    some, part = counted, F.pmod(F.xxhash64("event_id"), F.lit(16))
+    for keys in (["ubid", part], ["ubid"]):
+        some = some.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("event_date"), F.desc("event_id")))).filter(F.col("place") <= most)
+    row = F.struct("event_date", "event_id", "event_type", "weight", "days_old", "decayed")
+    return some.groupBy("ubid").agg(F.sort_array(F.collect_list(row), asc=False).alias("timeline")).join(total, "ubid")

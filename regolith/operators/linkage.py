@@ -13,6 +13,8 @@ from regolith.operators.order import numbered
 #: Strategy, bucket cap; the first strategy to emit a pair names it.
 CAPS = (("pan_exact", 100), ("gstin_exact", 100), ("pincode_name", 30), ("phonetic", 25))
 NEIGHBOURS = 5
+#: Parts of a bucket that are looked through apart.
+SALTS = 16
 #: Fixed weights and thresholds.
 WEIGHTS = {"pan_gstin_match": 0.5, "embedding_similarity": 0.2, "name_similarity": 0.1, "address_overlap": 0.1, "phonetic_match": 0.05, "pincode_match": 0.05}
 AUTO_LINK, REVIEW, CONFLICT_CAP = 0.92, 0.75, 0.40
@@ -21,18 +23,34 @@ AUTO_LINK, REVIEW, CONFLICT_CAP = 0.92, 0.75, 0.40
 def bucket_pairs(records: DataFrame, keys: dict[str, tuple[Column, int]]) -> DataFrame:
     """Pairs within the first `cap` records (in order of id) of each bucket: the cap is part of the operator.
 
-    keys: for each strategy its key and cap. All strategies share one explode, one window and one grouping. A bucket's
-    kept ids are one array of at most `cap` entries, so pairs come from it without a self-join.
+    keys: for each strategy its key and cap. All strategies share one explode and one grouping. A bucket's first records
+    are found in two phases, so that a bucket of half of all records is no large task: each part of the rows, and then
+    each of SALTS parts of a bucket, hands on its first ones only. The kept ids are one array of at most `cap` entries,
+    so pairs come from it without a self-join.
     """
     most = max(cap for _, cap in keys.values())
-    entries = F.array(*[F.struct(F.lit(i).alias("rank"), key.alias("key"), F.lit(cap).alias("cap")) for i, (key, cap) in enumerate(keys.values())])
-    r = records.select("id", F.explode(entries).alias("e")).select("id", "e.*").filter("key is not null and key <> ''")
-    r = r.withColumn("rn", F.row_number().over(Window.partitionBy("rank", "key").orderBy("id"))).filter("rn <= cap")
+    r = _entries(records, keys)
+    # a fixed bound lets Spark keep the first ones before it shuffles
+    for parts in (["rank", "key", F.pmod(F.xxhash64("id"), F.lit(SALTS))], ["rank", "key"]):
+        r = r.withColumn("rn", F.row_number().over(Window.partitionBy(*parts).orderBy("id"))).filter(F.col("rn") <= most)
+    r = r.filter("rn <= cap")
     ids = r.groupBy("rank", "key").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter(F.size("ids") > 1)
     pairs = F.flatten(F.transform("ids", lambda a, i: F.transform(F.slice(F.col("ids"), i + 2, F.lit(most)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     return ids.select("rank", F.explode(pairs).alias("p")).select("p.a", "p.b", "rank")
 
 
+def left_out(records: DataFrame, keys: dict[str, tuple[Column, int]]) -> DataFrame:
+    """(strategy, buckets, records): by strategy, the buckets larger than its cap and the records beyond it."""
+    sizes = _entries(records, keys).groupBy("rank", "key", "cap").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > F.col("cap"))
+    name = F.element_at(F.array(*map(F.lit, keys)), F.col("rank") + 1).alias("strategy")
+    return sizes.groupBy(name).agg(F.count(F.lit(1)).alias("buckets"), F.sum(F.col("n") - F.col("cap")).alias("records"))
+
+
+def _entries(records: DataFrame, keys: dict[str, tuple[Column, int]]) -> DataFrame:
+    entries = F.array(*[F.struct(F.lit(i).alias("rank"), key.alias("key"), F.lit(cap).alias("cap")) for i, (key, cap) in enumerate(keys.values())])
+    return records.select("id", F.explode(entries).alias("e")).select("id", "e.*").filter("key is not null and key <> ''")
+
+
 def neighbour_pairs(records: DataFrame, name: Column, window: int = NEIGHBOURS) -> DataFrame:
     """Pairs within `window` places of each other in the order of all names that share a 4-letter prefix.
 
@@ -50,15 +68,20 @@ def candidate_pairs(records: DataFrame) -> DataFrame:
 
     records: id, name, phonetic, pincode, pan, pan_valid, gstin, gstin_valid, all as columns that are computed once.
     """
+    names = [*(s for s, _ in CAPS), "sorted_neighborhood"]
+    found = bucket_pairs(records, strategies()).unionByName(neighbour_pairs(records, F.col("name")).withColumn("rank", F.lit(len(CAPS))))
+    first = found.groupBy("a", "b").agg(F.min("rank").alias("rank"))
+    return first.select("a", "b", F.element_at(F.array(*map(F.lit, names)), F.col("rank") + 1).alias("strategy"))
+
+
+def strategies() -> dict[str, tuple[Column, int]]:
+    """Each strategy's key and cap."""
     prefix = T.name_prefix(T.plain_key(F.col("name")), 6)
     keys = {
         "pan_exact": F.when(F.col("pan_valid"), F.col("pan")), "gstin_exact": F.when(F.col("gstin_valid"), F.col("gstin")),
         "pincode_name": F.when((F.col("pincode") != "") & (prefix != ""), F.concat("pincode", F.lit("::"), prefix)), "phonetic": F.col("phonetic"),
     }
-    names = [*(s for s, _ in CAPS), "sorted_neighborhood"]
-    found = bucket_pairs(records, {s: (keys[s], cap) for s, cap in CAPS}).unionByName(neighbour_pairs(records, F.col("name")).withColumn("rank", F.lit(len(CAPS))))
-    first = found.groupBy("a", "b").agg(F.min("rank").alias("rank"))
-    return first.select("a", "b", F.element_at(F.array(*map(F.lit, names)), F.col("rank") + 1).alias("strategy"))
+    return {s: (keys[s], cap) for s, cap in CAPS}
 
 
 def score_pairs(pairs: DataFrame, weights: dict[str, float] | None = None, name_variant: str = "dice", address_variant: str = "dice", conflict_cap: float = CONFLICT_CAP, version: str = "v1.0") -> DataFrame:

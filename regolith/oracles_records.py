@@ -170,6 +170,12 @@ SQL = {
     "w5_timeline": "SELECT ubid, CAST(count(*) AS INTEGER) AS n, string_agg(CAST(event_date AS VARCHAR) || '/' || CAST(event_id AS VARCHAR), ' ' ORDER BY event_date DESC, event_id DESC) AS events FROM ev JOIN taxonomy USING (event_type) GROUP BY ubid",
     "r1_sectors": "SELECT coalesce(sector, 'Unknown') AS sector, count(*) AS businesses, count_if(status = 'Active') AS active, count_if(status = 'Dormant') AS dormant, count_if(status = 'Closed') AS closed, count(DISTINCT pin_code) AS pin_codes, round(avg(confidence_score), 3) AS avg_confidence, CAST(sum(record_count) AS BIGINT) AS linked_records FROM registry GROUP BY 1 ORDER BY businesses DESC, sector LIMIT 8",
     "s3_refreshed": "SELECT * FROM registry",
+    "j10_recall": f"SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, true AS reached FROM ({NEAREST}) WHERE rank <= 10",
+    "r8_cursor": "SELECT ubid, business_name, confidence_score FROM registry ORDER BY confidence_score DESC NULLS LAST, ubid LIMIT 25 OFFSET 50",
+    "a3_sketches": "SELECT source_system, count(*) AS links, count(DISTINCT ubid) AS businesses, true AS close FROM links JOIN raw_records USING (raw_id) GROUP BY source_system",
+    "w5_newest": "SELECT ubid, max(n) AS n_total, string_agg(CAST(event_date AS VARCHAR) || '/' || CAST(event_id AS VARCHAR), ' ' ORDER BY event_date DESC, event_id DESC) AS events FROM (SELECT *, count(*) OVER (PARTITION BY ubid) AS n, row_number() OVER (PARTITION BY ubid ORDER BY event_date DESC, event_id DESC) AS place FROM ev JOIN taxonomy USING (event_type)) WHERE place <= 3 GROUP BY ubid",
+    "t7_changes": "SELECT ubid, day, CASE WHEN coalesce(s, 0) >= 1.5 THEN 'Active' WHEN coalesce(s, 0) >= 0 THEN 'Dormant' ELSE 'Closed' END AS status FROM (SELECT ubid, day FROM ubids, (VALUES ('2024-01-08'), ('2024-01-15'), ('2024-01-24')) d(day)) LEFT JOIN (SELECT ubid, day, sum(weight * exp(-ln(CAST(2 AS DOUBLE)) * date_diff('day', event_date, CAST(day AS DATE)) / half_life)) AS s FROM ev JOIN taxonomy USING (event_type) JOIN (VALUES ('2024-01-08'), ('2024-01-15'), ('2024-01-24')) d(day) ON event_date <= CAST(day AS DATE) GROUP BY ubid, day) USING (ubid, day)",
+    "t3_late": "SELECT event_id, arrived IS NOT NULL AS is_bound, CAST(CASE WHEN arrived IS NULL THEN 5 ELSE ceil(greatest(0, epoch(arrived) - epoch(CAST(ingested_at AS TIMESTAMP))) / CAST(172800 AS DOUBLE)) END AS INTEGER) AS retry_count FROM ev LEFT JOIN (SELECT c_custkey AS ubid, TIMESTAMP '2023-12-20' + to_days(CAST(c_custkey % 60 AS INTEGER)) + to_hours(c_custkey % 24) AS arrived FROM customer WHERE c_custkey % 3 <> 1) i ON i.ubid = ev.ubid AND arrived <= CAST(ingested_at AS TIMESTAMP) + INTERVAL 10 DAY",
     "d11_merged": "SELECT id, record_a, record_b, CASE WHEN id % 3 <> 0 THEN confidence ELSE CAST(0.1 AS DOUBLE) END AS confidence, priority, CASE WHEN id % 3 <> 0 THEN status ELSE 'pending' END AS status FROM rq WHERE id % 5 <> 0 AND (id % 2 = 0 OR id % 3 <> 0)",
     "r1_cards": "SELECT 'stale_inspections' AS card, top AS subject, count_if(u.ubid IS NOT NULL AND (last IS NULL OR last < DATE '2024-01-25')) AS value FROM (SELECT coalesce((SELECT pin_code FROM registry WHERE pin_code IS NOT NULL GROUP BY pin_code ORDER BY count(*) DESC, pin_code LIMIT 1), '560058') AS top) LEFT JOIN registry u ON u.pin_code = top AND u.status = 'Active' AND u.sector IN ('MACHINERY', 'BUILDING', 'AUTOMOBILE') LEFT JOIN (SELECT ubid, max(event_date) AS last FROM ev WHERE event_type = 'inspection' GROUP BY ubid) e ON e.ubid = u.ubid GROUP BY top UNION ALL SELECT 'identifier_gap', 'pan without gstin', count(pan) - count(gstin) FROM registry UNION ALL SELECT 'review_queue', 'pending', count_if(status IN ('pending', 'locked')) FROM rq",
     "r3_screen": PAGE.format(rows=f"SELECT * FROM {SHOWN} WHERE source_system = 'tax' AND coalesce(status, 'Unlinked') = 'Dormant' AND pan IS NOT NULL AND pan <> '' AND ({LIKE}) ORDER BY known_confidence DESC, extracted_at DESC, raw_id LIMIT 25 OFFSET 5").replace("ORDER BY known_confidence DESC, extracted_at DESC, raw_id", "ORDER BY known_confidence DESC, extracted_at DESC, raw_id"),
@@ -183,7 +189,7 @@ SQL = {
     "r7_profile": PROFILE,
     "r7_timeline": TIMELINE,
     "r11_explanation": "SELECT u.ubid, coalesce(status, 'Unknown') AS status, event_id, event_type, event_date, outcome FROM base u LEFT JOIN ev ON ev.ubid = u.ubid WHERE u.ubid = 13 ORDER BY event_date DESC NULLS LAST, event_id LIMIT 50",
-    "r10_semantic": f"SELECT query_id, id, business_name, round(s, 6) AS similarity FROM ({NEAREST}) JOIN registry ON registry.ubid = id WHERE query_id % 100 = 0 AND rank <= 10 AND s > CAST(0.3 AS DOUBLE)",
+    "r10_semantic": f"SELECT query_id, id, business_name, round(s, 6) AS similarity FROM ({NEAREST}) JOIN registry ON registry.ubid = id WHERE rank <= 10 AND s > CAST(0.3 AS DOUBLE)",
     "a13_modes": """SELECT "column", value, n FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS p FROM (SELECT "column", value, count(*) AS n FROM (SELECT 'pin_code' AS "column", pin_code AS value FROM registry UNION ALL SELECT 'sector', sector FROM registry UNION ALL SELECT 'status', status FROM registry) WHERE value <> '' GROUP BY 1, 2)) WHERE p <= 3""",
     "o8_latest": "SELECT raw_id AS id, linked_at FROM links ORDER BY linked_at DESC, raw_id LIMIT 100",
     "d13_batch": "SELECT raw_id AS id, extracted_at FROM raw_records WHERE raw_id NOT IN (SELECT raw_id FROM links WHERE unlinked_at IS NULL) ORDER BY extracted_at, raw_id LIMIT 50",
@@ -254,6 +260,7 @@ MADE = f"""{RUN}, ni AS (
   SELECT entity, {CODE.format(k='(100 + n)')} AS ubid, pan FROM (SELECT entity, row_number() OVER (ORDER BY entity) AS n, arg_min(p.pan, res.id) FILTER (WHERE coalesce(p.pan, '') <> '') AS pan FROM res JOIN rp p ON p.record = res.id % 200 WHERE entity LIKE 'new:%' GROUP BY entity)
 )"""
 MORE |= {
+    "d1_left_out": (LINK, "SELECT CASE rank WHEN 0 THEN 'pan_exact' WHEN 2 THEN 'pincode_name' ELSE 'phonetic' END AS strategy, count(*) AS buckets, CAST(sum(n - cap) AS BIGINT) AS records FROM (SELECT rank, key, cap, count(*) AS n FROM ks GROUP BY ALL) WHERE n > cap GROUP BY rank"),
     "d12_counts": (RUN, "SELECT count_if(outcome NOT IN ('skipped', 'linked_by_other')) AS processed, count_if(maker) AS new_entities, count_if(outcome = 'auto_match' AND NOT maker) AS linked_to_existing, count_if(outcome = 'review_queue') AS added_to_review FROM res"),
     "d8_new_identities": (MADE, "SELECT entity, ubid, upper(pan) AS pan, CAST(NULL AS VARCHAR) AS gstin FROM ni"),
     "d8_activity": (MADE, "SELECT ubid, 'Dormant' AS status, CAST(0 AS DOUBLE) AS score, 1 AS entries FROM ni"),
@@ -263,6 +270,9 @@ PLAIN["d7_resolution"] = "WITH RECURSIVE " + TURNS.format(turns=f"SELECT query_i
 MORE_DATES = {"s3_refreshed": ("created_on", "updated_on"), "v1_ubid_registry": ("assigned_on", "last_updated"), "v3_activity_events": ("event_date",), "v4_audit_log": ("created_at",), "r11_explanation": ("event_date",)}
 
 
+SQL["p4_searched"] = SQL["r3_screen"]
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     # the links after a review have tables of their own
