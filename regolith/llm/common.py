@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import io
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -43,11 +42,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    # what was shuffled on the way is garbage, and Spark deletes its files when the driver's JVM has collected it (some
-    # references go in a first collection, the rest in a second)
-    for _ in range(2):
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -60,6 +54,12 @@ def forget(table: DataFrame) -> None:
         folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Spark deletes a shuffle's files when the driver has collected what refers to them: between steps that each shuffle
+    as much as the input, the driver is told to, since otherwise all steps' files lie there to the end."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def release() -> None:
     """Give memory that a finished task has freed back to the machine; a Python worker lives on for further tasks."""
     pa.default_memory_pool().release_unused()
@@ -136,9 +136,14 @@ def least_of(values: np.ndarray) -> np.ndarray:
     return values.min(keepdims=True) if len(values) else np.zeros(1, values.dtype)
 
 
-def shards_for(packed: DataFrame, least: int = 12, most: int = 65536) -> int:
+def shards_for(packed: DataFrame, least: int = 12) -> int:
     """As many shards as there are blocks, so that a shard's part of the requests fits in memory at any size."""
-    return int(min(most, max(least, packed.count())))
+    return int(max(least, packed.count()))
+
+
+def partitions(n: int, most: int = 65536) -> int:
+    """Tasks for n groups: beyond `most` a task has several, one after the other."""
+    return max(1, min(n, most))
 
 
 def pack(df: DataFrame, columns: list[str], label: str, batch_bytes: int = 6_000_000, fn=None) -> DataFrame:
@@ -201,8 +206,10 @@ def answer(requests: DataFrame, fn, shards: int, label: str) -> DataFrame:
         release()
         return pd.DataFrame({"s": int(order["s"].iloc[0]), "b": [*order["b"], -1][: len(got)], "data": got})
 
-    spread = requests.repartition(shards, "s")
-    return materialize(spread.groupBy("s").applyInPandas(run, "s int, b long, data binary"), label)
+    spread = requests.repartition(partitions(shards), "s")
+    out = materialize(spread.groupBy("s").applyInPandas(run, "s int, b long, data binary"), label)
+    reclaim(out.sparkSession)
+    return out
 
 
 _KINDS = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
@@ -254,7 +261,7 @@ def by_block(packed: DataFrame, rows: DataFrame, fn, schema: str, blocks: int) -
         finally:
             release()
 
-    a, b = (x.repartition(blocks, "b").groupBy("b") for x in (packed, rows))
+    a, b = (x.repartition(partitions(blocks), "b").groupBy("b") for x in (packed, rows))
     return a.cogroup(b).applyInArrow(run, schema)
 
 

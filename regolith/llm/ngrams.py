@@ -2,8 +2,8 @@
 
 Texts are lower-cased (A-Z); a token is a word or the end of a text, and each text begins after an end. The first order
 gives the share of a token among the training tokens, less the mass of tokens seen once, which is left to unknown words.
-The second and third orders hold the pairs and triples that occur at least LEAST times in training, smoothed with
-pseudo-counts shared out by the order below:
+The second and third orders hold all pairs and triples that occur in training, smoothed with pseudo-counts shared out by
+the order below (`least` would leave out those that occur less often; it is 1, which leaves out none):
 
     p(w | v) = (c(v w) + PRIORS[0] p(w)) / (c(v) + PRIORS[0]),  p(w | u v) = (c(u v w) + PRIORS[1] p(w | v)) / (c(u v) + PRIORS[1])
 
@@ -12,14 +12,15 @@ For what is not in the trie the count is taken as 0, and a context that is not i
 Each order is dealt to shards by context, a context with many tokens to several of them by successor. A shard's levels are
 the contexts, monotone pointers to their successors, the successors made monotone by adding the last value before their
 range (all three in Elias-Fano form), and probabilities in one byte each. They are written to a file and memory-mapped, and
-queried by successor search relative to the range of the context, value by value in the compact form. Blocks of documents
-ask shards first for counts and ids of their distinct words, then for their distinct pairs of repeated words, then for
-their distinct triples of repeated pairs (a triple occurs no more often than its pairs), so that nothing is sent once per
-token and the higher orders stay small.
+queried by successor search relative to the range of the context, value by value in the compact form. The search decides
+whether an n-gram is in the trie, and the place that it finds is where probability, count and id are. Blocks of documents
+ask shards first for counts and ids of their distinct words, then for their distinct pairs of known words, then for their
+distinct triples of known pairs (a triple is in the trie only if its pairs are), whether the training texts have them or
+not, so that nothing is sent once per token.
 
 Defined results: null text is empty and has its end alone; a null id is in training; repeated rows each count and each get
 their row; texts of any length are read whole, one block each if need be; further columns may have any name; empty tables
-give no rows; with nothing to learn from every probability is 1. More than 2**32 repeated words raise an error.
+give no rows; with nothing to learn from every probability is 1.
 """
 
 from __future__ import annotations
@@ -33,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import answer, ask, dump, dump_arrays, forget, least_of, load, load_arrays, lower_ascii, materialize, narrow, pack, release, shards_for, tell, to_bytes
+from .common import answer, ask, dump, dump_arrays, forget, least_of, load, load_arrays, lower_ascii, materialize, narrow, pack, reclaim, release, shards_for, tell, to_bytes
 from .wordhash import Words, mix
 
 #: Pseudo-counts of the order below in each context, for pairs and for triples.
 PRIORS = (3000.0, 50.0)
-#: Occurrences from which words, pairs and triples are in the higher orders.
-LEAST = 2
+#: Training occurrences from which words, pairs and triples are in the higher orders: all that occur.
+LEAST = 1
 END = np.uint64(1)
 
 
@@ -195,9 +196,9 @@ class Trie:
         return cls(levels, data[at:], low, step)
 
     def find(self, contexts: np.ndarray, words: np.ndarray, stride: int = 1 << 18) -> np.ndarray:
-        """Codes of pairs (0: not in the trie), sought `stride` at a time: the context, its range, and in it the successor
+        """Places of pairs (-1: not in the trie), sought `stride` at a time: the context, its range, and in it the successor
         that the word is, relative to the last value before the range."""
-        out = np.zeros(len(words), np.uint8)
+        out = np.full(len(words), -1, np.int64)
         c, p, s = (self.levels[n] for n in self.LEVELS)
         for i in range(0, len(words), stride):
             own, of = np.unique(contexts[i : i + stride], return_inverse=True)
@@ -210,7 +211,7 @@ class Trie:
             some = np.flatnonzero(known[of])
             at = s.find((words[i : i + stride][some].astype(np.int64) + base[of[some]]).astype(np.uint64))
             hit = (at >= start[of[some]]) & (at < end[of[some]])
-            out[i + some[hit]] = self.codes[at[hit]]
+            out[i + some[hit]] = at[hit]
         return out
 
     def value(self, codes: np.ndarray) -> np.ndarray:
@@ -259,7 +260,7 @@ class Block:
 
 
 class Coded:
-    """A block as Block.coded gives it. count, id: of each of its words (-1: not repeated); token: the word of each token,
+    """A block as Block.coded gives it. count, id: of each of its words (-1: not known); token: the word of each token,
     context: the one before it; start: where each text begins."""
 
     def __init__(self, data: bytes):
@@ -274,7 +275,7 @@ class Coded:
         self.train = np.repeat(~self.held, self.n_tokens)
 
     def pairs(self) -> Asked:
-        """The distinct pairs of repeated words."""
+        """The distinct pairs of known words."""
         at = np.flatnonzero((self.id[self.context] >= 0) & (self.id[self.token] >= 0))
         return Asked(self, at, self.context, self.id, self.count)
 
@@ -317,7 +318,7 @@ class Asked:
             steps = np.diff(v[head], prepend=0)
             rows["s"].append(s)
             rows["b"].append(b)
-            rows["data"].append(dump_arrays(v=narrow(steps), v0=least_of(steps), c=narrow(self.cv[pick][head]), c0=least_of(self.cv[pick][head]), size=narrow(size), size0=least_of(size), w=self.w[pick].astype(np.uint32), n=narrow(self.n[pick]), n0=least_of(self.n[pick]), q=q))
+            rows["data"].append(dump_arrays(v=narrow(steps), v0=least_of(steps), c=narrow(self.cv[pick][head]), c0=least_of(self.cv[pick][head]), size=narrow(size), size0=least_of(size), w=self.w[pick].astype(np.uint32 if self.w.max(initial=0) < 2**32 else np.int64), n=narrow(self.n[pick]), n0=least_of(self.n[pick]), q=q))
         return rows
 
     def answers(self, got: dict[int, bytes], order: int, offsets: np.ndarray, total: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -334,8 +335,9 @@ class Asked:
         return value, known, count
 
 
-def query(blobs: list[bytes], prior: float, with_ids: bool) -> list[bytes]:
-    """A shard of an order: its trie, built from all requests and asked by each of them; then how many it holds."""
+def query(blobs: list[bytes], prior: float, with_ids: bool, least: int = LEAST) -> list[bytes]:
+    """A shard of an order: its trie, built from what the requests' training texts have, and asked for all that the requests
+    name; then how many it holds."""
     got = [load_arrays(x) for x in blobs]
     sizes = [x["size"].astype(np.int64) + x["size0"] for x in got]
     v = np.concatenate([np.repeat(np.cumsum(x["v"].astype(np.int64) + x["v0"]), n) for x, n in zip(got, sizes)])
@@ -345,8 +347,7 @@ def query(blobs: list[bytes], prior: float, with_ids: bool) -> list[bytes]:
     first[1:] = (v[order][1:] != v[order][:-1]) | (w[order][1:] != w[order][:-1])
     head = np.flatnonzero(first)
     n = np.add.reduceat(np.concatenate([x["n"].astype(np.int64) + x["n0"] for x in got])[order], head)
-    held = n >= LEAST
-    at, n = order[head][held], n[held]
+    at, n = order[head][n >= least], n[n >= least]
     c = np.concatenate([np.repeat(x["c"].astype(np.int64) + x["c0"], k) for x, k in zip(got, sizes)])[at].astype(np.float64)
     p = 10.0 ** -(np.concatenate([x["q"] for x in got])[at] / 16.0)
     trie = Trie.build(v[at], w[at], np.log10((n + prior * p) / (c + prior)))
@@ -354,21 +355,18 @@ def query(blobs: list[bytes], prior: float, with_ids: bool) -> list[bytes]:
         path = os.path.join(folder, "trie")
         trie.save(path)
         trie = Trie.open(path)
-        # all requests together and in order, so that pages are touched once, however many blocks ask; what occurs too
-        # seldom to be held needs no search
-        distinct = np.zeros(len(head), np.uint8)
-        distinct[held] = trie.find(v[at], w[at])
+        # all that is asked, each once and in order, so that pages are touched once, however many blocks ask
+        place = trie.find(v[order[head]], w[order[head]])
+        codes = np.where(place >= 0, trie.codes[np.maximum(place, 0)], 0).astype(np.uint8) if len(n) else np.zeros(len(place), np.uint8)
     which = np.empty(len(v), np.int64)
     which[order] = np.cumsum(first) - 1
-    rank = np.cumsum(held) - 1
-    count = np.zeros(len(held), np.int64)
-    count[held] = n
     scale, out = np.array([trie.low, trie.step]), []
     for part in np.split(which, np.cumsum([len(x["w"]) for x in got])[:-1]):
-        own = part[held[part]]
-        ids = {"rank": rank[own].astype(np.uint32), "n": narrow(count[own]), "n0": least_of(count[own])} if with_ids else {}
-        out.append(dump_arrays(codes=distinct[part], scale=scale, **ids))
-    return [*out, dump_arrays(held=np.array([held.sum()], np.int64))]
+        own = place[part]
+        own = own[own >= 0]
+        ids = {"rank": own.astype(np.uint32), "n": narrow(n[own]), "n0": least_of(n[own])} if with_ids else {}
+        out.append(dump_arrays(codes=codes[part], scale=scale, **ids))
+    return [*out, dump_arrays(held=np.array([len(n)], np.int64))]
 
 
 def by_ids(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -423,10 +421,8 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return [*out, dump_arrays(stats=np.array([(n > 0).sum(), n.sum(), (n == 1).sum(), (n >= LEAST).sum()], np.int64))]
 
     words = answer(ask(packed, ask_words, shards), count_words, shards, "ngram-words")
-    (types, total, once, repeated), word_ids = _offsets(words, "stats", shards)
+    (types, total, once, _), word_ids = _offsets(words, "stats", shards)
     types, total, once = int(types), int(total), int(once)
-    if repeated >= 2**32:
-        raise ValueError("more repeated words than 32-bit ids")
 
     def encode(b, table, got):
         return {"b": [b], "data": [Block(table).coded(got, word_ids, shards)]}
@@ -434,6 +430,7 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     coded = materialize(tell(packed, words.filter("b <> -1"), encode, "b long, data binary", blocks), "ngram-coded")
     forget(packed)
     forget(words)
+    reclaim(coded.sparkSession)
 
     def first(x):
         """The block's pairs, and log10 of the first order for each of its words."""

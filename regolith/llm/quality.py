@@ -3,8 +3,8 @@
 Lines are normalised (trimmed, A-Z lowered, digits made 0, runs of blanks made one) and hashed with their host, which is
 the `source` column. Each block of documents gives one row for each distinct line: its hash and how many documents of the
 block have it. Spark sums them by hash, so a line in a third of all documents is one row a block, and lines that enough
-documents have go back to the blocks by a join. A line goes if over max(LEAST_DOCUMENTS, SHARE of the host's documents,
-which counts as MOST_DOCUMENTS at most) documents have it; a document that loses over DEPLETED of its words is rejected.
+documents have go back to the blocks by a join. A line goes if over MOST_DOCUMENTS of the host's documents have it, however many the
+host has; a document that loses over DEPLETED of its words is rejected.
 
 Defined results: null text has no words and fails the base rules; lines without a word never go and are never repeats; a
 null host is a host of its own; repeated rows (equal in id, text and host) count as one document and each get their row;
@@ -23,12 +23,8 @@ from pyspark.sql import functions as F
 from .common import by_size, deliver, few, keyed, lower_ascii, materialize, pack, shards_for, to_bytes, with_share
 from .wordhash import Words, grams
 
-#: Documents of a host that may have a line before it can go, whatever the host's size.
-LEAST_DOCUMENTS = 20
-#: Share of the host's documents that may have a line.
-SHARE = 0.002
-#: The share allows no more documents than this, so that a host with most of the rows is cleaned like a smaller one.
-MOST_DOCUMENTS = 1000
+#: Documents of a host that may have a line.
+MOST_DOCUMENTS = 20
 #: Share of a document's words whose loss rejects it.
 DEPLETED = 0.5
 SYMBOLS = b"#*$%&|<>"
@@ -43,9 +39,8 @@ def line_hash(host: bytes, line: bytes) -> int:
     return xxhash.xxh64_intdigest(host + b"\0" + b" ".join(lower_ascii(line).translate(_DIGITS).split()))
 
 
-def _host(source: object) -> tuple[bytes, int]:
-    host = b"\1" if source is None else b"=" + to_bytes(source)
-    return host, xxhash.xxh64_intdigest(b"\0" + host)
+def _host(source: object) -> bytes:
+    return b"\1" if source is None else b"=" + to_bytes(source)
 
 
 def text_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
@@ -70,42 +65,41 @@ def text_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
     return {"n_words": n, "word_chars": at(chars, words.first), "n_symbols": at(symbols, words.text_start), "n_repeat_words": at(rep, words.first)}
 
 
-def _lines(table) -> tuple[list[bytes], list[tuple[bytes, int]], list[list[tuple[bytes, int]]]]:
-    """Texts, hosts, and each text's lines with their hashes (0 for a line without a word)."""
+def _lines(table) -> tuple[list[bytes], list[list[tuple[bytes, int]]]]:
+    """Texts, and each text's lines with their hashes (0 for a line without a word)."""
     texts = [to_bytes(t) for t in table["text"].to_pylist()]
     hosts = [_host(s) for s in table["source"].to_pylist()]
-    lines = [[(x, line_hash(host, x) if x and not x.isspace() else 0) for x in t.split(b"\n")] for t, (host, _) in zip(texts, hosts)]
-    return texts, hosts, lines
+    lines = [[(x, line_hash(host, x) if x and not x.isspace() else 0) for x in t.split(b"\n")] for t, host in zip(texts, hosts)]
+    return texts, lines
 
 
 def _documents_by_line(table) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (of lines, and of hosts) and how many documents of the block have each."""
-    _, hosts, lines = _lines(table)
-    every = [np.fromiter({k for _, k in own if k} | {host}, np.uint64) for own, (_, host) in zip(lines, hosts)]
+    """Keys of lines and how many documents of the block have each."""
+    _, lines = _lines(table)
+    every = [np.fromiter({k for _, k in own if k}, np.uint64) for own in lines]
     keys, of = np.unique(np.concatenate([np.zeros(0, np.uint64), *every]), return_inverse=True)
     n = np.bincount(of, np.repeat(table["share"].to_numpy(), [len(x) for x in every]), len(keys))
     return keys.view(np.int64), n
 
 
-def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_documents: int = LEAST_DOCUMENTS, share: float = SHARE, depleted: float = DEPLETED, with_text: bool = True, most_documents: int = MOST_DOCUMENTS) -> DataFrame:
+def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_documents: int = MOST_DOCUMENTS, depleted: float = DEPLETED, with_text: bool = True) -> DataFrame:
     """One row per document: the counts, base_failed, n_lost_words, kept and, if asked for, the text without lost lines."""
     kind = documents.schema[id_col].dataType.simpleString()
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("source"))
     rows = with_share(rows, ["id", "text", "source"], "quality-repeats")
     packed = pack(rows, ["id", "text", "source", "share"], "quality-blocks")
     asked = keyed(packed, _documents_by_line, "key long, n double")
-    total = asked.groupBy("key").agg(F.round(F.sum("n"), 3).alias("n")).filter(F.col("n") > least_documents)
+    total = asked.groupBy("key").agg(F.round(F.sum("n"), 3).alias("n")).filter(F.col("n") > most_documents)
     total = materialize(total, "quality-lines")
     back = asked.select("b", "key").join(few(total), "key")
 
     def finish(table, got):
-        texts, hosts, lines = _lines(table)
-        common = dict(zip(got["key"].to_numpy().view(np.uint64).tolist(), got["n"].to_pylist()))
+        texts, lines = _lines(table)
+        common = set(got["key"].to_numpy().view(np.uint64).tolist())
         parts = [text_counts(run) for run in by_size(texts, 1_000_000)]
         out = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
         dup, lost, rest = [], [], []
-        for own, (_, host) in zip(lines, hosts):
-            limit = max(least_documents, min(share * common.get(host, 0), most_documents))
+        for own in lines:
             seen: set[bytes] = set()
             twice = gone = 0
             kept = []
@@ -114,7 +108,7 @@ def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     if x in seen:
                         twice += 1
                     seen.add(x)
-                    if common.get(k, 0) > limit:
+                    if k in common:
                         gone += len(x.split())
                         continue
                 kept.append(x)

@@ -110,8 +110,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '')
 ), words AS (SELECT *, list_filter(string_split_regex(x, '[\\x20\\x09-\\x0D]+'), lambda y: y <> '') AS lw FROM line
 ), norm AS (SELECT *, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS k FROM words
 ), freq AS (SELECT source, k, count(DISTINCT (doc_id, t)) AS n FROM norm WHERE len(lw) > 0 GROUP BY source, k
-), host AS (SELECT source, count(DISTINCT (doc_id, t)) AS n_host FROM d GROUP BY source
-), seen AS (SELECT norm.*, len(lw) > 0 AND coalesce(freq.n, 0) > greatest(20, least(0.002 * n_host, 1000)) AS common FROM norm JOIN host ON host.source IS NOT DISTINCT FROM norm.source LEFT JOIN freq ON freq.source IS NOT DISTINCT FROM norm.source AND freq.k = norm.k
+), seen AS (SELECT norm.*, len(lw) > 0 AND coalesce(freq.n, 0) > 20 AS common FROM norm LEFT JOIN freq ON freq.source IS NOT DISTINCT FROM norm.source AND freq.k = norm.k
 ), told AS (
   SELECT r, count(*) FILTER (WHERE len(lw) > 0) - count(DISTINCT CASE WHEN len(lw) > 0 THEN x END) AS dup, coalesce(sum(len(lw)) FILTER (WHERE common), 0) AS lost, coalesce(string_agg(x, chr(10) ORDER BY p) FILTER (WHERE NOT common), '') AS clean FROM seen GROUP BY r
 ), c AS (

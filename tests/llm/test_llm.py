@@ -76,7 +76,7 @@ def plain_scores(rows):
     total, types, once = sum(count.values()), len(count), sum(n == 1 for n in count.values())
     rest = min(0.5, max(once, 1) / (total + 1))
     p1 = lambda w: (1 - rest) * count[w] / total if count[w] else rest
-    two, three = ({g: n for g, n in c.items() if n >= ngrams.LEAST} for c in grams[1:])
+    two, three = grams[1:]
     p2 = lambda v, w: (two.get((v, w), 0) + ngrams.PRIORS[0] * p1(w)) / (count[v] + ngrams.PRIORS[0])
 
     def p3(u, v, w):
@@ -116,7 +116,44 @@ def test_elias_fano_and_trie(tmp_path):
     held = keys[::2]
     ngrams.Trie.build(held >> 32, held & 0xFFFFFFFF, -rng.random(len(held))).save(str(tmp_path / "t"))
     found = ngrams.Trie.open(str(tmp_path / "t")).find((keys >> 32).astype(np.uint64), keys & 0xFFFFFFFF, stride=100)
-    assert (found[::2] > 0).all() and (found[1::2] == 0).all()
+    assert (found[::2] == np.arange(len(held))).all() and (found[1::2] == -1).all()
+
+
+def test_shard_answers_by_search(monkeypatch):
+    """A shard is asked for pairs that training texts have and for others; what it answers is what the search finds."""
+    rng = np.random.default_rng(2)
+
+    class Some(ngrams.Asked):
+        def __init__(self, keys, n):
+            self.v, self.w, self.n = keys >> 32, keys & 0xFFFFFFFF, n
+            self.cv = 5 + self.v % 9
+
+    keys = np.unique((rng.integers(0, 40, 900) << 32) | rng.integers(0, 500, 900))
+    n = rng.integers(0, 3, (3, len(keys)))
+    part = [np.flatnonzero(rng.random(len(keys)) < 0.7) for _ in range(3)]
+    below = rng.random(len(keys)) * -5
+    blobs = [Some(keys[p], n[i][p]).requests(i, below[p], 100, 1)["data"][0] for i, p in enumerate(part)]
+    total = sum(np.bincount(p, n[i][p], len(keys)) for i, p in enumerate(part)).astype(int)
+    asked = np.zeros(len(keys), bool)
+    asked[np.concatenate(part)] = True
+    held = np.flatnonzero(asked & (total > 0))
+
+    def answers():
+        return [ngrams.load_arrays(x) for x in ngrams.query(blobs, 10.0, True)]
+
+    *got, summary = answers()
+    assert summary["held"][0] == len(held) < asked.sum()
+    for p, a in zip(part, got):
+        low, step = a["scale"]
+        yes = a["codes"] > 0
+        assert (yes == (total[p] > 0)).all()
+        own = p[yes]
+        assert (keys[held[a["rank"]]] == keys[own]).all() and (a["n"].astype(int) + a["n0"] == total[own]).all()
+        cv, q = 5 + (keys[own] >> 32) % 9, 10.0 ** -(np.rint(-below[own] * 16) / 16)
+        exact = np.log10((total[own] + 10 * q) / (cv + 10))
+        assert np.abs(low + (a["codes"][yes] - 1.0) * step - exact).max() <= step / 2 + 1e-9
+    monkeypatch.setattr(ngrams.Trie, "find", lambda self, v, w: np.arange(len(v)) % max(len(self.codes), 1))
+    assert any((x["codes"] != y["codes"]).any() for x, y in zip(got, answers()))
 
 
 def test_html(spark):
@@ -368,12 +405,13 @@ def test_quality(spark, docs, none):
     assert quality.judge(none).count() == 0
 
 
-def test_quality_share_is_bounded(spark):
+def test_quality_limit_is_one_for_all_hosts(spark):
     name = lambda i: "".join(chr(97 + int(c)) for c in str(i))  # noqa: E731  (digits are all one in a line's hash)
-    rows = [(i, ("shared line of a large source\n" if i < 1200 else "") + " ".join(f"t{name(i)}w{name(j)}" for j in range(60)), "h") for i in range(3000)]
-    # half of the documents would be 1,500
-    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=0.5).collect()
-    assert {r["doc_id"]: r["n_lost_words"] for r in got} == {i: 6 if i < 1200 else 0 for i in range(3000)}
+    own = lambda i: " ".join(f"t{name(i)}w{name(j)}" for j in range(60))
+    rows = [(i, ("shared line of a large source\n" if i < 21 else "a line that stays\n" if i < 41 else "") + own(i), "h") for i in range(3000)]
+    rows += [(i, ("shared line of a small source\n" if i < 5021 else "a line that stays\n" if i < 5041 else "") + own(i), "g") for i in range(5000, 5045)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r["doc_id"]: r["n_lost_words"] for r in got} == {i: 6 if i % 5000 < 21 else 0 for i, *_ in rows}
 
 
 NAMES = "_key _copy _id _text_key _times _bad _bad_key _keep _keep_key bad_id share row row_key times key b data s page low hit_id hit_key bucket start taken _grams _features host path size least fp n h label features".split()
