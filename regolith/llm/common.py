@@ -55,8 +55,8 @@ def forget(table: DataFrame) -> None:
 
 
 def reclaim(spark: SparkSession) -> None:
-    """Spark deletes a shuffle's files when the driver has collected what refers to them: between steps that each shuffle
-    as much as the input, the driver is told to, since otherwise all steps' files lie there to the end."""
+    """Spark deletes a shuffle's files when the driver has collected what refers to them. Before and between steps that each
+    shuffle as much as the input the driver is told to, since otherwise the files of earlier work lie there to the end."""
     spark.sparkContext._jvm.System.gc()
 
 
@@ -178,7 +178,11 @@ def pack(df: DataFrame, columns: list[str], label: str, batch_bytes: int = 6_000
         table = fn(table) if fn else table
         return pa.RecordBatch.from_pydict({"b": pa.array([uuid.uuid4().int & (2**63 - 1)], pa.int64()), "data": pa.array([dump(table)], pa.binary())})
 
-    return materialize(df.select(*columns).mapInArrow(blocks, "b long, data binary"), label)
+    # once before the operator's own shuffles, and once after the cleaner has had time for what was found
+    reclaim(df.sparkSession)
+    out = materialize(df.select(*columns).mapInArrow(blocks, "b long, data binary"), label)
+    reclaim(df.sparkSession)
+    return out
 
 
 def ask(packed: DataFrame, fn, shards: int) -> DataFrame:

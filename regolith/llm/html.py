@@ -1,13 +1,16 @@
 """Main text of web pages, with site templates removed.
 
-A page is parsed to a tree. By rule, navigation, headers, footers, asides, forms, scripts, styles, notices, adverts and
-reader comments go, by tag, role or exact class name. What is left of the article elements (else of main, else of the
-body) is the main text. Its element subtrees are hashed (tag, text and children, with the host); each block of pages
-gives one row for each distinct subtree and main text, and Spark counts the distinct main texts that a subtree comes with,
-so that copies of a page count once. A subtree that recurs with many main texts of its host is template and goes. One
-that holds most of its page's main text stays, and what is inside it goes only if it recurs as often without it. Inside
-the article only containers (not paragraphs and headings) may go that way, since articles may share passages. Pages
-without a recurring subtree are done after the first pass; the others are parsed again.
+A page is parsed to a tree. Its element subtrees are hashed (tag, text and children, with the host), before any rule is
+looked at: containers everywhere, and on pages without an article every element. Each block of pages gives one row for
+each distinct subtree and main text, and Spark counts the distinct main texts that a subtree comes with, so that copies of
+a page count once. A subtree that comes with PAGES main texts of its host is template and goes, however many pages the
+host has. One that holds most of its page's main text stays, and what is inside it goes only if it recurs as often without
+it. Paragraphs and headings inside an article stay, since articles may share passages.
+
+What the count cannot see, furniture of pages that are the only ones with it, goes by rule: navigation, headers, footers,
+asides, forms, scripts, styles, notices, adverts and reader comments, by tag, role or exact class name. What is left of
+the article elements (else of main, else of the body) is the main text. Pages without a recurring subtree in their main
+text are done after the first pass; the others are parsed again.
 
 The text has one line per block, in page order; a removed block ends a line, a removed inline element does not.
 
@@ -32,14 +35,13 @@ from pyspark.sql import functions as F
 
 from .common import deliver, few, keyed, materialize, pack, shards_for, to_bytes
 
-#: A subtree is template from so many distinct main texts of its host, and so large a share of them.
-LEAST_PAGES = 5
-SHARE = 0.02
-#: The share asks for no more than this, so that a host with most of the pages is cleaned like a smaller one.
-MOST_PAGES = 100
+#: A subtree is template from so many distinct main texts of its host.
+PAGES = 5
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 DROP = frozenset("applet aside audio button canvas datalist dialog embed footer form frame frameset head iframe input map menu nav noframes noscript object option script select style svg template textarea title video".split())
+#: Elements without a text of the page.
+SILENT = frozenset("applet audio canvas embed frame frameset head iframe map noframes noscript object script style svg template textarea title video".split())
 CONTAINER = frozenset("div section ul ol dl table figure header footer nav aside form details menu".split())
 #: Class names and ids, whole, of menus, sidebars, notices, adverts and reader comments; and of headers and footers,
 #: which count outside the article only.
@@ -152,6 +154,7 @@ class Layout:
     """The elements that hold a page's main text, and those within that rules remove."""
 
     def __init__(self, root: Node):
+        self.root = root
         self.removed: set[int] = set()
         roots, mains = [], []
         stack: list[tuple[Node, object]] = [(root, False)]
@@ -202,19 +205,20 @@ class Layout:
     def may_go(self, node: Node) -> bool:
         return node.parent is not None and node.tag not in ("body", "article", "main") and (not self.inside or node.tag in CONTAINER)
 
-    def subtrees(self) -> list[tuple[Node, int, int]]:
-        """(element, hash, characters of text) for the elements with text that may be template, children first."""
-        out: list[tuple[Node, int, int]] = []
+    def subtrees(self) -> list[tuple[Node, int, int, bool]]:
+        """(element, hash, characters of text, whether it is in the main text) for the elements with text that may be
+        template, children first."""
+        out: list[tuple[Node, int, int, bool]] = []
         known: dict[int, tuple[int, int]] = {}
-        order: list[Node] = []
-        todo = list(self.tops)
+        tops = set(map(id, self.tops))
+        order: list[tuple[Node, bool]] = []
+        todo = [(self.root, False)]
         while todo:
-            node = todo.pop()
-            order.append(node)
-            todo += [c for c in node.children if isinstance(c, Node) and id(c) not in self.removed]
-        if not any(map(self.may_go, order)):
-            return out
-        for node in reversed(order):
+            node, live = todo.pop()
+            live = (live or id(node) in tops) and id(node) not in self.removed
+            order.append((node, live))
+            todo += [(c, live) for c in node.children if isinstance(c, Node) and c.tag not in SILENT]
+        for node, live in reversed(order):
             h, size = xxhash.xxh64(node.tag), 0
             for c in node.children:
                 if isinstance(c, Node):
@@ -227,7 +231,7 @@ class Layout:
                     size += len(text) + 1
             known[id(node)] = h.intdigest(), size
             if size and self.may_go(node):
-                out.append((node, *known[id(node)]))
+                out.append((node, *known[id(node)], live))
         return out
 
 
@@ -248,29 +252,31 @@ def host_key(url: object) -> int:
 def _parsed(table: pa.Table) -> pa.Table:
     """First pass over a block: main texts before templates go, and the keys of their subtrees.
 
-    The html itself is kept only where there is a subtree that may be template.
+    The html itself is kept only where there is a subtree in the main text that may be template.
     """
     texts, keys, kept = [], [], []
     gc.disable()  # a block's trees are small and go together
     for url, html in zip(table["url"].to_pylist(), table["html"].to_pylist()):
         layout = Layout(parse(html))
         own = host_key(url)
-        found = {h ^ own for _, h, _ in layout.subtrees()}
+        subs = layout.subtrees()
+        live = {h ^ own for _, h, _, x in subs if x}
+        rest = {h ^ own for _, h, _, x in subs if not x} - live
         texts.append(layout.text())
-        keys.append(np.fromiter(found, np.uint64, len(found)).tobytes())
-        kept.append(html if found else None)
+        keys.append((np.fromiter(live, np.uint64, len(live)).tobytes(), np.fromiter(rest, np.uint64, len(rest)).tobytes()))
+        kept.append(html if live else None)
     gc.enable()
     gc.collect()
-    return pa.table({"id": table["id"], "url": table["url"], "html": pa.array(kept, pa.string()), "text": pa.array(texts, pa.string()), "keys": pa.array(keys, pa.binary())})
+    live, rest = ([k[i] for k in keys] for i in range(2))
+    return pa.table({"id": table["id"], "url": table["url"], "html": pa.array(kept, pa.string()), "text": pa.array(texts, pa.string()), "live": pa.array(live, pa.binary()), "rest": pa.array(rest, pa.binary())})
 
 
 def _recurring(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs of a key (of a subtree or of a host) and the hash of a main text that it comes with."""
+    """The distinct pairs of a subtree's key and the hash of a main text that it comes with."""
     pairs = set()
-    for url, text, keys in zip(table["url"].to_pylist(), table["text"].to_pylist(), table["keys"].to_pylist()):
+    for text, live, rest in zip(table["text"].to_pylist(), table["live"].to_pylist(), table["rest"].to_pylist()):
         t = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
-        pairs.add((host_key(url), t))
-        pairs.update((k, t) for k in np.frombuffer(keys, np.uint64).tolist())
+        pairs.update((k, t) for k in np.frombuffer(live + rest, np.uint64).tolist())
     rows = np.array(list(pairs), np.uint64).reshape(-1, 2)
     return np.ascontiguousarray(rows[:, 0]).view(np.int64), np.ascontiguousarray(rows[:, 1]).view(np.int64)
 
@@ -293,29 +299,30 @@ def templates(layout: Layout, subs: list, text: str, common: dict[int, int], lim
     return gone
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, share: float = SHARE, most_pages: int = MOST_PAGES) -> DataFrame:
-    """One row per page: id, url, text, n_chars, n_template (subtrees removed as template)."""
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = PAGES) -> DataFrame:
+    """One row per page: id, url, text, n_chars, n_template (distinct subtrees that are template)."""
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     packed = pack(rows, ["id", "url", "html"], "html-blocks", fn=_parsed)
     asked = keyed(packed, _recurring, "key long, page long")
-    total = asked.select("key", "page").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_pages)
+    total = asked.select("key", "page").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     total = materialize(total, "html-subtrees")
     back = asked.select("b", "key").distinct().join(few(total), "key")
 
     def finish(table, got):
         common = dict(zip(got["key"].to_numpy().view(np.uint64).tolist(), got["n"].to_pylist()))
         texts, gone_of = [], []
-        for url, html, text, keys in zip(*(table[c].to_pylist() for c in ("url", "html", "text", "keys"))):
-            own = host_key(url)
-            limit = max(least_pages, min(share * common.get(own, 0), most_pages))
-            gone: set[int] = set()
-            if any(common.get(k, 0) >= limit for k in np.frombuffer(keys, np.uint64).tolist()):
+        for url, html, text, live, rest in zip(*(table[c].to_pylist() for c in ("url", "html", "text", "live", "rest"))):
+            n = sum(k in common for k in np.frombuffer(rest, np.uint64).tolist())
+            if any(k in common for k in np.frombuffer(live, np.uint64).tolist()):
+                own = host_key(url)
                 layout = Layout(parse(html))
-                gone = templates(layout, [(n, h ^ own, size) for n, h, size in layout.subtrees()], text, common, limit)
+                subs = [(node, h ^ own, size) for node, h, size, x in layout.subtrees() if x]
+                gone = templates(layout, subs, text, common, least)
+                n += len({k for node, k, _ in subs if id(node) in gone})
                 text = layout.text(gone) if gone else text
             texts.append(text)
-            gone_of.append(len(gone))
+            gone_of.append(n)
         return {"id": table["id"], "url": table["url"], "text": texts, "n_chars": [len(t) for t in texts], "n_template": gone_of}
 
     return deliver(packed, back, finish, f"id {kind}, url string, text string, n_chars long, n_template long", shards_for(packed)).withColumnRenamed("id", id_col)

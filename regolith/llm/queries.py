@@ -27,6 +27,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"), model)
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.ruled(read(spark, sf_dir, "pages"))
+
+
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(read(spark, sf_dir, "documents"))
 
@@ -73,11 +77,17 @@ def queries() -> dict:
     found = (
         op1_ngram_score, op2_html, op3_simhash, op4_url_filter, op5_tokens, op6_mixing, op7_language_id, op8_decontamination, op9_substrings, op10_quality, op11_hard_negatives, op12_mpeg, op13_conversations,
     )
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in (*found, url_rules)}
 
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 SQL = {
+    "url_rules": r"""
+WITH p AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
+), r(rule) AS (VALUES ('com/'), ('example.com/en/'), ('www.example.com/en/'), ('net/es/'), ('net/fr/'))
+SELECT page_id, host, path, (SELECT arg_max(rule, length(rule)) FROM r WHERE (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/')))) AS rule FROM h
+""",
     "op11_hard_negatives": """
 WITH v AS (
   SELECT row_number() OVER () AS r, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
