@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regolith.functions import embedding, identifiers, similarity, text, values
+from regolith.functions import embedding, identifiers, metaphone, similarity, text, values
 from regolith.operators import activity, audit, entity, graph, linkage, matching, paging, readmodel, records, reports, review, search, sketches, vector_index, vectors, views
 from regolith.operators.order import numbered
 from regolith.plans import questions
@@ -257,6 +257,18 @@ def bound_events(r: Registry) -> DataFrame:
     return now.select("event_id", F.lit(True).alias("is_bound"), "retry_count").unionByName(later.select("event_id", F.lit(False).alias("is_bound"), "retry_count"))
 
 
+def closed_windows(r: Registry) -> DataFrame:
+    """Counts of windows that the watermark has closed, each written once."""
+    got = late.collected(stream_activity.windowed_counts(_stream(r), "ts", ["event_type"], "1 day", "2 days"), "closed")
+    return got.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+def sounds(r: Registry) -> DataFrame:
+    """Names' codes by both encoders."""
+    n = records.normalize(payloads(r)).select("id", "normalized_name")
+    return n.select("id", text.phonetic(c("normalized_name"), metaphone.metaphone(c("normalized_name"))).alias("phonetic"))
+
+
 def anchored_routing(r: Registry) -> DataFrame:
     """The variant in which a shared tax number lowers the bar and a conflict always makes a new identity."""
     m = _matched(r)
@@ -264,14 +276,14 @@ def anchored_routing(r: Registry) -> DataFrame:
 
 
 def generated(r: Registry) -> DataFrame:
-    """Made-up businesses as the departments know them, normalised."""
-    n = records.normalize(generator.businesses(r.spark, 500))
+    """For each customer a made-up business as the departments know it, normalised."""
+    n = records.normalize(generator.businesses(r.table("customer").select(c("c_custkey").alias("id"))))
     return n.select("business", "source_system", "source_record_id", "normalized_name", "pan_valid", "pincode")
 
 
 def ambiguous(r: Registry) -> DataFrame:
-    """Made-up pairs and how alike their names are."""
-    n = records.normalize(generator.ambiguous_pairs(r.spark)).select("pair", "side", "normalized_name", "pincode")
+    """For each supplier a made-up pair of businesses and how alike their names are."""
+    n = records.normalize(generator.ambiguous_pairs(r.table("supplier").select(c("s_suppkey").alias("id")))).select("pair", "side", "normalized_name", "pincode")
     b = n.filter("side = 'b'").select("pair", c("normalized_name").alias("other"), c("pincode").alias("other_pin"))
     return n.filter("side = 'a'").join(b, "pair").select("pair", (c("pincode") == c("other_pin")).alias("same_pin"), F.round(similarity.name_similarity(c("normalized_name"), c("other"), "dice"), 4).alias("dice"))
 
@@ -285,7 +297,7 @@ def committed(r: Registry) -> DataFrame:
     at = _folder(r, "commit")
     sinks.commit({"identities": r.ubids().limit(0), "links": r.links()}, at)
     sinks.commit({"identities": r.ubids()}, at)
-    i, k = (r.spark.read.parquet(f"{at}/{name}") for name in ("identities", "links"))
+    i, k = (sinks.table(r.spark, at, name) for name in ("identities", "links"))
     return i.join(k.groupBy("ubid").agg(F.count(F.lit(1)).alias("n_links")), "ubid", "left").select("ubid", "pan", "n_links")
 
 
@@ -469,5 +481,5 @@ def queries() -> dict:
         "r6_raw": lambda r: traced(r, "raw_records"), "r6_pairs": lambda r: traced(r, "candidate_pairs"), "r6_linked": lambda r: traced(r, "linked_records", "TAX-42"), "r6_summary": lambda r: traced(r, "summary"),
         "r7_profile": entity.profile, "r7_timeline": lambda r: entity.newest(entity.timeline(r)), "r11_explanation": lambda r: entity.explanation(r, 13), "r10_semantic": semantic, "a13_modes": lambda r: questions.modes(views.ubid_registry(r)),
         "o8_latest": lambda r: matching.latest(r.links().select(c("raw_id").alias("id"), "linked_at"), "linked_at", 100), "d13_batch": lambda r: matching.oldest_unlinked(r.raw_records().select(c("raw_id").alias("id"), "extracted_at"), r.links().filter("unlinked_at is null").select(c("raw_id").alias("id")), ["extracted_at", "id"], 50),
-        "s3_refreshed": refreshed, "j10_index": indexed, "j10_recall": index_recall, "p4_searched": searched, "r8_cursor": cursor_page, "a3_sketches": sketched, "w5_newest": newest_events, "t7_changes": streamed_statuses, "t3_late": late_events, "d11_merged": merged_queue, "s2_commit": committed, "s7_sent": sent, "s9_csv": exported, "t5_queue": worked, "f55_gated_texts": gated_texts, "q16_report": reported, "q15_relaxed": relaxed, "q20_written": written, "d6_routing": anchored_routing, "s5_businesses": generated, "s6_ambiguous": ambiguous, "t1_windows": event_windows, "t2_duplicates": event_duplicates, "t3_bound": bound_events, "t4_ingest": ingested, "t6_events": published_events,
+        "s3_refreshed": refreshed, "j10_index": indexed, "j10_recall": index_recall, "p4_searched": searched, "r8_cursor": cursor_page, "a3_sketches": sketched, "w5_newest": newest_events, "t7_changes": streamed_statuses, "t3_late": late_events, "d11_merged": merged_queue, "s2_commit": committed, "s7_sent": sent, "s9_csv": exported, "t5_queue": worked, "f55_gated_texts": gated_texts, "q16_report": reported, "q15_relaxed": relaxed, "q20_written": written, "d6_routing": anchored_routing, "s5_businesses": generated, "s6_ambiguous": ambiguous, "t1_windows": event_windows, "t1_closed_windows": closed_windows, "f2_phonetic": sounds, "t2_duplicates": event_duplicates, "t3_bound": bound_events, "t4_ingest": ingested, "t6_events": published_events,
     }

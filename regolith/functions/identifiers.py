@@ -42,7 +42,8 @@ def check_digit(digits: Column) -> Column:
 
 
 def ubid_code(sequence: Column, year: int = 2024) -> Column:
-    six = F.lpad(sequence.cast("string"), 6, "0")
+    number = sequence.cast("string")
+    six = F.when(F.length(number) < 6, F.lpad(number, 6, "0")).otherwise(number)  # more digits stay as they are
     return F.concat(F.lit(f"UBID-KA-29-{year}-"), six, F.lit("-"), check_digit(F.concat(F.lit(f"29{year}"), six)).cast("string"))
 
 

@@ -61,6 +61,7 @@ def evidence(pairs: DataFrame) -> DataFrame:
     pan, gstin, pin, sector, name, address = (F.col(c) for c in ("same_pan", "same_gstin", "same_pincode", "same_sector", "name_overlap", "address_overlap"))
     both = lambda n: _present(F.col(f"{n}_a")) & _present(F.col(f"{n}_b"))
     strong = pan & pin & (name >= 70)
+    # The sentences of the reviewers' screen, as its readers know them.
     signals = _said(
         (pan, "Same PAN is present in both records."), (gstin, "Same GSTIN is present in both records."), (name >= 70, "Business names look very similar."), (pin, "PIN code matches."), (sector, "Business type matches."),
     )

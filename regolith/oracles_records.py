@@ -175,6 +175,7 @@ SQL = {
     "a3_sketches": "SELECT source_system, count(*) AS links, count(DISTINCT ubid) AS businesses, true AS close FROM links JOIN raw_records USING (raw_id) GROUP BY source_system",
     "w5_newest": "SELECT ubid, max(n) AS n_total, string_agg(CAST(event_date AS VARCHAR) || '/' || CAST(event_id AS VARCHAR), ' ' ORDER BY event_date DESC, event_id DESC) AS events FROM (SELECT *, count(*) OVER (PARTITION BY ubid) AS n, row_number() OVER (PARTITION BY ubid ORDER BY event_date DESC, event_id DESC) AS place FROM ev JOIN taxonomy USING (event_type)) WHERE place <= 3 GROUP BY ubid",
     "t7_changes": "SELECT ubid, day, CASE WHEN coalesce(s, 0) >= 1.5 THEN 'Active' WHEN coalesce(s, 0) >= 0 THEN 'Dormant' ELSE 'Closed' END AS status FROM (SELECT ubid, day FROM ubids, (VALUES ('2024-01-08'), ('2024-01-15'), ('2024-01-24')) d(day)) LEFT JOIN (SELECT ubid, day, sum(weight * exp(-ln(CAST(2 AS DOUBLE)) * date_diff('day', event_date, CAST(day AS DATE)) / half_life)) AS s FROM ev JOIN taxonomy USING (event_type) JOIN (VALUES ('2024-01-08'), ('2024-01-15'), ('2024-01-24')) d(day) ON event_date <= CAST(day AS DATE) GROUP BY ubid, day) USING (ubid, day)",
+    "t1_closed_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events, (SELECT max(ts) - INTERVAL 2 DAY AS mark FROM events) WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= mark GROUP BY 1, 2",
     "t3_late": "SELECT event_id, arrived IS NOT NULL AS is_bound, CAST(CASE WHEN arrived IS NULL THEN 5 ELSE ceil(greatest(0, epoch(arrived) - epoch(CAST(ingested_at AS TIMESTAMP))) / CAST(172800 AS DOUBLE)) END AS INTEGER) AS retry_count FROM ev LEFT JOIN (SELECT c_custkey AS ubid, TIMESTAMP '2023-12-20' + to_days(CAST(c_custkey % 60 AS INTEGER)) + to_hours(c_custkey % 24) AS arrived FROM customer WHERE c_custkey % 3 <> 1) i ON i.ubid = ev.ubid AND arrived <= CAST(ingested_at AS TIMESTAMP) + INTERVAL 10 DAY",
     "d11_merged": "SELECT id, record_a, record_b, CASE WHEN id % 3 <> 0 THEN confidence ELSE CAST(0.1 AS DOUBLE) END AS confidence, priority, CASE WHEN id % 3 <> 0 THEN status ELSE 'pending' END AS status FROM rq WHERE id % 5 <> 0 AND (id % 2 = 0 OR id % 3 <> 0)",
     "r1_cards": "SELECT 'stale_inspections' AS card, top AS subject, count_if(u.ubid IS NOT NULL AND (last IS NULL OR last < DATE '2024-01-25')) AS value FROM (SELECT coalesce((SELECT pin_code FROM registry WHERE pin_code IS NOT NULL GROUP BY pin_code ORDER BY count(*) DESC, pin_code LIMIT 1), '560058') AS top) LEFT JOIN registry u ON u.pin_code = top AND u.status = 'Active' AND u.sector IN ('MACHINERY', 'BUILDING', 'AUTOMOBILE') LEFT JOIN (SELECT ubid, max(event_date) AS last FROM ev WHERE event_type = 'inspection' GROUP BY ubid) e ON e.ubid = u.ubid GROUP BY top UNION ALL SELECT 'identifier_gap', 'pan without gstin', count(pan) - count(gstin) FROM registry UNION ALL SELECT 'review_queue', 'pending', count_if(status IN ('pending', 'locked')) FROM rq",

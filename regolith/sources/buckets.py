@@ -131,6 +131,12 @@ class Change:
             known["folders"].pop(b, None)
         known["folders"] |= {b: f"{folder}/bucket={b}" for b in written}
 
+    def put(self, table: str, rows: DataFrame) -> None:
+        """A whole table, without buckets, in place of what it was."""
+        folder = f"files/{table}-{uuid.uuid4().hex}/bucket=all"
+        rows.write.parquet(f"{self.store.root}/{folder}")
+        self.next["tables"][table] = {"schema": json.loads(rows.schema.json()), "key": None, "buckets": 0, "folders": {"all": folder}}
+
     def done(self, token: tuple[str, int] | None) -> bool:
         """Whether a batch (of a name and number) is in a version already."""
         if token is None:

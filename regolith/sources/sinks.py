@@ -2,50 +2,50 @@
 
 from __future__ import annotations
 
-import uuid
+import logging
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
+from regolith.operators.graph import cut
+from regolith.sources.buckets import Store
 
-def _rename(spark: SparkSession, source: str, target: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    src, dst = path(source), path(target)
-    fs = src.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if fs.exists(dst):
-        old = path(f"{target}.old-{uuid.uuid4().hex}")
-        if not fs.rename(dst, old):
-            raise OSError(f"{target} is in the way")
-        if not fs.rename(src, dst):
-            fs.rename(old, dst)
-            raise OSError(f"cannot publish {target}")
-        fs.delete(old, True)
-    elif not fs.rename(src, dst):
-        raise OSError(f"cannot publish {target}")
+log = logging.getLogger(__name__)
 
 
 def commit(tables: dict[str, DataFrame], root: str) -> None:
-    """All tables or none: each is written aside first, and only when all are whole do they take their names."""
-    spark = next(iter(tables.values())).sparkSession
-    aside = {name: f"{root}/.{name}-{uuid.uuid4().hex}" for name in tables}
+    """All tables or none: each is written aside, and one manifest names them all when they are whole.
+
+    Tables that are not among them stay as they were; `table` reads what the newest manifest names.
+    """
+    store = Store(next(iter(tables.values())).sparkSession, root)
+    change = store.begin()
     for name, df in tables.items():
-        df.write.parquet(aside[name])
-    for name in tables:
-        _rename(spark, aside[name], f"{root}/{name}")
+        change.put(name, df)
+    change.commit()
+
+
+def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return Store(spark, root).read(name)
 
 
 def publish(events: DataFrame, to: str, options: dict[str, str] | None = None) -> bool:
     """Events (topic, key, value) to Kafka ("kafka" with its options) or to a folder of JSON, partitioned by topic.
 
-    Best effort: the tables stay the truth, so a sink that is not there is reported and not raised.
+    Best effort as to the sink: the tables stay the truth, so a sink that is not there is logged and not raised. What the
+    events are computed from is not the sink's: they are computed first, and errors there are raised.
     """
+    ready = cut(events)
     try:
         if to == "kafka":
-            events.write.format("kafka").options(**(options or {})).save()
+            ready.write.format("kafka").options(**(options or {})).save()
         else:
-            events.write.mode("append").partitionBy("topic").json(to)
+            ready.write.mode("append").partitionBy("topic").json(to)
         return True
-    except Exception:  # whatever the connector raises, the run goes on
+    except (PySparkException, Py4JJavaError) as e:  # the connector's: the rows are there
+        log.warning("events were not sent to %s: %s", to, e)
         return False
 
 
