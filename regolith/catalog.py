@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from regolith import catalog_records, oracles, oracles_records
 from regolith.functions import embedding, identifiers, similarity, text
-from regolith.operators import graph, linkage, reports, review, training, vectors, views
+from regolith.operators import graph, linkage, readmodel, reports, review, training, vectors, views
 from regolith.plans import gate, questions
 from regolith.sources.registry import INDUSTRIAL, Registry
 from regolith.streaming import activity as stream_activity
@@ -14,7 +14,7 @@ from regolith.streaming import activity as stream_activity
 
 def _registry(build):
     def run(spark, sf_dir):
-        df = build(Registry(spark, sf_dir))
+        df = build(Registry(spark, sf_dir, stored=readmodel.stored))
         return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"})
 
     return run
@@ -120,7 +120,7 @@ def governed(r: Registry):
 
 def queries() -> dict:
     found = {
-        "v_registry": views.ubid_registry, "v_source_records": views.source_records, "v_activity_events": views.activity_events, "d14_activity": views.ubid_activity,
+        "v_registry": views.computed_registry, "v_source_records": views.source_records, "v_activity_events": views.activity_events, "d14_activity": views.ubid_activity,
         "q1_pan": lambda r: reports.q1_pan(r, "ABCPK0042F"), "q2_gstin": lambda r: reports.q2_gstin(r, "29ABCPK0042F1Z5"), "q3_stale_inspections": lambda r: reports.q3_stale_inspections(r, "2024-01-25", ("Active", "Dormant")),
         "q4_pan_without_gstin": reports.q4_pan_without_gstin, "q6_status_by_pin": lambda r: reports.status_summary(r, ("pin_code",), ("Active",)), "q7_status_by_sector": lambda r: reports.status_summary(r, ("sector",), ("Closed", "Dormant")),
         "q8_sector_status": lambda r: reports.status_summary(r, ("sector", "status")), "q9_departments": reports.q9_departments, "q10_list": lambda r: reports.q10_list(r, ("Active",)),

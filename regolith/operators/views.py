@@ -34,6 +34,11 @@ def wide_records(r: Registry) -> DataFrame:
 
 
 def ubid_registry(r: Registry) -> DataFrame:
+    """One row per canonical identity: as it is stored, if it is, else computed."""
+    return r.stored(r) if r.stored else computed_registry(r)
+
+
+def computed_registry(r: Registry) -> DataFrame:
     """One row per canonical identity. Links are summed up per identity before they meet it, so each distinct count is a count."""
     links = r.links().filter("unlinked_at is null").select("raw_id", "ubid", "confidence")
     rows = links.join(r.raw_records().select("raw_id", "source_system", "raw_payload"), "raw_id").join(r.normalized(), "raw_id", "left")

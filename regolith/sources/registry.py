@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,13 +14,17 @@ SOURCES = (("1", "tax"), ("2", "municipal"), ("3", "labor"), ("4", "pollution"),
 
 
 class Registry:
-    """Lazily built data frames; a table's columns are those its readers need."""
+    """Lazily built data frames; a table's columns are those its readers need.
+
+    tables: another reader of tables by name than that of Parquet files, such as `jdbc.tables`. stored: where the read model's
+    businesses are read from instead of being computed from all records, such as `readmodel.stored`.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, tables: Callable[[str], DataFrame] | None = None, stored: Callable[[Registry], DataFrame] | None = None):
+        self.spark, self.dir, self.tables, self.stored = spark, sf_dir, tables, stored
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self.tables(name) if self.tables else self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def ubids(self) -> DataFrame:
         k = F.col("c_custkey")

@@ -88,7 +88,7 @@ def test_streamed_upserts(spark, store, tmp_path):
 def test_one_record_touches_its_identities(spark, store):
     r = Registry(spark, SF)
     readmodel.build(store, r, buckets=16)
-    assert rows(readmodel.registry(store, r.taxonomy(), views.REFERENCE_DATE)) == rows(views.ubid_registry(r))
+    assert rows(readmodel.registry(store, r.taxonomy(), views.REFERENCE_DATE)) == rows(views.computed_registry(r))
     before = {t: folders(store, t) for t in ("places", "facts", "partials", "days", "identities")}
     one = readmodel.records(r).orderBy("raw_id").limit(1)
     was = one.first()
@@ -119,3 +119,64 @@ def test_least_values_after_losses(spark, store):
     assert per() == {10: ("Aa", 0.7, 3, 2)}
     go((2, 4, 10, "b", "Zeta", "z", "S", "1", 0.2), (3, 1, 99, "x", "old", "old", "S", "1", 1.0))
     assert per() == {10: ("Aa", 0.7, 3, 2)} and store.read("places").count() == 4
+
+
+def test_tables_of_a_database(spark):
+    """Over JDBC, from the database that Spark brings along, in memory."""
+    from regolith.operators import reports
+    from regolith.sources import jdbc
+
+    url = "jdbc:derby:memory:registry;create=true"
+    plain = Registry(spark, SF)
+    for name in ("customer", "orders", "events"):
+        plain.table(name).coalesce(1).write.format("jdbc").options(url=url, dbtable=name).mode("overwrite").save()
+    read = jdbc.tables(spark, url, {"customer": "c_custkey", "orders": "o_orderkey"}, part=100)
+    r = Registry(spark, "", read)
+    assert read("customer").rdd.getNumPartitions() > 1 and read("events").rdd.getNumPartitions() == 1
+    assert rows(r.ubids()) == rows(plain.ubids())
+    assert rows(reports.coverage(r)) == rows(reports.coverage(plain))
+    plan = r.table("customer").filter("c_custkey = 7").select("c_name")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "C_CUSTKEY" in plan.upper().split("PUSHEDFILTERS")[1]
+
+
+def test_answers_hold_for_a_while(spark, tmp_path):
+    from regolith.plans import cache
+
+    now, built = [1000.0], []
+
+    def build(status, limit=5):
+        built.append((status, limit))
+        return spark.range(limit).withColumn("status", F.lit(status)).withColumn("n", F.lit(len(built)))
+
+    a = cache.Answers(spark, f"file://{tmp_path}/answers", 10, clock=lambda: now[0])
+    assert a.get("list", build, "Active").count() == 5 and a.get("list", build, "Active").first()["n"] == 1
+    assert a.get("list", build, "Active", limit=7).count() == 7 and a.get("list", build, "Closed").first()["n"] == 3
+    # another session finds the answers
+    b = cache.Answers(spark, f"file://{tmp_path}/answers", 10, clock=lambda: now[0])
+    assert b.get("list", build, "Closed").first()["n"] == 3 and len(built) == 3
+    now[0] += 11
+    assert a.get("list", build, "Active").first()["n"] == 4
+    assert a.invalidate("list") == 3 and a.invalidate("list") == 0
+    assert a.get("list", build, "Active").first()["n"] == 5
+    # the caller's key may leave arguments out
+    c = cache.Answers(spark, f"file://{tmp_path}/own", 10, key=lambda name, *_, **__: name, clock=lambda: now[0])
+    assert c.get("one", build, "x").first()["n"] == c.get("one", build, "y").first()["n"] == 6
+
+
+def test_businesses_are_read_from_the_model(spark, tmp_path):
+    import os
+    import shutil
+
+    for name in ("customer", "orders", "events"):
+        shutil.copy(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+    r = Registry(spark, f"file://{tmp_path}", stored=readmodel.stored)
+    got = views.ubid_registry(r)
+    assert rows(got) == rows(views.computed_registry(r)) and not any("orders" in f for f in got.inputFiles())
+    before = readmodel.fingerprint(r)
+    assert readmodel.fingerprint(r) == before
+    # other files, another model
+    half = spark.read.parquet(f"{SF}/orders.parquet").filter("o_orderkey % 2 = 0").toPandas()
+    half.to_parquet(tmp_path / "orders.parquet", coerce_timestamps="us")
+    os.utime(tmp_path / "orders.parquet", (1, 1))
+    spark.catalog.refreshByPath(f"file://{tmp_path}/orders.parquet")
+    assert readmodel.fingerprint(r) != before and rows(views.ubid_registry(r)) == rows(views.computed_registry(r)) != rows(got)
