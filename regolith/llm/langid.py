@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 
 from .common import few, lower_ascii, materialize, release, to_bytes
 
-#: Labelled rows per language used at most, and of all languages together: the bounds of the training sample.
+#: Labelled rows per language used at most, and of all languages together (one at least of each language): the bounds of
+#: the training sample.
 PER_LANGUAGE = 400
 SAMPLE_ROWS = 8000
-#: Cells of the training matrix; with more, the n-grams of the most texts are used.
-CELLS = 40_000_000
+#: The model's n-grams: those that the most texts of the sample have, and so many texts at least.
+GRAMS, LEAST_TEXTS = 5000, 3
 BITS = 16
 _TURN = 1 << 40
 _LETTER = regex.compile(r"\p{L}")
@@ -54,8 +55,9 @@ def codewords(n: int) -> np.ndarray:
     rng, best, far = np.random.default_rng(7), None, -1
     for _ in range(200):
         code = rng.choice(np.array([-1, 1], np.int8), (n, bits))
+        code[0, (code == code[0]).all(axis=0)] *= -1  # every bit tells some languages apart
         apart = min((bits - int(a) for row in code[:64] for a in np.sort(code.astype(int) @ row.astype(int))[-2:-1]), default=bits)
-        if apart > far and all(len(set(c)) > 1 for c in code.T):
+        if apart > far:
             best, far = code, apart
     return best
 
@@ -90,8 +92,8 @@ def margins(model: Model, texts: list[bytes]) -> np.ndarray:
     return total / (2 * n[:, None]) + model.bias
 
 
-def profile(text: object) -> tuple[np.ndarray, np.ndarray] | None:
-    """Distinct hashed n-grams of a text and their counts; None without a letter."""
+def profile(text: object) -> tuple[np.ndarray, np.ndarray, int] | None:
+    """Distinct hashed n-grams of a text, their counts and the counts' sum; None without a letter."""
     if not isinstance(text, str) or not _LETTER.search(text):
         return None
     keys, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -100,26 +102,26 @@ def profile(text: object) -> tuple[np.ndarray, np.ndarray] | None:
         k, m = np.unique(h[:, i : i + (1 << 20)], return_counts=True)
         keys, of = np.unique(np.concatenate([keys, k]), return_inverse=True)
         n = np.bincount(of, np.concatenate([n, m])).astype(np.int64)
-    return keys, n
+    return keys, n, int(n.sum())
 
 
-def _matrix(found: list[tuple[np.ndarray, np.ndarray]], least: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """n-gram shares of each text, for the n-grams that `least` texts have, and which those are."""
-    share = np.bincount(np.concatenate([k for k, _ in found]), minlength=2**BITS)
-    used = np.flatnonzero(share >= min(least, len(found)))
-    most = max(1000, CELLS // len(found))
-    if len(used) > most:
-        used = np.sort(used[np.argsort(-share[used], kind="stable")[:most]])
+def widest(share: np.ndarray, texts: int) -> np.ndarray:
+    """The model's n-grams, in order, from how many texts have each."""
+    used = np.flatnonzero(share >= min(LEAST_TEXTS, texts))
+    return np.sort(used[np.argsort(-share[used], kind="stable")[:GRAMS]])
+
+
+def _matrix(found: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """n-gram shares of each text, for the model's n-grams, and which those are."""
+    used = widest(np.bincount(np.concatenate([k for k, *_ in found]), minlength=2**BITS), len(found))
     out = np.zeros((len(found), len(used)), np.float32)
-    for i, (k, n) in enumerate(found):
-        at = np.searchsorted(used, k)
-        at[at == len(used)] = 0
-        hit = used[at] == k if len(used) else np.zeros(len(k), bool)
-        out[i, at[hit]] = n[hit] / n.sum()
+    for i, (k, n, total) in enumerate(found):
+        hit = np.isin(k, used, assume_unique=True)
+        out[i, np.searchsorted(used, k[hit])] = n[hit] / max(total, 1)
     return out, used
 
 
-def fit(rows: list[tuple[tuple[np.ndarray, np.ndarray], str]], rounds: int = 150, reg: float = 1e-6) -> Model | None:
+def fit(rows: list[tuple[tuple[np.ndarray, np.ndarray, int], str]], rounds: int = 150, reg: float = 1e-6) -> Model | None:
     """rows: (profile of a text, language), few by contract. Every fifth row is set aside for the bits' weights."""
     rows = [(t, g) for t, g in rows if t is not None and g is not None]
     languages = sorted({g for _, g in rows})
@@ -177,20 +179,50 @@ def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = counts.count()
     if not found:
         return None
-    most = max(3, min(per_language, SAMPLE_ROWS // found))
+    most = max(1, min(per_language, SAMPLE_ROWS // found))
     near = rows.join(few(counts), "lang").filter(F.col("pick").cast("double") * F.col("n") <= 2.0 * (most + 20) * _TURN)
     place = F.row_number().over(Window.partitionBy("lang").orderBy("pick", "id", "text"))
     best = near.withColumn("place", place).filter(F.col("place") <= most).select("pick", "text", "lang")
 
     def count(batches):
         for batch in batches:
-            got = [profile(t) for t in batch.column("text").to_pylist()]
-            cells = [[None if p is None else p[j].astype(np.uint32).tobytes() for p in got] for j in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("pick"), batch.column("lang"), *(pa.array(c, pa.binary()) for c in cells)], ["pick", "lang", "keys", "n"])
+            got = [(p, g, profile(t)) for p, g, t in zip(*(batch.column(c).to_pylist() for c in ("pick", "lang", "text")))]
+            yield _profiles([(p, g, *x) for p, g, x in got if x is not None])
+
+    def tally(batches):
+        share = np.zeros(2**BITS, np.int64)
+        for batch in batches:
+            for keys in batch.column("keys").to_pylist():
+                share[np.frombuffer(keys, np.uint32)] += 1
+        at = np.flatnonzero(share)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(share[at])], ["gram", "n"])
+
+    # what comes to the driver is the model's n-grams of a bounded number of texts
+    sample = materialize(best.mapInArrow(count, _PROFILE), "language-sample")
+    share = np.zeros(2**BITS, np.int64)
+    for r in sample.select("keys").mapInArrow(tally, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+        share[r["gram"]] = r["n"]
+    used = widest(share, sample.count())
+
+    def narrowed(batches):
+        for batch in batches:
+            rows = []
+            for p, g, keys, n, total in zip(*(batch.column(c).to_pylist() for c in ("pick", "lang", "keys", "n", "total"))):
+                k, n = np.frombuffer(keys, np.uint32), np.frombuffer(n, np.uint32)
+                hit = np.isin(k, used, assume_unique=True)
+                rows.append((p, g, k[hit], n[hit], total))
+            yield _profiles(rows)
+
+    got = sorted(sample.mapInArrow(narrowed, _PROFILE).collect(), key=lambda r: (r["pick"], r["lang"], r["keys"]))
+    return fit([((np.frombuffer(r["keys"], np.uint32), np.frombuffer(r["n"], np.uint32), r["total"]), r["lang"]) for r in got])
+
+
+_PROFILE = "pick long, lang string, keys binary, n binary, total long"
+
 
-    got = best.mapInArrow(count, "pick long, lang string, keys binary, n binary").collect()
-    got = sorted((r for r in got if r["keys"] is not None), key=lambda r: (r["pick"], r["lang"], r["keys"]))
-    return fit([((np.frombuffer(r["keys"], np.uint32), np.frombuffer(r["n"], np.uint32)), r["lang"]) for r in got])
+def _profiles(rows: list[tuple]) -> pa.RecordBatch:
+    cells = lambda j: pa.array([r[j].astype(np.uint32).tobytes() for r in rows], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), cells(2), cells(3), pa.array([r[4] for r in rows], pa.int64())], ["pick", "lang", "keys", "n", "total"])
 
 
 def predict(model: Model | None, texts: list, ambiguous: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
