@@ -45,6 +45,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_blocks(df: DataFrame, label: str, blocks: int) -> DataFrame:
+    """Written in one bucket for each hash of b, so that `by_block` need not move the blocks again, only what comes to them."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
+    df.write.option("compression", "zstd").option("path", shared_dir(spark, label)).bucketBy(partitions(blocks), "b").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name alone: the files are outside of the catalog's folder
+    return out
+
+
 def forget(table: DataFrame) -> None:
     """Delete a materialised table that nothing reads any more."""
     files = table.inputFiles()
@@ -225,14 +235,15 @@ def columns_of(schema: str, columns: dict) -> pa.Table:
     return pa.table({n: c if isinstance(c := columns[n], (pa.Array, pa.ChunkedArray)) else pa.array(c, _KINDS[k]) for n, k in names})
 
 
-def tell(packed: DataFrame, answers: DataFrame, fn, schema: str, blocks: int, read=load) -> DataFrame:
-    """fn(b, what `read` makes of the block, {shard: bytes}) for each block gives the columns of `schema`."""
+def tell(packed: DataFrame, answers: DataFrame, fn, schema: str, blocks: int, read=load, placed: bool = False) -> DataFrame:
+    """fn(b, what `read` makes of the block, {shard: bytes}) for each block gives the columns of `schema`. placed: the
+    blocks are in buckets."""
 
     def run(left, right):
         got = dict(zip(right["s"].to_pylist(), right["data"].to_pylist()))
         return columns_of(schema, fn(left["b"][0].as_py(), read(left["data"][0].as_py()), got))
 
-    return by_block(packed, answers, run, schema, blocks)
+    return by_block(packed, answers, run, schema, blocks, placed)
 
 
 def keyed(packed: DataFrame, fn, schema: str) -> DataFrame:
@@ -256,7 +267,7 @@ def deliver(packed: DataFrame, rows: DataFrame, fn, schema: str, blocks: int) ->
     return by_block(packed, rows, lambda left, right: columns_of(schema, fn(load(left["data"][0].as_py()), right)), schema, blocks)
 
 
-def by_block(packed: DataFrame, rows: DataFrame, fn, schema: str, blocks: int) -> DataFrame:
+def by_block(packed: DataFrame, rows: DataFrame, fn, schema: str, blocks: int, placed: bool = False) -> DataFrame:
     def run(left, right):
         if not left.num_rows:
             raise ValueError("rows for a block that does not exist")
@@ -265,8 +276,8 @@ def by_block(packed: DataFrame, rows: DataFrame, fn, schema: str, blocks: int) -
         finally:
             release()
 
-    a, b = (x.repartition(partitions(blocks), "b").groupBy("b") for x in (packed, rows))
-    return a.cogroup(b).applyInArrow(run, schema)
+    dealt = lambda x: x.repartition(partitions(blocks), "b")
+    return (packed if placed else dealt(packed)).groupBy("b").cogroup(dealt(rows).groupBy("b")).applyInArrow(run, schema)
 
 
 def few(df: DataFrame, rows: int = 300_000) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import answer, ask, dump, dump_arrays, forget, least_of, load, load_arrays, lower_ascii, materialize, narrow, pack, reclaim, release, shards_for, tell, to_bytes
+from .common import answer, ask, dump, dump_arrays, forget, least_of, load, load_arrays, lower_ascii, materialize_blocks, narrow, pack, reclaim, release, shards_for, tell, to_bytes
 from .wordhash import Words, mix
 
 #: Pseudo-counts of the order below in each context, for pairs and for triples.
@@ -427,7 +427,7 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def encode(b, table, got):
         return {"b": [b], "data": [Block(table).coded(got, word_ids, shards)]}
 
-    coded = materialize(tell(packed, words.filter("b <> -1"), encode, "b long, data binary", blocks), "ngram-coded")
+    coded = materialize_blocks(tell(packed, words.filter("b <> -1"), encode, "b long, data binary", blocks), "ngram-coded", blocks)
     forget(packed)
     forget(words)
     reclaim(coded.sparkSession)
@@ -464,7 +464,7 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         low[triples.of] = log_p[triples.at]
         return triples.requests(b, low, total, shards)
 
-    asked = tell(coded, below, ask_triples, "s int, b long, data binary", blocks, Coded)
+    asked = tell(coded, below, ask_triples, "s int, b long, data binary", blocks, Coded, placed=True)
     triples = answer(asked, lambda blobs: query(blobs, priors[1], False), shards, "ngram-triples")
     every = below.unionByName(triples.filter("b <> -1").withColumn("s", F.col("s") + 2 * LEVEL))
 
@@ -482,4 +482,4 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return {"id": x.ids, "held_out": x.held, "n_tokens": x.n_tokens, "n_known": sums((x.count[x.token] > 0).astype(np.int64)), "train_tokens": np.full(len(x.held), total), "base_score": sums(base[x.token]), "score": sums(np.minimum(log_p, 0.0))}
 
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return tell(coded, every, finish, schema, blocks, Coded).withColumnRenamed("id", id_col)
+    return tell(coded, every, finish, schema, blocks, Coded, placed=True).withColumnRenamed("id", id_col)
