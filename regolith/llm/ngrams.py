@@ -247,13 +247,13 @@ class Block:
     def dealt(self, shards: int) -> dict[int, np.ndarray]:
         return deal((self.keys % np.uint64(shards)).astype(np.int64), shards)
 
-    def coded(self, got: dict[int, bytes], offsets: np.ndarray, shards: int) -> bytes:
+    def coded(self, got: dict[int, bytes], offsets: np.ndarray, shards: int, least: int = LEAST) -> bytes:
         """The block as numbered words with their counts and ids, which the higher orders need and the text does not."""
         count, ids = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), np.int64)
         for s, pick in self.dealt(shards).items():
             a = load_arrays(got[s])
             count[pick] = a["n"]
-            ids[pick[a["n"] >= LEAST]] = offsets[s] + a["rank"] + 1
+            ids[pick[a["n"] >= least]] = offsets[s] + a["rank"] + 1
         table = dump(pa.table({"id": self.ids, "held": pa.array(self.held), "n": pa.array(self.n_tokens)}))
         arrays = dump_arrays(token=narrow(self.token), token0=least_of(self.token), count=narrow(count), count0=least_of(count), id=ids.astype(np.uint32 if ids.max() < 2**32 else np.int64), end=np.array([self.end]))
         return len(table).to_bytes(8, "little") + table + arrays
@@ -398,8 +398,11 @@ def _offsets(answers: DataFrame, name: str, shards: int) -> tuple[np.ndarray, np
     return every.sum(axis=0), np.concatenate([[0], np.cumsum(every[:, -1])]).astype(np.int64)
 
 
-def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", priors: tuple[float, float] = PRIORS) -> DataFrame:
-    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", priors: tuple[float, float] = PRIORS, least: int = LEAST) -> DataFrame:
+    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    least: training occurrences from which n-grams are in the trie; 1 holds all.
+    """
     kind = documents.schema[id_col].dataType.simpleString()
     packed = pack(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ["id", "text"], "ngram-blocks")
     shards = blocks = shards_for(packed)
@@ -413,19 +416,19 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         got = [load_arrays(x) for x in blobs]
         keys, which = np.unique(np.concatenate([x["h"] for x in got]), return_inverse=True)
         n = np.bincount(which, np.concatenate([x["n"].astype(np.int64) + x["n0"] for x in got])).astype(np.int64)
-        rank = np.cumsum(n >= LEAST) - 1
+        rank = np.cumsum(n >= least) - 1
         out = []
         for part in np.split(which, np.cumsum([len(x["h"]) for x in got])[:-1]):
-            known = part[n[part] >= LEAST]
+            known = part[n[part] >= least]
             out.append(dump_arrays(n=n[part].astype(np.uint32 if n.max() < 2**32 else np.int64), rank=rank[known].astype(np.uint32)))
-        return [*out, dump_arrays(stats=np.array([(n > 0).sum(), n.sum(), (n == 1).sum(), (n >= LEAST).sum()], np.int64))]
+        return [*out, dump_arrays(stats=np.array([(n > 0).sum(), n.sum(), (n == 1).sum(), (n >= least).sum()], np.int64))]
 
     words = answer(ask(packed, ask_words, shards), count_words, shards, "ngram-words")
     (types, total, once, _), word_ids = _offsets(words, "stats", shards)
     types, total, once = int(types), int(total), int(once)
 
     def encode(b, table, got):
-        return {"b": [b], "data": [Block(table).coded(got, word_ids, shards)]}
+        return {"b": [b], "data": [Block(table).coded(got, word_ids, shards, least)]}
 
     coded = materialize_blocks(tell(packed, words.filter("b <> -1"), encode, "b long, data binary", blocks), "ngram-coded", blocks)
     forget(packed)
@@ -452,7 +455,7 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         release()
 
     asked = coded.mapInArrow(ask_pairs, "s int, b long, data binary")
-    pairs = answer(asked, lambda blobs: query(blobs, priors[0], True), shards, "ngram-pairs")
+    pairs = answer(asked, lambda blobs: query(blobs, priors[0], True, least), shards, "ngram-pairs")
     _, pair_ids = _offsets(pairs, "held", shards)
     below = pairs.filter("b <> -1").withColumn("s", F.col("s") + LEVEL)
 
@@ -465,7 +468,7 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return triples.requests(b, low, total, shards)
 
     asked = tell(coded, below, ask_triples, "s int, b long, data binary", blocks, Coded, placed=True)
-    triples = answer(asked, lambda blobs: query(blobs, priors[1], False), shards, "ngram-triples")
+    triples = answer(asked, lambda blobs: query(blobs, priors[1], False, least), shards, "ngram-triples")
     every = below.unionByName(triples.filter("b <> -1").withColumn("s", F.col("s") + 2 * LEVEL))
 
     def finish(b, x, got):

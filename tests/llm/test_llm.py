@@ -61,7 +61,7 @@ def test_query_matches_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns) and show(got) == show(want)
 
 
-def plain_scores(rows):
+def plain_scores(rows, least=1):
     """The model by plain counts: (id, tokens) -> (held out, known, base, score)."""
     grams = [Counter(), Counter(), Counter()]
     seqs = [(d, [*words(lower(t)), None]) for d, t, *_ in rows]
@@ -76,7 +76,7 @@ def plain_scores(rows):
     total, types, once = sum(count.values()), len(count), sum(n == 1 for n in count.values())
     rest = min(0.5, max(once, 1) / (total + 1))
     p1 = lambda w: (1 - rest) * count[w] / total if count[w] else rest
-    two, three = grams[1:]
+    two, three = ({g: n for g, n in c.items() if n >= least} for c in grams[1:])
     p2 = lambda v, w: (two.get((v, w), 0) + ngrams.PRIORS[0] * p1(w)) / (count[v] + ngrams.PRIORS[0])
 
     def p3(u, v, w):
@@ -103,6 +103,9 @@ def test_ngrams(spark, docs, none):
             held, known, total, base, full = want[r["doc_id"], r["n_tokens"]]
             assert (r["held_out"], r["n_known"], r["train_tokens"]) == (held, known, total)
             assert abs(r["base_score"] - base) < 1e-6 * abs(base) and abs(r["score"] - full) < 0.05 * r["n_tokens"] + 1e-6
+    want = plain_scores(some, 2)
+    for r in ngrams.score(df, least=2).collect():
+        assert abs(r["score"] - want[r["doc_id"], r["n_tokens"]][-1]) < 0.05 * r["n_tokens"] + 1e-6
     assert ngrams.score(none).count() == 0
 
 
