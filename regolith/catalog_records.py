@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regolith.functions import embedding, identifiers, metaphone, similarity, text, values
-from regolith.operators import activity, audit, entity, graph, linkage, matching, paging, readmodel, records, reports, review, search, sketches, vector_index, vectors, views
+from regolith.operators import activity, audit, entity, graph, matching, paging, readmodel, records, reports, review, search, sketches, vector_index, vectors, views
 from regolith.operators.order import numbered
 from regolith.plans import questions
 from regolith.sources import generator, sinks
