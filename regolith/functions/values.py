@@ -58,7 +58,8 @@ def display(value: Column, kind: str) -> Column:
     if kind in ("int", "bigint", "smallint", "tinyint"):
         shown = F.format_number(value, 0)
     elif kind in ("double", "float") or kind.startswith("decimal"):
-        shown = F.when(value == F.floor(value), F.format_number(value, 0)).otherwise(F.replace(F.format_number(value, 3), F.lit(","), F.lit("")))
+        # a negative zero is shown as zero
+        shown = F.when(value == 0, "0").when(value == F.floor(value), F.format_number(value, 0)).otherwise(F.replace(F.format_number(value, 3), F.lit(","), F.lit("")))
     elif kind.startswith(("struct", "array", "map")):
         shown = F.to_json(value)
     else:

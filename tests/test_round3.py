@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from regolith import catalog_records
-from regolith.functions import identifiers
+from regolith.functions import identifiers, values
 from regolith.sources.registry import Registry
 
 #: Two names with one pseudonym.
@@ -19,3 +19,8 @@ def test_names_of_one_pseudonym_are_restored_apart(spark):
     assert len(covered) == 1
     assert restored(2, 4) == {2: ALIKE[0], 4: ALIKE[1]}
     assert restored(2, 3) == {2: ALIKE[0], 3: covered[0][0]}
+
+
+def test_negative_zero_is_shown_as_zero(spark):
+    df = spark.sql("SELECT * FROM VALUES (-0.0D), (0D), (-0.5D), (-1234D), (NULL) AS t(v)")
+    assert [r[0] for r in df.select(values.display(F.col("v"), "double")).collect()] == ["0", "0", "-0.500", "-1,234", "N/A"]
