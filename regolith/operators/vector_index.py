@@ -56,8 +56,8 @@ def _listed(df: DataFrame, centroids: np.ndarray, n: int) -> DataFrame:
 
     def run(frames):
         for f in frames:
-            for at in range(0, len(f), 1024):
-                part = f.iloc[at : at + 1024]
+            for at in range(0, len(f), vectors.TILE):
+                part = f.iloc[at : at + vectors.TILE]
                 near = vectors._unit(part["v"]) @ shared.value.T
                 order = np.argsort(-near, axis=1, kind="stable")[:, :n].astype(np.int32)
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "v": list(part["v"]), "lists": list(order)})
@@ -86,7 +86,7 @@ def build(base: DataFrame, lists: int | None = None, block: int = vectors.BLOCK,
 def measured(index: Index, base: DataFrame, queries: DataFrame, k: int = 10, recall: float = RECALL) -> Index:
     """The index with the least number of lists to read that finds `recall` of the exact neighbours of some queries."""
     some = cut(_kept(queries).orderBy(F.xxhash64("id"), "id").limit(MEASURED))
-    true = vectors.nearest(some, base, k).select("query_id", "id").join(index.places, "id")
+    true = vectors.nearest(some, base, k).select("query_id", "id").join(index.places.hint("merge"), "id")
     order = _listed(some, index.centroids, len(index.centroids)).select(F.col("id").alias("query_id"), F.col("lists").alias("order"))
     at = np.sort([r[0] for r in true.join(order, "query_id").select(F.array_position("order", F.col("list"))).collect()])
     need = int(at[min(len(at) - 1, int(np.ceil(recall * len(at))) - 1)]) if len(at) else len(index.centroids)
@@ -102,14 +102,14 @@ def search(index: Index, queries: DataFrame, k: int = 10, probes: int | None = N
     many = max(1, -(-queries.count() // block))
     asked = _listed(queries, index.centroids, n).select("id", "v", F.explode("lists").alias("list"))
     asked = asked.groupBy("list", F.pmod(F.xxhash64("id"), F.lit(many)).alias("q")).agg(F.collect_list(F.struct("id", "v")).alias("x"))
-    met = asked.select("list", F.col("x.id").alias("q_ids"), F.col("x.v").alias("q_rows")).join(index.blocks, "list").select("q_ids", "q_rows", "ids", "rows")
-    found = met.mapInPandas(vectors._block_top(k), "query_id long, id long, similarity double")
+    met = asked.select("list", F.col("x.id").alias("q_ids"), F.col("x.v").alias("q_rows")).join(index.blocks.hint("merge"), "list").select("q_ids", "q_rows", "ids", "rows")
+    found = met.mapInArrow(vectors._block_top(k), "query_id long, id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def recall_of(found: DataFrame, true: DataFrame) -> DataFrame:
     """One row: queries and neighbours of the exact search, how many of these were found, and their share."""
-    hit = found.select("query_id", "id", F.lit(1).alias("hit"))
+    hit = found.select("query_id", "id", F.lit(1).alias("hit")).hint("merge")
     both = true.select("query_id", "id").join(hit, ["query_id", "id"], "left")
     return both.agg(F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("neighbours"), F.count("hit").alias("found")).withColumn("recall", F.col("found") / F.col("neighbours"))
