@@ -48,6 +48,10 @@ def _together(partials: DataFrame) -> DataFrame:
     return partials.groupBy(*PART).agg(*[F.min(c).alias(c) for c in MINIMA], F.max("confidence_score").alias("confidence_score"), F.sum("record_count").alias("record_count"))
 
 
+def _days(events: DataFrame) -> DataFrame:
+    return events.filter("ubid is not null and event_date is not null").select("ubid", F.lower("event_type").alias("event_type"), F.to_date("event_date").alias("event_date")).groupBy(*DAY).agg(F.count(F.lit(1)).alias("n"))
+
+
 def refresh(store: Store, changes: DataFrame | None = None, events: DataFrame | None = None, identities: DataFrame | None = None, token: tuple[str, int] | None = None, buckets: int = 32) -> dict[str, list[int]]:
     """Bring the model up to date with one batch of changes; returns the buckets that were written, by table.
 
@@ -69,7 +73,7 @@ def refresh(store: Store, changes: DataFrame | None = None, events: DataFrame |
     if changes is not None:
         _records(change, changes, put, buckets)
     if events is not None:
-        fresh = cut(events.filter("ubid is not null and event_date is not null").select("ubid", F.lower("event_type").alias("event_type"), F.to_date("event_date").alias("event_date")).groupBy(*DAY).agg(F.count(F.lit(1)).alias("n")))
+        fresh = cut(_days(events))
         change.create("days", fresh.schema, "ubid", buckets)
         where = change.touched("days", fresh)
         put("days", change.read("days", where).unionByName(fresh).groupBy(*DAY).agg(F.sum("n").alias("n")), where)
@@ -84,6 +88,8 @@ def refresh(store: Store, changes: DataFrame | None = None, events: DataFrame |
 
 
 def _records(change, changes: DataFrame, put, buckets: int) -> None:
+    if change.has("partials") and not change.has("facts"):
+        raise ValueError("a model without facts cannot follow changes of records")
     rows = cut(newest(changes.select("raw_id", "version", "ubid", *FIELDS), "raw_id"))
     change.create("places", rows.select("raw_id", "version", "ubid").schema, "raw_id", buckets)
     change.create("facts", rows.select("ubid", "raw_id", *FIELDS).schema, "ubid", buckets)
@@ -129,8 +135,18 @@ def registry(store: Store, taxonomy: DataFrame, reference_date: str) -> DataFram
     return views.registry_rows(ids, known, views.per_identity(store.read("partials", manifest=m)))
 
 
-def build(store: Store, r: Registry, buckets: int = 32) -> None:
-    """The model of all that the tables hold, as one change."""
+def build(store: Store, r: Registry, buckets: int = 32, follows: bool = True) -> None:
+    """The model of all that the tables hold, as one change. One that is not to follow changes of records, as it is thrown
+    away when they change, has their sums but neither places nor facts."""
+    if not follows:
+        rows = newest(records(r).withColumn("version", F.lit(1).cast("long")), "raw_id").drop("version")
+        tables = {"partials": _summed(rows), "days": _days(r.events()), "identities": newest(r.ubids().select(*IDENTITY, F.lit(1).cast("long").alias("version")), "ubid")}
+        change = store.begin()
+        for table, df in tables.items():
+            change.create(table, df.schema, "ubid", buckets)
+            change.replace(table, df, range(buckets))
+        change.commit()
+        return
     rows = records(r).withColumn("version", F.lit(1).cast("long"))
     refresh(store, rows, r.events().select("ubid", "event_type", "event_date"), r.ubids().select(*IDENTITY, F.lit(1).cast("long").alias("version")), buckets=buckets)
 
@@ -147,7 +163,7 @@ def stored(r: Registry) -> DataFrame:
     store = Store(r.spark, f"{shared_root(r.spark).rstrip('/')}/read-model-{fingerprint(r)}")
     if not store.versions():
         try:
-            build(store, r, max(4, min(4096, -(-r.table("orders").count() // 1_000_000))))
+            build(store, r, max(4, min(4096, -(-r.table("orders").count() // 1_000_000))), follows=False)
         except Conflict:  # another session was faster
             pass
     return registry(store, r.taxonomy(), views.REFERENCE_DATE)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,17 +80,18 @@ def audit_log(r: Registry) -> DataFrame:
     return review.audit(r.review_actions(), r.review_queue())
 
 
-def published(r: Registry) -> dict[str, DataFrame]:
-    """The read model under its published column names, which governed SQL is written against."""
-    c, u, w = F.col, ubid_registry(r), wide_records(r)
-    e, q = activity_events(r), r.review_queue()
-    return {
-        "ubid_registry": u.select("ubid", "business_name", c("pan").alias("pan_anchor"), c("gstin").alias("gstin_anchor"), "status", "sector", "pin_code", F.lit(None).cast("string").alias("district"), "confidence_score", c("record_count").alias("source_record_count"), c("source_count").alias("department_count"), c("created_on").alias("assigned_on"), c("updated_on").alias("last_updated")),
-        "source_records": w.select(c("raw_id").alias("id"), "ubid", "source_system", "source_record_id", F.coalesce("raw_name", "normalized_name", F.lit("Unknown Business")).alias("raw_name"), "raw_address", c("pincode").alias("pin_code"), "sector", "pan", "gstin", c("confidence").alias("link_confidence"), c("decision_type").alias("link_type"), "linked_at", "extracted_at"),
-        "activity_events": e.select(c("event_id").alias("id"), F.when(c("is_known"), c("ubid")).alias("ubid"), F.lit("events").alias("source_system"), "event_type", "event_date", c("outcome").alias("event_outcome"), "ingested_at"),
-        "audit_log": r.audits().select("id", "ubid", "action", "actor", "entity_type", "created_at"),
-        "review_queue": q.select("id", "record_a", "record_b", c("confidence").alias("confidence_score"), "priority", "status", "queued_at"),
+def published(r: Registry, names: Iterable[str] | None = None) -> dict[str, DataFrame]:
+    """The read model under its published column names, which governed SQL is written against: all views or those named.
+    Only the registry is read from (and needs) the stored model."""
+    c, e, q = F.col, activity_events(r), r.review_queue()
+    views = {
+        "ubid_registry": lambda: ubid_registry(r).select("ubid", "business_name", c("pan").alias("pan_anchor"), c("gstin").alias("gstin_anchor"), "status", "sector", "pin_code", F.lit(None).cast("string").alias("district"), "confidence_score", c("record_count").alias("source_record_count"), c("source_count").alias("department_count"), c("created_on").alias("assigned_on"), c("updated_on").alias("last_updated")),
+        "source_records": lambda: wide_records(r).select(c("raw_id").alias("id"), "ubid", "source_system", "source_record_id", F.coalesce("raw_name", "normalized_name", F.lit("Unknown Business")).alias("raw_name"), "raw_address", c("pincode").alias("pin_code"), "sector", "pan", "gstin", c("confidence").alias("link_confidence"), c("decision_type").alias("link_type"), "linked_at", "extracted_at"),
+        "activity_events": lambda: e.select(c("event_id").alias("id"), F.when(c("is_known"), c("ubid")).alias("ubid"), F.lit("events").alias("source_system"), "event_type", "event_date", c("outcome").alias("event_outcome"), "ingested_at"),
+        "audit_log": lambda: r.audits().select("id", "ubid", "action", "actor", "entity_type", "created_at"),
+        "review_queue": lambda: q.select("id", "record_a", "record_b", c("confidence").alias("confidence_score"), "priority", "status", "queued_at"),
     }
+    return {name: views[name]() for name in (views if names is None else names)}
 
 
 def create_views(r: Registry) -> dict[str, str]:
