@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from regolith import catalog_records
 from regolith.functions import identifiers, values
-from regolith.operators import graph, readmodel, vectors, views
+from regolith.operators import graph, readmodel, search, vectors, views
 from regolith.sources.buckets import Store
 from regolith.sources.registry import Registry
 
@@ -72,3 +72,20 @@ def test_growing_tables_are_not_sent_through_the_driver(spark):
     assert "Broadcast" not in plan(catalog_records.review_pairs(r))
     best = spark.range(50).selectExpr("id AS seq", "id", "(id + 1) % 50 AS best_id", "'auto_match' AS decision")
     assert "Broadcast" not in plan(graph.resolve(best, spark.createDataFrame([], "id long, entity string")))
+
+
+def test_trigrams_of_all_records_take_a_few_bytes_a_block(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("id AS raw_id", "concat('Customer ', id % 7) AS name")
+    seen = rows.sparkSession.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    store = Store(spark, f"file://{tmp_path}/s")
+    search.index(store, rows.mapInArrow(counted, rows.schema), "raw_id", ("name",), buckets=4)
+    assert seen.value == 20_000  # the records are computed once
+    postings = store.read("postings").filter("bits is not null")
+    assert postings.count() < 1000 and {r["n"] for r in store.read("grams").filter("gram = 'cus'").collect()} == {20_000}
+    assert search.find(store, "tomer 3", ("name",)).count() == rows.filter("raw_id % 7 = 3").count()
