@@ -5,9 +5,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from regolith import catalog_records
+from regolith import catalog, catalog_records
 from regolith.functions import identifiers, values
-from regolith.operators import graph, readmodel, search, vectors, views
+from regolith.operators import graph, linkage, readmodel, search, vectors, views
 from regolith.sources.buckets import Store
 from regolith.sources.registry import Registry
 
@@ -89,3 +89,15 @@ def test_trigrams_of_all_records_take_a_few_bytes_a_block(spark, tmp_path):
     postings = store.read("postings").filter("bits is not null")
     assert postings.count() < 1000 and {r["n"] for r in store.read("grams").filter("gram = 'cus'").collect()} == {20_000}
     assert search.find(store, "tomer 3", ("name",)).count() == rows.filter("raw_id % 7 = 3").count()
+
+
+def test_words_are_taken_from_records_and_not_from_pairs(spark):
+    df = catalog.scores(Registry(spark, SF))
+    last = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in last and last.count("sqrt") == 0
+    rows = catalog.part_records(Registry(spark, SF)).limit(40)
+    plain = rows.select(*[F.col(c).alias(f"{c}_a") for c in rows.columns]).crossJoin(rows.select(*[F.col(c).alias(f"{c}_b") for c in rows.columns]))
+    once = linkage.prepared(rows)
+    ready = once.select(*[F.col(c).alias(f"{c}_a") for c in once.columns]).crossJoin(once.select(*[F.col(c).alias(f"{c}_b") for c in once.columns]))
+    got, true = (linkage.score_pairs(x).select("id_a", "id_b", "score", "reason", "evidence") for x in (ready, plain))
+    assert got.exceptAll(true).isEmpty() and true.exceptAll(got).isEmpty()
