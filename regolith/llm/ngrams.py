@@ -304,7 +304,7 @@ class Asked:
         """By context, one with more than a shard's part of the tokens on by word; in order of ids."""
         parts = 1 + self.cv * shards // max(total, 1)
         s = ((mix(self.v.astype(np.uint64)) % np.uint64(shards)).astype(np.int64) + (mix(self.w.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)) % shards
-        order = by_ids(self.v, self.w)
+        order = by_ids(self.v, self.w, runs=False)
         return {i: order[pick] for i, pick in deal(s[order], shards).items()}
 
     def requests(self, b: int, log_below: np.ndarray, total: int, shards: int) -> dict[str, list]:
@@ -315,10 +315,13 @@ class Asked:
             head = np.flatnonzero(np.diff(v, prepend=-1))
             size = np.diff(np.append(head, len(v)))
             q = np.clip(np.rint(-log_below[pick] * 16), 0, 255).astype(np.uint8)
-            steps = np.diff(v[head], prepend=0)
+            later = np.ones(len(v), bool)
+            later[head] = False
+            w = self.w[pick]
+            step = np.diff(w, prepend=0)[later]
             rows["s"].append(s)
             rows["b"].append(b)
-            rows["data"].append(dump_arrays(v=narrow(steps), v0=least_of(steps), c=narrow(self.cv[pick][head]), c0=least_of(self.cv[pick][head]), size=narrow(size), size0=least_of(size), w=self.w[pick].astype(np.uint32 if self.w.max(initial=0) < 2**32 else np.int64), n=narrow(self.n[pick]), n0=least_of(self.n[pick]), q=q))
+            rows["data"].append(dump_arrays(v=v[head], d=narrow(step), d0=least_of(step), c=narrow(self.cv[pick][head]), c0=least_of(self.cv[pick][head]), size=narrow(size), size0=least_of(size), w=w[head].astype(np.uint32 if self.w.max(initial=0) < 2**32 else np.int64), n=narrow(self.n[pick]), n0=least_of(self.n[pick]), q=q))
         return rows
 
     def answers(self, got: dict[int, bytes], order: int, offsets: np.ndarray, total: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -340,8 +343,8 @@ def query(blobs: list[bytes], prior: float, with_ids: bool, least: int = LEAST)
     name; then how many it holds."""
     got = [load_arrays(x) for x in blobs]
     sizes = [x["size"].astype(np.int64) + x["size0"] for x in got]
-    v = np.concatenate([np.repeat(np.cumsum(x["v"].astype(np.int64) + x["v0"]), n) for x, n in zip(got, sizes)])
-    w = np.concatenate([x["w"] for x in got]).astype(np.int64)
+    v = np.concatenate([np.repeat(x["v"], n) for x, n in zip(got, sizes)])
+    w = np.concatenate([successors(x, n) for x, n in zip(got, sizes)])
     order = by_ids(v, w)
     first = np.ones(len(v), bool)
     first[1:] = (v[order][1:] != v[order][:-1]) | (w[order][1:] != w[order][:-1])
@@ -361,7 +364,7 @@ def query(blobs: list[bytes], prior: float, with_ids: bool, least: int = LEAST)
     which = np.empty(len(v), np.int64)
     which[order] = np.cumsum(first) - 1
     scale, out = np.array([trie.low, trie.step]), []
-    for part in np.split(which, np.cumsum([len(x["w"]) for x in got])[:-1]):
+    for part in np.split(which, np.cumsum([len(x["n"]) for x in got])[:-1]):
         own = place[part]
         own = own[own >= 0]
         ids = {"rank": own.astype(np.uint32), "n": narrow(n[own]), "n0": least_of(n[own])} if with_ids else {}
@@ -369,15 +372,27 @@ def query(blobs: list[bytes], prior: float, with_ids: bool, least: int = LEAST)
     return [*out, dump_arrays(held=np.array([len(n)], np.int64))]
 
 
-def by_ids(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Order by v, then w. Sorted runs, as requests come, are merged."""
+def successors(x: dict[str, np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """The words of a request: those of each context rise from its first one."""
+    head = np.cumsum(sizes) - sizes
+    w = np.zeros(int(sizes.sum()), np.int64)
+    later = np.ones(len(w), bool)
+    later[head] = False
+    w[later] = x["d"].astype(np.int64) + x["d0"]
+    own = np.cumsum(w)
+    return own + np.repeat(x["w"].astype(np.int64) - own[head], sizes)
+
+
+def by_ids(v: np.ndarray, w: np.ndarray, runs: bool = True) -> np.ndarray:
+    """Order by v, then w. runs: as requests come, which are merged; else each pair is there once, in no order."""
     if len(v) and int(v.max()) < 2**31 and int(w.max()) < 2**32:
-        return np.argsort((v << 32) | w, kind="stable")
+        return np.argsort((v << 32) | w, kind="stable" if runs else None)
     return np.lexsort((w, v))
 
 
 def deal(s: np.ndarray, shards: int) -> dict[int, np.ndarray]:
-    order = np.argsort(s, kind="stable")
+    # numbers of two bytes are sorted by their digits
+    order = np.argsort(s.astype(np.uint16) if shards <= 1 << 16 else s, kind="stable")
     cuts = np.searchsorted(s[order], np.arange(shards + 1))
     return {int(i): order[cuts[i] : cuts[i + 1]] for i in np.flatnonzero(np.diff(cuts))}
 

@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from regolith.llm import decontaminate, graph, html, langid, mixing, ngrams, quality, queries, simhash, substrings, tokens, urls
+from regolith.llm import common, decontaminate, graph, html, langid, mixing, ngrams, quality, queries, simhash, substrings, tokens, urls
 from regolith.llm.xxh import xxh64
 
 SF = "/root/testdata/sf0.001"
@@ -730,3 +730,15 @@ def test_pipeline_stages_by_brute_force(spark):
     assert same(docs, mixed)
     # tokens: one row for each
     assert sorted(map(repr, (r["doc_id"] for r in p.write_tokens(spark, docs, SF).collect()))) == sorted(repr(r[0]) for r in mixed)
+
+
+def test_requests_and_answers_take_few_bytes():
+    """Numbers in order cost their steps, and high bytes that are alike cost nothing."""
+    rng = np.random.default_rng(3)
+    rising = np.sort(rng.integers(0, 1 << 31, 200_000))
+    few = rng.integers(0, 200, 200_000) + np.where(np.arange(200_000) == 7, 1 << 30, 0)
+    arrays = {"rising": rising, "few": few, "none": few[:0], "one": few[:1], "big": np.sort(rng.integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2)), "short": rising[:9].astype(np.uint32), "below": np.array([-5, -5, 3]), "f": rng.random(700), "b": few > 50}
+    blob = common.dump_arrays(**arrays)
+    back = common.load_arrays(blob)
+    assert all(back[n].dtype == a.dtype and (back[n] == a).all() for n, a in arrays.items())
+    assert len(common.dump_arrays(rising=rising)) < 2.1 * len(rising) and len(common.dump_arrays(few=few)) < 1.1 * len(few)
