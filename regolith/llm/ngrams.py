@@ -44,13 +44,20 @@ LEAST = 1
 END = np.uint64(1)
 
 
+#: Fields of 1, 2 and 4 low ones in every 2, 4 and 8 bits; a one in every byte, and its top bit.
+_EACH = {2: np.uint64(0x5555555555555555), 4: np.uint64(0x3333333333333333), 8: np.uint64(0x0F0F0F0F0F0F0F0F)}
+_BYTES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+#: By rank and byte: the place of the one of that rank.
+_IN_BYTE = np.array([([i for i in range(8) if byte >> i & 1] + [0] * 8)[rank] for rank in range(8) for byte in range(256)], np.int64)
+
+
 class EliasFano:
     """A monotone sequence: low bits packed, high bits in unary, and how many zeros come before each run of RUN bits.
 
     Single values are got and sought where they lie; nothing is decoded as a whole.
     """
 
-    RUN = 512
+    RUN = 64
 
     def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
         self.n, self.bits, self.low, self.high, self.zeros = n, bits, low, high, zeros
@@ -74,29 +81,16 @@ class EliasFano:
         """Places in the unary line of the ones (or zeros) of these ranks."""
         before = self.RUN * np.arange(len(self.zeros)) - self.zeros if ones else self.zeros
         run = np.searchsorted(before, rank, "right") - 1
-        rest = (rank - before[run]).astype(np.int64)
-        at = run * (self.RUN // 64)
-        word = np.zeros(len(rank), np.uint64)
-        open_ = np.arange(len(rank))
-        for _ in range(self.RUN // 64):
-            x = np.asarray(self.high[at[open_]])
-            x = x if ones else ~x
-            count = np.bitwise_count(x).astype(np.int64)
-            here = rest[open_] < count
-            word[open_[here]] = x[here]
-            open_, count = open_[~here], count[~here]
-            if not len(open_):
-                break
-            rest[open_] -= count
-            at[open_] += 1
-        place = at * 64
-        for width in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.int64)
-            up = rest >= count
-            rest -= np.where(up, count, 0)
-            word = np.where(up, word >> np.uint64(width), word)
-            place += np.where(up, width, 0)
-        return place
+        word = self.high[run]
+        word = word if ones else ~word
+        rest = (rank - before[run]).astype(np.uint64)
+        # in each byte of `upto` the ones up to its end; bytes that end before the place are those with no more than `rest`
+        upto = word - (word >> np.uint64(1) & _EACH[2])
+        upto = (upto & _EACH[4]) + (upto >> np.uint64(2) & _EACH[4])
+        upto = (upto + (upto >> np.uint64(4)) & _EACH[8]) * _BYTES
+        shift = np.bitwise_count((rest * _BYTES | _TOPS) - upto & _TOPS).astype(np.uint64) << np.uint64(3)
+        rest -= upto << np.uint64(8) >> shift & np.uint64(255)
+        return (run << 6) + shift.astype(np.int64) + _IN_BYTE[(rest << np.uint64(8) | word >> shift & np.uint64(255)).astype(np.intp)]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -117,9 +111,10 @@ class EliasFano:
         return self.get(np.arange(a, max(a, min(b, self.n))))
 
     def find(self, values: np.ndarray) -> np.ndarray:
-        """Places of these values, -1 for those that are not in the sequence.
+        """Places of these values, -1 for those that are not in the sequence, which rises everywhere.
 
-        The values of one high part lie together: the zero before them is selected, and they are gone through.
+        The values of one high part lie together between two zeros, which are selected once for values that come in a row;
+        among them low parts are halved, since a context with many successors has thousands under one high part.
         """
         values = np.asarray(values, np.uint64)
         out = np.full(len(values), -1, np.int64)
@@ -129,17 +124,24 @@ class EliasFano:
         last = int(self.get(np.array([self.n - 1]))[0] >> np.uint64(self.bits))
         open_ = np.flatnonzero(top <= last)
         top, low = top[open_], values[open_] & np.uint64((1 << self.bits) - 1)
-        place = np.zeros(len(open_), np.int64)
-        later = top > 0
-        place[later] = self._select(top[later] - 1, False) + 1
-        i = place - top
+        new = np.diff(top, prepend=-1) != 0
+        own, of = top[new], np.cumsum(new) - 1
+        end = self._select(own, False) - own
+        start = np.zeros(len(own), np.int64)
+        # the zero before a high part is the one behind the high part before, if that was sought too
+        after = np.append(False, own[1:] == own[:-1] + 1)
+        start[after] = end[np.flatnonzero(after) - 1]
+        rest = np.flatnonzero(~after & (own > 0))
+        start[rest] = self._select(own[rest] - 1, False) + 1 - own[rest]
+        start, end = start[of], end[of]
         while len(open_):
-            one = (self.high[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) > 0
-            open_, place, i, low = open_[one], place[one], i[one], low[one]
-            own = self._low(i)
-            hit, on = own == low, own < low
-            out[open_[hit]] = i[hit]
-            open_, place, i, low = open_[on], place[on] + 1, i[on] + 1, low[on]
+            some = start < end
+            open_, low, start, end = open_[some], low[some], start[some], end[some]
+            middle = start + end >> 1
+            found = self._low(middle)
+            hit, less = found == low, found < low
+            out[open_[hit]] = middle[hit]
+            start, end = np.where(less, middle + 1, start), np.where(less, end, np.where(hit, start, middle))
         return out
 
 
@@ -184,7 +186,7 @@ class Trie:
     @classmethod
     def open(cls, path: str) -> Trie:
         """Memory-mapped: pages are read as queries touch them."""
-        data = np.memmap(path, np.uint8, "r")
+        data = np.asarray(np.memmap(path, np.uint8, "r"))
         head = bytes(data[:1024]).decode().split("\n")
         low, step = map(float, head[0].split())
         at, levels = 1024, {}
@@ -201,7 +203,9 @@ class Trie:
         out = np.full(len(words), -1, np.int64)
         c, p, s = (self.levels[n] for n in self.LEVELS)
         for i in range(0, len(words), stride):
-            own, of = np.unique(contexts[i : i + stride], return_inverse=True)
+            some = contexts[i : i + stride]
+            new = np.append(True, some[1:] != some[:-1])
+            own, of = some[new], np.cumsum(new) - 1
             place = c.find(own)
             known = place >= 0
             start, end, base = (np.zeros(len(own), np.int64) for _ in range(3))
@@ -295,8 +299,9 @@ class Asked:
 
     def __init__(self, block: Coded, at: np.ndarray, context: np.ndarray, ids: np.ndarray, counts: np.ndarray):
         self.at = at
-        local, self.of = np.unique((context[at] << 32) | block.token[at], return_inverse=True)
-        self.context, self.word = local >> 32, local & 0xFFFFFFFF
+        words = len(block.id)
+        local, self.of = distinct(context[at] * words + block.token[at], len(ids) * words)
+        self.context, self.word = np.divmod(local, words)
         self.v, self.w, self.cv = ids[self.context], block.id[self.word], counts[self.context]
         self.n = np.bincount(self.of[block.train[at]], minlength=len(local))
 
@@ -383,8 +388,29 @@ def successors(x: dict[str, np.ndarray], sizes: np.ndarray) -> np.ndarray:
     return own + np.repeat(x["w"].astype(np.int64) - own[head], sizes)
 
 
+def distinct(keys: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys from 0 to below, each once and in order, and which of them each place has."""
+    order = ordered(keys, below)
+    if order is None:
+        return np.unique(keys, return_inverse=True)
+    new = np.append(True, np.diff(keys[order]) != 0)[: len(keys)]
+    of = np.empty(len(keys), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return keys[order[new]], of
+
+
+def ordered(keys: np.ndarray, below: int) -> np.ndarray | None:
+    """Stable order of keys from 0 to below that leave room for a place beside them, as plain numbers are sorted fastest."""
+    bits = len(keys).bit_length()
+    return np.sort(keys << bits | np.arange(len(keys))) & ((1 << bits) - 1) if below << bits < 2**63 else None
+
+
 def by_ids(v: np.ndarray, w: np.ndarray, runs: bool = True) -> np.ndarray:
     """Order by v, then w. runs: as requests come, which are merged; else each pair is there once, in no order."""
+    words = int(w.max(initial=0)) + 1
+    below = (int(v.max(initial=0)) + 1) * words
+    if below < 2**63 and (order := ordered(v.astype(np.int64) * words + w, below)) is not None:
+        return order
     if len(v) and int(v.max()) < 2**31 and int(w.max()) < 2**32:
         return np.argsort((v << 32) | w, kind="stable" if runs else None)
     return np.lexsort((w, v))

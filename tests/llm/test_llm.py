@@ -122,6 +122,32 @@ def test_elias_fano_and_trie(tmp_path):
     assert (found[::2] == np.arange(len(held))).all() and (found[1::2] == -1).all()
 
 
+def test_crowded_high_part_is_halved(monkeypatch):
+    """A context with many successors puts thousands under one high part; as few steps are made as halving takes."""
+    held = np.concatenate([2 * np.arange(5000), 10_000 + 1_000_000 * np.arange(1, 3000)]).astype(np.uint64)
+    e, low, steps = ngrams.EliasFano.build(held), ngrams.EliasFano._low, []
+    assert (held >> np.uint64(e.bits) == 0).sum() >= 5000
+    monkeypatch.setattr(ngrams.EliasFano, "_low", lambda self, i: (steps.append(len(i)), low(self, i))[1])
+    asked = np.concatenate([np.arange(10_000), 10_000 + 500_000 * np.arange(1, 6000)]).astype(np.uint64)
+    for order in (np.arange(len(asked)), np.random.default_rng(4).permutation(len(asked))):
+        steps.clear()
+        place = np.minimum(np.searchsorted(held, asked[order]), len(held) - 1)
+        assert (e.find(asked[order]) == np.where(held[place] == asked[order], place, -1)).all()
+        assert len(steps) < 20 and sum(steps) < 16 * len(asked)
+
+
+def test_distinct_keys_and_orders():
+    rng = np.random.default_rng(6)
+    for most in (1, 50, 2**31, 2**62):  # the last leaves no room for places
+        for n in (0, 1, 700):
+            keys = rng.integers(0, most, n)
+            own, of = ngrams.distinct(keys, most)
+            assert (own == np.unique(keys)).all() and (own[of] == keys).all()
+    for most in (9, 2**20, 2**31, 2**40):
+        v, w = rng.integers(0, most, 900), rng.integers(0, most, 900)
+        assert (ngrams.by_ids(v, w) == np.lexsort((w, v))).all() and len(ngrams.by_ids(v[:0], w[:0])) == 0
+
+
 def test_shard_answers_by_search(monkeypatch):
     """A shard is asked for pairs that training texts have and for others; what it answers is what the search finds."""
     rng = np.random.default_rng(2)
