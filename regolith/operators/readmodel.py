@@ -10,18 +10,19 @@ Stored, in hash buckets under one manifest (`sources.buckets`):
 
 A least value cannot be taken back, so an identity that loses or changes a record is summed up again from its facts, and
 one that only gains records is merged with the new ones' sums. What is read and written are the touched identities' buckets.
+What a table holds and what changes it are moved once, to where they are put together and written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regolith.operators import activity, views
 from regolith.operators.graph import cut, shared_root
-from regolith.sources.buckets import Conflict, Store, newest
+from regolith.sources.buckets import PLACE, Conflict, Store, newest
 from regolith.sources.registry import INDUSTRIAL, Registry
 
 FIELDS = ("source_system", "payload_name", "plain_name", "sector", "pin_code", "confidence")
@@ -39,13 +40,18 @@ def records(r: Registry) -> DataFrame:
     return links.join(raw, "raw_id").join(known, "raw_id", "left").select("raw_id", "ubid", *FIELDS)
 
 
+def _each(facts: DataFrame) -> DataFrame:
+    """Every record as the sums of itself alone."""
+    industrial = F.when(F.col("sector").isin(*INDUSTRIAL), F.col("sector"))
+    return facts.select(*PART, "payload_name", "plain_name", industrial.alias("industrial"), F.col("sector").alias("any_sector"), "pin_code", F.col("confidence").alias("confidence_score"), F.lit(1).cast("long").alias("record_count"))
+
+
 def _summed(facts: DataFrame) -> DataFrame:
-    values = facts.withColumns({"industrial": F.when(F.col("sector").isin(*INDUSTRIAL), F.col("sector")), "any_sector": F.col("sector"), "confidence_score": F.col("confidence"), "record_count": F.lit(1).cast("long")})
-    return _together(values)
+    return _together(_each(facts))
 
 
-def _together(partials: DataFrame) -> DataFrame:
-    return partials.groupBy(*PART).agg(*[F.min(c).alias(c) for c in MINIMA], F.max("confidence_score").alias("confidence_score"), F.sum("record_count").alias("record_count"))
+def _together(partials: DataFrame, *by: str, more: Iterable[Column] = ()) -> DataFrame:
+    return partials.groupBy(*by, *PART).agg(*[F.min(c).alias(c) for c in MINIMA], F.max("confidence_score").alias("confidence_score"), F.sum("record_count").alias("record_count"), *more)
 
 
 def _days(events: DataFrame) -> DataFrame:
@@ -76,7 +82,7 @@ def refresh(store: Store, changes: DataFrame | None = None, events: DataFrame |
         fresh = cut(_days(events))
         change.create("days", fresh.schema, "ubid", buckets)
         where = change.touched("days", fresh)
-        put("days", change.read("days", where).unionByName(fresh).groupBy(*DAY).agg(F.sum("n").alias("n")), where)
+        put("days", change.place("days", change.read("days", where).unionByName(fresh), *DAY).groupBy(*PLACE, *DAY).agg(F.sum("n").alias("n")), where)
     if identities is not None:
         rows = cut(newest(identities.select(*IDENTITY, "version"), "ubid"))
         change.create("identities", rows.schema, "ubid", buckets)
@@ -97,24 +103,39 @@ def _records(change, changes: DataFrame, put, buckets: int) -> None:
 
     where = change.touched("places", rows)
     held = change.read("places", where)
-    before = held.select("raw_id", F.col("version").alias("_version"), F.col("ubid").alias("_ubid"))
-    # only what is newer than what is held is a change
-    won = cut(rows.join(before, "raw_id", "left").filter("_version is null or version > _version"))
+    if change.holds("places", where):
+        before = held.select(F.col("raw_id").alias("_raw_id"), F.col("version").alias("_version"), F.col("ubid").alias("_ubid"))
+        # only what is newer than what is held is a change
+        won = cut(rows.join(before, F.col("raw_id").eqNullSafe(F.col("_raw_id")), "left").filter("_version is null or version > _version").drop("_raw_id"))
+    else:
+        won = rows.withColumn("_ubid", F.lit(None).cast(rows.schema["ubid"].dataType))
     if won.isEmpty():
         return
-    put("places", held.join(won, "raw_id", "left_anti").unionByName(won.select("raw_id", "version", "ubid")), where)
+    put("places", _last(change.place("places", held.withColumn("turn", F.lit(0)).unionByName(won.select("raw_id", "version", "ubid", F.lit(1).alias("turn"))), "raw_id"), "raw_id"), where)
 
     leaving = won.filter("_ubid is not null").select(F.col("_ubid").alias("ubid"), "raw_id")
     coming = won.filter("ubid is not null").select("ubid", "raw_id", *FIELDS)
     touched = cut(leaving.select("ubid", F.lit(True).alias("loses")).unionByName(coming.select("ubid", F.lit(False).alias("loses"))).groupBy("ubid").agg(F.bool_or("loses").alias("loses")))
     where = change.touched("facts", touched)
-    put("facts", change.read("facts", where).join(leaving, ["ubid", "raw_id"], "left_anti").unionByName(coming), where)
-
-    loses, gains = touched.filter("loses").select("ubid"), touched.filter("not loses").select("ubid")
-    old = change.read("partials", where)
-    again = _summed(change.read("facts", where).join(loses, "ubid", "left_semi"))
-    more = _together(old.join(gains, "ubid", "left_semi").unionByName(_summed(coming.join(gains, "ubid", "left_semi"))))
-    put("partials", old.join(touched, "ubid", "left_anti").unionByName(again).unionByName(more), where)
+    turns = change.read("facts", where).withColumn("turn", F.lit(0)).unionByName(leaving.withColumn("turn", F.lit(1)), allowMissingColumns=True).unionByName(coming.withColumn("turn", F.lit(2)))
+    put("facts", _last(change.place("facts", turns, "ubid", "raw_id"), "ubid", "raw_id").filter("turn <> 1"), where)
+
+    losing = touched.filter("loses")
+    parts = change.read("partials", where).unionByName(_each(coming)).withColumn("again", F.lit(False))
+    if not losing.isEmpty():
+        facts = change.read("facts", change.touched("facts", losing))
+        parts = parts.unionByName(_each(facts).withColumn("again", F.lit(True))).withColumn("loses", F.lit(False)).unionByName(losing.withColumns({"again": F.lit(False), "record_count": F.lit(0).cast("long")}), allowMissingColumns=True)
+    else:
+        parts = parts.withColumn("loses", F.lit(False))
+    summed = _together(change.place("partials", parts, "ubid"), *PLACE, "again", more=[F.bool_or("loses").alias("loses")])
+    loses = F.bool_or("loses").over(Window.partitionBy(*PLACE, "ubid"))
+    put("partials", summed.withColumn("loses", loses).filter("again = loses and record_count > 0"), where)
+
+
+def _last(placed: DataFrame, *keys: str) -> DataFrame:
+    """Of each key's rows the one of the greatest turn."""
+    w = Window.partitionBy(*PLACE, *keys).orderBy(F.desc("turn"))
+    return placed.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
 def statuses(store: Store, taxonomy: DataFrame, reference_date: str, manifest: dict | None = None) -> DataFrame:

@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: The columns that `Change.place` adds.
+PLACE = ("bucket", "part")
+
+
 class Conflict(RuntimeError):
     """Another writer has published the version that this one was about to."""
 
@@ -117,12 +121,24 @@ class Change:
         """The table as it will be: what this change has replaced so far is seen."""
         return self.store.read(table, buckets, self.next)
 
+    def holds(self, table: str, buckets: Iterable[int]) -> bool:
+        """Whether there is anything in these buckets."""
+        return any(str(b) in self.next["tables"][table]["folders"] for b in buckets)
+
+    def place(self, table: str, rows: DataFrame, *keys: str) -> DataFrame:
+        """`rows` moved to where they are written from, with columns `bucket` and `part`: rows of equal `keys` (the table's
+        among them) come together, so what groups by PLACE and keys, and then replaces buckets, moves nothing again. A large
+        bucket has several parts."""
+        parts = -(-2 * int(self.store.spark.conf.get("spark.sql.shuffle.partitions")) // self.next["tables"][table]["buckets"])
+        return rows.withColumns({"bucket": self.bucket(table), "part": F.pmod(F.hash(*keys), F.lit(parts))}).repartition(*PLACE)
+
     def replace(self, table: str, rows: DataFrame, buckets: Iterable[int]) -> None:
-        """`rows` are all that the buckets hold from now on. A large bucket is written by several tasks."""
+        """`rows` are all that the buckets hold from now on; those that have a bucket were placed. A large bucket is written by
+        several tasks."""
         known = self.next["tables"][table]
         names = StructType.fromJson(known["schema"]).fieldNames()
         folder = f"files/{table}-{uuid.uuid4().hex}"
-        placed = rows.select(*names, self.bucket(table).alias("bucket")).hint("rebalance", "bucket")
+        placed = rows.select(*names, "bucket") if "bucket" in rows.columns else rows.select(*names, self.bucket(table).alias("bucket")).hint("rebalance", "bucket")
         placed.write.partitionBy("bucket").parquet(f"{self.store.root}/{folder}")
         written = {n.removeprefix("bucket=") for n in self.store._listed(folder) if n.startswith("bucket=")}
         if not written <= {str(b) for b in buckets}:

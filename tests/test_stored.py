@@ -121,6 +121,39 @@ def test_least_values_after_losses(spark, store):
     assert per() == {10: ("Aa", 0.7, 3, 2)} and store.read("places").count() == 4
 
 
+def test_each_table_is_moved_once(spark, store, monkeypatch):
+    """Random changes leave what plain counting leaves, and a write has one shuffle, after which its rows lie as they are written."""
+    from collections import Counter
+    from random import Random
+
+    from regolith.sources.buckets import Change
+
+    moved, replace = [], Change.replace
+
+    def watched(self, table, rows, buckets):
+        moved.append((table, rows._jdf.queryExecution().executedPlan().toString().count("Exchange") + ("bucket" not in rows.columns)))
+        return replace(self, table, rows, buckets)
+
+    monkeypatch.setattr(Change, "replace", watched)
+    schema = "raw_id long, version long, ubid long, source_system string, payload_name string, plain_name string, sector string, pin_code string, confidence double"
+    rng, newest, days = Random(5), {}, Counter()
+    for n in range(4):
+        batch = [(k, rng.randrange(1, 9), rng.choice([None, 1, 2, 3, 4, 5]), rng.choice(["a", "b", None]), rng.choice(["N", "M", None]), "n", "S", "1", rng.random()) for k in rng.sample(range(40), 15)]
+        for x in batch:
+            if x[0] not in newest or x[1] > newest[x[0]][1]:
+                newest[x[0]] = x
+        seen = [(rng.randrange(4), "View", "2024-01-0%d" % rng.randrange(1, 4)) for _ in range(20)]
+        days.update((u, e.lower(), d) for u, e, d in seen)
+        readmodel.refresh(store, spark.createDataFrame(batch, schema), spark.createDataFrame(seen, "ubid long, event_type string, event_date string"), buckets=4)
+        linked = [x for x in newest.values() if x[2] is not None]
+        assert rows(store.read("places").select("raw_id", "version", "ubid")) == sorted(((x[0], x[1], x[2]) for x in newest.values()), key=repr)
+        assert rows(store.read("facts").select("ubid", "raw_id", "source_system", "confidence")) == sorted(((x[2], x[0], x[3], x[8]) for x in linked), key=repr)
+        whole = readmodel._summed(spark.createDataFrame(linked, schema))
+        assert rows(store.read("partials").select(*whole.columns)) == rows(whole)
+        assert {(r["ubid"], r["event_type"], str(r["event_date"])): r["n"] for r in store.read("days").collect()} == days
+    assert {t for t, _ in moved} == {"places", "facts", "partials", "days"} and {n for _, n in moved} == {1}
+
+
 def test_tables_of_a_database(spark):
     """Over JDBC, from the database that Spark brings along, in memory."""
     from regolith.operators import reports
